@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from scholia.llm import decontam, exact_dedup, hilbert
+from scholia.llm import chat, decontam, exact_dedup, hilbert, langid, pieces, quality
 from scholia.llm.common import read
 
 
+def op1_chat_formatting(spark, sf_dir):
+    return chat.rotate(read(spark, sf_dir, "conversations"))
+
+
 def op4_hilbert_sharding(spark, sf_dir):
     return hilbert.hilbert_shards(read(spark, sf_dir, "documents"))
 
@@ -14,13 +18,29 @@ def op5_benchmark_decontamination(spark, sf_dir):
     return decontam.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark, sf_dir):
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark, sf_dir):
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark, sf_dir):
+    return pieces.encode_documents(read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql():
-    return {"op5_benchmark_decontamination": decontam.SQL, "op8_exact_dedup": exact_dedup.SQL}
+    return {
+        "op1_chat_formatting": chat.SQL,
+        "op5_benchmark_decontamination": decontam.SQL,
+        "op8_exact_dedup": exact_dedup.SQL,
+    }
