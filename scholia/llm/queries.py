@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import chat, decontam, exact_dedup, hilbert, langid, pieces, quality
+from scholia.llm import chat, decontam, exact_dedup, hilbert, html_extract, langid, pieces, quality
 from scholia.llm.common import read
 
 
@@ -10,6 +10,10 @@ def op1_chat_formatting(spark, sf_dir):
     return chat.rotate(read(spark, sf_dir, "conversations"))
 
 
+def op2_html_extraction(spark, sf_dir):
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op4_hilbert_sharding(spark, sf_dir):
     return hilbert.hilbert_shards(read(spark, sf_dir, "documents"))
 
