@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import chat, decontam, exact_dedup, hilbert, html_extract, langid, pieces, quality
+from scholia.llm import bwt_dedup, chat, decontam, exact_dedup, hilbert, html_extract, langid, pieces, quality
 from scholia.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op2_html_extraction(spark, sf_dir):
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
 
+def op3_suffix_array_dedup(spark, sf_dir):
+    return bwt_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op4_hilbert_sharding(spark, sf_dir):
     return hilbert.hilbert_shards(read(spark, sf_dir, "documents"))
 
