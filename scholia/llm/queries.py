@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import bwt_dedup, chat, decontam, exact_dedup, hilbert, html_extract, langid, pieces, quality
+from scholia.llm import bwt_dedup, chat, decontam, exact_dedup, hilbert, html_extract, langid, ngram_join, pieces, quality
 from scholia.llm.common import read
 
 
@@ -42,6 +42,10 @@ def op9_sentencepiece(spark, sf_dir):
     return pieces.encode_documents(read(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
@@ -51,4 +55,5 @@ def oracle_sql():
         "op1_chat_formatting": chat.SQL,
         "op5_benchmark_decontamination": decontam.SQL,
         "op8_exact_dedup": exact_dedup.SQL,
+        "op10_ngram_jaccard_join": ngram_join.SQL,
     }
