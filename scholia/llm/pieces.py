@@ -6,8 +6,9 @@ are committed as soon as all paths that survive in the window run through one bo
 boundary, or when the open boundaries' back pointers meet in one. Memory is therefore bounded by the distance to the last
 commit, not by the text.
 
-Where the vocabulary has no piece with a space after another character (checked), every beginning of a run of spaces is
-such a boundary, so stretches between them are searched alone and the ids of short ones are remembered.
+Where the vocabulary has no piece with a space after another character and none with a line feed (checked), every beginning
+of a run of spaces is such a boundary, so stretches between them are searched alone; the ids of short ones are remembered, in
+a table of bounded size.
 
 Characters without a piece become byte pieces; a literal U+2581, which the vocabulary uses for the space, does too, so that
 decoding gives back every text. The model's file is read on the driver (its path is a parameter) and sent to the tasks.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +31,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: What an unknown character costs below the worst piece, as in the public library.
 UNKNOWN_PENALTY = 10.0
-REMEMBER, SHORT = 200_000, 48
-_STRETCH = re.compile(r" *[^ ]+| +")
+REMEMBER, SHORT = 500_000, 48
+_STRETCH = re.compile(r" *[^ \n]+| +|\n")
 
 
 class Vocabulary:
@@ -39,8 +41,21 @@ class Vocabulary:
         self.longest = max(map(len, pieces), default=1)
         self.prefixes = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
-        self.apart = not any(" " in p.lstrip(" ") for p in pieces)
-        self.known: dict[str, list[int]] = {}
+        self.apart = not any(" " in p.lstrip(" ") or "\n" in p for p in pieces)
+        self.singles = frozenset(p for p in pieces if len(p) == 1)
+        self.known: dict[str, bytes] = {}
+        self.__setstate__({})
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k not in ("ends", "known")} | {"known": {}}
+
+    def __setstate__(self, state: dict) -> None:
+        """The automaton of the pieces is built where it is used."""
+        vars(self).update(state)
+        self.ends = ahocorasick.Automaton()
+        for p, (i, score) in self.pieces.items():
+            self.ends.add_word(p, (len(p), i, score))
+        self.ends.make_automaton()
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -112,28 +127,48 @@ class Vocabulary:
         commit(len(text))
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text; a space goes before it, as the public library puts one."""
+    def stretch(self, text: str) -> bytes:
+        """Ids of a short stretch: all pieces that end at a boundary come together, longest first."""
+        if len(text) > SHORT or not self.singles.issuperset(text):
+            return np.array(self.search(text), np.int32).tobytes()
+        n = len(text)
+        best, back = [0.0] + [-np.inf] * n, [(0, 0)] * (n + 1)
+        for last, (k, i, score) in self.ends.iter(text):
+            value = best[last + 1 - k] + score
+            if value > best[last + 1]:
+                best[last + 1], back[last + 1] = value, (k, i)
+        ids = []
+        while n:
+            k, i = back[n]
+            ids.append(i)
+            n -= k
+        return np.array(ids[::-1], np.int32).tobytes()
+
+    def encode_raw(self, text: str) -> bytes:
+        """Ids of a whole text as 32-bit numbers; a space goes before it, as the public library puts one."""
         if not text:
-            return []
+            return b""
         text = f" {text}"
         if not self.apart:
-            return self.search(text)
+            return np.array(self.search(text), np.int32).tobytes()
         known, parts = self.known, _STRETCH.findall(text)
-        try:
-            return [*chain.from_iterable([known[p] for p in parts])]
-        except KeyError:
-            if len(known) > REMEMBER:
-                known.clear()
-        out: list[int] = []
-        for p in parts:
-            if (ids := known.get(p)) is None:
-                ids = self.search(p)
-                if len(p) <= SHORT:
-                    known[p] = ids
-            out += ids
+        new = set(parts).difference(known)
+        if len(known) + len(new) > REMEMBER:
+            known.clear()
+            new = set(parts)
+        if len(new) > REMEMBER // 2:  # a very long text of many words keeps nothing
+            return b"".join(map(self.stretch, parts))
+        for p in new:
+            known[p] = self.stretch(p)
+        out = b"".join(map(known.__getitem__, parts))
+        for p in new:
+            if len(p) > SHORT:
+                del known[p]
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_raw(text), np.int32).tolist()
+
     def decode(self, ids) -> str:
         """The text of ids; ids without a text (control pieces) are skipped, broken bytes become U+FFFD."""
         table = self.table
@@ -154,12 +189,12 @@ def encode_documents(documents: DataFrame, model: str = MODEL, id_col: str = "do
         v = vocabulary.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            ids = [v.encode(t) for t in texts]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            offsets = np.zeros(len(ids) + 1, np.int32)
+            raw = [v.encode_raw(t) for t in texts]
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            offsets = np.zeros(len(raw) + 1, np.int32)
             np.cumsum(sizes, out=offsets[1:])
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-            same = [v.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+            flat = np.frombuffer(b"".join(raw), np.int32)
+            same = [v.decode(np.frombuffer(i, np.int32).tolist()) == t for i, t in zip(raw, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes), pa.array(same, pa.bool_())],
                 names=["doc_id", "ids", "n_ids", "round_trip"],
