@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.predicates import code_line, valid_heading
-from scholia.functions.text import NUMBER_WORDS, roman_number, strip, word_number
+from scholia.functions.text import NUMBER_WORDS, line_shape, roman_number, strip, word_number
 
 SEP = r"[ \t]*[:.\-–—)\]]?[ \t]*"
 NUMBER = "|".join([*reversed(NUMBER_WORDS), "thirty"])
@@ -51,7 +51,7 @@ def heading_candidates(lines: DataFrame) -> DataFrame:
     found = short.select("book_id", "pos", "line_no", "line", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("h"))
     found = found.select("book_id", "h.kind", "pos", "line_no", "h.number", "h.title", "line").filter(~code_line(F.col("title")))
     numbered = found.filter(~F.col("kind").isin("hash_headings", "titled_caps") & F.col("number").between(1, 200))
-    return numbered.unionByName(_hash_headings(found.filter("kind = 'hash_headings'"))).unionByName(_caps(found.filter("kind = 'titled_caps'")))
+    return numbered.unionByName(_hash_headings(found.filter("kind = 'hash_headings'"))).unionByName(_caps(found.filter("kind = 'titled_caps'"), numbered))
 
 
 def _hash_headings(found: DataFrame) -> DataFrame:
@@ -63,8 +63,15 @@ def _hash_headings(found: DataFrame) -> DataFrame:
     return own.withColumn("number", F.row_number().over(Window.partitionBy("book_id").orderBy("pos"))).select(*found.columns)
 
 
-def _caps(found: DataFrame) -> DataFrame:
-    own = found.filter(valid_heading(F.col("title")))
+#: Lines in capitals that head no chapter.
+NO_CHAPTER = "contents|table of contents|brief contents|index|references|glossary|preface|answers|solutions|key terms|summary|chapter summary|chapter review|review questions|exercises".split("|")
+
+
+def _caps(found: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Lines in capitals that no numbered family claims, numbered in order."""
+    own = found.filter(valid_heading(F.col("title")) & ~F.lower("title").isin(NO_CHAPTER)).withColumn("_form", line_shape(F.col("line")))
+    claimed = numbered.select("book_id", line_shape(F.col("line")).alias("_form")).distinct()
+    own = own.join(claimed, ["book_id", "_form"], "left_anti").select(*found.columns)
     return own.withColumn("number", F.row_number().over(Window.partitionBy("book_id").orderBy("pos")))
 
 
@@ -140,7 +147,8 @@ def chapters(lines: DataFrame) -> DataFrame:
     A number that repeats gets a suffix: ch_4, ch_4_2. Books without a family of three headings have no chapters here.
     """
     lengths = lines.groupBy("book_id").agg(F.max(F.col("pos") + F.length("line")).alias("chars"))
-    headings = without_listing(heading_candidates(lines))
+    # candidates are a small part of the lines and are asked many times
+    headings = without_listing(heading_candidates(lines).persist()).persist()
     best = best_family(candidate_scores(headings, lengths))
     h = headings.join(best.select("book_id", "kind"), ["book_id", "kind"]).join(lengths, "book_id")
     by = Window.partitionBy("book_id").orderBy("pos")

@@ -187,7 +187,8 @@ def str7_heading_candidates(s, d):
 def str14_family_scores(s, d):
     lines = V.book_lines(s, d)
     lengths = lines.groupBy("book_id").agg(F.max(F.col("pos") + F.length("line")).alias("chars"))
-    return U.best_family(U.candidate_scores(U.without_listing(U.heading_candidates(lines)), lengths)).select("book_id", "kind", "n", "score")
+    headings = U.without_listing(U.heading_candidates(lines).persist()).persist()
+    return U.best_family(U.candidate_scores(headings, lengths)).select("book_id", "kind", "n", "score")
 
 
 @query
@@ -197,7 +198,7 @@ def str20_chapters(s, d):
 
 @query
 def str23_sections(s, d):
-    lines = V.book_lines(s, d)
+    lines = V.book_lines(s, d).persist()
     return U.sections(lines, U.chapters(lines)).select("book_id", "chapter_id", "section", "lines", F.md5("content").alias("content"))
 
 

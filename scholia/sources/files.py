@@ -20,7 +20,7 @@ DIALOGUE = "background_info struct<topic:string>, conversation array<struct<role
 def decoded(content: Column) -> Column:
     """Bytes as text: UTF-8 without its mark where valid, else Latin-1."""
     bare = F.when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.substring(content, 4, 1 << 30)).otherwise(content)
-    return F.when(F.is_valid_utf8(bare.cast("string")), bare.cast("string")).otherwise(F.decode(bare, F.lit("ISO-8859-1")))
+    return F.when(F.is_valid_utf8(bare.cast("string")), bare.cast("string")).otherwise(F.decode(bare, "ISO-8859-1"))
 
 
 def read_books(spark: SparkSession, path: str, kinds: str = "*.{txt,md}") -> DataFrame:
