@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions.predicates import code_line, valid_heading
 from scholia.functions.text import NUMBER_WORDS, line_shape, roman_number, strip, word_number
+from scholia.sources.tables import settled
 
 SEP = r"[ \t]*[:.\-–—)\]]?[ \t]*"
 NUMBER = "|".join([*reversed(NUMBER_WORDS), "thirty"])
@@ -148,12 +149,12 @@ def chapters(lines: DataFrame) -> DataFrame:
     """
     lengths = lines.groupBy("book_id").agg(F.max(F.col("pos") + F.length("line")).alias("chars"))
     # candidates are a small part of the lines and are asked many times
-    headings = without_listing(heading_candidates(lines).persist()).persist()
+    headings = settled(without_listing(settled(heading_candidates(lines))))
     best = best_family(candidate_scores(headings, lengths))
     h = headings.join(best.select("book_id", "kind"), ["book_id", "kind"]).join(lengths, "book_id")
     by = Window.partitionBy("book_id").orderBy("pos")
     again = F.row_number().over(Window.partitionBy("book_id", "number").orderBy("pos"))
-    return h.select(
+    found = h.select(
         "book_id",
         "kind",
         F.row_number().over(by).alias("chapter_index"),
@@ -163,6 +164,7 @@ def chapters(lines: DataFrame) -> DataFrame:
         F.col("pos").alias("start"),
         F.coalesce(F.lead("pos").over(by), F.col("chars")).alias("end"),
     )
+    return settled(found)
 
 
 def chapter_of_lines(lines: DataFrame, chapters: DataFrame) -> DataFrame:

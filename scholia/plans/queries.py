@@ -20,6 +20,7 @@ from scholia.operators import structure as U
 from scholia.operators import training as T
 from scholia.plans import views as V
 from scholia.sources.files import first_rows, interaction_rows
+from scholia.sources.tables import settled
 
 AS_OF = "2024-01-31"
 REGISTRY = {}
@@ -187,7 +188,7 @@ def str7_heading_candidates(s, d):
 def str14_family_scores(s, d):
     lines = V.book_lines(s, d)
     lengths = lines.groupBy("book_id").agg(F.max(F.col("pos") + F.length("line")).alias("chars"))
-    headings = U.without_listing(U.heading_candidates(lines).persist()).persist()
+    headings = settled(U.without_listing(settled(U.heading_candidates(lines))))
     return U.best_family(U.candidate_scores(headings, lengths)).select("book_id", "kind", "n", "score")
 
 
