@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.functions.predicates import BOILERPLATE, NOISE, NON_THEORY, OFF_TOPIC, PUBLISHER_WORDS
+from scholia.functions.predicates import BOILERPLATE, NOISE, NON_THEORY, OFF_TOPIC, PUBLISHER_WORDS, TIERS
 from scholia.functions.text import SUBJECT_WORDS, TITLE_WORDS
 from scholia.operators.grading import DEEP_WORDS, HINT_WORDS, SOLUTION_WORDS, STOP_WORDS
 from scholia.plans.views import ATTEMPTS, BANK, BOOK_LINES, CHUNKS, DIALOGUES, INQUIRIES, REVIEWS, SUBMISSIONS
@@ -126,6 +126,7 @@ SELECT doc_id, md5({CLEAN}) AS cleaned,
   coalesce(nullif(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 90)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48), ''), 'book') AS slug, substr(sha256(bare), 1, 16) AS content_hash FROM u"""
 SQL["prj7_titles"] = "SELECT p_partkey, p_name AS title FROM part"
 SQL["prj12_tiers"] = "SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'introductory' WHEN 2 THEN 'advanced' WHEN 3 THEN 'introductory' WHEN 5 THEN 'advanced' WHEN 8 THEN 'introductory' ELSE 'standard' END AS tier FROM events"
+SQL["prj13_guardrails"] = "SELECT doc_id, k AS tier_key, l AS label, a AS audience FROM documents JOIN (VALUES " + ", ".join(f"({i}, {q(k)}, {q(x)}, {q(a)})" for i, (k, x, a) in enumerate(TIERS)) + ") t(i, k, l, a) ON doc_id % 3 = i"
 
 
 def _count(name: str) -> str:

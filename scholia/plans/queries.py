@@ -147,6 +147,12 @@ def prj12_tiers(s, d):
     return t.select("event_id", X.academic_tier(F.col("t")).alias("tier"))
 
 
+@query
+def prj13_guardrails(s, d):
+    x = V.read(s, d, "documents").select("doc_id", F.get(F.array(*map(F.lit, ("Class 9", "Grade 12", "college"))), (F.col("doc_id") % 3).cast("int")).alias("grade"))
+    return P.with_guardrails(x, "grade").select("doc_id", "tier_key", "label", "audience")
+
+
 @query
 def prj14_subjects(s, d):
     extra = F.when(F.col("doc_id") % 7 == 0, " velocity force energy momentum wave").when(F.col("doc_id") % 7 == 1, " enzyme protein cell cell dna").otherwise("")
