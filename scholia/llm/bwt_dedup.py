@@ -36,8 +36,10 @@ GROUP = 41
 SYMBOL = 120
 DEPTH = (LENGTH - GROUP + 1) // SYMBOL
 SYMBOLS = [f"_s{i}" for i in range(DEPTH)]
+#: Tables of text ids are broadcast up to this many rows (counted first) and joined by shuffle beyond.
+BROADCAST_ROWS = 500_000
 #: Bytes that a task works on at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BITS = 22  # positions in a piece, with its overlap, stay below 2**22
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
@@ -170,7 +172,7 @@ def shard_rows(batches):
         out = []
         for tid, text, found in zip(pdf["_tid"], pdf["_text"], pdf["_found"], strict=True):
             raw = text.encode()
-            x, a, b = (np.array([f[k] for f in found], np.int64) for k in ("_x", "_a", "_b"))
+            x, a, b = np.asarray(found, np.int64).reshape(-1, 3).T
             low, high = (x - b) // GROUP, (x - a) // GROUP
             n = high - low + 1
             group = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -212,39 +214,43 @@ def repeated_intervals(rows: DataFrame) -> DataFrame:
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """_tid, _p: starts of windows that occur more than once."""
-    held = cut(rows.join(repeated_intervals(rows), SYMBOLS), "intervals")
-    kinds = held.groupBy(*SYMBOLS, "_before", "_after").agg(F.count(F.lit(1)).alias("_n"))
+    """_tid, _q, _low, _high, _es: starts of repeated windows, as offsets before the core: _es, or all from _low to _high if null."""
+    core = F.xxhash64(*SYMBOLS)
+    intervals = cut(repeated_intervals(rows).select(core.alias("_core")), "intervals")
+    kinds = rows.select("_core", "_kind").join(intervals, "_core").groupBy("_core", "_kind").agg(F.count(F.lit(1)).alias("_n"))
+    kinds = cut(kinds, "kinds")
+    # windows are compared only where a context stands alone: those of a context met twice all repeat
+    alone = kinds.filter("_n = 1").select("_core").distinct()
+    context = rows.select("_core", "_kind", "_before", "_after").join(alone, "_core", "left_semi")
+    context = context.groupBy("_core", "_kind").agg(F.min("_before").alias("_before"), F.min("_after").alias("_after"), F.count(F.lit(1)).alias("_n"))
     # a start e bytes before the core has e bytes of the context before it and GROUP - 1 - e of the one after it
-    e = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(GROUP - 1) - F.length("_after")), F.length("_before")))
-    fits = F.length("_before") + F.length("_after") >= GROUP - 1
-    window = [
-        F.expr("substring(_before, length(_before) - _e + 1, _e)").alias("_left"),
-        F.expr(f"substring(_after, 1, {GROUP - 1} - _e)").alias("_right"),
-    ]
-    by = [*SYMBOLS, "_e", "_left", "_right"]
-    each = kinds.filter(fits & (F.col("_n") == 1)).select("*", e.alias("_e")).select(*SYMBOLS, "_e", *window, "_before", "_after")
-    known = kinds.filter(fits & (F.col("_n") > 1)).select("*", e.alias("_e")).select(*SYMBOLS, "_e", *window, F.lit(2).alias("_k"))
-    counts = (
-        each.select(*by, F.lit(1).alias("_k")).unionByName(known).groupBy(*by).agg(F.sum("_k").alias("_k")).filter(F.col("_k") > 1).drop("_k")
+    each = context.filter(F.length("_before") + F.length("_after") >= GROUP - 1).select(
+        "*", F.explode(F.sequence(F.greatest(F.lit(0), F.lit(GROUP - 1) - F.length("_after")), F.length("_before"))).alias("_e")
     )
-    some = each.join(counts, by, "left_semi").groupBy(*SYMBOLS, "_before", "_after").agg(F.collect_set("_e").alias("_es"))
-    every = kinds.filter(fits & (F.col("_n") > 1)).select(
-        *SYMBOLS,
-        "_before",
-        "_after",
-        F.sequence(F.greatest(F.lit(0), F.lit(GROUP - 1) - F.length("_after")), F.length("_before")).alias("_es"),
-    )
-    return held.join(some.unionByName(every), [*SYMBOLS, "_before", "_after"]).select("_tid", "_q", "_es")
+    sides = [F.expr("substring(_before, length(_before) - _e + 1, _e)"), F.expr(f"substring(_after, 1, {GROUP - 1} - _e)")]
+    each = cut(each.select("_core", "_kind", "_n", "_e", F.xxhash64("_core", "_e", *sides).alias("_window")), "windows")
+    counts = each.groupBy("_window").agg(F.sum(F.least("_n", F.lit(2))).alias("_k")).filter("_k > 1").select("_window")
+    some = each.filter("_n = 1").join(counts, "_window", "left_semi").groupBy("_core", "_kind").agg(F.collect_set("_e").alias("_es"))
+    twice = kinds.filter("_n > 1").select("_core", "_kind", F.lit(None).cast("array<int>").alias("_es"))
+    own = rows.select("_core", "_kind", "_tid", "_q", F.greatest(F.lit(0), F.lit(GROUP - 1) - F.length("_after")).alias("_low"), F.length("_before").alias("_high"))
+    return own.filter("_low <= _high").join(some.unionByName(twice), ["_core", "_kind"]).select("_tid", "_q", "_low", "_high", "_es")
+
+
+def merge_spans(flat) -> list[tuple[int, int]]:
+    """Maximal runs of bytes under windows, given as first and last starts of runs of windows, one after the other."""
+    runs = np.asarray(flat, np.int64).reshape(-1, 2)
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    if not len(runs):
+        return []
+    reach = np.maximum.accumulate(runs[:, 1]) + LENGTH
+    new = np.flatnonzero(runs[1:, 0] > reach[:-1]) + 1  # a window that starts where another ends touches it
+    firsts, lasts = np.concatenate([[0], new]), np.concatenate([new, [len(runs)]]) - 1
+    return [(int(a), int(b)) for a, b in zip(runs[firsts, 0], reach[lasts], strict=True)]
 
 
-def merge_spans(windows: list) -> list[tuple[int, int]]:
-    """Maximal runs of bytes under windows, given as (core start, offsets before it)."""
-    if not windows:
-        return []
-    p = np.unique(np.concatenate([q - np.asarray(es, np.int64) for q, es in windows]))
-    cuts = np.flatnonzero(np.diff(p) > LENGTH) + 1  # a window that starts where another ends touches it
-    return [(int(a), int(b) + LENGTH) for a, b in zip(p[np.concatenate([[0], cuts])], p[np.concatenate([cuts, [len(p)]]) - 1], strict=True)]
+def narrow(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Join with a table of text ids, by broadcast if its counted size allows."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "_tid", how)
 
 
 def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
@@ -257,27 +263,31 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
     texts = documents.select(F.col("doc_id"), body("text").alias("_text"))
     texts = texts.withColumn("_tid", F.unhex(F.md5(F.col("_text").cast("binary"))))
     long = texts.filter(F.octet_length("_text") >= LENGTH)
-    copies = long.groupBy("_tid").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    copies = cut(long.groupBy("_tid").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_tid"), "copies")
 
     found = cut(long.select("_tid", "_text").mapInPandas(seed_rows, "_tid binary, _x long, _a long, _b long, _seed long"), "seeds")
-    places = found.groupBy("_seed", "_tid", "_x").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
-    shared = found.groupBy("_seed").agg(F.min(F.struct("_tid", "_x")).alias("l"), F.max(F.struct("_tid", "_x")).alias("h")).filter("l <> h").select("_seed")
-    by_text = places.join(shared, "_seed", "left_semi").groupBy("_tid").agg(F.collect_list(F.struct("_x", "_a", "_b")).alias("_found"))
+    place = F.xxhash64("_tid", "_x")
+    shared = found.groupBy("_seed").agg(F.min(place).alias("l"), F.max(place).alias("h")).filter("l <> h").select("_seed")
+    by_text = found.join(shared, "_seed", "left_semi").groupBy("_tid").agg(F.collect_set(F.array("_x", "_a", "_b")).alias("_found"))
+    by_text = cut(by_text.select("_tid", F.flatten("_found").alias("_found")), "candidates")
 
-    one_each = long.select("_tid", "_text")
     kind = f"{', '.join(f'{s} long' for s in SYMBOLS)}, _q long, _tid binary, _before binary, _after binary"
-    rows = one_each.join(by_text, "_tid").select("_tid", "_text", "_found").mapInPandas(shard_rows, kind)
-    rows = cut(rows.withColumn("_shard", F.spark_partition_id()), "transforms")
-    spans = repeated_windows(rows).groupBy("_tid").agg(F.collect_list(F.struct("_q", "_es")).alias("_windows"))
-    whole = copies.select("_tid", F.lit(True).alias("_whole"))
-    spans = spans.join(whole, "_tid", "full")
+    rows = narrow(long.select("_tid", "_text"), by_text.select("_tid"), "left_semi").join(by_text, "_tid")
+    rows = rows.select("_tid", "_text", "_found").mapInPandas(shard_rows, kind)
+    keys = [F.xxhash64(*SYMBOLS).alias("_core"), F.xxhash64("_before", "_after").alias("_kind"), F.spark_partition_id().alias("_shard")]
+    rows = cut(rows.select("*", *keys), "transforms")
+    every = F.array(F.col("_q") - F.col("_high"), F.col("_q") - F.col("_low"))
+    some = F.flatten(F.transform("_es", lambda e: F.array(F.col("_q") - e, F.col("_q") - e)))
+    spans = repeated_windows(rows).select("_tid", F.coalesce(some, every).alias("_runs"))
+    spans = spans.groupBy("_tid").agg(F.flatten(F.collect_list("_runs")).alias("_windows"))
+    spans = cut(spans.join(copies.withColumn("_whole", F.lit(True)), "_tid", "full"), "spans")
 
     def finish(batches):
         for pdf in batches:
             out = []
             for text, windows, all_of in zip(pdf["_text"], pdf["_windows"], pdf["_whole"], strict=True):
                 raw = text.encode()
-                gone = [(0, len(raw))] if all_of is True or all_of == 1 else merge_spans([(w["_q"], w["_es"]) for w in windows] if windows is not None else [])
+                gone = [(0, len(raw))] if all_of is True or all_of == 1 else merge_spans(windows)
                 kept, at = [], 0
                 for a, b in gone:
                     kept.append(raw[at:a])
@@ -290,4 +300,15 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     kind = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return texts.join(spans, "_tid", "left").select("doc_id", "_text", "_windows", "_whole").mapInPandas(finish, kind)
+    ids, raw = spans.select("_tid"), F.col("_text").cast("binary")
+    touched = narrow(texts, ids, "left_semi").join(spans, "_tid").select("doc_id", "_text", "_windows", "_whole").mapInPandas(finish, kind)
+    zero = F.lit(0).cast("long")
+    same = narrow(texts, ids, "left_anti").select(
+        "doc_id",
+        F.octet_length("_text").cast("long").alias("n_bytes"),
+        zero.alias("n_removed"),
+        zero.alias("n_spans"),
+        F.sha2(raw, 256).alias("kept_sha256"),
+        *([raw.alias("kept")] if with_text else []),
+    )
+    return touched.unionByName(same)
