@@ -36,6 +36,8 @@ GROUP = 41
 SYMBOL = 120
 DEPTH = (LENGTH - GROUP + 1) // SYMBOL
 SYMBOLS = [f"_s{i}" for i in range(DEPTH)]
+#: Rows of a shard; a task makes as many shards as it needs.
+SHARD_ROWS = 30_000
 #: Tables of text ids are broadcast up to this many rows (counted first) and joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
 #: Bytes that a task works on at once.
@@ -168,8 +170,15 @@ def refine(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def shard_rows(batches):
     """Rows of a shard's transform: symbols in suffix order, contexts before and after, text and position."""
+    out: list[pd.DataFrame] = []
+
+    def transform() -> pd.DataFrame:
+        rows = pd.concat(out, ignore_index=True)
+        out.clear()
+        order, _ = refine(rows[SYMBOLS].to_numpy())
+        return rows.iloc[order]
+
     for pdf in batches:
-        out = []
         for tid, text, found in zip(pdf["_tid"], pdf["_text"], pdf["_found"], strict=True):
             raw = text.encode()
             x, a, b = np.asarray(found, np.int64).reshape(-1, 3).T
@@ -188,10 +197,10 @@ def shard_rows(batches):
                 rows["_before"] = [raw[max(0, p - GROUP + 1) : p] for p in at]
                 rows["_after"] = [raw[p + end : p + end + GROUP - 1] for p in at]
                 out.append(rows)
-        if out:
-            rows = pd.concat(out, ignore_index=True)
-            order, _ = refine(rows[SYMBOLS].to_numpy())
-            yield rows.iloc[order]
+                if sum(map(len, out)) >= SHARD_ROWS:
+                    yield transform()
+    if out:
+        yield transform()
 
 
 def repeated_intervals(rows: DataFrame) -> DataFrame:
