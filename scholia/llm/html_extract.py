@@ -18,6 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholia.llm.common import cut
+
+#: The pages' template hashes are broadcast up to this many (counted first) and joined by shuffling pages beyond.
+BROADCAST_HASHES = 500_000
 #: A subtree is template from so many pages of its host and such a share of them.
 LEAST_PAGES = 5
 LEAST_SHARE = 0.2
@@ -275,7 +279,9 @@ def extract(pages: DataFrame) -> DataFrame:
         F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)).alias("_host"),
         F.coalesce("html", F.lit("")).alias("html"),
     )
-    found = template_of_pages(rows).select(F.col("_page").alias("_p"), F.col("_host").alias("_h"), "_template")
+    found = cut(template_of_pages(rows).select(F.col("_page").alias("_p"), F.col("_host").alias("_h"), "_template"), "template")
+    hashes = found.agg(F.sum(F.size("_template") + 4).alias("n")).first()["n"] or 0
+    found = F.broadcast(found) if hashes <= BROADCAST_HASHES else found
     rows = rows.join(found, F.col("_page").eqNullSafe(F.col("_p")) & (F.col("_host") == F.col("_h")), "left")
 
     def run(batches):

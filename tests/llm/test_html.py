@@ -1,3 +1,5 @@
+import pytest
+
 from scholia.llm import html_extract as H
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="nav-open">
@@ -16,7 +18,9 @@ def test_main_text():
     assert H.main_text("<article><p>a</p><article class='comment'>c</article><form>f</form></article><article>b</article>") == "a\nb"
 
 
-def test_templates(spark):
+@pytest.mark.parametrize("most", [H.BROADCAST_HASHES, -1])
+def test_templates(spark, monkeypatch, most):
+    monkeypatch.setattr(H, "BROADCAST_HASHES", most)
     rows = []
     for i in range(30):
         rows.append((i, f"https://A.example/{i}", f"<body><p>Welcome to this site</p><p>story {i} of many</p><div><p>All <i>rights</i> kept</p></div></body>", "x"))
