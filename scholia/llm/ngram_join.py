@@ -69,16 +69,23 @@ def _prefix_rows(batches):
         )
 
 
-def _set_rows(batches):
-    for pdf in batches:
-        sets = [shingles(t) for t in pdf["_text"]]
-        yield pd.DataFrame(
-            {
+def _set_rows(hot=None):
+    """Whole sets; with a broadcast array of costly shingles also the others and the number of costly ones."""
+
+    def run(batches):
+        for pdf in batches:
+            sets = [shingles(t) for t in pdf["_text"]]
+            out = {
                 "_set": np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64),
                 "_n": np.fromiter(map(len, sets), np.int64, len(sets)),
                 "_all": [s.view(np.int64) for s in sets],
             }
-        )
+            if hot is not None:
+                out["_cold"] = [s[~np.isin(s, hot.value)] for s in out["_all"]]
+                out["_early"] = out["_n"] - np.fromiter(map(len, out["_cold"]), np.int64, len(sets))
+            yield pd.DataFrame(out)
+
+    return run
 
 
 def narrow(df: DataFrame, keys: DataFrame, on, how: str = "left_semi") -> DataFrame:
@@ -88,16 +95,16 @@ def narrow(df: DataFrame, keys: DataFrame, on, how: str = "left_semi") -> DataFr
 
 class Join:
     def __init__(self, documents: DataFrame):
-        self.texts = documents.select("doc_id", body("text").alias("_text")).withColumn("_th", F.xxhash64("_text"))
+        self.texts = documents.select("doc_id", body("text").alias("_text")).withColumn("_th", F.xxhash64("doc_id", "_text"))
         kind = documents.schema["doc_id"].dataType.simpleString()
         rows = self.texts.select("doc_id", "_text", "_th").mapInPandas(_prefix_rows, f"doc_id {kind}, _th long, _set long, _n long, _prefix array<long>")
         self.docs = cut(rows.withColumn("_uid", F.monotonically_increasing_id()), "prefixes")
 
-    def sets_of(self, nodes: DataFrame) -> DataFrame:
+    def sets_of(self, nodes: DataFrame, hot=None) -> DataFrame:
         """Whole sets of nodes (_set), from their texts."""
         one = self.docs.select("_set", "_th").join(nodes, "_set", "left_semi").groupBy("_set").agg(F.min("_th").alias("_th"))
-        own = narrow(self.texts, cut(one.select("_th").distinct(), "texts"), "_th")
-        sets = own.select("_text").mapInPandas(_set_rows, "_set long, _n long, _all array<long>")
+        own = narrow(self.texts, cut(one.select("_th"), "texts"), "_th")  # one document of each set, not all its copies
+        sets = own.select("_text").mapInPandas(_set_rows(hot), "_set long, _n long, _all array<long>" + ", _cold array<long>, _early long" * (hot is not None))
         return cut(sets, "sets")
 
     def prefixes(self) -> tuple[DataFrame, DataFrame]:
@@ -124,19 +131,18 @@ class Join:
         plan = cut(plan.select("_set", "_n", F.col("_k").cast("int").alias("_k"), F.expr("slice(_prefix, 1, _p + cast(_k as int))").alias("_prefix"), wanted.cast("int").alias("_r")).filter("_k >= 0"), "plan")
         light = plan.select("_set", "_r", F.explode("_prefix").alias("_token")).join(F.broadcast(hot), "_token", "left_anti").select("_token", "_set", "_r", F.lit(True).alias("_light"))
 
-        heavy = self.sets_of(nodes.select("_set").join(plan.select("_set"), "_set", "left_anti"))
-        whole = heavy.select("_set", "_n", F.posexplode("_all").alias("_at", "_token"))
-        marked = whole.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "_token", "left")
-        cold = marked.filter("_hot is null").select("_token", "_set", F.lit(None).cast("int").alias("_r"), F.lit(False).alias("_light"))
-        rows = light.unionByName(cold)
+        known = np.array([r["_token"] for r in hot.collect()], np.int64)  # HOT_ROWS at most
+        known = hot.sparkSession.sparkContext.broadcast(known)
+        heavy = self.sets_of(nodes.select("_set").join(plan.select("_set"), "_set", "left_anti"), known)
+        cold = heavy.select(F.explode("_cold").alias("_token"), "_set", F.lit(None).cast("int").alias("_r"), F.lit(False).alias("_light"))
+        rows = light.unionByName(cold).repartition("_token")  # counted and joined where it lies: one shuffle for both
         dfs = rows.groupBy("_token").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
         rows = cut(rows.join(dfs, "_token"), "rows")
 
         # costly shingles of the whole sets, with those that only the whole sets have made costly
         late = rows.filter(~F.col("_light") & (F.col("_df") > HOT)).groupBy("_set").agg(F.count(F.lit(1)).alias("_late"))
-        early = marked.filter("_hot").groupBy("_set").agg(F.count(F.lit(1)).alias("_early"))
-        slack = heavy.select("_set", "_n").join(late, "_set", "left").join(early, "_set", "left")
-        slack = slack.select("_set", (F.floor((n * 3 + 3) / 4) - F.coalesce("_late", F.lit(0)) - F.coalesce("_early", F.lit(0))).cast("int").alias("_slack"))
+        slack = heavy.select("_set", "_n", "_early").join(late, "_set", "left")
+        slack = slack.select("_set", (F.floor((n * 3 + 3) / 4) - F.coalesce("_late", F.lit(0)) - F.col("_early")).cast("int").alias("_slack"))
         slack = cut(slack, "slack")
         rows = rows.join(slack, "_set", "left").withColumn("_r", F.coalesce("_r", F.least(F.lit(MATCH), F.greatest(F.lit(1), F.col("_slack"))))).drop("_slack")
         full = heavy.join(slack.filter("_slack <= 0"), "_set", "left_semi")
@@ -145,12 +151,14 @@ class Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes that are linked."""
-        pairs = cut(pairs.select("a", "b").distinct(), "pairs")
+        n = self.docs.groupBy("_set").agg(F.max("_n").alias("_n"))
+        na, nb = (n.select(F.col("_set").alias(k), F.col("_n").alias(f"n{k}")) for k in "ab")
+        near = (F.col("na") * 4 >= F.col("nb") * 3) & (F.col("nb") * 4 >= F.col("na") * 3)
+        pairs = cut(pairs.select("a", "b").distinct().join(na, "a").join(nb, "b").filter(near), "pairs")
         sets = self.sets_of(pairs.select(F.col("a").alias("_set")).union(pairs.select("b")).distinct())
-        x, y = (sets.select(F.col("_set").alias(k), F.col("_n").alias(f"n{k}"), F.col("_all").alias(f"all{k}")) for k in "ab")
+        x, y = (sets.select(F.col("_set").alias(k), F.col("_all").alias(f"all{k}")) for k in "ab")
         both = F.size(F.array_intersect("alla", "allb"))
-        near = (F.col("na") * 4 >= F.col("nb") * 3) & (F.col("nb") * 4 >= F.col("na") * 3)
-        checked = pairs.join(x, "a").join(y, "b").filter(near).withColumn("_i", both)
+        checked = pairs.join(x, "a").join(y, "b").withColumn("_i", both)
         return cut(checked.filter(F.col("_i") * 100 >= (F.col("na") + F.col("nb") - F.col("_i")) * 75).select("a", "b").distinct(), "links")
 
 
@@ -159,6 +167,9 @@ def _pivot_pairs(rows: DataFrame, matches: Column) -> DataFrame:
     pivots = rows.groupBy("_token").agg(*[F.min_by("_set", F.xxhash64("_set", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
     near = rows.join(pivots, "_token").select("_set", "_r", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("_pivot"))
     near = near.filter("_set <> _pivot").groupBy("_set", "_pivot").agg(F.count(F.lit(1)).alias("_m"), F.min("_r").alias("_r")).filter(matches)
+    # the two pivots with most shingles in common: pivots only spare pairs, what they miss is found among crossing pairs
+    best = F.slice(F.sort_array(F.collect_list(F.struct("_m", "_pivot")), asc=False), 1, 2)
+    near = near.groupBy("_set").agg(F.transform(best, lambda x: x["_pivot"]).alias("_best")).select("_set", F.explode("_best").alias("_pivot"))
     return near.select(F.least("_set", "_pivot").alias("a"), F.greatest("_set", "_pivot").alias("b"))
 
 
