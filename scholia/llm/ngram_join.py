@@ -167,9 +167,6 @@ def _pivot_pairs(rows: DataFrame, matches: Column) -> DataFrame:
     pivots = rows.groupBy("_token").agg(*[F.min_by("_set", F.xxhash64("_set", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
     near = rows.join(pivots, "_token").select("_set", "_r", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("_pivot"))
     near = near.filter("_set <> _pivot").groupBy("_set", "_pivot").agg(F.count(F.lit(1)).alias("_m"), F.min("_r").alias("_r")).filter(matches)
-    # the two pivots with most shingles in common: pivots only spare pairs, what they miss is found among crossing pairs
-    best = F.slice(F.sort_array(F.collect_list(F.struct("_m", "_pivot")), asc=False), 1, 2)
-    near = near.groupBy("_set").agg(F.transform(best, lambda x: x["_pivot"]).alias("_best")).select("_set", F.explode("_best").alias("_pivot"))
     return near.select(F.least("_set", "_pivot").alias("a"), F.greatest("_set", "_pivot").alias("b"))
 
 
