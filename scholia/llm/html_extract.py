@@ -3,7 +3,7 @@
 Every element of a page gets a hash of its subtree (names and texts, children before parents). Spark counts on how many
 pages of a host each hash occurs; subtrees found on many pages of their host are template and are deleted. Rules about
 element names, roles and class names delete what is never main text, and where a page marks its article or main part, only
-that part is kept. Pages are parsed twice, each time inside their task; what is shuffled are hashes, and for deletion the
+that part is kept; of it, only block elements that all pages of the host have are template. Pages are parsed twice, each time inside their task; what is shuffled are hashes, and for deletion the
 hashes of a page that are template.
 """
 
@@ -22,7 +22,7 @@ from scholia.llm.common import cut
 
 #: The pages' template hashes are broadcast up to this many (counted first) and joined by shuffling pages beyond.
 BROADCAST_HASHES = 500_000
-#: A subtree is template from so many pages of its host and such a share of them.
+#: A subtree is template from so many pages of its host and such a share of them; inside an article, from all of them.
 LEAST_PAGES = 5
 LEAST_SHARE = 0.2
 #: If more of an article's text than this would go, the page is a copy of others and nothing inside its article goes.
@@ -71,33 +71,33 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "drop", "main", "inside", "children", "hash")
+    __slots__ = ("tag", "parent", "drop", "main", "inside", "children", "hash", "named")
 
-    def __init__(self, tag, parent, drop, main):
-        self.tag, self.parent, self.drop, self.main = tag, parent, drop, main
+    def __init__(self, tag, parent, drop, main, named=False):
+        self.tag, self.parent, self.drop, self.main, self.named = tag, parent, drop, main, named
         self.inside = main > 0 or (parent is not None and parent.inside)
         self.children = []
         self.hash = 0
 
 
-def _judge(tag: str, raw: str, inside: bool) -> tuple[bool, int]:
-    """Whether a rule drops the element; 2 for an article, 1 for another main part."""
+def _judge(tag: str, raw: str, inside: bool) -> tuple[bool, int, bool]:
+    """Whether a rule drops the element; 2 for an article, 1 for another main part; whether it drops by class or id only."""
     main = 2 if tag == "article" else 1 if tag == "main" else 0
     if tag in DROP_TAGS or (tag in DROP_OUTSIDE and not inside):
-        return True, 0
+        return True, 0, False
     if not raw.strip(" /"):
-        return False, main
+        return False, main, False
     attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
     role = attrs.get("role", "").lower()
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or role in DROP_ROLES or "display:none" in attrs.get("style", "").replace(" ", ""):
-        return True, 0
+        return True, 0, False
     if tag not in ("html", "body"):
         words = {w.lower() for w in _WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
         if words & DROP_WORDS or (not inside and words & DROP_OUTSIDE):
-            return True, 0
+            return True, 0, True
     if role == "main" and not main or attrs.get("itemprop") == "articleBody":
         main = 1
-    return False, main
+    return False, main, False
 
 
 def parse(html: str) -> Node:
@@ -140,8 +140,7 @@ def parse(html: str) -> Node:
                 close(names, stops)
                 if at is before:
                     break
-        drop, main = _judge(tag, m[3], at.inside)
-        node = Node(tag, at, drop, main)
+        node = Node(tag, at, *_judge(tag, m[3], at.inside))
         at.children.append(node)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(html, pos)
@@ -178,8 +177,8 @@ def hash_subtrees(root: Node) -> list[Node]:
     return found
 
 
-def blocks(start: list[Node], template: frozenset[int]) -> list[str]:
-    """Texts of the blocks under the given nodes, without dropped and template subtrees."""
+def blocks(start: list[Node], template: frozenset[int], inline: bool = True) -> list[str]:
+    """Texts of the blocks under the given nodes, without dropped and template subtrees; inline: those of inline elements go, too."""
     out, open_block = [], []
 
     def end() -> None:
@@ -195,7 +194,7 @@ def blocks(start: list[Node], template: frozenset[int]) -> list[str]:
                 end()
             elif isinstance(x, str):
                 open_block.append(x)
-            elif not x.drop and x.hash not in template:
+            elif not x.drop and (x.hash not in template or not inline and x.tag not in BLOCK):
                 if x.tag in BLOCK:
                     end()
                     stack.append(None)
@@ -204,13 +203,13 @@ def blocks(start: list[Node], template: frozenset[int]) -> list[str]:
     return out
 
 
-def main_parts(root: Node) -> list[Node]:
-    """The outermost articles, else the outermost main parts, else the page."""
+def main_parts(root: Node, named: bool = False) -> list[Node]:
+    """The outermost articles, else the outermost main parts, else the page; named: also those within what a class or id drops."""
     for least in (2, 1):
         found, stack = [], [root]
         while stack:
             node = stack.pop()
-            if node.drop:
+            if node.drop and not (named and node.named):
                 continue
             if node.main >= least:
                 found.append(node)
@@ -229,22 +228,28 @@ def subtree_hashes(html: str) -> set[int]:
     return {signed(x.hash) for x in hash_subtrees(parse(html or ""))}
 
 
-def main_text(html: str, template=()) -> str:
-    """Blocks of the main part, joined by line feeds; template: signed hashes of subtrees to delete."""
+def main_text(html: str, template=(), always=()) -> str:
+    """Blocks of the main part, joined by line feeds; template, always: signed hashes of subtrees to delete, from a whole page
+    and from its article."""
     root = parse(html or "")
-    parts, gone = main_parts(root), frozenset()
-    if len(template):
+    parts, texts = main_parts(root), []
+    if len(template) or len(always):
         hash_subtrees(root)
-        gone = frozenset(int(h) % (1 << 64) for h in template)
-        kept, all_of = ("\n".join(blocks(parts, g)) for g in (gone, frozenset()))
-        if parts[0] is not root and len(kept) < (1 - MOST_OF_ARTICLE) * len(all_of):
-            return all_of
-        return kept
-    return "\n".join(blocks(parts, gone))
+    framed = main_parts(root, True) if parts[0] is root else []
+    for own in (parts, framed) if len(framed) == 1 else (parts,):  # several are teasers
+        article = own[0] is not root
+        gone = frozenset(int(h) % (1 << 64) for h in (always if article else template))
+        kept = "\n".join(blocks(own, gone, not article))
+        if article and gone:
+            all_of = "\n".join(blocks(own, frozenset()))
+            kept = all_of if len(kept) < (1 - MOST_OF_ARTICLE) * len(all_of) else kept
+        texts.append(kept)
+    # a box whose class or id drops it may be the page's frame: then its article is longer than what is left around it
+    return max(texts, key=len)
 
 
 def template_of_pages(pages: DataFrame) -> DataFrame:
-    """_page, _host, _template: the hashes of each page that are template on its host."""
+    """_page, _host, _template, _always: the hashes of each page that are template on its host, and those on all of its pages."""
 
     def emit(batches):
         for pdf in batches:
@@ -262,8 +267,10 @@ def template_of_pages(pages: DataFrame) -> DataFrame:
     seen = pages.mapInPandas(emit, f"_page {kind}, _host string, _hash long")
     sizes = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     common = seen.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= LEAST_PAGES)
-    common = common.join(sizes, "_host").filter(F.col("_n") >= LEAST_SHARE * F.col("_pages")).select("_host", "_hash")
-    return seen.join(common, ["_host", "_hash"], "left_semi").groupBy("_page", "_host").agg(F.collect_set("_hash").alias("_template"))
+    common = common.join(sizes, "_host").filter(F.col("_n") >= LEAST_SHARE * F.col("_pages"))
+    common = common.select("_host", "_hash", (F.col("_n") == F.col("_pages")).alias("_all"))
+    hashes = [F.collect_set("_hash").alias("_template"), F.collect_set(F.when(F.col("_all"), F.col("_hash"))).alias("_always")]
+    return seen.join(common, ["_host", "_hash"]).groupBy("_page", "_host").agg(*hashes)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -279,15 +286,16 @@ def extract(pages: DataFrame) -> DataFrame:
         F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)).alias("_host"),
         F.coalesce("html", F.lit("")).alias("html"),
     )
-    found = cut(template_of_pages(rows).select(F.col("_page").alias("_p"), F.col("_host").alias("_h"), "_template"), "template")
-    hashes = found.agg(F.sum(F.size("_template") + 4).alias("n")).first()["n"] or 0
+    found = cut(template_of_pages(rows).select(F.col("_page").alias("_p"), F.col("_host").alias("_h"), "_template", "_always"), "template")
+    hashes = found.agg(F.sum(F.size("_template") + F.size("_always") + 4).alias("n")).first()["n"] or 0
     found = F.broadcast(found) if hashes <= BROADCAST_HASHES else found
     rows = rows.join(found, F.col("_page").eqNullSafe(F.col("_p")) & (F.col("_host") == F.col("_h")), "left")
 
     def run(batches):
         for pdf in batches:
-            text = [main_text(h, () if t is None else t) for h, t in zip(pdf["html"], pdf["_template"], strict=True)]
+            known = ((() if t is None else t, () if a is None else a) for t, a in zip(pdf["_template"], pdf["_always"], strict=True))
+            text = [main_text(h, *k) for h, k in zip(pdf["html"], known, strict=True)]
             yield pd.DataFrame({"page_id": pdf["_page"], "url": pdf["_url"], "text": text, "n_chars": [len(t) for t in text]})
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.select("_page", "_url", "html", "_template").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.select("_page", "_url", "html", "_template", "_always").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -37,3 +37,17 @@ def test_templates(spark, monkeypatch, most):
     assert text[1000] == "" and text[None] == "null id"
     assert sorted(r["text"] for r in got if r["page_id"] == 1001) == ["Welcome to this site", "again"]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_articles_keep_what_others_share(spark):
+    last = "<p>A paragraph that <b>five</b> articles have.</p>"
+    rows = [(i, f"http://e.example/{i}", f"<article><p>story {i} with <em>many</em> words of its own</p>{last if i < 5 else ''}</article>") for i in range(24)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(24):
+        assert got[i] == f"story {i} with many words of its own" + "\nA paragraph that five articles have." * (i < 5)
+
+
+def test_class_of_a_frame():
+    page = "<body><div class='{}'><article><p>the story of the page, told at length</p></article></div><p>{}</p></body>"
+    assert H.main_text(page.format("sidebar-layout", "end")) == "the story of the page, told at length"
+    assert H.main_text(page.format("related", "long text of a page without an article " * 3)).startswith("long text")
