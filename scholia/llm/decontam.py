@@ -1,7 +1,7 @@
 """Benchmark decontamination with spaced seeds.
 
 A seed mask looks at some token positions of a window and ignores the others, so two windows that differ only at ignored
-positions hash alike. Every window of every document is hashed under each mask and joined with the hashes of the benchmark's
+positions hash alike. The masks cover all places that a stretch may differ in. Every window of every document is hashed under each mask and joined with the hashes of the benchmark's
 windows; a hit is verified on the tokens around it, where substitutions are allowed: some stretch of `STRETCH` aligned tokens
 must agree in at least `AGREE` of its places.
 
@@ -17,8 +17,15 @@ from pyspark.sql import functions as F
 
 from scholia.llm.common import body
 
-#: 1 looks, 0 ignores. Span 11, weight 7.
-MASKS = ("11101001101", "11001011011")
+#: 1 looks, 0 ignores. Span 11, weight 6: wherever up to 3 of 13 aligned tokens differ, some mask sees none of them.
+MASKS = ("11010011001", "10001101011", "10111000101", "10010111100", "11010000111", "11011100001", "01101010110")
+#: The same for 3 of 12 and 2 of 11 tokens; used where the benchmark has items of fewer than STRETCH tokens.
+SHORT_MASKS = (
+    "10101011010", "10101100101", "11010010011", "00110101011", "11001101100", "01100011101",
+    "10011000111", "10110110001", "00001111110", "00111110100", "11110100100", "11001010101",
+)
+#: The masks of SQL, which thereby finds a part of what overlaps() does.
+SQL_MASKS = ("11101001101", "11001011011")
 SPAN = 11
 STRETCH = 13
 AGREE = 0.75
@@ -31,13 +38,12 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens, lambda w: F.xxhash64(w))
 
 
-def windows(df: DataFrame, keep: list[str]) -> DataFrame:
+def windows(df: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
     """One row per window and mask: keep, _h (token hashes), _i (start), _seed."""
     # explode_outer: an inner generator would make the optimiser derive a filter that computes the hashes once more
     at = df.select(*keep, "_h", F.explode_outer(F.when(F.size("_h") >= SPAN, F.sequence(F.lit(0), F.size("_h") - SPAN))).alias("_i"))
     seeds = [
-        F.xxhash64(F.lit(m), *[F.get("_h", F.col("_i") + k) for k, c in enumerate(mask) if c == "1"])
-        for m, mask in enumerate(MASKS)
+        F.xxhash64(F.lit(int(mask, 2)), *[F.get("_h", F.col("_i") + k) for k, c in enumerate(mask) if c == "1"]) for mask in masks
     ]
     return at.filter(F.col("_i").isNotNull()).select(*keep, "_h", "_i", F.explode_outer(F.array(*seeds)).alias("_seed"))
 
@@ -59,19 +65,25 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), token_hashes(body(text_col)).alias("_h"))
     items = benchmark.select("item_id", token_hashes(body("text")).alias("_h"))
-    seeds = windows(items, ["item_id"]).select(
+    size = F.greatest(F.size("_h"), F.lit(0))
+    few, short = items.select(F.sum(size).alias("n"), F.count_if(size.between(SPAN, STRETCH - 1)).alias("s")).first()
+    few, masks = few or 0, MASKS
+    seeds = windows(items, ["item_id"], MASKS)
+    if short:
+        masks += SHORT_MASKS
+        seeds = seeds.unionByName(windows(items.filter(F.size("_h") < STRETCH), ["item_id"], SHORT_MASKS))
+    seeds = seeds.select(
         "item_id", F.col("_i").alias("_j"), "_seed", F.size("_h").alias("_len"), around(F.col("_h"), F.col("_i")).alias("_item")
     )
-    few = items.select(F.sum(F.greatest(F.size("_h"), F.lit(0))).alias("n")).first()["n"] or 0
     keys = seeds.select("item_id", "_j", "_seed")
-    keys = F.broadcast(keys) if few * len(MASKS) <= BROADCAST_ROWS else keys
-    hits = windows(docs, ["doc_id"]).join(keys, "_seed").select(
+    keys = F.broadcast(keys) if few * len(masks) <= BROADCAST_ROWS else keys
+    hits = windows(docs, ["doc_id"], masks).join(keys, "_seed").select(
         "doc_id", "item_id", "_i", "_j", around(F.col("_h"), F.col("_i")).alias("_doc")
     )
-    # a window may hit by both masks; verified once
+    # a window may hit by several masks; verified once
     hits = hits.dropDuplicates(["doc_id", "item_id", "_i", "_j"])
     places = seeds.select("item_id", "_j", "_len", "_item").dropDuplicates(["item_id", "_j"])
-    places = F.broadcast(places) if few * len(MASKS) <= BROADCAST_ROWS else places
+    places = F.broadcast(places) if few * len(masks) <= BROADCAST_ROWS else places
     same = F.zip_with("_doc", "_item", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     stretch = F.least(F.lit(STRETCH), F.col("_len"))
     best = F.array_max(
@@ -97,7 +109,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _sql_seeds() -> str:
-    looks = [[k for k, c in enumerate(mask) if c == "1"] for mask in MASKS]
+    looks = [[k for k, c in enumerate(mask) if c == "1"] for mask in SQL_MASKS]
     return " UNION ALL ".join(
         f"SELECT *, '{m}' || '|' || concat_ws('|', {', '.join(f'w[i + {k + 1}]' for k in look)}) AS seed FROM {{0}}"
         for m, look in enumerate(looks)

@@ -1,6 +1,6 @@
 import hashlib
 import zlib
-from itertools import product
+from itertools import combinations, product
 
 from pyspark.sql import functions as F
 
@@ -67,6 +67,21 @@ def test_spaced_seeds(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == [2, 3, 4, 5]
 
 
+def test_seeds_cover_all_differences(spark):
+    items, texts = {}, {}
+    for n, most in ((13, 3), (12, 3), (11, 2)):
+        items[n] = [f"v{n}x{k}" for k in range(n)]
+        for at in (c for d in range(most + 2) for c in combinations(range(n), d)):
+            texts[(n, at)] = "a b " + " ".join("other" if k in at else w for k, w in enumerate(items[n])) + " c"
+    items[40] = [f"u{k}" for k in range(40)]
+    texts[(40, ())] = " ".join("other" if k % 4 == 0 else w for k, w in enumerate(items[40]))
+    for lengths in ((11, 12, 13, 40), (13, 40)):  # with and without masks for short items
+        bench = spark.createDataFrame([(n, " ".join(items[n])) for n in lengths], "item_id long, text string")
+        got = {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(docs(spark, texts.values()), bench).collect()}
+        want = {(i, n) for i, (n, at) in enumerate(texts) if n in lengths and len(at) <= {11: 2}.get(n, 3)}
+        assert got == want
+
+
 def test_shuffle_join_agrees(spark, monkeypatch):
     item = " ".join(f"w{i}" for i in range(30))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
