@@ -273,6 +273,10 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
     texts = texts.withColumn("_tid", F.unhex(F.md5(F.col("_text").cast("binary"))))
     long = texts.filter(F.octet_length("_text") >= LENGTH)
     copies = cut(long.groupBy("_tid").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_tid"), "copies")
+    # of equal texts one is enough: what another text shares with them repeats, and they go whole
+    long = long.select("_tid", "_text")
+    one = cut(narrow(long, copies, "left_semi").groupBy("_tid").agg(F.first("_text").alias("_text")), "one-of-copies")
+    long = narrow(long, copies, "left_anti").unionByName(one)
 
     found = cut(long.select("_tid", "_text").mapInPandas(seed_rows, "_tid binary, _x long, _a long, _b long, _seed long"), "seeds")
     place = F.xxhash64("_tid", "_x")
@@ -287,7 +291,7 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
     rows = cut(rows.select("*", *keys), "transforms")
     every = F.array(F.col("_q") - F.col("_high"), F.col("_q") - F.col("_low"))
     some = F.flatten(F.transform("_es", lambda e: F.array(F.col("_q") - e, F.col("_q") - e)))
-    spans = repeated_windows(rows).select("_tid", F.coalesce(some, every).alias("_runs"))
+    spans = narrow(repeated_windows(rows), copies, "left_anti").select("_tid", F.coalesce(some, every).alias("_runs"))
     spans = spans.groupBy("_tid").agg(F.flatten(F.collect_list("_runs")).alias("_windows"))
     spans = cut(spans.join(copies.withColumn("_whole", F.lit(True)), "_tid", "full"), "spans")
 

@@ -58,6 +58,17 @@ def test_lone_self_repeat_and_empty(spark):
     assert [r["n_removed"] == r["n_bytes"] for r in B.remove_repeats(twice, with_text=True).collect()] == [True, True]
 
 
+def test_copies_count_once(spark, monkeypatch):
+    tables, cut = {}, B.cut
+    monkeypatch.setattr(B, "cut", lambda df, name: tables.setdefault(name, cut(df, name)))
+    rng = random.Random(4)
+    hot = prose(rng, 2000)
+    check(spark, [hot] * 50 + [prose(rng, 300) + hot[500:1500] + prose(rng, 300), prose(rng, 900)])
+    rows = tables["transforms"]
+    assert 0 < rows.count() == rows.select("_tid", "_q").distinct().count()
+    assert tables["spans"].filter("_whole").count() == 1 == tables["spans"].filter("_whole and _windows is null").count()
+
+
 def test_refine():
     rng = np.random.default_rng(3)
     runs = [x[np.lexsort(x.T[::-1])] for x in (rng.integers(0, 3, (rng.integers(0, 40), 4)) for _ in range(5))]
