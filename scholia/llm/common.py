@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_rows(rows: DataFrame, judged: DataFrame, key: list[str]) -> DataFrame:
+    """rows without those that judged (key, kept; one row for each that was judged) doesn't keep; of kept rows of one key, one stays.
+
+    Keys may be null; rows that weren't judged stay.
+    """
+    few = cut(judged.groupBy(*key, "kept").agg(F.count(F.lit(1)).alias("_n")).filter("not kept or _n > 1"), "judged")
+    few = few.select(F.struct(*key).alias("_few"), "kept")
+    same = reduce(lambda a, b: a & b, (rows[k].eqNullSafe(F.col(f"_few.{k}")) for k in key))
+    twice = rows.join(few.filter("kept"), same, "left_semi").dropDuplicates(key)
+    return rows.join(few, same, "left_anti").unionByName(twice)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -104,8 +104,9 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without the rows that hold a benchmark passage."""
-    bad = overlaps(documents, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, documents["doc_id"] == F.col("_bad"), "left_anti")
+    rows = documents.withColumn("__row", F.struct("doc_id", F.unhex(F.md5(body("text").cast("binary"))).alias("text")))
+    bad = overlaps(rows, benchmark, "__row").select(F.col("doc_id").alias("_bad")).distinct()
+    return rows.join(bad, rows["__row"] == F.col("_bad"), "left_anti").drop("__row")
 
 
 def _sql_seeds() -> str:

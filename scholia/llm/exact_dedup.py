@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import SPACES, body, cut
+from scholia.llm.common import SPACES, body, cut, keep_rows
 
 RUNS = 64
 FAN = 4
@@ -68,9 +68,10 @@ def exact_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def keep_first_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """documents without the rows that exact_duplicates drops."""
-    dropped = exact_duplicates(documents, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return documents.join(dropped, documents[id_col] == F.col("_gone"), "left_anti")
+    """documents with one row of each group of exact_duplicates, of the smallest id; of several such rows, one."""
+    sha = F.lower(F.sha2(F.regexp_replace(body(text_col), SPACES, " "), 256))
+    judged = exact_duplicates(documents, id_col, text_col).select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias("__sha"), "kept")
+    return keep_rows(documents.withColumn("__sha", sha), judged, [id_col, "__sha"]).drop("__sha")
 
 
 SQL = r"""

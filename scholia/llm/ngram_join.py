@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import body, cut
+from scholia.llm.common import body, cut, keep_rows
 from scholia.llm.components import connected_components
 
 WORDS = 5
@@ -183,13 +183,8 @@ def _crossing_pairs(rows: DataFrame, component: DataFrame, first: Column, matche
     return pairs.filter(matches).select("a", "b")
 
 
-def jaccard_components(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
-
-    Null text counts as empty; a document without words is linked with nothing. Documents with equal sets are linked. Rows of
-    one doc_id are documents of their own that share their id; a null id is larger than any other. An empty table gives no
-    rows; other columns are ignored.
-    """
+def _components(documents: DataFrame) -> DataFrame:
+    """doc_id, _th, n_shingles, component of each row."""
     join = Join(documents)
     rows, family = join.prefixes()
     family = family.withColumn("_r", F.lit(1))
@@ -204,17 +199,32 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     links = links.unionByName(join.verified(crossing))
     component = connected_components(links)
 
-    docs = join.docs.select("doc_id", "_set", F.col("_n").alias("n_shingles"))
-    docs = docs.join(component.select(F.col("node").alias("_set"), "component"), "_set", "left").withColumn("component", F.coalesce("component", "_set"))
+    docs = join.docs.select("doc_id", "_th", "_set", F.col("_n").alias("n_shingles"))
+    docs = docs.join(component.select(F.col("node").alias("_set"), "component"), "_set", "left")
+    return docs.withColumn("component", F.coalesce("component", "_set")).drop("_set")
+
+
+def jaccard_components(documents: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+
+    Null text counts as empty; a document without words is linked with nothing. Documents with equal sets are linked. Rows of
+    one doc_id are documents of their own that share their id; a null id is larger than any other. An empty table gives no
+    rows; other columns are ignored.
+    """
+    docs = _components(documents)
     least = docs.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("_least"))
     docs = docs.join(least, "component", "left")
     return docs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
-    """documents with one row of each component: the one with the smallest id."""
-    gone = jaccard_components(documents).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return documents.join(gone, documents["doc_id"] == F.col("_gone"), "left_anti")
+    """documents with one row of each component: one with the smallest id. Documents without words all stay."""
+    docs = _components(documents).filter("n_shingles > 0")
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", "_th")  # null ids last
+    docs = docs.join(docs.groupBy("component").agg(F.min(row).alias("_least")), "component")
+    kept = F.col("doc_id").eqNullSafe(F.col("_least.doc_id")) & (F.col("_th") == F.col("_least._th"))
+    rows = documents.withColumn("_th", F.xxhash64("doc_id", body("text")))
+    return keep_rows(rows, docs.select("doc_id", "_th", kept.alias("kept")), ["doc_id", "_th"]).drop("_th")
 
 
 SQL = r"""

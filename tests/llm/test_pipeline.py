@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from scholia.llm import decontam, pieces, quality
+from scholia.llm import decontam, exact_dedup, ngram_join, pieces, quality
 from tests.llm.test_ngram_join import brute
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +55,17 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50
+
+
+def test_rows_without_own_ids(spark):
+    clean, other, near = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    close = near.replace("c59", "x")
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    rows = [(1, clean), (2, clean), (2, other), (None, clean), (7, near), (7, near), (None, "n"), (None, "n")]
+    assert left(exact_dedup.keep_first_copies(table(rows))) == sorted([(1, clean), (2, other), (7, near), (None, "n")], key=str)
+    rows = [(1, near), (2, close), (2, other), (None, close), (5, clean), (5, clean), (6, ""), (6, "")]
+    assert left(ngram_join.keep_one_of_each(table(rows))) == sorted([(1, near), (2, other), (5, clean), (6, ""), (6, "")], key=str)
+    bench = spark.createDataFrame([(1, near)], "item_id long, text string")
+    rows = [(1, near), (1, clean), (None, near), (None, other)]
+    assert left(decontam.drop_contaminated(table(rows), bench)) == sorted([(1, clean), (None, other)], key=str)
