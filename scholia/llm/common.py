@@ -14,9 +14,11 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or where it is unset (tests, one machine) a fresh local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="scholia-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -27,7 +29,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by cut() whose readers have been written themselves."""
+    for table in tables:
+        jvm, path = table.sparkSession._jvm, table.written_to
+        path = jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def keep_rows(rows: DataFrame, judged: DataFrame, key: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import cut
+from scholia.llm.common import cut, forget
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,10 +23,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = cut(small.filter("u <> v").distinct(), "edges")
+        last, now = now, cut(small.filter("u <> v").distinct(), "edges")
+        forget(last)
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             break
         before = state
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    found = cut(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    forget(now)
+    return found

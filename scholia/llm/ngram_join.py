@@ -1,29 +1,29 @@
 """Jaccard join of documents on word shingles by adaptive multi-match prefixes.
 
-A document's shingles are ordered by hash. If two sets overlap in 75 % of either, their first P + l - 1 shingles
-(P = n - ceil(0.75 n) + 1) have l in common. Shingles in more than HOT texts are costly candidates, so a document's prefix is
-lengthened until, with h costly shingles in it, l - h reaches MATCH: only the others are joined, and a pair must have that
-many of them in common before it is verified. A document whose room for that ends (many costly shingles) takes its whole set
-as its prefix, where ceil(0.75 n) minus its costly shingles must be in common. What is left are texts that consist of costly
-shingles for three quarters: families of near copies.
+A document's shingles are ordered by hash. If two sets are linked, each holds 75 % of the other, and their first P + l - 1
+shingles (P = n - ceil(0.75 n) + 1) have l in common. Shingles in more than HOT texts are costly candidates, so a document's
+prefix is lengthened until, with h costly shingles in it, l - h reaches MATCH: only the others are joined. A pair needs MATCH of
+them in common and, more sharply, as many as its overlap lacks when all that its prefixes don't show is taken as common. A
+document whose room for longer prefixes ends (many costly shingles) takes its whole set as its prefix; the rest are texts
+that consist of costly shingles for three quarters: families of near copies.
 
 Links are wanted for their components, so pairs inside a component are not all made: first each document is verified against
-a few pivots of the shingles it shares (pairs linear in rows), then only pairs whose components still differ. Texts with
-equal sets are one node throughout.
+the pivot it shares most with (pairs linear in rows), then only pairs whose components still differ. Texts with equal sets
+(128-bit hash) are one node throughout. Tables are written once and deleted when their reader is written.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import body, cut, keep_rows
+from scholia.llm.common import body, cut, forget, keep_rows
 from scholia.llm.components import connected_components
+from scholia.llm.shingles import lists, shingle_sets
 
-WORDS = 5
 #: A shingle in more texts than this is costly; the table of costly ones that tasks get is bounded, exactness doesn't hang on it.
 HOT = 50
 HOT_ROWS = 200_000
@@ -31,7 +31,6 @@ MATCH = 3
 PIVOTS = 3
 #: Key tables are broadcast up to this many rows (counted first) and joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def need(n):
@@ -39,169 +38,205 @@ def need(n):
     return (3 * n + 3) // 4
 
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted hashes of the distinct shingles: 5 words, or all words if they are fewer."""
-    words = text.encode().lower().split()  # both work on ASCII only
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    k = min(WORDS, len(h))
-    s = np.full(len(h) - k + 1, k, np.uint64)
-    for j in range(k):
-        s = (s ^ h[j : j + len(s)]) * _MIX
-        s ^= s >> np.uint64(29)
-    return np.unique(s)
+def wanted(n):
+    """Common shingles asked for, costly ones apart."""
+    return np.minimum(MATCH, need(n))
+
+
+def base_size(n):
+    """Length of the prefix of a set of n without costly shingles."""
+    return np.where(n > 0, n - need(n) + wanted(n), 0)
 
 
 def _prefix_rows(batches):
-    for pdf in batches:
-        sets = [shingles(t) for t in pdf["_text"]]
-        n = np.fromiter(map(len, sets), np.int64, len(sets))
-        stored = n - need(n) + 1 + n * 12 // 100 + 8
-        yield pd.DataFrame(
-            {
-                "doc_id": pdf["doc_id"],
-                "_th": pdf["_th"],
-                "_set": np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64),
-                "_n": n,
-                "_prefix": [s[:k].view(np.int64) for s, k in zip(sets, stored, strict=True)],
-            }
-        )
-
-
-def _set_rows(hot=None):
-    """Whole sets; with a broadcast array of costly shingles also the others and the number of costly ones."""
+    """doc_id, _th, _s (hash of the set), _n, _prefix of rows doc_id, _th, _text."""
+    for batch in batches:
+        for lo, hi, s, at in shingle_sets(batch.column(2)):
+            n = np.diff(at)
+            names = [xxhash.xxh3_128_digest(s[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            columns = [*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(names, pa.binary()), pa.array(n), lists(s, at[:-1], base_size(n))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_th", "_s", "_n", "_prefix"])
+
+
+def _set_rows(batches):
+    """_th, _all of rows _th, _text."""
+    for batch in batches:
+        for lo, hi, s, at in shingle_sets(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists(s, at[:-1], np.diff(at))], names=["_th", "_all"])
+
+
+def _costly(flat: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which of flat are in the sorted array hot."""
+    if not len(hot):
+        return np.zeros(len(flat), bool)
+    return hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat
+
+
+def _light_rows(hot, flagged: bool):
+    """Rows (node, n, prefix) whose prefix has no costly shingle, or keys (node) of the others."""
+
+    def run(batches):
+        for batch in batches:
+            prefix = batch.column(2)
+            touched = np.array([bool(_costly(np.asarray(x), hot.value).any()) for x in (y.values for y in prefix)], bool)
+            if flagged:
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(touched))], names=["_node"])
+            else:
+                yield batch.filter(pa.array(~touched))
+
+    return run
+
+
+def _longer_rows(hot):
+    """Rows (_th, _text) of documents with costly shingles to _th, _n, _light, _rest, _last, _tokens, _family.
+
+    Light: the shingles of the lengthened prefix but the costly ones; _rest: how many of the set those are not; _last: the
+    prefix's last hash. Others: all shingles but the costly ones, and the plain prefix for what may be a family.
+    """
 
     def run(batches):
-        for pdf in batches:
-            sets = [shingles(t) for t in pdf["_text"]]
-            out = {
-                "_set": np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64),
-                "_n": np.fromiter(map(len, sets), np.int64, len(sets)),
-                "_all": [s.view(np.int64) for s in sets],
-            }
-            if hot is not None:
-                out["_cold"] = [s[~np.isin(s, hot.value)] for s in out["_all"]]
-                out["_early"] = out["_n"] - np.fromiter(map(len, out["_cold"]), np.int64, len(sets))
-            yield pd.DataFrame(out)
+        for batch in batches:
+            for lo, hi, s, at in shingle_sets(batch.column(1)):
+                costly = _costly(s.view(np.int64), hot.value)
+                out = []
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    n = b - a
+                    p, own = n - need(n) + 1, s[a:b]
+                    room = min(n * 85 // 1000 + 6, need(n) - 1)
+                    matches = np.arange(1, room + 2) - np.cumsum(costly[a:b])[p - 1 : p + room] if n else np.zeros(0)
+                    k = int(np.argmax(matches >= wanted(n))) if n and (matches >= wanted(n)).any() else -1
+                    end = p + k if k >= 0 else n
+                    tokens = own[:end][~costly[a : a + end]]
+                    out.append((n, k >= 0, n - len(tokens), own[end - 1] >> np.uint64(1) if k >= 0 else np.uint64(0), tokens, own[: p if k < 0 else 0]))
+                n, light, rest, last, tokens, family = zip(*out, strict=True)
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(light), pa.array(rest, pa.int64()), pa.array(np.array(last, np.uint64).view(np.int64))]
+                columns += [pa.array([x.view(np.int64) for x in c], pa.list_(pa.int64())) for c in (tokens, family)]
+                yield pa.RecordBatch.from_arrays(columns, names=["_th", "_n", "_light", "_rest", "_last", "_tokens", "_family"])
 
     return run
 
 
 def narrow(df: DataFrame, keys: DataFrame, on, how: str = "left_semi") -> DataFrame:
-    """Join with a table of keys, by broadcast if its counted size allows."""
+    """Join with a written table of keys, by broadcast if its counted size allows."""
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
 
 
+def needed(n: Column) -> Column:
+    return F.floor((n * 3 + 3) / 4)
+
+
 class Join:
     def __init__(self, documents: DataFrame):
-        self.texts = documents.select("doc_id", body("text").alias("_text")).withColumn("_th", F.xxhash64("doc_id", "_text"))
+        self.texts = documents.select(F.xxhash64("doc_id", body("text")).alias("_th"), body("text").alias("_text"))
         kind = documents.schema["doc_id"].dataType.simpleString()
-        rows = self.texts.select("doc_id", "_text", "_th").mapInPandas(_prefix_rows, f"doc_id {kind}, _th long, _set long, _n long, _prefix array<long>")
-        self.docs = cut(rows.withColumn("_uid", F.monotonically_increasing_id()), "prefixes")
-
-    def sets_of(self, nodes: DataFrame, hot=None) -> DataFrame:
-        """Whole sets of nodes (_set), from their texts."""
-        one = self.docs.select("_set", "_th").join(nodes, "_set", "left_semi").groupBy("_set").agg(F.min("_th").alias("_th"))
-        own = narrow(self.texts, cut(one.select("_th"), "texts"), "_th")  # one document of each set, not all its copies
-        sets = own.select("_text").mapInPandas(_set_rows(hot), "_set long, _n long, _all array<long>" + ", _cold array<long>, _early long" * (hot is not None))
-        return cut(sets, "sets")
-
-    def prefixes(self) -> tuple[DataFrame, DataFrame]:
-        """Rows (_token, _set, _r, _free) of the lengthened prefixes; rows of the texts full of costly shingles."""
-        first = self.docs.groupBy("_set").agg(F.min("_uid").alias("_uid"), F.count(F.lit(1)).alias("_c"))
-        again = self.docs.select("_set", "_uid").join(first.filter("_c > 1").select("_set", F.col("_uid").alias("_f")), "_set").filter("_uid <> _f").select("_uid")
-        nodes = narrow(self.docs.filter("_n > 0"), cut(again, "copies"), "_uid", "left_anti")
-        n = F.col("_n")
-        nodes = nodes.select("_set", "_n", (n - F.floor((n * 3 + 3) / 4) + 1).cast("int").alias("_p"), F.least(F.floor(n * 85 / 1000) + 6, F.floor((n * 3 + 3) / 4) - 1).cast("int").alias("_room"), "_prefix")
-
-        counts = nodes.select(F.explode("_prefix").alias("_token")).groupBy("_token").agg(F.count(F.lit(1)).alias("_df"))
-        hot = cut(counts.filter(F.col("_df") > HOT).orderBy(F.desc("_df"), "_token").limit(HOT_ROWS).select("_token"), "costly")
-
-        at = nodes.select("_set", F.posexplode("_prefix").alias("_at", "_token"))
-        costly = at.join(F.broadcast(hot), "_token", "left_semi").groupBy("_set").agg(F.array_sort(F.collect_list("_at")).alias("_costly"))
-        # the shortest lengthening k = l - 1 for which l - h reaches the wanted matches; -1: none
-        wanted = F.least(F.lit(MATCH), F.floor((n * 3 + 3) / 4))
-        plan = nodes.join(costly, "_set", "left").withColumn("_costly", F.coalesce("_costly", F.array().cast("array<int>")))
-        fits = F.filter(
-            F.sequence(F.lit(0), F.greatest(F.col("_room"), F.lit(0))),
-            lambda k: k + 1 - F.size(F.filter("_costly", lambda c: c < F.col("_p") + k)) >= wanted,
-        )
-        plan = plan.withColumn("_k", F.when(F.size("_costly") == 0, F.least(wanted - 1, F.col("_room"))).otherwise(F.coalesce(F.get(fits, 0), F.lit(-1))))
-        plan = cut(plan.select("_set", "_n", F.col("_k").cast("int").alias("_k"), F.expr("slice(_prefix, 1, _p + cast(_k as int))").alias("_prefix"), wanted.cast("int").alias("_r")).filter("_k >= 0"), "plan")
-        light = plan.select("_set", "_r", F.explode("_prefix").alias("_token")).join(F.broadcast(hot), "_token", "left_anti").select("_token", "_set", "_r", F.lit(True).alias("_light"))
-
-        known = np.array([r["_token"] for r in hot.collect()], np.int64)  # HOT_ROWS at most
-        known = hot.sparkSession.sparkContext.broadcast(known)
-        heavy = self.sets_of(nodes.select("_set").join(plan.select("_set"), "_set", "left_anti"), known)
-        cold = heavy.select(F.explode("_cold").alias("_token"), "_set", F.lit(None).cast("int").alias("_r"), F.lit(False).alias("_light"))
-        rows = light.unionByName(cold).repartition("_token")  # counted and joined where it lies: one shuffle for both
-        dfs = rows.groupBy("_token").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
-        rows = cut(rows.join(dfs, "_token"), "rows")
+        rows = documents.select("doc_id", F.xxhash64("doc_id", body("text")).alias("_th"), body("text").alias("_text"))
+        rows = rows.mapInArrow(_prefix_rows, f"doc_id {kind}, _th long, _s binary, _n long, _prefix array<long>")
+        self.prefixes = cut(rows.withColumn("_uid", F.monotonically_increasing_id()), "prefixes")
+        rows = self.prefixes.drop("_prefix")
+        first = cut(rows.groupBy("_s").agg(F.min("_uid").alias("_first"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c"), "equal-sets")
+        rows = narrow(rows, first, "_s", "left").withColumn("node", F.coalesce("_first", "_uid"))
+        self.docs = cut(rows.select("doc_id", "_th", "_uid", "node", "_n"), "nodes")
+        forget(first)
+        self.nodes = self.docs.filter("_uid = node and _n > 0").select("node", "_th", "_n")
+
+    def tokens(self) -> tuple[DataFrame, DataFrame]:
+        """Rows (_token, node, _r, _light, _rest, _last, _df) of the lengthened prefixes; rows (_token, node, _rest, _last) of families."""
+        spark = self.docs.sparkSession
+        copies = cut(self.docs.filter("_uid <> node").select("_uid"), "copies")
+        base = narrow(self.prefixes.filter("_n > 0"), copies, "_uid", "left_anti").select(F.col("_uid").alias("_node"), "_n", "_prefix")
+        counts = base.select(F.explode("_prefix").alias("_token")).groupBy("_token").agg(F.count(F.lit(1)).alias("_df"))
+        hot = counts.filter(F.col("_df") > HOT).orderBy(F.desc("_df"), "_token").limit(HOT_ROWS).select("_token")
+        hot = spark.sparkContext.broadcast(np.sort(np.array([r["_token"] for r in hot.collect()], np.int64)))  # HOT_ROWS at most
+
+        flagged = base.mapInArrow(_light_rows(hot, True), "_node long")
+        flagged = cut(flagged.join(self.nodes.select(F.col("node").alias("_node"), "_th"), "_node"), "costly")
+        texts = narrow(self.texts, cut(flagged.select("_th"), "costly-texts"), "_th")
+        longer = texts.mapInArrow(_longer_rows(hot), "_th long, _n long, _light boolean, _rest long, _last long, _tokens array<long>, _family array<long>")
+        longer = cut(longer.dropDuplicates(["_th"]).join(flagged.select("_th", F.col("_node").alias("node")), "_th"), "longer")
+
+        n, least = F.col("_n"), F.least(F.lit(MATCH), needed(F.col("_n"))).cast("int")
+        last = F.shiftrightunsigned(F.element_at("_prefix", -1), 1)
+        light = base.mapInArrow(_light_rows(hot, False), "_node long, _n long, _prefix array<long>")
+        light = light.select(F.explode("_prefix").alias("_token"), F.col("_node").alias("node"), F.lit(True).alias("_light"))
+        light = light.unionByName(longer.select(F.explode("_tokens").alias("_token"), "node", "_light"))
+        dfs = light.groupBy("_token").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
+        rows = cut(light.join(dfs, "_token"), "shared")
 
         # costly shingles of the whole sets, with those that only the whole sets have made costly
-        late = rows.filter(~F.col("_light") & (F.col("_df") > HOT)).groupBy("_set").agg(F.count(F.lit(1)).alias("_late"))
-        slack = heavy.select("_set", "_n", "_early").join(late, "_set", "left")
-        slack = slack.select("_set", (F.floor((n * 3 + 3) / 4) - F.coalesce("_late", F.lit(0)) - F.col("_early")).cast("int").alias("_slack"))
-        slack = cut(slack, "slack")
-        rows = rows.join(slack, "_set", "left").withColumn("_r", F.coalesce("_r", F.least(F.lit(MATCH), F.greatest(F.lit(1), F.col("_slack"))))).drop("_slack")
-        full = heavy.join(slack.filter("_slack <= 0"), "_set", "left_semi")
-        family = full.select("_set", F.explode(F.slice("_all", 1, (n - F.floor((n * 3 + 3) / 4) + 1).cast("int"))).alias("_token"))
-        return cut(rows, "rows"), cut(family, "family")
+        late = rows.filter(~F.col("_light") & (F.col("_df") > HOT)).groupBy("node").agg(F.count(F.lit(1)).alias("_late"))
+        heavy = longer.filter("not _light").join(late, "node", "left").withColumn("_rest", F.col("_rest") + F.coalesce("_late", F.lit(0)))
+        slack = (needed(n) - F.col("_rest")).cast("int")
+        info = longer.filter("_light").select("node", least.alias("_r"), "_rest", "_last")
+        info = info.unionByName(heavy.select("node", F.least(F.lit(MATCH), F.greatest(F.lit(1), slack)).alias("_r"), "_rest", F.lit((1 << 63) - 1).alias("_last")))
+        plain = narrow(base, cut(longer.select(F.col("node").alias("_node")), "longer-nodes"), "_node", "left_anti")
+        info = info.unionByName(plain.select(F.col("_node").alias("node"), least.alias("_r"), (n - F.size("_prefix")).alias("_rest"), last.alias("_last")))
+        full = heavy.filter(slack <= 0)
+        family = full.select(F.explode("_family").alias("_token"), "node", F.lit(1).alias("_r"), (n - F.size("_family")).alias("_rest"), F.shiftrightunsigned(F.element_at("_family", -1), 1).alias("_last"))
+        out = cut(rows.join(info, "node"), "rows"), cut(family, "family")
+        forget(copies, flagged, longer, rows, self.prefixes)
+        return out
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes that are linked."""
-        n = self.docs.groupBy("_set").agg(F.max("_n").alias("_n"))
-        na, nb = (n.select(F.col("_set").alias(k), F.col("_n").alias(f"n{k}")) for k in "ab")
+        na, nb = (self.nodes.select(F.col("node").alias(k), F.col("_n").alias(f"n{k}"), F.col("_th").alias(f"th{k}")) for k in "ab")
         near = (F.col("na") * 4 >= F.col("nb") * 3) & (F.col("nb") * 4 >= F.col("na") * 3)
-        pairs = cut(pairs.select("a", "b").distinct().join(na, "a").join(nb, "b").filter(near), "pairs")
-        sets = self.sets_of(pairs.select(F.col("a").alias("_set")).union(pairs.select("b")).distinct())
-        x, y = (sets.select(F.col("_set").alias(k), F.col("_all").alias(f"all{k}")) for k in "ab")
-        both = F.size(F.array_intersect("alla", "allb"))
-        checked = pairs.join(x, "a").join(y, "b").withColumn("_i", both)
-        return cut(checked.filter(F.col("_i") * 100 >= (F.col("na") + F.col("nb") - F.col("_i")) * 75).select("a", "b").distinct(), "links")
-
-
-def _pivot_pairs(rows: DataFrame, matches: Column) -> DataFrame:
-    """Each node with some pivots of its shingles: the nodes with the smallest salted hashes."""
-    pivots = rows.groupBy("_token").agg(*[F.min_by("_set", F.xxhash64("_set", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
-    near = rows.join(pivots, "_token").select("_set", "_r", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("_pivot"))
-    near = near.filter("_set <> _pivot").groupBy("_set", "_pivot").agg(F.count(F.lit(1)).alias("_m"), F.min("_r").alias("_r")).filter(matches)
-    return near.select(F.least("_set", "_pivot").alias("a"), F.greatest("_set", "_pivot").alias("b"))
-
-
-def _crossing_pairs(rows: DataFrame, component: DataFrame, first: Column, matches: Column) -> DataFrame:
-    """Pairs of nodes of different components with a common shingle; `first` says which rows pair with all others."""
-    rows = rows.join(component.select(F.col("node").alias("_set"), "component"), "_set", "left").withColumn("component", F.coalesce("component", "_set"))
+        if "_m" in pairs.columns:  # all common shingles outside of the rest were counted
+            near &= (F.col("_m") + F.col("_rest")) * 175 >= (F.col("na") + F.col("nb")) * 75
+        pairs = cut(pairs.join(na, "a").join(nb, "b").filter(near).select("a", "b", "na", "nb", "tha", "thb"), "pairs")
+        keys = cut(pairs.select(F.col("tha").alias("_th")).union(pairs.select("thb")).distinct(), "texts")
+        sets = narrow(self.texts, keys, "_th").mapInArrow(_set_rows, "_th long, _all array<long>")
+        sets = cut(sets.dropDuplicates(["_th"]), "sets")
+        x, y = (sets.select(F.col("_th").alias(f"th{k}"), F.col("_all").alias(f"all{k}")) for k in "ab")
+        checked = pairs.join(x, "tha").join(y, "thb").withColumn("_i", F.size(F.array_intersect("alla", "allb")))
+        links = cut(checked.filter(F.col("_i") * 100 >= (F.col("na") + F.col("nb") - F.col("_i")) * 75).select("a", "b"), "links")
+        forget(pairs, keys, sets)
+        return links
+
+
+def _pivot_pairs(rows: DataFrame) -> DataFrame:
+    """Each node with the pivot that it shares most shingles with; pivots of a shingle: nodes with the smallest salted hashes."""
+    pivots = rows.groupBy("_token").agg(*[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
+    near = rows.join(pivots, "_token").select("node", "_r", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("_pivot"))
+    near = near.filter("node <> _pivot").groupBy("node", "_pivot").agg(F.count(F.lit(1)).alias("_m"), F.min("_r").alias("_r")).filter("_m >= _r")
+    near = near.groupBy("node").agg(F.max_by("_pivot", F.struct("_m", F.xxhash64("_pivot"))).alias("_pivot"))
+    return near.select(F.least("node", "_pivot").alias("a"), F.greatest("node", "_pivot").alias("b")).distinct()
+
+
+def _crossing_pairs(rows: DataFrame, component: DataFrame, first: Column) -> DataFrame:
+    """Pairs of nodes of different components with enough common shingles; `first` says which rows pair with all others."""
+    rows = rows.join(component.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rows.groupBy("_token").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.mode("component", True).alias("_most")).filter("l <> h")
     rows = rows.join(mixed.select("_token", "_most"), "_token")
-    x = rows.filter(first).select("_token", F.col("_set").alias("x"), F.col("component").alias("cx"), F.col("_r").alias("rx"))
-    y = rows.select("_token", F.col("_set").alias("y"), F.col("component").alias("cy"), F.col("_r").alias("ry"), first.alias("fy"))
+    side = lambda k: [F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.struct("_last", "_rest").alias(f"s{k}"), F.col("_r").alias(f"r{k}")]
+    x = rows.filter(first).select("_token", *side("x"))
+    y = rows.select("_token", *side("y"), first.alias("fy"))
     # if both are first, the pair is met twice and counted from the smaller node
     pairs = x.join(y, "_token").filter((F.col("cx") != F.col("cy")) & (~F.col("fy") | (F.col("x") < F.col("y"))))
-    pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("_m"), F.min(F.least("rx", "ry")).alias("_r"))
-    return pairs.filter(matches).select("a", "b")
+    # what the prefix that ends first doesn't show; if ends are equal, the larger rest
+    low = F.when(F.col("sx._last") == F.col("sy._last"), F.greatest("sx._rest", "sy._rest")).otherwise(F.least("sx", "sy")["_rest"])
+    pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = pairs.agg(F.count(F.lit(1)).alias("_m"), F.min(F.least("rx", "ry")).alias("_r"), F.min(low).alias("_rest"))
+    return pairs.filter("_m >= _r").select("a", "b", "_m", "_rest")
 
 
 def _components(documents: DataFrame) -> DataFrame:
     """doc_id, _th, n_shingles, component of each row."""
     join = Join(documents)
-    rows, family = join.prefixes()
-    family = family.withColumn("_r", F.lit(1))
-    enough = F.col("_m") >= F.col("_r")
-    links = join.verified(_pivot_pairs(rows, enough).unionByName(_pivot_pairs(family, enough)))
+    rows, family = join.tokens()
+    links = join.verified(_pivot_pairs(rows).unionByName(_pivot_pairs(family)).distinct())
     component = connected_components(links)
     light, common = F.col("_light"), F.col("_df") > HOT
     # of a shingle that only whole sets have made costly, pairs of whole sets aren't needed
-    crossing = _crossing_pairs(rows, component, light | ~common, enough)
+    crossing = _crossing_pairs(rows, component, light | ~common)
     # of a family, what the pivots have joined meets only what they have not
-    crossing = crossing.unionByName(_crossing_pairs(family, component, F.col("component") != F.col("_most"), enough))
-    links = links.unionByName(join.verified(crossing))
-    component = connected_components(links)
-
-    docs = join.docs.select("doc_id", "_th", "_set", F.col("_n").alias("n_shingles"))
-    docs = docs.join(component.select(F.col("node").alias("_set"), "component"), "_set", "left")
-    return docs.withColumn("component", F.coalesce("component", "_set")).drop("_set")
+    crossing = crossing.unionByName(_crossing_pairs(family, component, F.col("component") != F.col("_most")))
+    more = join.verified(crossing)
+    forget(component, rows, family)
+    component = connected_components(links.unionByName(more))
+    forget(links, more)
+
+    docs = join.docs.select("doc_id", "_th", "node", F.col("_n").alias("n_shingles"))
+    return docs.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
 
 
 def jaccard_components(documents: DataFrame) -> DataFrame:
