@@ -5,11 +5,14 @@ shingles (P = n - ceil(0.75 n) + 1) have l in common. Shingles in more than HOT
 prefix is lengthened until, with h costly shingles in it, l - h reaches MATCH: only the others are joined. A pair needs MATCH of
 them in common and, more sharply, as many as its overlap lacks when all that its prefixes don't show is taken as common. A
 document whose room for longer prefixes ends (many costly shingles) takes its whole set as its prefix; the rest are texts
-that consist of costly shingles for three quarters: families of near copies.
+that consist of costly shingles for three quarters: families of near copies. With costly shingles last in their order, what a
+family's pairs must share lies in the few first costly ones: a set with c of them gives the first c - ceil(0.75 n) + 1.
 
 Links are wanted for their components, so pairs inside a component are not all made: first each document is verified against
-the pivot it shares most with (pairs linear in rows), then only pairs whose components still differ. Texts with equal sets
-(128-bit hash) are one node throughout. Tables are written once and deleted when their reader is written.
+the pivot it shares most with (pairs linear in rows), then only pairs whose components still differ. Of a family, the pivots are
+the documents with the largest share of shingles that others have, and pairs whose shingles found nowhere else already rule
+a link out aren't made. Texts with equal sets (128-bit hash) are one node throughout. Tables are written once and deleted
+when their reader is written.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ MATCH = 3
 PIVOTS = 3
 #: Key tables are broadcast up to this many rows (counted first) and joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
+#: So are the sets of candidates up to this many shingles.
+BROADCAST_SHINGLES = 2_000_000
 
 
 def need(n):
@@ -91,7 +96,7 @@ def _longer_rows(hot):
     """Rows (_th, _text) of documents with costly shingles to _th, _n, _light, _rest, _last, _tokens, _family.
 
     Light: the shingles of the lengthened prefix but the costly ones; _rest: how many of the set those are not; _last: the
-    prefix's last hash. Others: all shingles but the costly ones, and the plain prefix for what may be a family.
+    prefix's last hash. Others: all shingles but the costly ones, and the costly ones that a family's prefix has.
     """
 
     def run(batches):
@@ -107,9 +112,12 @@ def _longer_rows(hot):
                     k = int(np.argmax(matches >= wanted(n))) if n and (matches >= wanted(n)).any() else -1
                     end = p + k if k >= 0 else n
                     tokens = own[:end][~costly[a : a + end]]
-                    out.append((n, k >= 0, n - len(tokens), own[end - 1] >> np.uint64(1) if k >= 0 else np.uint64(0), tokens, own[: p if k < 0 else 0]))
+                    family = own[costly[a:b]] if k < 0 else own[:0]
+                    family = family[: max(0, len(family) - need(n) + 1)]
+                    ends = own[end - 1 : end] if k >= 0 else family[-1:]
+                    out.append((n, k >= 0, n - len(tokens), int(ends[0]) >> 1 if len(ends) else 0, tokens, family))
                 n, light, rest, last, tokens, family = zip(*out, strict=True)
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(light), pa.array(rest, pa.int64()), pa.array(np.array(last, np.uint64).view(np.int64))]
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(light), pa.array(rest, pa.int64()), pa.array(last, pa.int64())]
                 columns += [pa.array([x.view(np.int64) for x in c], pa.list_(pa.int64())) for c in (tokens, family)]
                 yield pa.RecordBatch.from_arrays(columns, names=["_th", "_n", "_light", "_rest", "_last", "_tokens", "_family"])
 
@@ -121,6 +129,12 @@ def narrow(df: DataFrame, keys: DataFrame, on, how: str = "left_semi") -> DataFr
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
 
 
+def _most_common(counts: DataFrame) -> np.ndarray:
+    """Sorted shingles in more than HOT texts, the HOT_ROWS most frequent at most."""
+    rows = counts.filter(F.col("_df") > HOT).orderBy(F.desc("_df"), "_token").limit(HOT_ROWS).select("_token")
+    return np.sort(np.array([r["_token"] for r in rows.collect()], np.int64))
+
+
 def needed(n: Column) -> Column:
     return F.floor((n * 3 + 3) / 4)
 
@@ -145,14 +159,12 @@ class Join:
         copies = cut(self.docs.filter("_uid <> node").select("_uid"), "copies")
         base = narrow(self.prefixes.filter("_n > 0"), copies, "_uid", "left_anti").select(F.col("_uid").alias("_node"), "_n", "_prefix")
         counts = base.select(F.explode("_prefix").alias("_token")).groupBy("_token").agg(F.count(F.lit(1)).alias("_df"))
-        hot = counts.filter(F.col("_df") > HOT).orderBy(F.desc("_df"), "_token").limit(HOT_ROWS).select("_token")
-        hot = spark.sparkContext.broadcast(np.sort(np.array([r["_token"] for r in hot.collect()], np.int64)))  # HOT_ROWS at most
-
-        flagged = base.mapInArrow(_light_rows(hot, True), "_node long")
-        flagged = cut(flagged.join(self.nodes.select(F.col("node").alias("_node"), "_th"), "_node"), "costly")
-        texts = narrow(self.texts, cut(flagged.select("_th"), "costly-texts"), "_th")
-        longer = texts.mapInArrow(_longer_rows(hot), "_th long, _n long, _light boolean, _rest long, _last long, _tokens array<long>, _family array<long>")
-        longer = cut(longer.dropDuplicates(["_th"]).join(flagged.select("_th", F.col("_node").alias("node")), "_th"), "longer")
+        hot, flagged, longer = self.lengthened(base, _most_common(counts))
+        # costly shingles that only longer prefixes and whole sets show
+        late = _most_common(longer.select(F.explode("_tokens").alias("_token")).groupBy("_token").agg(F.count(F.lit(1)).alias("_df")))
+        if len(late):
+            forget(flagged, longer)
+            hot, flagged, longer = self.lengthened(base, np.union1d(hot.value, late))
 
         n, least = F.col("_n"), F.least(F.lit(MATCH), needed(F.col("_n"))).cast("int")
         last = F.shiftrightunsigned(F.element_at("_prefix", -1), 1)
@@ -162,20 +174,36 @@ class Join:
         dfs = light.groupBy("_token").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
         rows = cut(light.join(dfs, "_token"), "shared")
 
-        # costly shingles of the whole sets, with those that only the whole sets have made costly
-        late = rows.filter(~F.col("_light") & (F.col("_df") > HOT)).groupBy("node").agg(F.count(F.lit(1)).alias("_late"))
-        heavy = longer.filter("not _light").join(late, "node", "left").withColumn("_rest", F.col("_rest") + F.coalesce("_late", F.lit(0)))
+        # costly shingles of the whole sets, with those that only the whole sets have made costly; shingles that nothing shares
+        seen = rows.filter(~F.col("_light")).groupBy("node").agg(F.count_if(F.col("_df") > HOT).alias("_late"), F.count(F.lit(1)).alias("_seen"))
+        heavy = longer.filter("not _light").join(seen, "node", "left").withColumn("_rest", F.col("_rest") + F.coalesce("_late", F.lit(0)))
         slack = (needed(n) - F.col("_rest")).cast("int")
-        info = longer.filter("_light").select("node", least.alias("_r"), "_rest", "_last")
-        info = info.unionByName(heavy.select("node", F.least(F.lit(MATCH), F.greatest(F.lit(1), slack)).alias("_r"), "_rest", F.lit((1 << 63) - 1).alias("_last")))
+        info = longer.filter("_light").select("node", "_n", least.alias("_r"), "_rest", "_last")
+        info = info.unionByName(heavy.select("node", "_n", F.least(F.lit(MATCH), F.greatest(F.lit(1), slack)).alias("_r"), "_rest", F.lit((1 << 63) - 1).alias("_last")))
         plain = narrow(base, cut(longer.select(F.col("node").alias("_node")), "longer-nodes"), "_node", "left_anti")
-        info = info.unionByName(plain.select(F.col("_node").alias("node"), least.alias("_r"), (n - F.size("_prefix")).alias("_rest"), last.alias("_last")))
+        info = info.unionByName(plain.select(F.col("_node").alias("node"), "_n", least.alias("_r"), (n - F.size("_prefix")).alias("_rest"), last.alias("_last")))
         full = heavy.filter(slack <= 0)
-        family = full.select(F.explode("_family").alias("_token"), "node", F.lit(1).alias("_r"), (n - F.size("_family")).alias("_rest"), F.shiftrightunsigned(F.element_at("_family", -1), 1).alias("_last"))
-        out = cut(rows.join(info, "node"), "rows"), cut(family, "family")
+        common = n - F.size("_tokens") + F.coalesce("_seen", F.lit(0))  # of its shingles, those that another whole set may have
+        size = F.size("_family") + F.coalesce("_late", F.lit(0))
+        full = full.select("node", "_n", F.lit(1).alias("_r"), (common - size).alias("_rest"), "_last", common.alias("_common"), "_family")
+        late = rows.filter(~F.col("_light") & (F.col("_df") > HOT)).select("_token", "node")
+        family = full.select(F.explode("_family").alias("_token"), *[c for c in full.columns if c != "_family"]).unionByName(late.join(full.drop("_family"), "node"))
+        rows_of = rows.join(info, "node").withColumn("_common", n)
+        out = cut(rows_of, "rows"), cut(family, "family")
         forget(copies, flagged, longer, rows, self.prefixes)
         return out
 
+    def lengthened(self, base: DataFrame, costly: np.ndarray):
+        """Broadcast costly shingles; _th, node of the nodes with one in their prefix; what _longer_rows() makes of them."""
+        hot = base.sparkSession.sparkContext.broadcast(costly)
+        flagged = base.mapInArrow(_light_rows(hot, True), "_node long")
+        flagged = cut(flagged.join(self.nodes.select(F.col("node").alias("_node"), "_th"), "_node"), "costly")
+        keys = cut(flagged.select("_th"), "costly-texts")
+        longer = narrow(self.texts, keys, "_th").mapInArrow(_longer_rows(hot), "_th long, _n long, _light boolean, _rest long, _last long, _tokens array<long>, _family array<long>")
+        longer = cut(longer.dropDuplicates(["_th"]).join(flagged.select("_th", F.col("_node").alias("node")), "_th"), "longer")
+        forget(keys)
+        return hot, flagged, longer
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes that are linked."""
         na, nb = (self.nodes.select(F.col("node").alias(k), F.col("_n").alias(f"n{k}"), F.col("_th").alias(f"th{k}")) for k in "ab")
@@ -186,7 +214,9 @@ class Join:
         keys = cut(pairs.select(F.col("tha").alias("_th")).union(pairs.select("thb")).distinct(), "texts")
         sets = narrow(self.texts, keys, "_th").mapInArrow(_set_rows, "_th long, _all array<long>")
         sets = cut(sets.dropDuplicates(["_th"]), "sets")
+        few = (sets.agg(F.sum(F.size("_all"))).first()[0] or 0) <= BROADCAST_SHINGLES
         x, y = (sets.select(F.col("_th").alias(f"th{k}"), F.col("_all").alias(f"all{k}")) for k in "ab")
+        x, y = (F.broadcast(x), F.broadcast(y)) if few else (x, y)
         checked = pairs.join(x, "tha").join(y, "thb").withColumn("_i", F.size(F.array_intersect("alla", "allb")))
         links = cut(checked.filter(F.col("_i") * 100 >= (F.col("na") + F.col("nb") - F.col("_i")) * 75).select("a", "b"), "links")
         forget(pairs, keys, sets)
@@ -194,8 +224,10 @@ class Join:
 
 
 def _pivot_pairs(rows: DataFrame) -> DataFrame:
-    """Each node with the pivot that it shares most shingles with; pivots of a shingle: nodes with the smallest salted hashes."""
-    pivots = rows.groupBy("_token").agg(*[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
+    """Each node with the pivot that it shares most shingles with; pivots of a shingle: the nodes with the largest share of
+    common shingles, equal shares by salted hashes."""
+    share = F.col("_common") / F.col("_n")
+    pivots = rows.groupBy("_token").agg(*[F.max_by("node", F.struct(share, F.xxhash64("node", F.lit(i)))).alias(f"p{i}") for i in range(PIVOTS)])
     near = rows.join(pivots, "_token").select("node", "_r", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("_pivot"))
     near = near.filter("node <> _pivot").groupBy("node", "_pivot").agg(F.count(F.lit(1)).alias("_m"), F.min("_r").alias("_r")).filter("_m >= _r")
     near = near.groupBy("node").agg(F.max_by("_pivot", F.struct("_m", F.xxhash64("_pivot"))).alias("_pivot"))
@@ -207,11 +239,12 @@ def _crossing_pairs(rows: DataFrame, component: DataFrame, first: Column) -> Dat
     rows = rows.join(component.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rows.groupBy("_token").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.mode("component", True).alias("_most")).filter("l <> h")
     rows = rows.join(mixed.select("_token", "_most"), "_token")
-    side = lambda k: [F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.struct("_last", "_rest").alias(f"s{k}"), F.col("_r").alias(f"r{k}")]
+    side = lambda k: [F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.struct("_last", "_rest").alias(f"s{k}"), F.col("_r").alias(f"r{k}"), F.col("_n").alias(f"n{k}"), F.col("_common").alias(f"m{k}")]
     x = rows.filter(first).select("_token", *side("x"))
     y = rows.select("_token", *side("y"), first.alias("fy"))
     # if both are first, the pair is met twice and counted from the smaller node
-    pairs = x.join(y, "_token").filter((F.col("cx") != F.col("cy")) & (~F.col("fy") | (F.col("x") < F.col("y"))))
+    possible = F.least("mx", "my") * 175 >= (F.col("nx") + F.col("ny")) * 75
+    pairs = x.join(y, "_token").filter(possible & (F.col("cx") != F.col("cy")) & (~F.col("fy") | (F.col("x") < F.col("y"))))
     # what the prefix that ends first doesn't show; if ends are equal, the larger rest
     low = F.when(F.col("sx._last") == F.col("sy._last"), F.greatest("sx._rest", "sy._rest")).otherwise(F.least("sx", "sy")["_rest"])
     pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
