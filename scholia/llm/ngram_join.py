@@ -10,8 +10,7 @@ family's pairs must share lies in the few first costly ones: a set with c of the
 
 Links are wanted for their components, so pairs inside a component are not all made: first each document is verified against
 the pivot it shares most with (pairs linear in rows), then only pairs whose components still differ. Of a family, the pivots are
-the documents with the largest share of shingles that others have, and pairs whose shingles found nowhere else already rule
-a link out aren't made. Texts with equal sets (128-bit hash) are one node throughout. Tables are written once and deleted
+the documents with the largest share of costly shingles, and pairs that too few of these rule out aren't made. Texts with equal sets (128-bit hash) are one node throughout. Tables are written once and deleted
 when their reader is written.
 """
 
@@ -174,8 +173,8 @@ class Join:
         dfs = light.groupBy("_token").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
         rows = cut(light.join(dfs, "_token"), "shared")
 
-        # costly shingles of the whole sets, with those that only the whole sets have made costly; shingles that nothing shares
-        seen = rows.filter(~F.col("_light")).groupBy("node").agg(F.count_if(F.col("_df") > HOT).alias("_late"), F.count(F.lit(1)).alias("_seen"))
+        # costly shingles of the whole sets, with those that only the whole sets have made costly
+        seen = rows.filter(~F.col("_light")).groupBy("node").agg(F.count_if(F.col("_df") > HOT).alias("_late"))
         heavy = longer.filter("not _light").join(seen, "node", "left").withColumn("_rest", F.col("_rest") + F.coalesce("_late", F.lit(0)))
         slack = (needed(n) - F.col("_rest")).cast("int")
         info = longer.filter("_light").select("node", "_n", least.alias("_r"), "_rest", "_last")
@@ -183,7 +182,7 @@ class Join:
         plain = narrow(base, cut(longer.select(F.col("node").alias("_node")), "longer-nodes"), "_node", "left_anti")
         info = info.unionByName(plain.select(F.col("_node").alias("node"), "_n", least.alias("_r"), (n - F.size("_prefix")).alias("_rest"), last.alias("_last")))
         full = heavy.filter(slack <= 0)
-        common = n - F.size("_tokens") + F.coalesce("_seen", F.lit(0))  # of its shingles, those that another whole set may have
+        common = F.col("_rest")  # pairs that have other shingles in common as well are met by those
         size = F.size("_family") + F.coalesce("_late", F.lit(0))
         full = full.select("node", "_n", F.lit(1).alias("_r"), (common - size).alias("_rest"), "_last", common.alias("_common"), "_family")
         late = rows.filter(~F.col("_light") & (F.col("_df") > HOT)).select("_token", "node")
@@ -208,8 +207,6 @@ class Join:
         """The pairs (a, b) of nodes that are linked."""
         na, nb = (self.nodes.select(F.col("node").alias(k), F.col("_n").alias(f"n{k}"), F.col("_th").alias(f"th{k}")) for k in "ab")
         near = (F.col("na") * 4 >= F.col("nb") * 3) & (F.col("nb") * 4 >= F.col("na") * 3)
-        if "_m" in pairs.columns:  # all common shingles outside of the rest were counted
-            near &= (F.col("_m") + F.col("_rest")) * 175 >= (F.col("na") + F.col("nb")) * 75
         pairs = cut(pairs.join(na, "a").join(nb, "b").filter(near).select("a", "b", "na", "nb", "tha", "thb"), "pairs")
         keys = cut(pairs.select(F.col("tha").alias("_th")).union(pairs.select("thb")).distinct(), "texts")
         sets = narrow(self.texts, keys, "_th").mapInArrow(_set_rows, "_th long, _all array<long>")
@@ -248,8 +245,9 @@ def _crossing_pairs(rows: DataFrame, component: DataFrame, first: Column) -> Dat
     # what the prefix that ends first doesn't show; if ends are equal, the larger rest
     low = F.when(F.col("sx._last") == F.col("sy._last"), F.greatest("sx._rest", "sy._rest")).otherwise(F.least("sx", "sy")["_rest"])
     pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = pairs.agg(F.count(F.lit(1)).alias("_m"), F.min(F.least("rx", "ry")).alias("_r"), F.min(low).alias("_rest"))
-    return pairs.filter("_m >= _r").select("a", "b", "_m", "_rest")
+    pairs = pairs.agg(F.count(F.lit(1)).alias("_m"), F.min(F.least("rx", "ry")).alias("_r"), F.min(low).alias("_rest"), F.min(F.col("nx") + F.col("ny")).alias("_size"))
+    # all common shingles outside of the rest were counted
+    return pairs.filter((F.col("_m") >= F.col("_r")) & ((F.col("_m") + F.col("_rest")) * 175 >= F.col("_size") * 75)).select("a", "b")
 
 
 def _components(documents: DataFrame) -> DataFrame:
@@ -262,7 +260,7 @@ def _components(documents: DataFrame) -> DataFrame:
     # of a shingle that only whole sets have made costly, pairs of whole sets aren't needed
     crossing = _crossing_pairs(rows, component, light | ~common)
     # of a family, what the pivots have joined meets only what they have not
-    crossing = crossing.unionByName(_crossing_pairs(family, component, F.col("component") != F.col("_most")))
+    crossing = crossing.unionByName(_crossing_pairs(family, component, F.col("component") != F.col("_most"))).distinct()
     more = join.verified(crossing)
     forget(component, rows, family)
     component = connected_components(links.unionByName(more))
