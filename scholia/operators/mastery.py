@@ -75,9 +75,11 @@ def chapter_mastery(attempts: DataFrame) -> DataFrame:
     return g.withColumn("mastery_level", mastery_level(F.col("avg_fuzzy_score"), F.col("correct_attempts") / F.col("total_attempts")))
 
 
-def heatmap(mastery: DataFrame, student: str, course: str) -> DataFrame:
-    """Chapters of a student's course, in string order of the chapter id."""
-    return mastery.filter((F.col("student_id") == student) & (F.col("course_id") == course)).orderBy("chapter_id")
+def heatmap(mastery: DataFrame, student: str | None = None, course: str | None = None) -> DataFrame:
+    """Chapters of each student's courses, or of those named, in string order of the chapter id."""
+    for column, wanted in (("student_id", student), ("course_id", course)):
+        mastery = mastery if wanted is None else mastery.filter(F.col(column) == wanted)
+    return mastery.orderBy("student_id", "course_id", "chapter_id")
 
 
 def attempts_rollup(attempts: DataFrame) -> DataFrame:

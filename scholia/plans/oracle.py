@@ -60,7 +60,7 @@ SELECT student_id, course_id, chapter_id, s.n AS total_attempts, s.c AS correct_
 MASTERY = f"""{GRADED}, m AS (SELECT student_id, course_id, chapter_id, count(*) AS total_attempts, CAST(sum(is_correct) AS BIGINT) AS correct_attempts, {MEAN} AS avg_fuzzy_score FROM graded GROUP BY ALL),
 mastery AS (SELECT *, {LEVEL.format(m='avg_fuzzy_score', c='correct_attempts', n='total_attempts')} AS mastery_level FROM m)"""
 SQL["agg2b_chapter_mastery"] = f"{MASTERY} SELECT * FROM mastery"
-SQL["agg3_heatmap"] = f"{MASTERY} SELECT * FROM mastery WHERE student_id = 's1' AND course_id = 'course_1' ORDER BY chapter_id"
+SQL["agg3_heatmap"] = f"{MASTERY} SELECT * FROM mastery"
 SQL["agg_rollup_attempts"] = f"""WITH {ATTEMPTS} SELECT student_id, course_id, chapter_id, count(*) AS n, CAST(sum(is_correct) AS BIGINT) AS correct,
   CAST(grouping_id(student_id, course_id, chapter_id) AS BIGINT) AS level FROM attempts GROUP BY ROLLUP (student_id, course_id, chapter_id)"""
 
@@ -179,7 +179,7 @@ SQL["ret3_dense_top"] = f"{DENSE} SELECT * FROM dense WHERE rank <= 8"
 DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST({a}.embedding[i] AS DOUBLE) * CAST({b}.embedding[i] AS DOUBLE)))"
 SQL["ret3b_dense_same_label"] = f"""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {r('1 - ' + DOT.format(a='a', b='b') + ' / sqrt(' + DOT.format(a='a', b='a') + ') / sqrt(' + DOT.format(a='b', b='b') + ')', 6)} + 0 AS distance
   FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0), e AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS INT) AS rank FROM d) SELECT * FROM e WHERE rank <= 8"""
-SQL["ret5_hybrid"] = f"""{DENSE}, c AS (SELECT query_id, d.doc_id, rank, substr(x.text, 1, 2000) AS text, substr(y.text, 1, 100) AS asked FROM dense d JOIN documents x ON x.doc_id = d.doc_id JOIN documents y ON y.doc_id = d.query_id WHERE rank <= 8),
+SQL["ret5_hybrid"] = f"""{DENSE}, c AS (SELECT query_id, d.doc_id, rank, x.text AS text, y.text AS asked FROM dense d JOIN documents x ON x.doc_id = d.doc_id JOIN documents y ON y.doc_id = d.query_id WHERE rank <= 8),
 qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT DISTINCT query_id, asked FROM c), unnest({SPLIT.format(c='asked')}) AS u(term) GROUP BY ALL),
 tf AS (SELECT query_id, doc_id, term, count(*) AS tf FROM c, unnest({SPLIT.format(c='text')}) AS u(term) GROUP BY ALL), dl AS (SELECT query_id, doc_id, len({SPLIT.format(c='text')}) AS dl FROM c),
 k AS (SELECT query_id, count(*) AS n, avg(dl) AS mean FROM dl GROUP BY query_id), df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
@@ -187,7 +187,7 @@ s AS (SELECT query_id, doc_id, {r('sum(times * ln((n - df + 0.5::DOUBLE) / (df +
   FROM qt JOIN tf USING (query_id, term) JOIN df USING (query_id, term) JOIN dl USING (query_id, doc_id) JOIN k USING (query_id) GROUP BY ALL),
 m AS (SELECT c.query_id, c.doc_id, rank AS dense_rank, CAST(row_number() OVER (PARTITION BY c.query_id ORDER BY coalesce(bm25, 0) DESC, rank) AS INT) AS bm25_rank FROM c LEFT JOIN s USING (query_id, doc_id)),
 f AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {r('1 / (60 + dense_rank)::DOUBLE + 1 / (60 + bm25_rank)::DOUBLE', 12)} DESC, dense_rank) AS INT) AS fused_rank FROM m) SELECT * FROM f WHERE fused_rank <= 4"""
-SQL["ret6_prompt_contexts"] = f"""{DENSE} SELECT query_id, count(text) AS excerpts, md5(coalesce(string_agg(substr(text, 1, 200), chr(10) || '---' || chr(10) ORDER BY rank), 'No specific textbook excerpt retrieved.')) AS context
+SQL["ret6_prompt_contexts"] = f"""{DENSE} SELECT query_id, count(text) AS excerpts, md5(coalesce(string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank), 'No specific textbook excerpt retrieved.')) AS context
   FROM dense LEFT JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY query_id"""
 TURNS = f"""{DIALOGUES}, k AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM dialogues),
 v AS (SELECT conv_id, topic, turn, {STRIP.format(c='text')} AS text, CASE WHEN role = 'Teacher' THEN 'assistant' ELSE 'user' END AS role FROM k WHERE n >= 4 AND i <= 6),
@@ -208,7 +208,7 @@ CHAPS = """chaps AS (SELECT source AS course_id, row_number() OVER (PARTITION BY
 SQL["agg5_course_rollups"] = f"""WITH {CHAPS} SELECT course_id, count(*) AS chapters, CAST(sum(1 + doc_id % 6) AS BIGINT) AS sections, count(DISTINCT unit_index) AS units, CAST(sum(doc_id % 4) AS BIGINT) AS cards,
   array_to_string(list_sort(list_distinct(list(unit_index))), ',') AS unit_list FROM chapters GROUP BY course_id"""
 SQL["agg6_coverage"] = f"""WITH {CHAPS} SELECT course_id, count(*) FILTER (WHERE doc_id % 3 = 0) AS enriched, count(*) AS total, count(*) FILTER (WHERE doc_id % 3 <> 0) AS pending, count(*) FILTER (WHERE doc_id % 3 <> 0) = 0 AS complete FROM chapters GROUP BY course_id"""
-SQL["cat4_pending_chapters"] = f"WITH {CHAPS} SELECT course_id, 'c' || doc_id AS chapter_id FROM chapters WHERE chapter_index <= 10 AND doc_id % 3 <> 0"
+SQL["cat4_pending_chapters"] = f"WITH {CHAPS} SELECT course_id, 'c' || doc_id AS chapter_id FROM chapters WHERE doc_id % 3 <> 0"
 SQL["cat6_chapters_by_unit"] = f"""WITH {CHAPS}, n AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'Own unit' WHEN unit_index % 2 = 0 THEN 'Declared ' || unit_index ELSE 'Unit ' || unit_index END AS unit FROM chapters)
 SELECT course_id, unit, string_agg('c' || doc_id, ',' ORDER BY chapter_index) AS chapters FROM n GROUP BY course_id, unit_index, unit"""
 SQL["agg10_document_sizes"] = f"SELECT source, CAST(sum(len({SPLIT.format(c='text')})) AS BIGINT) AS words, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source"

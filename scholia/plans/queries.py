@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scholia.functions import predicates as P
@@ -57,7 +56,7 @@ def agg2b_chapter_mastery(s, d):
 
 @query
 def agg3_heatmap(s, d):
-    return M.heatmap(M.chapter_mastery(_graded(s, d)).drop("last_updated"), "s1", "course_1")
+    return M.heatmap(M.chapter_mastery(_graded(s, d)).drop("last_updated"))
 
 
 @query
@@ -169,7 +168,7 @@ def flt_line_predicates(s, d):
 
 @query
 def flt11_safe_hints(s, d):
-    b = V.read(s, d, "benchmark").select("item_id", F.substring_index("text", " ", 2).alias("answer"), F.substring("text", 1, 60).alias("rest"))
+    b = V.read(s, d, "benchmark").select("item_id", F.substring_index("text", " ", 2).alias("answer"), F.col("text").alias("rest"))
     hint = F.concat(F.lit("Look again. The final answer is '"), "answer", F.lit("'. So x = "), "answer", F.lit(" and "), "rest")
     return b.select("item_id", P.without_answer(hint, F.col("answer")).alias("hint"))
 
@@ -187,7 +186,7 @@ def str3_body_lines(s, d):
 
 @query
 def str7_heading_candidates(s, d):
-    return U.heading_candidates(V.book_lines(s, d)).filter("kind = 'chapter_digits'").select("book_id", "kind", "pos", "number", "title")
+    return U.heading_candidates(V.book_lines(s, d)).select("book_id", "kind", "pos", "number", "title")
 
 
 @query
@@ -205,13 +204,13 @@ def str20_chapters(s, d):
 
 @query
 def str23_sections(s, d):
-    lines = V.book_lines(s, d).persist()
+    lines = V.book_lines(s, d)
     return U.sections(lines, U.chapters(lines)).select("book_id", "chapter_id", "section", "lines", F.md5("content").alias("content"))
 
 
 def _outline(s, d):
     """Pages of a source's documents; a chapter every five pages, a section on every page."""
-    p = V.read(s, d, "documents").select(F.col("source").alias("book_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page_index"), "text")
+    p = V.numbered(V.read(s, d, "documents")).select(F.col("source").alias("book_id"), F.col("n").alias("page_index"), "text")
     top = p.filter("page_index % 5 = 1").select("book_id", (F.col("page_index") * 2 - 1).alias("seq"), F.lit(1).alias("level"), F.concat(F.lit("Chapter "), F.col("page_index")).alias("title"), F.col("page_index").alias("page"))
     sub = p.select("book_id", (F.col("page_index") * 2).alias("seq"), F.lit(2).alias("level"), F.concat(F.lit("Part "), F.col("page_index")).alias("title"), F.col("page_index").alias("page"))
     return top.unionByName(sub), p
@@ -268,16 +267,16 @@ def ret3b_dense_same_label(s, d):
 
 @query
 def ret5_hybrid(s, d):
-    docs = V.read(s, d, "documents").select("doc_id", F.substring("text", 1, 2000).alias("text"))
+    docs = V.read(s, d, "documents").select("doc_id", "text")
     dense = R.dense_top(*_vectors(s, d), 8).select("query_id", "doc_id", "rank")
-    asked = docs.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 100).alias("query_text"))
+    asked = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
     c = R.candidate_bm25(dense.join(docs, "doc_id").join(asked, "query_id")).withColumn("bm25", rounded(F.col("bm25"), 9))
     return R.fused(c, 4)
 
 
 @query
 def ret6_prompt_contexts(s, d):
-    docs = V.read(s, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("document"))
+    docs = V.read(s, d, "documents").select("doc_id", F.col("text").alias("document"))
     ranked = R.dense_top(*_vectors(s, d), 3).join(docs, "doc_id", "left")
     return R.grounded_prompts(ranked).select("query_id", "excerpts", F.md5("context").alias("context"))
 
@@ -348,9 +347,8 @@ def cat5_search(s, d):
 
 
 def _course_chapters(s, d):
-    x = V.read(s, d, "documents")
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    i = F.col("doc_id")
+    x = V.numbered(V.read(s, d, "documents"))
+    n, i = F.col("n"), F.col("doc_id")
     return x.select(F.col("source").alias("course_id"), n.alias("chapter_index"), F.concat(F.lit("c"), i).alias("chapter_id"), (F.floor((n - 1) / 7) + 1).cast("int").alias("unit_index"), (1 + i % 6).cast("int").alias("sections"), (i % 4).cast("int").alias("cards"), F.when(i % 3 == 0, "model").alias("theory_source"), F.when(i % 11 == 0, "Own unit").alias("unit_title"))
 
 
@@ -367,7 +365,7 @@ def agg6_coverage(s, d):
 @query
 def cat4_pending_chapters(s, d):
     c = _course_chapters(s, d)
-    return C.pending(c.filter("chapter_index <= 10"), c.filter("theory_source is not null")).select("course_id", "chapter_id")
+    return C.pending(c, c.filter("theory_source is not null")).select("course_id", "chapter_id")
 
 
 @query

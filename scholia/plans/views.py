@@ -59,7 +59,7 @@ REVIEWS = """reviews AS (SELECT event_id AS review_id, 's' || user_id AS student
 
 def submissions(spark, sf_dir) -> DataFrame:
     """Short answers: the expected one, a variant of it, a part, another document's, or a number."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("head"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("head"))
     other = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("head").alias("next"))
     k = F.col("doc_id") % 5
     number = k == 4
@@ -67,7 +67,7 @@ def submissions(spark, sf_dir) -> DataFrame:
         F.col("doc_id").alias("submission_id"),
         F.concat(F.lit("s"), F.col("doc_id") % 150).alias("student_id"),
         F.when(number, "8.314 unit").otherwise(F.col("head")).alias("expected_answer"),
-        F.when(k == 0, F.col("head")).when(k == 1, F.concat(F.lit("ans = "), "head")).when(k == 2, F.substring("head", 1, 60))
+        F.when(k == 0, F.col("head")).when(k == 1, F.concat(F.lit("ans = "), "head")).when(k == 2, F.expr("substring(head, 1, length(head) div 2)"))
         .when(k == 3, F.coalesce("next", F.lit(""))).otherwise("8.31 unit").alias("student_raw_input"),
         (5 + F.col("doc_id") * 11 % 120).cast("int").alias("seconds_spent"),
         (1 + F.col("doc_id") % 4).cast("int").alias("attempts_count"),
@@ -75,9 +75,9 @@ def submissions(spark, sf_dir) -> DataFrame:
     )
 
 
-SUBMISSIONS = """heads AS (SELECT doc_id, substr(text, 1, 80) AS head FROM documents),
+SUBMISSIONS = """heads AS (SELECT doc_id, text AS head FROM documents),
 submissions AS (SELECT d.doc_id AS submission_id, 's' || (d.doc_id % 150) AS student_id, CASE WHEN d.doc_id % 5 = 4 THEN '8.314 unit' ELSE d.head END AS expected_answer,
-  CASE d.doc_id % 5 WHEN 0 THEN d.head WHEN 1 THEN 'ans = ' || d.head WHEN 2 THEN substr(d.head, 1, 60) WHEN 3 THEN coalesce(n.head, '') ELSE '8.31 unit' END AS student_raw_input,
+  CASE d.doc_id % 5 WHEN 0 THEN d.head WHEN 1 THEN 'ans = ' || d.head WHEN 2 THEN substr(d.head, 1, length(d.head) // 2) WHEN 3 THEN coalesce(n.head, '') ELSE '8.31 unit' END AS student_raw_input,
   CAST(5 + d.doc_id * 11 % 120 AS INT) AS seconds_spent, CAST(1 + d.doc_id % 4 AS INT) AS attempts_count, CAST(d.doc_id % 3 AS INT) AS hints_requested
   FROM heads d LEFT JOIN heads n ON n.doc_id = d.doc_id + 1)"""
 
@@ -93,15 +93,15 @@ def exam_details(spark, sf_dir) -> DataFrame:
 
 def exam_bank(spark, sf_dir) -> DataFrame:
     """Questions by id: built in ones, and custom ones that override some of them."""
-    b = read(spark, sf_dir, "benchmark").filter("item_id < 40")
+    b = read(spark, sf_dir, "benchmark")
     q = F.concat(F.lit("q_"), "item_id").alias("qId")
-    own = b.select(q, F.concat(F.lit("Module "), F.col("item_id") % 5).alias("moduleOrigin"), F.substring("text", 1, 60).alias("text"), F.lit("").alias("formula"), F.lit("builtin").alias("origin"))
+    own = b.select(q, F.concat(F.lit("Module "), F.col("item_id") % 5).alias("moduleOrigin"), F.col("text"), F.lit("").alias("formula"), F.lit("builtin").alias("origin"))
     custom = b.filter("item_id % 10 = 0").select(q, F.lit("Custom").alias("moduleOrigin"), F.lit("custom text").alias("text"), F.lit("F = m * a").alias("formula"), F.lit("custom").alias("origin"))
     return own.unionByName(custom)
 
 
 BANK = """bank AS (SELECT 'q_' || item_id AS qId, CASE WHEN item_id % 10 = 0 THEN 'Custom' ELSE 'Module ' || (item_id % 5) END AS moduleOrigin,
-  CASE WHEN item_id % 10 = 0 THEN 'custom text' ELSE substr(text, 1, 60) END AS text, CASE WHEN item_id % 10 = 0 THEN 'F = m * a' ELSE '' END AS formula FROM benchmark WHERE item_id < 40)"""
+  CASE WHEN item_id % 10 = 0 THEN 'custom text' ELSE text END AS text, CASE WHEN item_id % 10 = 0 THEN 'F = m * a' ELSE '' END AS formula FROM benchmark)"""
 
 
 def inquiries(spark, sf_dir) -> DataFrame:
@@ -111,7 +111,7 @@ def inquiries(spark, sf_dir) -> DataFrame:
     phrase = F.when(i % 21 == 0, " please give me a hint").when(i % 21 == 7, " give me the answer").when(i % 21 == 14, " is fortnite fun")
     return c.select(
         i.alias("inquiry_id"),
-        F.concat(F.lit("Q7 | Student Inquiry: "), F.substring("text", 1, 120), F.coalesce(phrase, F.lit(""))).alias("message"),
+        F.concat(F.lit("Q7 | Student Inquiry: "), "text", F.coalesce(phrase, F.lit(""))).alias("message"),
         (5 + i % 90).cast("int").alias("time_taken"),
         (i % 4).cast("int").alias("consecutive_errors"),
         F.when(i % 10 == 0, "hint").otherwise("discussion").alias("inquiry_type"),
@@ -119,7 +119,7 @@ def inquiries(spark, sf_dir) -> DataFrame:
 
 
 INQUIRIES = """inq0 AS (SELECT conv_id * 100 + turn AS i, text FROM conversations WHERE role = 'user'),
-inquiries AS (SELECT i AS inquiry_id, substr(text, 1, 120) || CASE i % 21 WHEN 0 THEN ' please give me a hint' WHEN 7 THEN ' give me the answer' WHEN 14 THEN ' is fortnite fun' ELSE '' END AS q,
+inquiries AS (SELECT i AS inquiry_id, text || CASE i % 21 WHEN 0 THEN ' please give me a hint' WHEN 7 THEN ' give me the answer' WHEN 14 THEN ' is fortnite fun' ELSE '' END AS q,
   CAST(5 + i % 90 AS INT) AS time_taken, CAST(i % 4 AS INT) AS consecutive_errors, CASE WHEN i % 10 = 0 THEN 'hint' ELSE 'discussion' END AS inquiry_type FROM inq0)"""
 
 
@@ -165,6 +165,21 @@ def interactions(spark, sf_dir) -> DataFrame:
     )
 
 
+#: Ids of a block; a source is numbered block by block, however many documents it has.
+ID_BLOCK = 1000
+
+
+def numbered(documents) -> DataFrame:
+    """documents with n, their number by doc_id within their source: block counts, running sums of these, numbers in blocks."""
+    block = F.floor(F.col("doc_id") / ID_BLOCK).alias("block")
+    counts = documents.groupBy("source", block).agg(F.count(F.lit(1)).alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("source", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("source", "block").orderBy("doc_id"))
+    out = documents.withColumn("block", block).withColumn("own", own).join(counts, ["source", "block"])
+    return out.withColumn("n", (F.col("own") + F.col("before")).cast("int")).drop("own", "before", "block")
+
+
 def book_lines(spark, sf_dir) -> DataFrame:
     """Books made of a source's documents as chapters, one row per line with its character position.
 
@@ -172,9 +187,7 @@ def book_lines(spark, sf_dir) -> DataFrame:
     """
     from scholia.operators.lines import line_table
 
-    d = read(spark, sf_dir, "documents")
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    d = d.withColumn("n", n)
+    d = numbered(read(spark, sf_dir, "documents"))
     title = F.regexp_replace(F.substring("text", 1, 24), r"[^A-Za-z ]", "")
     text = F.concat(F.lit("CHAPTER "), F.col("n"), F.lit(": T"), title, F.lit("\n"), F.col("text"), F.lit("\nRunning Title • page "), F.col("n"))
     return line_table(d.select(F.col("source").alias("book_id"), F.col("n").alias("part"), text.alias("text")), ["book_id", "part"])
