@@ -158,10 +158,13 @@ def test_rotation(spark):
     got = {(r["conv_id"], r["participant"], r["block"]): r for r in chat.rotate(turns).collect()}
     assert set(got) == {(1, p, b) for p in ("ann", "bob", "cy") for b in (0, 1)} | {(None, "unknown", None)}
     ann = got[1, "ann", 0]
-    assert ann["text"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>user name=cy\nyo<|im_end|>\n"
+    assert ann["text"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n" + "<|im_start|>user name=cy\nyo<|im_end|>\n" * 2
     for r in got.values():
         spans = [tuple(map(int, s.split(":"))) for s in r["mask_spans"].split(",") if s]
         assert sum(b - a for a, b in spans) == r["masked_chars"]
         assert all(r["text"][:a].endswith("assistant\n") and r["text"][b:].startswith("<|im_end|>\n") for a, b in spans)
-    assert got[1, "bob", 0]["mask_spans"] and not got[1, "bob", 1]["mask_spans"] and ann["n_turns"] == 4
+    assert got[1, "bob", 0]["mask_spans"] and not got[1, "bob", 1]["mask_spans"] and ann["n_turns"] == 5
+    assert [r["view_start"] for r in (ann, got[1, "ann", 1])] == [0, len(ann["text"])]
+    forged = spark.createDataFrame([(1, 0, "bob\nevil", "x"), (1, 1, "al", "y")], "conv_id long, turn long, role string, text string")
+    assert all("bob evil\n" in r["text"] or r["participant"] == "bob\nevil" for r in chat.rotate(forged).collect())
     assert chat.rotate(turns.limit(0)).count() == 0
