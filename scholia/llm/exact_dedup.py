@@ -1,9 +1,10 @@
 """Exact duplicates by a tree merge of sorted digest runs.
 
-Every row's normalised text becomes a digest. Rows are dealt into runs by their id; a run holds each of its digests once,
-sorted, with the smallest id and the number of rows. In each round, `FAN` neighbouring runs merge into one, so that after
-log(RUNS) / log(FAN) rounds one run is left, spread over all partitions by digest. A round groups by (run, digest), so Spark
-combines before the exchange and no task ever sees more than FAN rows of a digest per incoming task, however many copies.
+Every row's normalised text becomes a digest. Each partition's digests are a run: each digest once, sorted, with the smallest
+id and the number of rows. In every round FAN neighbouring runs meet in ranges of (run, digest), are sorted there, of equal
+digests the smallest verified id is retained, and the merged run is written in order as the next round's input, until one run
+is left, spread over all ranges of digests. Rounds grow with the logarithm of the number of partitions; a digest has one row
+for each incoming run and round at most, however many copies there are.
 
 Only DataFrame functions; the text itself is read once and never shuffled.
 """
@@ -13,9 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import SPACES, body, cut, keep_rows
+from scholia.llm.common import SPACES, body, cut, forget, keep_rows
 
-RUNS = 64
 FAN = 4
 #: SHA-256 names the text; byte length and a second, unrelated hash verify it.
 KEY = ["_sha", "_bytes", "_check"]
@@ -26,7 +26,7 @@ def digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = documents.select(F.col(id_col).alias("_id"), F.regexp_replace(body(text_col), SPACES, " ").alias("_norm"))
     return rows.select(
         "_id",
-        F.pmod(F.xxhash64("_id"), F.lit(RUNS)).cast("int").alias("_run"),
+        F.spark_partition_id().alias("_run"),
         F.unhex(F.sha2("_norm", 256)).alias("_sha"),
         F.octet_length("_norm").alias("_bytes"),
         F.xxhash64("_norm").alias("_check"),
@@ -35,16 +35,16 @@ def digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def merge_runs(rows: DataFrame) -> DataFrame:
     """The last run: each digest with its smallest id and number of rows."""
-    runs = rows.groupBy("_run", *KEY).agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
-    left = RUNS
+    left = (rows.agg(F.max("_run")).first()[0] or 0) + 1
+    first = rows.groupBy("_run", *KEY).agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
+    runs = cut(first.sortWithinPartitions("_run", *KEY), "run")
     while left > 1:
-        left //= FAN
-        runs = (
-            runs.withColumn("_run", (F.col("_run") / FAN).cast("int"))
-            .groupBy("_run", *KEY)
-            .agg(F.min("_keep").alias("_keep"), F.sum("_size").alias("_size"))
-            .sortWithinPartitions("_run", "_sha")
-        )
+        left = -(-left // FAN)
+        near = runs.withColumn("_run", F.floor(F.col("_run") / FAN).cast("int"))
+        merged = near.repartitionByRange("_run", *KEY).sortWithinPartitions("_run", *KEY).groupBy("_run", *KEY)
+        merged = merged.agg(F.min("_keep").alias("_keep"), F.sum("_size").alias("_size")).sortWithinPartitions("_run", *KEY)
+        last, runs = runs, cut(merged, "run")
+        forget(last)
     return runs.drop("_run")
 
 
