@@ -1,14 +1,14 @@
 """SentencePiece ids by streaming Viterbi over a given vocabulary, and back.
 
-The best segmentation of a text is the path of pieces with the largest sum of scores. The search walks the text once. A
-piece spans `longest` characters at most, so only boundaries within that window ahead of the current one are open, and ids
-are committed as soon as all paths that survive in the window run through one boundary: when no piece crosses the current
-boundary, or when the open boundaries' back pointers meet in one. Memory is therefore bounded by the distance to the last
-commit, not by the text.
+The best segmentation of a text is the path of pieces with the largest sum of scores. The search walks the text once, with an
+automaton that names all pieces ending at a boundary. A piece spans `longest` characters at most, so only paths through the
+last `longest` boundaries survive. Scores and back pointers lie in a window of four times that; whenever it is full, the ids up
+to the boundary where the back pointers of all surviving paths meet are committed and the window moves there (it grows only
+while they don't meet). Memory is bounded by the window and the distance to the last commit, not by the text.
 
 Where the vocabulary has no piece with a space after another character and none with a line feed (checked), every beginning
-of a run of spaces is such a boundary, so stretches between them are searched alone; the ids of short ones are remembered, in
-a table of bounded size.
+of a run of spaces is a boundary of all paths, so stretches between them are searched alone, all by the same search; the ids of
+stretches are remembered in a table of bounded size, since words repeat.
 
 Characters without a piece become byte pieces; a literal U+2581, which the vocabulary uses for the space, does too, so that
 decoding gives back every text. The model's file is read on the driver (its path is a parameter) and sent to the tasks.
@@ -31,7 +31,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: What an unknown character costs below the worst piece, as in the public library.
 UNKNOWN_PENALTY = 10.0
-REMEMBER, SHORT = 500_000, 48
+#: Stretches whose ids a worker remembers, and the longest of them; neither changes a result.
+REMEMBER, LONGEST_KEPT = 500_000, 48
 _STRETCH = re.compile(r" *[^ \n]+| +|\n")
 
 
@@ -39,7 +40,6 @@ class Vocabulary:
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], table: list[bytes]):
         self.pieces, self.byte_ids, self.table = pieces, byte_ids, table
         self.longest = max(map(len, pieces), default=1)
-        self.prefixes = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
         self.apart = not any(" " in p.lstrip(" ") or "\n" in p for p in pieces)
         self.singles = frozenset(p for p in pieces if len(p) == 1)
@@ -77,72 +77,65 @@ class Vocabulary:
         return cls(pieces, byte_ids, table)
 
     def search(self, text: str) -> list[int]:
-        """Ids of the best path through text."""
-        pieces, prefixes, longest = self.pieces, self.prefixes, self.longest
-        ids: list[int] = []
-        best: dict[int, float] = {0: 0.0}
-        back: dict[int, tuple[int, int]] = {}  # boundary: start and id (-1: unknown) of the piece that ends there
-        base = far = 0
+        """Ids of the best path through text; of equal paths, the one whose last piece starts first."""
+        n, longest, base, ids = len(text), self.longest, 0, []
+        room = min(n, 4 * longest)
+        # by boundary after base: score of the best path there, length and id (-1: unknown) of its last piece
+        best, back = [0.0] + [-np.inf] * room, [(0, 0)] * (room + 1)
+        unknown = [] if self.singles.issuperset(text) else [j for j in range(n, 0, -1) if text[j - 1] not in self.singles]
+
+        def pass_unknown(end: int) -> None:
+            """Boundaries before end have met all their pieces: a character without a piece may be passed as bytes."""
+            while unknown and unknown[-1] < end:
+                end_here = unknown.pop()
+                if end_here - base > room:
+                    slide(end_here)
+                j = end_here - base
+                if best[j - 1] + self.unknown > best[j]:
+                    best[j], back[j] = best[j - 1] + self.unknown, (1, -1)
 
         def commit(end: int) -> None:
-            """Append the path from base to end and forget it."""
-            nonlocal base
-            path, at = [], end
-            while at > base:
-                start, i = back[at]
-                path.append([i] if i >= 0 else [self.byte_ids[x] for x in text[start:at].encode()])
-                at = start
+            """Ids of the path from base to end, then forget it."""
+            path, j = [], end - base
+            while j > 0:
+                k, i = back[j]
+                path.append((i,) if i >= 0 else [self.byte_ids[x] for x in text[base + j - 1].encode()])
+                j -= k
             ids.extend(chain.from_iterable(reversed(path)))
-            for k in [k for k in best if k < end]:
-                del best[k]
-            for k in [k for k in back if k <= end]:
-                del back[k]
-            gone = best[end]
-            for k in best:
-                best[k] -= gone
-            base = end
-
-        for i in range(len(text)):
-            if i > base:
-                if far == i:
-                    commit(i)
-                elif (i - base) % longest == 0:
-                    open_at = {i, *(k for k in back if k > i)}
-                    while len(open_at) > 1 and (last := max(open_at)) > base:
-                        open_at.remove(last)
-                        open_at.add(back[last][0])
-                    if (meet := max(open_at)) > base:
-                        commit(meet)
-            here = best[i]
-            for j in range(i + 1, min(len(text), i + longest) + 1):
-                p = text[i:j]
-                if p not in prefixes:
-                    break
-                if (found := pieces.get(p)) and (j not in best or here + found[1] > best[j]):
-                    best[j], back[j] = here + found[1], (i, found[0])
-                    far = max(far, j)
-            if text[i] not in pieces and (i + 1 not in best or here + self.unknown > best[i + 1]):
-                best[i + 1], back[i + 1] = here + self.unknown, (i, -1)
-                far = max(far, i + 1)
-        commit(len(text))
+
+        def slide(end: int) -> None:
+            """Make room for end: commit up to where all paths through the window's last boundaries meet."""
+            nonlocal base, room, best, back
+            open_at = {j for j in range(max(0, end - longest - base), end - base) if best[j] > -np.inf}
+            while len(open_at) > 1:
+                j = max(open_at)
+                open_at.remove(j)
+                open_at.add(j - back[j][0])
+            (meet,) = open_at
+            if meet:
+                commit(base + meet)
+                best = [x - best[meet] for x in best[meet:]]
+                back, base = back[meet:], base + meet
+            room = max(room, 2 * (end - base))
+            best += [-np.inf] * (room + 1 - len(best))
+            back += [(0, 0)] * (room + 1 - len(back))
+
+        for last, (k, i, score) in self.ends.iter(text):
+            end = last + 1
+            if unknown:
+                pass_unknown(end)
+            if end - base > room:
+                slide(end)
+            j = end - base
+            value = best[j - k] + score
+            if value > best[j]:
+                best[j], back[j] = value, (k, i)
+        pass_unknown(n + 1)
+        commit(n)
         return ids
 
     def stretch(self, text: str) -> bytes:
-        """Ids of a short stretch: all pieces that end at a boundary come together, longest first."""
-        if len(text) > SHORT or not self.singles.issuperset(text):
-            return np.array(self.search(text), np.int32).tobytes()
-        n = len(text)
-        best, back = [0.0] + [-np.inf] * n, [(0, 0)] * (n + 1)
-        for last, (k, i, score) in self.ends.iter(text):
-            value = best[last + 1 - k] + score
-            if value > best[last + 1]:
-                best[last + 1], back[last + 1] = value, (k, i)
-        ids = []
-        while n:
-            k, i = back[n]
-            ids.append(i)
-            n -= k
-        return np.array(ids[::-1], np.int32).tobytes()
+        return np.array(self.search(text), np.int32).tobytes()
 
     def encode_raw(self, text: str) -> bytes:
         """Ids of a whole text as 32-bit numbers; a space goes before it, as the public library puts one."""
@@ -162,7 +155,7 @@ class Vocabulary:
             known[p] = self.stretch(p)
         out = b"".join(map(known.__getitem__, parts))
         for p in new:
-            if len(p) > SHORT:
+            if len(p) > LONGEST_KEPT:
                 del known[p]
         return out
 
