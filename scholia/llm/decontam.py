@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import body
+from scholia.llm.common import body, cut
 
 #: 1 looks, 0 ignores. Span 11, weight 6: wherever up to 3 of 13 aligned tokens differ, some mask sees none of them.
 MASKS = ("11010011001", "10001101011", "10111000101", "10010111100", "11010000111", "11011100001", "01101010110")
@@ -28,6 +28,8 @@ SHORT_MASKS = (
 SQL_MASKS = ("11101001101", "11001011011")
 SPAN = 11
 STRETCH = 13
+#: Items of fewer than SPAN tokens have to be found whole; items of fewer than this say too little to be found.
+LEAST = 5
 AGREE = 0.75
 BROADCAST_ROWS = 500_000
 
@@ -39,11 +41,12 @@ def token_hashes(text: Column) -> Column:
 
 
 def windows(df: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """One row per window and mask: keep, _h (token hashes), _i (start), _seed."""
+    """One row per window and mask, masks of one length: keep, _h (token hashes), _i (start), _seed."""
+    span = len(masks[0])
     # explode_outer: an inner generator would make the optimiser derive a filter that computes the hashes once more
-    at = df.select(*keep, "_h", F.explode_outer(F.when(F.size("_h") >= SPAN, F.sequence(F.lit(0), F.size("_h") - SPAN))).alias("_i"))
+    at = df.select(*keep, "_h", F.explode_outer(F.when(F.size("_h") >= span, F.sequence(F.lit(0), F.size("_h") - span))).alias("_i"))
     seeds = [
-        F.xxhash64(F.lit(int(mask, 2)), *[F.get("_h", F.col("_i") + k) for k, c in enumerate(mask) if c == "1"]) for mask in masks
+        F.xxhash64(F.lit(int("1" + mask, 2)), *[F.get("_h", F.col("_i") + k) for k, c in enumerate(mask) if c == "1"]) for mask in masks
     ]
     return at.filter(F.col("_i").isNotNull()).select(*keep, "_h", "_i", F.explode_outer(F.array(*seeds)).alias("_seed"))
 
@@ -59,30 +62,39 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per contaminated document and benchmark item: doc_id, item_id, n_hits, overlap, first_token, last_token.
 
     n_hits counts verified windows, overlap is the best share of agreeing places in a stretch of 13 tokens (in the item's
-    length, where that is shorter), first_token and last_token bound the windows in the document. Null and empty texts and
-    texts of fewer than 11 tokens match nothing, on either side; repeated documents and repeated items each get their rows;
-    other columns are ignored.
+    length, where that is shorter), first_token and last_token bound the windows in the document. Items of 5 to 10 tokens have
+    to occur whole and unchanged; shorter items, null and empty texts match nothing. Rows are told apart by themselves, not
+    by their ids: repeated documents and repeated items each get their rows, null ids as well. Other columns are ignored.
     """
-    docs = documents.select(F.col(id_col).alias("doc_id"), token_hashes(body(text_col)).alias("_h"))
-    items = benchmark.select("item_id", token_hashes(body("text")).alias("_h"))
+    docs = documents.select(F.col(id_col).alias("doc_id"), token_hashes(body(text_col)).alias("_h")).withColumn("_row", F.monotonically_increasing_id())
+    items = benchmark.select("item_id", token_hashes(body("text")).alias("_h")).withColumn("_item_row", F.monotonically_increasing_id())
+    items = cut(items, "items")
     size = F.greatest(F.size("_h"), F.lit(0))
-    few, short = items.select(F.sum(size).alias("n"), F.count_if(size.between(SPAN, STRETCH - 1)).alias("s")).first()
+    few, short, lengths = items.select(
+        F.sum(size).alias("n"), F.count_if(size.between(SPAN, STRETCH - 1)).alias("s"), F.collect_set(F.when(size.between(LEAST, SPAN - 1), size)).alias("l")
+    ).first()
     few, masks = few or 0, MASKS
-    seeds = windows(items, ["item_id"], MASKS)
+    own = ["item_id", "_item_row"]
+    seeds = windows(items, own, MASKS)
     if short:
         masks += SHORT_MASKS
-        seeds = seeds.unionByName(windows(items.filter(F.size("_h") < STRETCH), ["item_id"], SHORT_MASKS))
+        seeds = seeds.unionByName(windows(items.filter(F.size("_h") < STRETCH), own, SHORT_MASKS))
+    found = windows(docs, ["doc_id", "_row"], masks)
+    for n in sorted(lengths):  # ten lengths at most
+        whole = ("1" * n,)
+        seeds = seeds.unionByName(windows(items.filter(F.size("_h") == n), own, whole))
+        found = found.unionByName(windows(docs, ["doc_id", "_row"], whole))
     seeds = seeds.select(
-        "item_id", F.col("_i").alias("_j"), "_seed", F.size("_h").alias("_len"), around(F.col("_h"), F.col("_i")).alias("_item")
+        *own, F.col("_i").alias("_j"), "_seed", F.size("_h").alias("_len"), around(F.col("_h"), F.col("_i")).alias("_item")
     )
-    keys = seeds.select("item_id", "_j", "_seed")
+    keys = seeds.select("item_id", "_item_row", "_j", "_seed")
     keys = F.broadcast(keys) if few * len(masks) <= BROADCAST_ROWS else keys
-    hits = windows(docs, ["doc_id"], masks).join(keys, "_seed").select(
-        "doc_id", "item_id", "_i", "_j", around(F.col("_h"), F.col("_i")).alias("_doc")
+    hits = found.join(keys, "_seed").select(
+        "doc_id", "_row", "item_id", "_item_row", "_i", "_j", around(F.col("_h"), F.col("_i")).alias("_doc")
     )
     # a window may hit by several masks; verified once
-    hits = hits.dropDuplicates(["doc_id", "item_id", "_i", "_j"])
-    places = seeds.select("item_id", "_j", "_len", "_item").dropDuplicates(["item_id", "_j"])
+    hits = hits.dropDuplicates(["_row", "_item_row", "_i", "_j"])
+    places = seeds.select("_item_row", "_j", "_len", "_item").dropDuplicates(["_item_row", "_j"])
     places = F.broadcast(places) if few * len(masks) <= BROADCAST_ROWS else places
     same = F.zip_with("_doc", "_item", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     stretch = F.least(F.lit(STRETCH), F.col("_len"))
@@ -92,14 +104,14 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             lambda s: F.aggregate(F.slice("_same", s, stretch), F.lit(0), lambda x, y: x + y),
         )
     )
-    checked = hits.join(places, ["item_id", "_j"]).withColumn("_same", same)
+    checked = hits.join(places, ["_item_row", "_j"]).withColumn("_same", same)
     checked = checked.withColumn("_best", best / stretch).filter(F.col("_best") >= AGREE)
-    return checked.groupBy("doc_id", "item_id").agg(
+    return checked.groupBy("_row", "_item_row", "doc_id", "item_id").agg(
         F.count(F.lit(1)).alias("n_hits"),
         F.max("_best").alias("overlap"),
         F.min("_i").cast("long").alias("first_token"),
-        (F.max("_i") + SPAN - 1).cast("long").alias("last_token"),
-    )
+        (F.max(F.col("_i") + F.least(F.lit(SPAN), F.col("_len"))) - 1).cast("long").alias("last_token"),
+    ).drop("_row", "_item_row")
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
