@@ -3,8 +3,8 @@
 Every element of a page gets a hash of its subtree (names and texts, children before parents). Spark counts on how many
 pages of a host each hash occurs; subtrees found on many pages of their host are template and are deleted. Rules about
 element names, roles and class names delete what is never main text, and where a page marks its article or main part, only
-that part is kept; of it, only block elements that all pages of the host have are template. Pages are parsed twice, each time inside their task; what is shuffled are hashes, and for deletion the
-hashes of a page that are template.
+that part is kept; of it, only block elements that all pages of the host have are template. Pages are parsed twice, each time inside their task: for the
+hashes, which are written once, and for the text. What is shuffled are hashes, and for deletion the template hashes of a page.
 """
 
 from __future__ import annotations
@@ -12,13 +12,12 @@ from __future__ import annotations
 import re
 from html import unescape
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import cut
+from scholia.llm.common import cut, forget
 
 #: The pages' template hashes are broadcast up to this many (counted first) and joined by shuffling pages beyond.
 BROADCAST_HASHES = 500_000
@@ -50,6 +49,8 @@ ENDS = {
     "option": (("option",), ("select", "datalist")),
 }
 
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p dt li figcaption caption a span".split())
+
 #: Never main text.
 DROP_TAGS = frozenset(
     "nav footer aside form script style noscript template iframe svg canvas button select textarea dialog head title menu "
@@ -62,11 +63,19 @@ DROP_WORDS = frozenset(
     "overlay newsletter subscribe subscription signup login share sharing social comment comments disqus replies respond "
     "related recommended recommendations widget pagination pager toolbar skip".split()
 )
+#: With a word of the above, these make the name of a box (`related-posts`); others don't (`related-work`, `side-effects`).
+BOX_WORDS = frozenset(
+    "area article articles bar block body bottom box btn button buttons col column container content count div element feed field footer "
+    "form group head header heading icon icons inner item items left link links list main menu module nav outer page pages panel "
+    "post posts primary region right row section secondary site slot space stories story sub text thread title top unit user view wrap "
+    "wrapper zone by on this and us our your".split()
+)
 #: Dropped only outside of the article, where they may hold its title.
 DROP_OUTSIDE = frozenset(("header", "masthead", "topbar"))
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# quotes open a value only after an equals sign
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))*+)>""", re.S)
+_ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -80,6 +89,15 @@ class Node:
         self.hash = 0
 
 
+def _names_box(names: str, words: frozenset[str]) -> bool:
+    """Whether one of some class names or ids is that of a box which words tell apart."""
+    for name in names.split():
+        parts = [w.lower() for w in _WORD.findall(name)]
+        if words.intersection(parts) and all(w in words or w in BOX_WORDS or w.isdigit() for w in parts):
+            return True
+    return False
+
+
 def _judge(tag: str, raw: str, inside: bool) -> tuple[bool, int, bool]:
     """Whether a rule drops the element; 2 for an article, 1 for another main part; whether it drops by class or id only."""
     main = 2 if tag == "article" else 1 if tag == "main" else 0
@@ -92,8 +110,9 @@ def _judge(tag: str, raw: str, inside: bool) -> tuple[bool, int, bool]:
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or role in DROP_ROLES or "display:none" in attrs.get("style", "").replace(" ", ""):
         return True, 0, False
     if tag not in ("html", "body"):
-        words = {w.lower() for w in _WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
-        if words & DROP_WORDS or (not inside and words & DROP_OUTSIDE):
+        # ids of headings and paragraphs are made from their words
+        names = attrs.get("class", "") + ("" if tag in TEXT_TAGS else f" {attrs.get('id', '')}")
+        if _names_box(names, DROP_WORDS if inside else DROP_WORDS | DROP_OUTSIDE):
             return True, 0, True
     if role == "main" and not main or attrs.get("itemprop") == "articleBody":
         main = 1
@@ -249,28 +268,24 @@ def main_text(html: str, template=(), always=()) -> str:
 
 
 def template_of_pages(pages: DataFrame) -> DataFrame:
-    """_page, _host, _template, _always: the hashes of each page that are template on its host, and those on all of its pages."""
+    """_p, _h, _template, _always: page, host, the hashes of each page that are template on its host, and those on all of its pages."""
 
     def emit(batches):
         for pdf in batches:
-            found = [subtree_hashes(h) for h in pdf["html"]]
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            yield pd.DataFrame(
-                {
-                    "_page": pdf["_page"].repeat(n).to_numpy(),
-                    "_host": pdf["_host"].repeat(n).to_numpy(),
-                    "_hash": np.fromiter((x for f in found for x in f), np.int64, int(n.sum())),
-                }
-            )
+            yield pd.DataFrame({"_page": pdf["_page"], "_host": pdf["_host"], "_hashes": [[*subtree_hashes(h)] for h in pdf["html"]]})
 
     kind = pages.schema["_page"].dataType.simpleString()
-    seen = pages.mapInPandas(emit, f"_page {kind}, _host string, _hash long")
-    sizes = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
+    own = cut(pages.select("_page", "_host", "html").mapInPandas(emit, f"_page {kind}, _host string, _hashes array<long>"), "subtrees")
+    seen = own.select("_page", "_host", F.explode("_hashes").alias("_hash"))
+    sizes = own.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     common = seen.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= LEAST_PAGES)
     common = common.join(sizes, "_host").filter(F.col("_n") >= LEAST_SHARE * F.col("_pages"))
     common = common.select("_host", "_hash", (F.col("_n") == F.col("_pages")).alias("_all"))
     hashes = [F.collect_set("_hash").alias("_template"), F.collect_set(F.when(F.col("_all"), F.col("_hash"))).alias("_always")]
-    return seen.join(common, ["_host", "_hash"]).groupBy("_page", "_host").agg(*hashes)
+    found = seen.join(common, ["_host", "_hash"]).groupBy("_page", "_host").agg(*hashes)
+    found = cut(found.select(F.col("_page").alias("_p"), F.col("_host").alias("_h"), "_template", "_always"), "template")
+    forget(own)
+    return found
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -286,7 +301,7 @@ def extract(pages: DataFrame) -> DataFrame:
         F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)).alias("_host"),
         F.coalesce("html", F.lit("")).alias("html"),
     )
-    found = cut(template_of_pages(rows).select(F.col("_page").alias("_p"), F.col("_host").alias("_h"), "_template", "_always"), "template")
+    found = template_of_pages(rows)
     hashes = found.agg(F.sum(F.size("_template") + F.size("_always") + 4).alias("n")).first()["n"] or 0
     found = F.broadcast(found) if hashes <= BROADCAST_HASHES else found
     rows = rows.join(found, F.col("_page").eqNullSafe(F.col("_p")) & (F.col("_host") == F.col("_h")), "left")

@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import pytest
 
 from scholia.llm import html_extract as H
@@ -51,3 +54,28 @@ def test_class_of_a_frame():
     page = "<body><div class='{}'><article><p>the story of the page, told at length</p></article></div><p>{}</p></body>"
     assert H.main_text(page.format("sidebar-layout", "end")) == "the story of the page, told at length"
     assert H.main_text(page.format("related", "long text of a page without an article " * 3)).startswith("long text")
+
+
+def test_words_and_quotes_that_are_no_markup():
+    got = H.main_text("<article><h2 id='social-history'>A</h2><section id=related-work><p class='side-effects'>B</p></section><p data-x=it's>C one</p><p>C isn't D</p></article>")
+    assert got == "A\nB\nC one\nC isn't D"
+    assert H.main_text("<main><p>a</p><div class='related-posts'>r</div><div id=userComments>c</div><a title='x > y' href=/?a=b>link</a></main>") == "a\nlink"
+
+
+def test_whole_table_against_plain_python(spark):
+    """Hosts' templates counted in one Python loop, on all pages of a table."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.collect()
+    host = lambda u: re.match(r"(?:[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+))?", u or "")[1] or ""
+    seen = [H.subtree_hashes(r["html"]) for r in rows]
+    sizes = Counter(host(r["url"]).lower() for r in rows)
+    counts = Counter((host(r["url"]).lower(), x) for r, hashes in zip(rows, seen, strict=True) for x in hashes)
+    want, plain = {}, 0
+    for r, hashes in zip(rows, seen, strict=True):
+        h = host(r["url"]).lower()
+        template = {x for x in hashes if counts[h, x] >= max(H.LEAST_PAGES, H.LEAST_SHARE * sizes[h])}
+        always = {x for x in template if counts[h, x] == sizes[h]}
+        want[r["page_id"]] = H.main_text(r["html"], template, always)
+        plain += want[r["page_id"]] != H.main_text(r["html"])
+    assert {r["page_id"]: r["text"] for r in H.extract(pages).collect()} == want
+    print(f"template removal changed {plain} of {len(rows)} pages")
