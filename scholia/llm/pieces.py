@@ -32,7 +32,9 @@ SPACE = "▁"
 #: What an unknown character costs below the worst piece, as in the public library.
 UNKNOWN_PENALTY = 10.0
 #: Stretches whose ids a worker remembers, and the longest of them; neither changes a result.
-REMEMBER, LONGEST_KEPT = 500_000, 48
+REMEMBER, LONGEST_KEPT = 400_000, 48
+#: Rows whose ids a task holds at once.
+ROWS = 500
 _STRETCH = re.compile(r" *[^ \n]+| +|\n")
 
 
@@ -180,7 +182,7 @@ def encode_documents(documents: DataFrame, model: str = MODEL, id_col: str = "do
 
     def run(batches):
         v = vocabulary.value
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = batch.column(1).to_pylist()
             raw = [v.encode_raw(t) for t in texts]
             sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
@@ -192,6 +194,7 @@ def encode_documents(documents: DataFrame, model: str = MODEL, id_col: str = "do
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes), pa.array(same, pa.bool_())],
                 names=["doc_id", "ids", "n_ids", "round_trip"],
             )
+        v.known.clear()  # workers live on
 
     rows = documents.select(F.col(id_col).alias("doc_id"), body(text_col).alias("_text"))
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids long, round_trip boolean")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 WORDS = 5
-PIECE = 1 << 20
+PIECE = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
 _SPACE = np.zeros(256, bool)
