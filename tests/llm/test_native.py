@@ -97,3 +97,12 @@ def test_held_out(spark):
     got = spark.range(200).withColumn("h", held_out("id")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_rows_and_short_items(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item), (1, "five short words in here"), (None, item), (2, "too few words")], "item_id long, text string")
+    texts = [item, "so five SHORT words in here, then", "five short words are here", "too few words"]
+    d = docs(spark, texts).union(docs(spark, texts[:1]))
+    got = [(r["doc_id"], r["item_id"], r["first_token"], r["last_token"], r["overlap"]) for r in decontam.overlaps(d, bench).collect()]
+    assert sorted(got, key=str) == sorted([(0, 1, 0, 19, 1.0)] * 2 + [(0, None, 0, 19, 1.0)] * 2 + [(1, 1, 1, 5, 1.0)], key=str)
