@@ -129,15 +129,34 @@ def test_packing():
     assert all(len(x) >= 1000 for x in chunking.cognitive_sections("\n\n".join("p" * 900 for _ in range(20))))
 
 
-def test_facts():
-    text = "Newton's Second Law states that the force on a body equals mass times acceleration. F = m * a, and PV = nRT. Delta U = Q - W\nThe Speed is 12 m/s. x = 0."
-    facts = extraction.facts_of(text)
+def test_facts(spark):
+    text = "Newton's Second Law states that the force on a body equals mass times acceleration. F = m * a, and PV = nRT. Delta U = Q - W\nThe Speed is 12 m/s. x = 0, y = (1."
+    mark = "Example 1 " + "a cart rolls down a slope. " * 9 + "\n 12 \nrest\nTry It now"
+    rows = [("a", text), ("b", None), ("c", ""), ("d", " ".join(f"v{i} = k{i}." for i in range(20))), ("e", mark), ("f", "x" * 200_000 + " Speed is 3 m/s")]
+    got = {r["id"]: r for r in extraction.with_facts(spark.createDataFrame(rows, "id string, text string")).collect()}
+    facts = got["a"]["facts"]
     full = {f["full"] for f in facts if f["type"] == "equation"}
-    assert {"F = m * a", "PV = nRT"} <= full and "x = 0" not in full
-    assert any(f["type"] == "definition" and "Second Law" in f["concept"] for f in facts)
+    assert {"F = m * a", "PV = nRT"} <= full and not {"x = 0", "y = (1"} & full
+    assert [f["concept"] for f in facts if f["type"] == "definition"] == ["Newton's Second Law"]
     assert any(f["type"] == "value" and f["value"] == "12 m/s" for f in facts)
-    assert extraction.concept_name("the Kinetic Energy of") == "Kinetic Energy" and extraction.concept_name("this Figure") == ""
-    assert len(extraction.examples_of("Example 1 " + "a cart rolls down a slope. " * 9)) == 1
+    assert all(not got[i][c] for i in "bc" for c in ("facts", "terms", "examples"))
+    assert [f["lhs"] for f in got["d"]["facts"]] == [f"v{i}" for i in range(12)]
+    assert len(got["e"]["examples"]) == 1 and got["e"]["examples"][0]["content"].endswith("slope. \nrest")
+    assert [f["value"] for f in got["f"]["facts"]] == ["3 m/s"]
+
+
+def test_concept_names(spark):
+    cases = {"the Kinetic Energy of": "Kinetic Energy", "this Figure": None, "Of The": None, "One Two Three Four Five Six Seven": None, "'The' Net  Work": "Net Work"}
+    got = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", extraction.concept_name(F.col("raw"))).collect()
+    assert {a: b for a, b in got} == cases
+
+
+def test_cards_and_items(spark):
+    c = spark.createDataFrame([("v", "T", "The Speed is -3 m/s.", "Data"), ("n", "T", "", None), ("e", "T", "F = m * a", "Math")], "chapter_id string, title string, text string, subject string")
+    got = {r["chapter_id"]: r for r in extraction.chapter_theory(c).collect()}
+    assert got["v"]["quiz"]["options"] == ["-3 m/s", "-6 m/s", "0 m/s", "7 m/s"] and got["v"]["exam"]["expected"] == "-3 m/s"
+    assert len(got["n"]["cards"]) == 3 and got["n"]["exam"]["expected"] == "T" and got["n"]["quiz"]["type"] == "generic"
+    assert got["e"]["deep_theory"]["formulations"] == ["F = m * a"] and all(len(set(r["quiz"]["options"])) == 4 for r in got.values())
 
 
 def test_theory_prefers_a_valid_blueprint(spark):
