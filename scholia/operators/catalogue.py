@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.text import strip
+from scholia.operators.structure import first_of_each
 
 
 def title_key(c: Column) -> Column:
@@ -50,10 +51,10 @@ def bank_courses(bank: DataFrame) -> DataFrame:
 
 
 def quizzes_with_cards(quizzes: DataFrame, cards: DataFrame) -> DataFrame:
-    """Quizzes (course_id, at, concept, ...) with the card of their concept, else the one at their place."""
-    named = cards.select("course_id", F.col("topic").alias("concept"), F.col("card_id").alias("_named"))
+    """Quizzes (course_id, at, concept, ...) with the first card of their concept, else the one at their place."""
+    named = first_of_each(cards, ["course_id", "topic"], ["at", "card_id"]).select("course_id", F.col("topic").alias("concept"), F.col("card_id").alias("_named"))
     placed = cards.select("course_id", "at", F.col("card_id").alias("_placed"))
-    out = quizzes.join(named.dropDuplicates(["course_id", "concept"]), ["course_id", "concept"], "left").join(placed, ["course_id", "at"], "left")
+    out = quizzes.join(named, ["course_id", "concept"], "left").join(placed, ["course_id", "at"], "left")
     return out.withColumn("card_id", F.coalesce("_named", "_placed")).drop("_named", "_placed")
 
 

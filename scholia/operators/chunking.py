@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholia.functions.text import content_hash, strip
+from scholia.operators.structure import first_of_each
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -97,10 +98,16 @@ def deduplicated_chunks(chunks: DataFrame, text: str = "document") -> DataFrame:
     return c.withColumn("chunk_key", F.concat_ws("_", "course_id", "chapter_id", "content_hash"))
 
 
-def upserted(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """existing with the rows of new in place of those with the same key."""
+def upserted(existing: DataFrame, new: DataFrame, key: str, latest: str | None = None) -> DataFrame:
+    """existing with the rows of new in place of those with the same key.
+
+    A key that repeats in new is written once: the row with the greatest `latest`, and of equals the greatest by all columns.
+    """
+    order = [F.desc(c) for c in ([latest] if latest else []) + sorted(set(new.columns) - {key, latest})]
+    new = first_of_each(new, [key], order) if order else new.distinct()
     return existing.join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def without_course(chunks: DataFrame, course: str) -> DataFrame:
-    return chunks.filter(F.col("course_id") != course)
+    """Chunks but for those of a course; chunks without a course stay."""
+    return chunks.filter(~F.col("course_id").eqNullSafe(course))

@@ -73,14 +73,15 @@ def new_chunks_stream(chunks: DataFrame, late: str = "1 hour") -> DataFrame:
     return chunks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["course_id", "chapter_id", "content_hash"])
 
 
-def upsert_batch(path: str, key: str):
-    """A foreachBatch function that upserts each batch into a Parquet table, written beside and swapped by version."""
+def upsert_batch(path: str, key: str, latest: str | None = None):
+    """A foreachBatch function that upserts each batch into a Parquet table, written beside and swapped by version.
+
+    Of a key that repeats in a batch the row with the greatest `latest` stays.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates([key])
-        if number:
-            rows = upserted(spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}"), rows, key)
-        rows.write.mode("overwrite").parquet(f"{path}/v{number}")
+        before = spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}") if number else batch.limit(0)
+        upserted(before, batch, key, latest).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return write

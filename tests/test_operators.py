@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scholia.operators import chunking, extraction, grading, lines, mastery, retrieval, srs, structure, training
+from scholia.operators import catalogue, chunking, extraction, grading, lines, mastery, retrieval, srs, structure, training
 
 #: Accuracy, latency, attempts, severity, hints; centroid, score, tier.
 SCENARIOS = [
@@ -174,3 +174,19 @@ def test_tutor_examples(spark):
     got = training.tutor_examples(d).orderBy("conv_id").collect()
     assert [r["conv_id"] for r in got] == [0, 1, 2, 3, 4, 8, 9]
     assert [m["role"] for m in got[0]["messages"]] == ["system", "user", "assistant", "user", "assistant"]
+
+
+def test_upsert_keeps_the_latest(spark):
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x")], "k string, at int, t string")
+    new = spark.createDataFrame([("b", 3, "new"), ("b", 2, "z"), ("c", 5, "c"), ("c", 5, "c")], "k string, at int, t string")
+    got = sorted(tuple(r) for r in chunking.upserted(old, new, "k", "at").collect())
+    assert got == [("a", 1, "x"), ("b", 3, "new"), ("c", 5, "c")]
+    courses = spark.createDataFrame([("m",), (None,), ("n",)], "course_id string")
+    assert {r[0] for r in chunking.without_course(courses, "m").collect()} == {None, "n"}
+
+
+def test_quizzes_take_the_first_card(spark):
+    cards = spark.createDataFrame([("m", 2, "T", "c2"), ("m", 1, "T", "c1"), ("m", 3, "U", "c3")], "course_id string, at int, topic string, card_id string")
+    quizzes = spark.createDataFrame([("m", 2, "T"), ("m", 3, "none"), ("m", 9, "none")], "course_id string, at int, concept string")
+    got = {r["at"]: r["card_id"] for r in catalogue.quizzes_with_cards(quizzes, cards).collect()}
+    assert got == {2: "c1", 3: "c3", 9: None}
