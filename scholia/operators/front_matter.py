@@ -31,8 +31,9 @@ def contents_end(lines: DataFrame, within: int = 400) -> DataFrame:
     """
     t = F.col("line")
     size = lines.groupBy("book_id").agg((F.max("pos") * 0.35).alias("_front"))
-    opens = F.when(t.rlike(r"(?i)^\s*(?:table of |brief )?contents\s*$") & (F.col("pos") <= F.greatest(F.lit(6000.0), F.col("_front"))), F.col("line_no"))
-    first = lines.join(size, "book_id").groupBy("book_id").agg(F.min(opens).alias("_open")).filter("_open is not null")
+    # marks are few: found before any join, they make the other sides small too
+    marks = lines.filter(t.rlike(r"(?i)^\s*(?:table of |brief )?contents\s*$")).join(size, "book_id")
+    first = marks.filter(F.col("pos") <= F.greatest(F.lit(6000.0), F.col("_front"))).groupBy("book_id").agg(F.min("line_no").alias("_open"))
     after = lines.join(first, "book_id").filter((F.col("line_no") > F.col("_open")) & (F.col("line_no") <= F.col("_open") + within))
     stop = after.groupBy("book_id").agg(F.min(F.when(F.length("line") > PROSE, F.col("line_no"))).alias("_stop"))
     own = after.join(stop, "book_id").filter(F.col("_stop").isNull() | (F.col("line_no") < F.col("_stop"))).filter(t.rlike(TOC_LINE))

@@ -44,10 +44,19 @@ def running_headers(lines: DataFrame, by_page: str | None = None, least: int = H
     return short.groupBy("book_id", line_shape(F.col("line")).alias("form")).agg(n.alias("n")).filter(F.col("n") >= least)
 
 
+def without_headers(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """Lines that are no running headers."""
+    shaped = lines.withColumn("form", line_shape(F.col("line")))
+    return shaped.join(headers.select("book_id", "form"), ["book_id", "form"], "left_anti").drop("form")
+
+
+def without_noise_lines(lines: DataFrame) -> DataFrame:
+    return lines.filter(~noise_line(F.col("line")))
+
+
 def without_noise(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """Lines that are neither noise nor running headers."""
-    kept = lines.filter(~noise_line(F.col("line"))).withColumn("form", line_shape(F.col("line")))
-    return kept.join(headers.select("book_id", "form"), ["book_id", "form"], "left_anti").drop("form")
+    return without_headers(without_noise_lines(lines), headers)
 
 
 def body_text(lines: DataFrame, by: list[str]) -> DataFrame:

@@ -30,7 +30,7 @@ FAMILIES = (
     ("numbered_bare", r"^[ \t]*(\d{1,3})[ \t]+([A-Z][A-Za-z0-9 ,'&\-–—:]{2,70}[A-Za-z0-9)\].])[ \t]*$", "digits", False),
     ("titled_caps", r"^[ \t]*([A-Z][A-Z0-9 ,'&\-–—:]{5,70})[ \t]*$", "order", False),
 )
-ORDER = {k: i for i, (k, *_) in enumerate(FAMILIES)}
+ORDER = {k: float(i) for i, (k, *_) in enumerate(FAMILIES)} | {"bare_num_title": 6.5}
 UNITS = [k for k, _, _, unit in FAMILIES if unit]
 LEAST_CHAPTERS, MOST_CHAPTERS = 3, 120
 LONGEST_LINE = 110
@@ -51,10 +51,23 @@ def heading_candidates(lines: DataFrame) -> DataFrame:
         rows.append(F.when(t.rlike(pattern), F.struct(F.lit(kind).alias("kind"), number.alias("number"), title.alias("title"))))
     found = short.select("book_id", "pos", "line_no", "line", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("h"))
     found = found.select("book_id", "h.kind", "pos", "line_no", "h.number", "h.title", "line").filter(~code_line(F.col("title")))
+    found = found.unionByName(_bare_numbers(lines).filter(~code_line(F.col("title"))))
     numbered = found.filter(~F.col("kind").isin("hash_headings", "titled_caps") & F.col("number").between(1, 200))
     return numbered.unionByName(_hash_headings(found.filter("kind = 'hash_headings'"))).unionByName(_caps(found.filter("kind = 'titled_caps'"), numbered))
 
 
+#: A number on a line of its own and the title on the next.
+BARE_NUMBER, BARE_TITLE = r"^[ \t]*(\d{1,3})[ \t]*$", r"^[ \t]*([A-Z][A-Za-z0-9 ,'&\-–—:]{2,70})[ \t]*$"
+
+
+def _bare_numbers(lines: DataFrame) -> DataFrame:
+    """Numbers on a line of their own with a title on the next: both are filtered first and joined by line number."""
+    n = lines.filter(F.col("line").rlike(BARE_NUMBER)).withColumn("_next", F.col("line_no") + 1)
+    t = lines.filter(F.col("line").rlike(BARE_TITLE)).select("book_id", F.col("line_no").alias("_next"), strip(F.regexp_extract("line", BARE_TITLE, 1)).alias("title"))
+    number = F.regexp_extract("line", BARE_NUMBER, 1).cast("int").alias("number")
+    return n.join(t, ["book_id", "_next"]).select("book_id", F.lit("bare_num_title").alias("kind"), "pos", "line_no", number, "title", "line")
+
+
 def _hash_headings(found: DataFrame) -> DataFrame:
     """Markdown headings of the shallowest level with three or more, without the document's title, numbered in order."""
     body = found.filter(~((F.col("pos") <= 200) & (F.col("number") == 1) & ~F.col("title").rlike(r"(?i)\d|chapter|unit|lesson")))
@@ -65,12 +78,15 @@ def _hash_headings(found: DataFrame) -> DataFrame:
 
 
 #: Lines in capitals that head no chapter.
-NO_CHAPTER = "contents|table of contents|brief contents|index|references|glossary|preface|answers|solutions|key terms|summary|chapter summary|chapter review|review questions|exercises".split("|")
+NO_CHAPTER = (
+    "contents", "table of contents", "brief contents", "index", "references", "glossary", "preface", "answers", "solutions",
+    "key terms", "summary", "chapter summary", "chapter review", "review questions", "exercises",
+)
 
 
 def _caps(found: DataFrame, numbered: DataFrame) -> DataFrame:
     """Lines in capitals that no numbered family claims, numbered in order."""
-    own = found.filter(valid_heading(F.col("title")) & ~F.lower("title").isin(NO_CHAPTER)).withColumn("_form", line_shape(F.col("line")))
+    own = found.filter(valid_heading(F.col("title")) & ~F.lower("title").isin(*NO_CHAPTER)).withColumn("_form", line_shape(F.col("line")))
     claimed = numbered.select("book_id", line_shape(F.col("line")).alias("_form")).distinct()
     own = own.join(claimed, ["book_id", "_form"], "left_anti").select(*found.columns)
     return own.withColumn("number", F.row_number().over(Window.partitionBy("book_id").orderBy("pos")))
@@ -145,11 +161,20 @@ def best_family(scores: DataFrame) -> DataFrame:
 def chapters(lines: DataFrame) -> DataFrame:
     """Chapters of each book by its best family: chapter_id, number, title, start and end positions.
 
+    Headings inside the printed contents are left out (if three of their family stand after it), and so is a tight run of them at the front whose numbers come again.
     A number that repeats gets a suffix: ch_4, ch_4_2. Books without a family of three headings have no chapters here.
     """
+    from scholia.operators.front_matter import contents_end, leading_cluster
+
     lengths = lines.groupBy("book_id").agg(F.max(F.col("pos") + F.length("line")).alias("chars"))
     # candidates are a small part of the lines and are asked many times
-    headings = settled(without_listing(settled(heading_candidates(lines))))
+    headings = heading_candidates(lines).join(contents_end(lines).select("book_id", "toc_end"), "book_id", "left")
+    body = F.coalesce(F.col("pos") >= F.col("toc_end"), F.lit(True))
+    left = F.sum(body.cast("int")).over(Window.partitionBy("book_id", "kind"))
+    headings = headings.withColumn("_body", body | (left < LEAST_CHAPTERS)).filter("_body").drop("toc_end", "_body")
+    headings = without_listing(settled(headings))
+    later = F.max("pos").over(Window.partitionBy("book_id", "kind", "number")) > F.col("pos")
+    headings = settled(leading_cluster(headings, lengths).withColumn("_later", later).filter("not (in_cluster and _later)").drop("in_cluster", "_later"))
     best = best_family(candidate_scores(headings, lengths))
     h = headings.join(best.select("book_id", "kind"), ["book_id", "kind"]).join(lengths, "book_id")
     by = Window.partitionBy("book_id").orderBy("pos")
@@ -173,23 +198,57 @@ def chapter_of_lines(lines: DataFrame, chapters: DataFrame) -> DataFrame:
     return lines.join(c, "book_id").filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))).drop("start", "end")
 
 
-def sections(lines: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Sections `N.M Title` of each chapter with the text under them; text before the first is section 0.
+#: Headings that open the review at the end of a chapter.
+REVIEW = (
+    "summary", "chapter summary", "section summary", "key terms", "key concepts", "glossary", "review questions", "review exercises",
+    "exercises", "problems", "problems and exercises", "problems & exercises", "conceptual questions", "discussion questions",
+    "self-test", "self test", "further reading", "references", "bibliography", "index", "answers", "chapter review",
+    "check your understanding", "critical thinking", "additional problems",
+)
+INTRO, BODY, REST = 0, 1, 2
+#: Least lengths of an introduction, a section and a review.
+LEAST_CHARS = (121, 80, 201)
 
-    Labels count in their own chapter only and at their first occurrence. Windows run per chapter, so a long book is not one
-    window.
+
+def sections(lines: DataFrame, chapters: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """Parts of each chapter with the text under them: the introduction `N.0`, sections `N.M Title`, the review `N.r`.
+
+    A label counts in its own chapter only, at its first occurrence, with a title of three letters in a row, on a line without
+    a bullet and of 110 characters at most; if the printed contents (book_id, chapter, section) list sections of the chapter,
+    only those count (a semi-join on the few candidate lines). The review starts with the first heading of back matter and
+    runs to the chapter's end. The heading lines are no text; introductions up to 120 characters, sections under 80 and
+    reviews up to 200 are left out. Windows run per chapter, so a long book is not one window.
     """
     own = chapter_of_lines(lines, chapters)
-    hit = F.col("line").rlike(SECTION) & (F.regexp_extract("line", SECTION, 1) == F.col("number").cast("string"))
-    label = F.when(hit, F.regexp_extract("line", SECTION, 2).cast("int"))
-    own = own.withColumn("_label", label)
+    here = Window.partitionBy("book_id", "chapter_id")
+    t = F.col("line")
+    hit = t.rlike(SECTION) & (F.regexp_extract(t, SECTION, 1) == F.col("number").cast("string")) & (F.length(t) <= LONGEST_LINE)
+    hit = hit & F.regexp_extract(t, SECTION, 3).rlike("[A-Za-z]{3,}") & ~t.rlike("[•·ò]")
+    own = own.withColumn("_label", F.when(hit, F.regexp_extract(t, SECTION, 2).cast("int")))
+    if contents is not None:
+        listed = contents.select("book_id", F.col("chapter").alias("number"), F.col("section").alias("_label")).distinct()
+        with_list = listed.select("book_id", "number").distinct().withColumn("_listing", F.lit(True))
+        found = own.filter("_label is not null").join(listed, ["book_id", "number", "_label"], "left_semi").select("book_id", "line_no", F.lit(True).alias("_ok"))
+        own = own.join(with_list, ["book_id", "number"], "left").join(found, ["book_id", "line_no"], "left")
+        own = own.withColumn("_label", F.when(F.col("_listing").isNull() | F.col("_ok"), F.col("_label"))).drop("_listing", "_ok")
     first = F.row_number().over(Window.partitionBy("book_id", "chapter_id", "_label").orderBy("line_no")) == 1
     own = own.withColumn("_mark", F.when(F.col("_label").isNotNull() & first, F.col("_label")))
-    so_far = Window.partitionBy("book_id", "chapter_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("section", F.coalesce(F.last("_mark", True).over(so_far), F.lit(0)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    title = F.max(F.when(F.col("_mark").isNotNull(), strip(F.regexp_extract("line", SECTION, 3))))
-    return own.groupBy("book_id", "chapter_id", "section").agg(title.alias("title"), F.count(F.lit(1)).alias("lines"), text.alias("content"))
+    review = F.min(F.when(F.lower(strip(t)).isin(*REVIEW), F.col("line_no"))).over(here)
+    so_far = here.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("_section", F.coalesce(F.last("_mark", True).over(so_far), F.lit(0))).withColumn("_review", F.coalesce(F.col("line_no") >= review, F.lit(False)))
+    part = F.when(F.col("_review"), REST).when(F.col("_section") > 0, BODY).otherwise(INTRO)
+    own = own.withColumn("_part", part).withColumn("_section", F.when(F.col("_part") == BODY, F.col("_section")).otherwise(0))
+    heading = (F.col("pos") == F.min("pos").over(here)) | (F.col("_mark").isNotNull() & ~F.col("_review"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("_heading"), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
+    out = own.withColumn("_heading", heading).groupBy("book_id", "chapter_id", "number", "_part", "_section").agg(
+        F.max(F.when(F.col("_mark").isNotNull(), strip(F.regexp_extract("line", SECTION, 3)))).alias("_title"),
+        F.count(F.lit(1)).alias("lines"),
+        strip(text).alias("content"),
+    )
+    least = F.when(F.col("_part") == INTRO, LEAST_CHARS[INTRO]).when(F.col("_part") == BODY, LEAST_CHARS[BODY]).otherwise(LEAST_CHARS[REST])
+    last = F.when(F.col("_part") == REST, F.lit("r")).otherwise(F.col("_section").cast("string"))
+    title = F.when(F.col("_part") == INTRO, "Introduction").when(F.col("_part") == BODY, F.col("_title")).otherwise("Glossary, Summary & Exercises")
+    return out.filter(F.length("content") >= least).select("book_id", "chapter_id", F.concat_ws(".", "number", last).alias("label"), F.when(F.col("_part") == REST, -1).otherwise(F.col("_section")).alias("section"), title.alias("title"), "lines", "content")
 
 
 def with_units(chapters: DataFrame, units: DataFrame | None = None) -> DataFrame:

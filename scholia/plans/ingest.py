@@ -6,27 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions.text import chapter_title, clean_text, subject
-from scholia.operators import catalogue, chunking, extraction, lines, structure
+from scholia.operators import catalogue, chunking, extraction, lines, outline, structure
 from scholia.sources.tables import settled
 
 LEAST_TEXT = 50
 CHUNKED, MOST_CHUNKS = 8000, 15
 
 
-def ingest(books: DataFrame) -> dict[str, DataFrame]:
-    """books (book_id, title, text) to chapters, theory, chunks and courses.
+def ingest(books: DataFrame, outlines: DataFrame | None = None) -> dict[str, DataFrame]:
+    """books (book_id, title, text) to chapters, theory, chunks, courses, and the way each book was divided.
 
-    Text stays in rows of lines, sections and chapters; a book is never one row. Books without chapter headings are divided
-    into balanced chunks.
+    Text stays in rows of lines, sections and chapters; a book is never one row. A book with an embedded outline (outlines:
+    book_id, seq, level, title, page) and page marks is divided by it, others by their headings; a book without either goes
+    into balanced chunks. Printed contents bound where headings count and which sections do.
     """
     clean = books.withColumn("text", clean_text(F.col("text"))).filter(F.length("text") >= LEAST_TEXT)
     clean = clean.withColumn("subject", subject(F.col("title"), F.col("text")))
     table = lines.line_table(clean.select("book_id", "text"), ["book_id"])
-    kept = lines.without_noise(table, lines.running_headers(table))
-    found = structure.with_units(structure.chapters(kept))
+    if outlines is None:
+        outlines = books.sparkSession.createDataFrame([], "book_id string, seq long, level int, title string, page int")
+    by_outline = outline.chapter_texts(outlines, lines.split_pages(books.select("book_id", "text"))).withColumn("text", clean_text(F.col("text")))
+    by_outline = settled(structure.with_units(by_outline))
+    table = table.join(by_outline.select("book_id").distinct(), "book_id", "left_anti")
+    plain = settled(lines.without_headers(table, lines.running_headers(table)))
+    contents = settled(structure.printed_contents(plain))
+    # a bare page number may head a chapter, so noise goes after the headings are found
+    kept = lines.without_noise_lines(plain)
+    found = structure.with_units(structure.chapters(plain))
+    divided = structure.sections(kept, found, contents)
     body = lines.body_text(structure.chapter_of_lines(kept, found), ["book_id", "chapter_id"])
     chapters = found.join(body, ["book_id", "chapter_id"]).select("book_id", "chapter_id", "chapter_index", chapter_title(F.col("title")).alias("title"), "unit_index", F.col("body").alias("text"))
-    rest = clean.join(found.select("book_id").distinct(), "book_id", "left_anti")
+    chapters = chapters.unionByName(by_outline.select(*chapters.columns))
+    rungs = outline.ladder(clean, by_outline, contents.join(found, "book_id", "left_semi"), found)
+    rest = clean.join(rungs.filter("rung = 'chunks'"), "book_id", "left_semi")
     parts = rest.select("book_id", F.posexplode(chunking.packed(F.col("text"), "paragraphs", 24_000)).alias("_i", "text"))
     i = F.col("_i") + 1
     parts = parts.select("book_id", F.concat(F.lit("ch_"), i).alias("chapter_id"), i.alias("chapter_index"), F.concat(F.lit("Part "), i).alias("title"), (F.floor(F.col("_i") / 7) + 1).cast("int").alias("unit_index"), "text")
@@ -35,6 +47,8 @@ def ingest(books: DataFrame) -> dict[str, DataFrame]:
     theory = extraction.chapter_theory(keyed.select(F.col("chapter_key").alias("chapter_id"), "title", "text"))
     pieces = chapters.select(F.col("book_id").alias("course_id"), "chapter_id", F.explode(F.slice(chunking.packed(F.substring("text", 1, CHUNKED), "sentences", 400, 40), 1, MOST_CHUNKS)).alias("document"))
     counted = keyed.join(theory.select(F.col("chapter_id").alias("chapter_key"), F.size("cards").alias("cards")), "chapter_key")
-    courses = catalogue.rollups(counted.select(F.col("book_id").alias("course_id"), "unit_index", F.lit(1).alias("sections"), "cards"))
+    parts_of = divided.groupBy("book_id", "chapter_id").agg(F.count(F.lit(1)).alias("_sections"))
+    counted = counted.join(parts_of, ["book_id", "chapter_id"], "left").withColumn("sections", F.coalesce("_sections", F.lit(1)))
+    courses = catalogue.rollups(counted.select(F.col("book_id").alias("course_id"), "unit_index", "sections", "cards"))
     courses = courses.join(clean.select(F.col("book_id").alias("course_id"), "title", "subject"), "course_id")
-    return {"chapters": chapters, "theory": theory, "chunks": chunking.deduplicated_chunks(pieces), "courses": courses}
+    return {"chapters": chapters, "theory": theory, "chunks": chunking.deduplicated_chunks(pieces), "courses": courses, "rungs": rungs}

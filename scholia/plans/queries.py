@@ -13,6 +13,7 @@ from scholia.operators import extraction as E
 from scholia.operators import grading as G
 from scholia.operators import lines as L
 from scholia.operators import mastery as M
+from scholia.operators import outline as O
 from scholia.operators import retrieval as R
 from scholia.operators import srs as S
 from scholia.operators import structure as U
@@ -205,7 +206,21 @@ def str20_chapters(s, d):
 @query
 def str23_sections(s, d):
     lines = V.book_lines(s, d)
-    return U.sections(lines, U.chapters(lines)).select("book_id", "chapter_id", "section", "lines", F.md5("content").alias("content"))
+    return U.sections(lines, U.chapters(lines), U.printed_contents(lines)).select("book_id", "chapter_id", "label", "title", "lines", F.md5("content").alias("content"))
+
+
+@query
+def str16_ladder(s, d):
+    """Books of some sources have an embedded outline; all have headings."""
+    lines = V.book_lines(s, d)
+    own = V.outlines(s, d).filter("book_id like '%1-%'")
+    return O.ladder(lines.select("book_id").distinct(), O.outline_chapters(own), U.printed_contents(lines), U.chapters(lines))
+
+
+@query
+def str17_outline_plan(s, d):
+    pages = V.book_lines(s, d).select("book_id", F.col("part").alias("page_index"), F.col("line").alias("text"))
+    return O.section_words(O.outline_plan(V.outlines(s, d)), pages).select("book_id", "chapter", "chapter_title", "label", "title", "first_page", "stop_page", "words")
 
 
 def _outline(s, d):

@@ -180,22 +180,60 @@ def numbered(documents) -> DataFrame:
     return out.withColumn("n", (F.col("own") + F.col("before")).cast("int")).drop("own", "before", "block")
 
 
+#: Chapters of a book; a source gives as many books as it needs.
+BOOK_CHAPTERS = 100
+
+
 def book_lines(spark, sf_dir) -> DataFrame:
     """Books made of a source's documents as chapters, one row per line with its character position.
 
-    Each document has a heading `CHAPTER n: Title`, its lines, and a running header; positions are running sums per book.
+    Each hundred documents of a source are a book, so that books stay of bounded size however many rows a source has. Each
+    document has a heading `CHAPTER n: Title`, its lines, and a running header; positions are running sums per book.
     """
     from scholia.operators.lines import line_table
 
-    d = numbered(read(spark, sf_dir, "documents"))
+    d = numbered(read(spark, sf_dir, "documents")).withColumn("at", F.col("n") - 1)
+    n = (F.col("at") % BOOK_CHAPTERS + 1).cast("int")
     title = F.regexp_replace(F.substring("text", 1, 24), r"[^A-Za-z ]", "")
-    text = F.concat(F.lit("CHAPTER "), F.col("n"), F.lit(": T"), title, F.lit("\n"), F.col("text"), F.lit("\nRunning Title • page "), F.col("n"))
-    return line_table(d.select(F.col("source").alias("book_id"), F.col("n").alias("part"), text.alias("text")), ["book_id", "part"])
+    text = F.concat(F.lit("CHAPTER "), n, F.lit(": T"), title, F.lit("\n"), F.col("text"), F.lit("\nRunning Title • page "), n)
+    book = F.concat_ws("-", "source", F.floor(F.col("at") / BOOK_CHAPTERS))
+    return line_table(d.select(book.alias("book_id"), n.alias("part"), text.alias("text")), ["book_id", "part"])
 
 
-BOOK_LINES = """parts AS (SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS part, text FROM documents),
+BOOK_LINES = """numbered AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS at_, text FROM documents),
+parts AS (SELECT concat_ws('-', source, at_ // 100) AS book_id, at_ % 100 + 1 AS part, text FROM numbered),
 ptexts AS (SELECT book_id, part, 'CHAPTER ' || part || ': T' || regexp_replace(substr(text, 1, 24), '[^A-Za-z ]', '', 'g') || chr(10) || text || chr(10) || 'Running Title • page ' || part AS text FROM parts),
 plines AS (SELECT book_id, part, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ix, unnest(string_split(text, chr(10))) AS line FROM ptexts),
 book_lines AS (SELECT book_id, part, CAST(row_number() OVER w - 1 AS BIGINT) AS line_no,
   CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY book_id ORDER BY part, ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos, line
   FROM plines WINDOW w AS (PARTITION BY book_id ORDER BY part, ix))"""
+
+
+def outlines(spark, sf_dir) -> DataFrame:
+    """Embedded outlines of the books above, one page a chapter of theirs.
+
+    A preface, a part every fifty pages, a chapter every five, an entry on every page (each fifth page is a chapter review,
+    some carry labels of their own), an index at the end.
+    """
+    at = F.col("n") - 1
+    d = numbered(read(spark, sf_dir, "documents")).select(F.concat_ws("-", "source", F.floor(at / BOOK_CHAPTERS)).alias("book_id"), (at % BOOK_CHAPTERS + 1).cast("int").alias("page"))
+    k = F.floor((F.col("page") - 1) / 5) + 1
+    child = F.when(F.col("page") % 5 == 0, "Chapter Review").when(F.col("page") % 5 == 2, F.concat(k, F.lit(".7 Named "), "page")).when(F.col("page") % 25 == 3, "Summary").otherwise(F.concat(F.lit("Piece "), "page"))
+    entry = lambda place, level, title: F.struct((F.col("page") * 10 + place).cast("long").alias("seq"), F.lit(level).alias("level"), title.alias("title"))
+    rows = F.array(
+        F.when(F.col("page") == 1, entry(0, 1, F.lit("Preface"))),
+        F.when(F.col("page") % 50 == 1, entry(1, 1, F.concat(F.lit("Part "), F.floor(F.col("page") / 50) + 1, F.lit(": All")))),
+        F.when(F.col("page") % 5 == 1, entry(2, 2, F.concat(F.lit("Chapter "), k, F.lit(": Topic "), "page"))),
+        entry(3, 3, child),
+    )
+    own = d.select("book_id", "page", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("e")).select("book_id", "e.*", "page")
+    index = d.groupBy("book_id").agg(F.max("page").alias("page")).select("book_id", F.lit(100_000).cast("long").alias("seq"), F.lit(1).alias("level"), F.lit("Index").alias("title"), "page")
+    return own.unionByName(index)
+
+
+OUTLINES = """opages AS (SELECT concat_ws('-', source, at_ // 100) AS book_id, CAST(at_ % 100 + 1 AS INT) AS page FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS at_ FROM documents)),
+outlines AS (SELECT book_id, page * 10 AS seq, 1 AS level, 'Preface' AS title, page FROM opages WHERE page = 1
+  UNION ALL SELECT book_id, page * 10 + 1, 1, 'Part ' || (page // 50 + 1) || ': All', page FROM opages WHERE page % 50 = 1
+  UNION ALL SELECT book_id, page * 10 + 2, 2, 'Chapter ' || ((page - 1) // 5 + 1) || ': Topic ' || page, page FROM opages WHERE page % 5 = 1
+  UNION ALL SELECT book_id, page * 10 + 3, 3, CASE WHEN page % 5 = 0 THEN 'Chapter Review' WHEN page % 5 = 2 THEN ((page - 1) // 5 + 1) || '.7 Named ' || page WHEN page % 25 = 3 THEN 'Summary' ELSE 'Piece ' || page END, page FROM opages
+  UNION ALL SELECT book_id, 100000, 1, 'Index', max(page) FROM opages GROUP BY book_id)"""

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from scholia.operators import front_matter, lines
+from scholia.operators import front_matter, lines, outline, structure
 from scholia.plans.ingest import ingest
 
 PROSE = "\n".join("Momentum is defined as the product of the mass and the velocity. Plain text goes on here." for _ in range(12))
@@ -26,3 +26,45 @@ def test_ingest(spark):
     assert courses["a"]["chapters"] == 3
     assert out["chunks"].filter("course_id = 'a'").count() >= 1
     assert out["theory"].filter(F.size("facts") > 0).count() >= 3
+
+
+def _outline(spark, rows):
+    return spark.createDataFrame([("b", i, *r) for i, r in enumerate(rows)], "book_id string, seq long, level int, title string, page int")
+
+
+def test_outline_levels(spark):
+    parts = [(1, "Preface", 1), (1, "Part I: Begin", 2)] + [x for n in range(1, 4) for x in ((2, f"{n}. Topic {n}", 2 * n), (3, f"{n}.1 First", 2 * n), (3, "Summary", 2 * n), (3, "More", 2 * n + 1), (3, "Chapter Review", 2 * n + 1))] + [(1, "Index", 9)]
+    o = _outline(spark, parts)
+    assert [(r["number"], r["title"], r["page"]) for r in outline.outline_chapters(o).orderBy("seq").collect()] == [(n, f"Topic {n}", 2 * n) for n in range(1, 4)]
+    got = [(r["chapter"], r["label"], r["title"], r["first_page"], r["stop_page"]) for r in outline.outline_plan(o).orderBy("chapter", "label").collect()]
+    assert got == [x for n in range(1, 4) for x in ((n, f"{n}.1", "First", 2 * n, 2 * n + 1), (n, f"{n}.2", "More", 2 * n + 1, 2 * n + 1))]
+    back = _outline(spark, [(1, "Chapter I: A", 5), (1, "Chapter IV: B", 2), (1, "Chapter X: C", 9)])
+    assert outline.outline_chapters(back).count() == 0
+    roman = _outline(spark, [(1, "Chapter I: A", 1), (1, "Chapter IV: B", 2), (1, "Chapter X: C", 9)])
+    assert [r["number"] for r in outline.outline_chapters(roman).orderBy("seq").collect()] == [1, 4, 10]
+
+
+def test_ladder_of_books(spark):
+    page = "Plain text goes on here and on. " * 20
+    outlined = "\n".join(f"--- Page {n} ---\n{page}" for n in range(1, 7))
+    headed = "\n".join(x for n in range(1, 4) for x in (f"CHAPTER {n}: Topic {n}", PROSE))
+    books = spark.createDataFrame([("b", "Marked", outlined), ("h", "Headed", headed), ("c", "Loose", "\n\n".join(["word " * 900] * 9))], "book_id string, title string, text string")
+    out = ingest(books, _outline(spark, [(1, f"Chapter {n}: Own {n}", 2 * n - 1) for n in range(1, 4)]))
+    assert {r["book_id"]: r["rung"] for r in out["rungs"].collect()} == {"b": "outline", "h": "headings", "c": "chunks"}
+    own = out["chapters"].filter("book_id = 'b'").orderBy("chapter_index").collect()
+    assert [r["title"] for r in own] == ["Own 1", "Own 2", "Own 3"] and all(r["text"].count("Plain text") == 40 for r in own)
+    assert {r["course_id"]: r["chapters"] for r in out["courses"].collect()}["b"] == 3
+
+
+def test_bare_numbers_review_and_contents(spark):
+    text = ["Contents", *[f"CHAPTER {n}" for n in range(1, 4)], *[f"{n}.1 Waves {n + 10}" for n in range(1, 4)], "x" * 130]
+    for n in range(1, 4):
+        text += [str(n), f"The Title {'ABC'[n - 1]}", PROSE, f"{n}.1 Waves", PROSE, f"{n}.2 Equations in prose", PROSE, "Key Terms", PROSE]
+    t = lines.line_table(spark.createDataFrame([("b", "\n".join(text))], "book_id string, text string"), ["book_id"]).cache()
+    c = structure.chapters(t)
+    assert [(r["kind"], r["title"]) for r in c.orderBy("start").collect()] == [("bare_num_title", f"The Title {x}") for x in "ABC"]
+    free = {r["label"] for r in structure.sections(t, c).collect()}
+    assert free == {f"{n}.{k}" for n in range(1, 4) for k in ("0", "1", "2", "r")}
+    contents = spark.createDataFrame([("b", n, 1) for n in range(1, 4)], "book_id string, chapter int, section int")
+    s = {r["label"]: r for r in structure.sections(t, c, contents).collect()}
+    assert set(s) == {f"{n}.{k}" for n in range(1, 4) for k in ("0", "1", "r")} and "Equations in prose" in s["2.1"]["content"]
