@@ -29,7 +29,12 @@ def level(name: Column) -> Column:
 
 def size_level(size: Column) -> Column:
     """Level of a size: its power of two, 16 bytes or less as 0, half a megabyte or more as 15."""
-    return F.least(F.lit(15), F.greatest(F.lit(0), F.floor(F.log2(size.cast("double"))).cast("int") - 4))
+    return F.least(F.lit(15), F.greatest(F.lit(0), F.length(F.bin(size)) - 5))
+
+
+def salt(id_: Column) -> Column:
+    """One of 1,024 parts of a cell, by the id's digest; null has the part of the empty id."""
+    return F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), 1, 3), 16, 10).cast("int") % SALTS
 
 
 def with_hilbert_index(cells: DataFrame, dims: list[str] = DIMS, bits: int = BITS, out: str = "_curve") -> DataFrame:
@@ -80,7 +85,7 @@ def hilbert_shards(
         F.crc32(body(text_col).cast("binary")).alias("text_crc32"),
         level(F.col(name_cols[0])).alias("_x1"),
         level(F.col(name_cols[1])).alias("_x2"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int").alias("_salt"),
+        salt(F.col(id_col)).alias("_salt"),
     ).withColumn("size", F.col("_n") + 1)
     rows = rows.withColumn("_x0", size_level(F.col("size"))).drop("_n")
 
@@ -110,3 +115,45 @@ def hilbert_shards(
         (F.col("_at") - F.expr(f"(shard * _all + {shards - 1}) div {shards}")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def _walk() -> str:
+    """The curve index as SQL steps over (x0, x1, x2), the same walk one bit at a time."""
+    steps, at = ["c0 AS (SELECT *, x0 AS a0, x1 AS a1, x2 AS a2 FROM dims)"], 0
+    for q in range(BITS - 1, 0, -1):
+        low = (1 << q) - 1
+        for i in range(3):
+            swap, flip = f"(xor(a0, a{i}) & {low})", f"(a{i} >> {q}) & 1 = 1"
+            put = [f"CASE WHEN {flip} THEN xor(a0, {low}) ELSE xor(a0, {swap}) END AS a0"]
+            put += [f"CASE WHEN {flip} THEN a{i} ELSE xor(a{i}, {swap}) END AS a{i}"] if i else []
+            steps.append(f"c{at + 1} AS (SELECT * REPLACE ({', '.join(put)}) FROM c{at})")
+            at += 1
+    turn = "0"
+    for q in range(BITS - 1, 0, -1):
+        turn = f"xor({turn}, CASE WHEN (g2 >> {q}) & 1 = 1 THEN {(1 << q) - 1} ELSE 0 END)"
+    steps.append(f"gray AS (SELECT *, a0 AS g0, xor(a1, a0) AS g1, xor(a2, xor(a1, a0)) AS g2 FROM c{at}), turned AS (SELECT *, {turn} AS turn FROM gray)")
+    index = " + ".join(f"(((xor(g{i}, turn) >> {q}) & 1) << {3 * q + 2 - i})" for q in range(BITS) for i in range(3))
+    return ", ".join(steps) + f", curve AS (SELECT *, {index} AS curve FROM turned)"
+
+
+_LEVEL = "instr('0123456789abcdef', substr(md5(coalesce({c}, '')), 4, 1)) - 1"
+
+
+def _nibble(i: int) -> int:
+    """The checksum's share of four bits (reversed polynomial)."""
+    for _ in range(4):
+        i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+_TABLE = f"([{', '.join(str(_nibble(i)) for i in range(16))}]::BIGINT[])"
+_LOW = f"{_TABLE}[1 + (xor(a, b) & 15)]"
+_STEP = f"xor(xor(a, b) >> 8, xor({_LOW} >> 4, {_TABLE}[1 + (xor(xor(a, b) >> 4, {_LOW}) & 15)]))"
+#: The checksum is folded over the bytes, four bits at a time.
+SQL = f"""WITH docs AS (SELECT doc_id, source, lang, hex(encode(coalesce(text, ''))) AS h FROM documents),
+summed AS (SELECT doc_id, source, lang, CAST(length(h) // 2 + 1 AS BIGINT) AS size,
+  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, b: {_STEP})) AS text_crc32 FROM docs),
+dims AS (SELECT *, CAST(least(15, greatest(0, length(bin(size)) - 5)) AS BIGINT) AS x0, {_LEVEL.format(c="source")} AS x1, {_LEVEL.format(c="lang")} AS x2,
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3) AS INT) % {SALTS} AS salt FROM summed),
+{_walk()}, placed AS (SELECT *, row_number() OVER (ORDER BY curve, salt, doc_id NULLS FIRST, text_crc32, size) - 1 AS at_, count(*) OVER () AS n FROM curve)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(at_ * {SHARDS} // n AS INT) AS shard, CAST(at_ - ((at_ * {SHARDS} // n) * n + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM placed"""

@@ -53,6 +53,7 @@ def queries():
 def oracle_sql():
     return {
         "op1_chat_formatting": chat.SQL,
+        "op4_hilbert_sharding": hilbert.SQL,
         "op5_benchmark_decontamination": decontam.SQL,
         "op8_exact_dedup": exact_dedup.SQL,
         "op10_ngram_jaccard_join": ngram_join.SQL,
