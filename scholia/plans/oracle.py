@@ -284,3 +284,15 @@ SQL["cat4_pending_chapters"] = f"WITH {CHAPS} SELECT course_id, 'c' || doc_id AS
 SQL["cat6_chapters_by_unit"] = f"""WITH {CHAPS}, n AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'Own unit' WHEN unit_index % 2 = 0 THEN 'Declared ' || unit_index ELSE 'Unit ' || unit_index END AS unit FROM chapters)
 SELECT course_id, unit, string_agg('c' || doc_id, ',' ORDER BY chapter_index) AS chapters FROM n GROUP BY course_id, unit_index, unit"""
 SQL["agg10_document_sizes"] = f"SELECT source, CAST(sum(len({SPLIT.format(c='text')})) AS BIGINT) AS words, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source"
+TOLD = r"(?i)(?:the\s+)?(?:correct|final|expected)\s+answer\s+is\s+"
+PUT = "'[work through the final step yourself]', 'g')"
+#: Word boundaries know all letters, so the sign after the answer is matched and put back.
+EDGED = PUT.replace("]'", "]\\1'")
+REST = TOLD + r"[^\n.]+"
+SQL["flt11_safe_hints"] = rf"""WITH b AS (SELECT item_id, text, array_to_string(string_split(text, ' ')[1:2], ' ') AS answer FROM benchmark),
+h AS (SELECT *, regexp_escape(answer) AS safe, CASE WHEN regexp_matches(answer, '[\p{{L}}\p{{M}}\p{{N}}_]$') THEN '($|[^\p{{L}}\p{{M}}\p{{N}}_])' ELSE '([\p{{L}}\p{{M}}\p{{N}}_])' END AS edge, 'Look again. The final answer is ''' || answer || '''. So x = ' || answer || ' and ' || text AS h0 FROM b),
+h1 AS (SELECT *, CASE WHEN answer <> '' THEN regexp_replace(h0, {q(TOLD)} || '[''"]?' || safe || '[''"]?', {PUT} ELSE h0 END AS h1 FROM h),
+h2 AS (SELECT *, CASE WHEN answer <> '' THEN regexp_replace(h1, '(?i)=\s*' || safe || edge, {EDGED} ELSE h1 END AS h2 FROM h1),
+h3 AS (SELECT *, CASE WHEN answer <> '' THEN regexp_replace(h2, '(?i)therefore[,]?\s+(?:the\s+answer\s+is\s+)?' || safe || edge, {EDGED} ELSE h2 END AS h3 FROM h2),
+h4 AS (SELECT item_id, regexp_replace(h3, {q(REST)}, 'complete the remaining steps to reach the result', 'g') AS hint FROM h3)
+SELECT item_id, {STRIP.format(c="hint")} AS hint FROM h4"""
