@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import bwt_dedup, chat, decontam, exact_dedup, hilbert, html_extract, langid, ngram_join, pieces, quality
+from scholia.llm import bpe, bwt_dedup, chat, collocations, decontam, exact_dedup, hilbert, html_extract, langid, ngram_join, pieces, quality
 from scholia.llm.common import read
 
 
@@ -46,6 +46,14 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op12_bpe(spark, sf_dir):
+    return bpe.digests(bpe.decode_documents(bpe.encode_documents(read(spark, sf_dir, "documents"))))
+
+
+def op13_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
@@ -57,4 +65,5 @@ def oracle_sql():
         "op5_benchmark_decontamination": decontam.SQL,
         "op8_exact_dedup": exact_dedup.SQL,
         "op10_ngram_jaccard_join": ngram_join.SQL,
+        "op13_phrase_collocations": collocations.SQL,
     }
