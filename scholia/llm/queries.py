@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import bpe, bwt_dedup, chat, collocations, decontam, exact_dedup, hilbert, html_extract, langid, ngram_join, pieces, quality
+from scholia.llm import bpe, bwt_dedup, chat, collocations, decontam, exact_dedup, hilbert, html_extract, langid, ngram_join, pieces, quality, repair
 from scholia.llm.common import read
 
 
@@ -46,6 +46,10 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return repair.summaries(repair.damage(read(spark, sf_dir, "conversations")))
+
+
 def op12_bpe(spark, sf_dir):
     return bpe.digests(bpe.decode_documents(bpe.encode_documents(read(spark, sf_dir, "documents"))))
 
@@ -65,5 +69,6 @@ def oracle_sql():
         "op5_benchmark_decontamination": decontam.SQL,
         "op8_exact_dedup": exact_dedup.SQL,
         "op10_ngram_jaccard_join": ngram_join.SQL,
+        "op11_conversation_repair": repair.SQL,
         "op13_phrase_collocations": collocations.SQL,
     }
