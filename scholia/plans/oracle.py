@@ -18,7 +18,7 @@ def q(text: str) -> str:
 
 
 def holds(c: str, words: str) -> str:
-    return "(" + " OR ".join(f"contains({c}, {q(w)})" for w in words.split("|")) + ")"
+    return "(" + " OR ".join(f"contains({c}, {q(w)})" for w in words) + ")"
 
 
 def fuzzy(source: str, acc: str, lat: str, att: str, sev: str, hin: str, out: str = "fz") -> str:
@@ -131,7 +131,7 @@ SQL["prj13_guardrails"] = "SELECT doc_id, k AS tier_key, l AS label, a AS audien
 
 
 def _count(name: str) -> str:
-    return " + ".join(f"(length(c) - length(replace(c, {q(w)}, ''))) / {len(w)}" for w in SUBJECT_WORDS[name].split("|"))
+    return " + ".join(f"(length(c) - length(replace(c, {q(w)}, ''))) / {len(w)}" for w in SUBJECT_WORDS[name])
 
 
 _TITLE = " ".join(f"WHEN {holds('lower(title)', ws)} THEN {q(name)}" for name, ws in TITLE_WORDS)
@@ -285,7 +285,7 @@ SQL["cat6_chapters_by_unit"] = f"""WITH {CHAPS}, n AS (SELECT *, CASE WHEN doc_i
 SELECT course_id, unit, string_agg('c' || doc_id, ',' ORDER BY chapter_index) AS chapters FROM n GROUP BY course_id, unit_index, unit"""
 SQL["agg10_document_sizes"] = f"SELECT source, CAST(sum(len({SPLIT.format(c='text')})) AS BIGINT) AS words, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source"
 TOLD = r"(?i)(?:the\s+)?(?:correct|final|expected)\s+answer\s+is\s+"
-PUT = "'[work through the final step yourself]', 'g')"
+PUT = "'[find this step on your own]', 'g')"
 #: Word boundaries know all letters, so the sign after the answer is matched and put back.
 EDGED = PUT.replace("]'", "]\\1'")
 REST = TOLD + r"[^\n.]+"
@@ -294,5 +294,5 @@ h AS (SELECT *, regexp_escape(answer) AS safe, CASE WHEN regexp_matches(answer,
 h1 AS (SELECT *, CASE WHEN answer <> '' THEN regexp_replace(h0, {q(TOLD)} || '[''"]?' || safe || '[''"]?', {PUT} ELSE h0 END AS h1 FROM h),
 h2 AS (SELECT *, CASE WHEN answer <> '' THEN regexp_replace(h1, '(?i)=\s*' || safe || edge, {EDGED} ELSE h1 END AS h2 FROM h1),
 h3 AS (SELECT *, CASE WHEN answer <> '' THEN regexp_replace(h2, '(?i)therefore[,]?\s+(?:the\s+answer\s+is\s+)?' || safe || edge, {EDGED} ELSE h2 END AS h3 FROM h2),
-h4 AS (SELECT item_id, regexp_replace(h3, {q(REST)}, 'complete the remaining steps to reach the result', 'g') AS hint FROM h3)
+h4 AS (SELECT item_id, regexp_replace(h3, {q(REST)}, 'take the steps that are left', 'g') AS hint FROM h3)
 SELECT item_id, {STRIP.format(c="hint")} AS hint FROM h4"""
