@@ -2,7 +2,7 @@
 
 1. Tasks cut texts into pieces and words and combine equal suffixes (the words of a piece from each position, three at most),
    so that a phrase repeated in thousands of documents is one row of a task.
-2. Suffixes are routed by their leading words into ranges of (lang, word, word, word). A range ends wherever the load asks for
+2. Suffixes are routed by language and leading words into ranges. A range ends wherever the load asks for
    it, also inside the suffixes of one word or two, so a very common word is spread over many tasks.
 3. A task sorts pointers to its suffixes by multikey three-way quicksort down to the third word, all open partitions of a round
    at once in numpy. An equal partition is a phrase and the sum of its suffixes is its count; a partition whose sum can't reach
@@ -25,6 +25,8 @@ from scholia.llm.common import body, cut
 LEAST, LONGEST, TOP, INSIDE_PERCENT = 10, 3, 2000, 50
 #: Words whose suffixes a task combines at a time; their numbers fit into 21 bits.
 WORDS = 1 << 20
+#: Ranges of suffixes for each shuffle partition: a task holds a whole range.
+RANGES = 4
 #: Bytes of text a task cuts into words at a time (a longer text is taken alone).
 BYTES = 8 << 20
 SPACE, BREAK = 0x20, 0x0A
@@ -39,54 +41,48 @@ for _b in b".,;:!?\x0a\x0b\x0c\x0d":
 _BYTES = bytes(_BYTES)
 
 WORD_COLUMNS = ["w1", "w2", "w3"]
-SUFFIXES = "lang string, w1 string, w2 string, w3 string, c long"
+#: A suffix: the language, a tab, and each word with a space after it, so that suffixes that begin with the same words are neighbours in
+#: byte order. Words hold neither tabs nor spaces.
+SUFFIXES = "suffix binary, c long"
 COUNTS = "lang string, w1 string, w2 string, w3 string, depth int, c long"
 
 
-def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of prepared bytes, and which piece each word is in."""
+def strings(raw: np.ndarray, chosen: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The chosen bytes as an Arrow array of binaries of these sizes."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw[chosen])])
+
+
+def words_of(text: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The words of prepared bytes, and which piece each word is in."""
     raw = np.frombuffer(text, np.uint8)
     inside = np.concatenate(([False], (raw != SPACE) & (raw != BREAK), [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    return starts, ends, np.searchsorted(np.flatnonzero(raw == BREAK), starts)
-
-
-def strings(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The slices as an Arrow array of binaries."""
-    sizes = ends - starts
-    offsets = np.concatenate(([0], np.cumsum(sizes)))
-    flat = raw[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
+    return strings(raw, inside[1:-1], ends - starts), np.searchsorted(np.flatnonzero(raw == BREAK), starts)
 
 
 def combined_suffixes(batches):
-    """Batches of (lang, text) to batches of SUFFIXES: the different suffixes of up to WORDS words of one language, with counts."""
-    schema = pa.schema([("lang", pa.string()), *((w, pa.string()) for w in WORD_COLUMNS), ("c", pa.int64())])
+    """Batches of (lang, text) to SUFFIXES: the different suffixes of up to WORDS words of one language, with counts."""
     waiting: dict[str, list] = {}
     held = 0
 
     def combine(lang: str, texts: list[bytes]):
-        text = b"\n".join(texts)
-        raw = np.frombuffer(text, np.uint8)
-        starts, ends, piece = words_of(text)
-        for a in range(0, len(starts), WORDS):
-            b = min(a + WORDS, len(starts))
-            z = min(b + LONGEST - 1, len(starts))  # the words after it complete the last suffixes
-            coded = strings(raw, starts[a:z], ends[a:z]).dictionary_encode()
-            number = coded.indices.to_numpy().astype(np.int64) + 1
-            number = np.concatenate((number, np.zeros(LONGEST - 1, np.int64)))
+        words, piece = words_of(b"\n".join(texts))
+        for a in range(0, len(words), WORDS):
+            b = min(a + WORDS, len(words))
+            z = min(b + LONGEST - 1, len(words))  # the words after it complete the last suffixes
+            coded = words[a:z].dictionary_encode()
+            number = np.concatenate((coded.indices.to_numpy().astype(np.int64) + 1, np.zeros(LONGEST - 1, np.int64)))
             at = np.concatenate((piece[a:z], np.full(LONGEST - 1, -1)))
             n = b - a
             second = np.where(at[1 : n + 1] == at[:n], number[1 : n + 1], 0)
             third = np.where(at[2 : n + 2] == at[:n], number[2 : n + 2], 0)
             key, count = np.unique((number[:n] << 42) | (second << 21) | third, return_counts=True)
-            names = coded.dictionary.cast(pa.string())
-            columns = []
-            for shift in (42, 21, 0):
-                index = ((key >> shift) & ((1 << 21) - 1)) - 1
-                columns.append(names.take(pa.array(index, mask=index < 0)))
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(key)), *columns, pa.array(count)], schema=schema)
+            names = pc.binary_join_element_wise(coded.dictionary, b"", b" ")
+            names = pa.concat_arrays([pa.array([b""], names.type), names])
+            parts = (names.take(pa.array((key >> shift) & ((1 << 21) - 1))) for shift in (42, 21, 0))
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(lang.encode() + b"\t", *parts, b""), pa.array(count)], names=["suffix", "c"])
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -100,58 +96,78 @@ def combined_suffixes(batches):
         yield from combine(k, texts)
 
 
+def parsed(suffixes: pa.Array) -> tuple[list[np.ndarray], list[list[bytes]]]:
+    """Suffixes as numbers (language, three words; 0: the suffix has ended), and what the numbers stand for."""
+    n = len(suffixes)
+    offsets = np.frombuffer(suffixes.buffers()[1], np.int32)[suffixes.offset : suffixes.offset + n + 1].astype(np.int64)
+    raw = np.frombuffer(suffixes.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    tabs = np.flatnonzero(raw == 0x09)
+    ahead = tabs[np.searchsorted(tabs, offsets[1:]) - 1] + 1 - offsets[:-1]  # to the last tab of the row; a language may hold others
+    language = np.repeat(np.tile([True, False], n), np.stack([ahead, np.diff(offsets) - ahead], 1).ravel())
+    spaces = np.flatnonzero((raw == SPACE) & ~language)
+    begins = np.searchsorted(spaces, offsets)
+    count = np.diff(begins)
+    row = np.repeat(np.arange(n, dtype=np.int32), count)
+    nth = np.arange(len(row)) - np.repeat(begins[:-1], count)
+    before = np.concatenate(([0], spaces[:-1] + 1))
+    sizes = spaces - np.where(nth == 0, np.repeat(offsets[:-1] + ahead, count), before)
+    words = strings(raw, ~language & (raw != SPACE), sizes).dictionary_encode()
+    langs = strings(raw, language, ahead).dictionary_encode()
+    keys = [langs.indices.to_numpy() + 1, *(np.zeros(n, np.int32) for _ in range(LONGEST))]
+    numbers = words.indices.to_numpy() + 1
+    for i in range(LONGEST):
+        keys[1 + i][row[nth == i]] = numbers[nth == i]
+    return keys, [[b"", *(x[:-1] for x in langs.dictionary.to_pylist())], *[[b"", *words.dictionary.to_pylist()]] * LONGEST]
+
+
 def three_way(keys: list[np.ndarray], weight: np.ndarray, least: int):
-    """Multikey three-way quicksort of pointers by keys[0], keys[1], ...: for each depth, (a pointer, sum) of the equal partitions.
+    """Multikey three-way quicksort of pointers by keys[0], keys[1], ...: for each depth, a pointer and the sum of each equal partition.
 
-    Keys are whole numbers, 0 ends a suffix. Partitions whose weight is below `least` are abandoned. The partitions of a round
-    are divided together: those open at one depth lie one after the other in `pointer`.
+    Keys are whole numbers, 0 ends a suffix. Partitions whose weight is below `least` are abandoned. The open partitions of a
+    depth lie one after the other; a round divides all of them by the median of their first, middle and last key.
     """
-    pointer = np.arange(len(weight))
-    size = np.array([len(weight)]) if len(weight) else np.zeros(0, np.int64)
+    pointer, size = np.arange(len(weight), dtype=np.int32), np.array([len(weight)])[: len(weight)]
     for key in keys:
-        first, total, equal_pointers, equal_sizes = [], [], [], []
-        k = key[pointer]
+        first, total, deeper, deeper_sizes = [], [], [], []
+        k, w = key[pointer], weight[pointer]
         while len(size):
             begin = np.cumsum(size) - size
             a, b, c = k[begin], k[begin + size // 2], k[begin + size - 1]
-            pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))  # the median of three
-            owner = np.repeat(np.arange(len(size)), size)
-            side = np.sign(k - pivot[owner]).astype(np.int8) + 1
-            part = owner * 3 + side
-            sums = np.bincount(part, weight[pointer], 3 * len(size)).astype(np.int64)
-            sizes = np.bincount(part, minlength=3 * len(size))
-            alive = sums >= least
-            alive[1::3] &= pivot > 0  # suffixes that end here go no deeper
-            order = np.argsort(part[stay := np.flatnonzero(alive[part])], kind="stable")
-            pointer, k, part = pointer[stay][order], k[stay][order], part[stay][order]
-            equal = part % 3 == 1
-            if equal.any():
-                done = np.flatnonzero(alive[1::3]) * 3 + 1
-                heads = np.flatnonzero(equal & np.concatenate(([True], part[1:] != part[:-1])))
-                first.append(pointer[heads])
-                total.append(sums[done])
-                equal_pointers.append(pointer[equal])
-                equal_sizes.append(sizes[done])
-            alive[1::3] = False
-            pointer, k, size = pointer[~equal], k[~equal], sizes[alive]
-        first, total, pointer, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, total, equal_pointers, equal_sizes))
+            pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+            owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+            wanted = np.repeat(pivot, size)
+            rest = []
+            for side in (k == wanted, k < wanted, k > wanted):
+                mine = owner[side]
+                sums = np.bincount(mine, w[side], len(size)).astype(np.int64)
+                alive = sums >= least
+                if not rest:
+                    alive &= pivot > 0  # suffixes that end here go no deeper
+                sizes = np.bincount(mine, minlength=len(size))[alive]
+                at = np.flatnonzero(side)[alive[mine]]
+                rest.append((at, sizes))
+                if len(rest) == 1:
+                    deeper.append(pointer[at])
+                    deeper_sizes.append(sizes)
+                    first.append(deeper[-1][np.cumsum(sizes) - sizes])
+                    total.append(sums[alive])
+            at = np.concatenate([rest[1][0], rest[2][0]])
+            pointer, k, w, size = pointer[at], k[at], w[at], np.concatenate([rest[1][1], rest[2][1]])
+        first, total, pointer, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, total, deeper, deeper_sizes))
         yield first, total
 
 
 def range_counts(batches, least: int = LEAST):
     """A range of suffixes (SUFFIXES) to its COUNTS. Depth 0 sums a language; counts of the range's edges may be partial."""
     schema = pa.schema([("lang", pa.string()), *((w, pa.string()) for w in WORD_COLUMNS), ("depth", pa.int32()), ("c", pa.int64())])
-    table = pa.Table.from_batches(batches := list(batches)) if (batches := list(batches)) else None
+    table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
     if table is None or not len(table):
         return
     weight = table.column("c").to_numpy()
-    langs = table.column("lang").combine_chunks().cast(pa.binary()).dictionary_encode()
-    # one numbering for the words of all columns, 0 where a suffix ends
-    words = pa.chunked_array([c for w in WORD_COLUMNS for c in table.column(w).chunks]).combine_chunks().cast(pa.binary()).dictionary_encode()
-    numbers = pc.fill_null(words.indices, -1).to_numpy().astype(np.int64) + 1
-    n = len(table)
-    keys = [langs.indices.to_numpy().astype(np.int64) + 1, *(numbers[i * n : (i + 1) * n] for i in range(LONGEST))]
-    names = [[b"", *langs.dictionary.to_pylist()], *[[b"", *words.dictionary.to_pylist()]] * LONGEST]
+    keys, names = parsed(table.column("suffix").combine_chunks())
+    n = len(weight)
+    del table, batches
 
     def rows(pointers: np.ndarray, totals: np.ndarray, depth: int):
         columns = [pa.array([names[i][j] for j in keys[i][pointers].tolist()], pa.binary()).cast(pa.string()) if i <= depth else pa.nulls(len(pointers), pa.string()) for i in range(LONGEST + 1)]
@@ -163,8 +179,8 @@ def range_counts(batches, least: int = LEAST):
         here = np.arange(n)
         for depth in range(LONGEST):
             found = np.unique(keys[depth][here])
-            best = choose(found.tolist(), key=lambda j, d=depth: names[d][j] if j else b"")
-            if depth and not best:
+            best = choose(found.tolist(), key=lambda j, d=depth: names[d][j] + bool(d and j) * b" ")
+            if not best:
                 break
             here = here[keys[depth][here] == best]
             edges[depth].add((int(here[0]), int(weight[here].sum())))
@@ -191,8 +207,8 @@ def phrase_counts(documents: DataFrame, text_col: str = "text", lang_col: str =
     are ignored. A text may be of any length; a task holds BYTES of texts, or one text, and a range of suffixes.
     """
     rows = documents.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), body(text_col).cast("binary").alias("text"))
-    suffixes = cut(rows.mapInArrow(combined_suffixes, SUFFIXES), "suffixes")
-    ranges = suffixes.repartitionByRange("lang", *WORD_COLUMNS)
+    ranges = RANGES * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.mapInArrow(combined_suffixes, SUFFIXES).repartitionByRange(ranges, "suffix")
     counts = ranges.mapInArrow(lambda batches: range_counts(batches, least), COUNTS)
     return counts.groupBy("lang", *WORD_COLUMNS, "depth").agg(F.sum("c").alias("c")).filter((F.col("depth") == 0) | (F.col("c") >= least))
 
