@@ -24,11 +24,11 @@ from scholia.llm.common import body, cut
 
 LEAST, LONGEST, TOP, INSIDE_PERCENT = 10, 3, 2000, 50
 #: Words whose suffixes a task combines at a time; their numbers fit into 21 bits.
-WORDS = 1 << 20
+WORDS = 1 << 19
 #: Ranges of suffixes for each shuffle partition: a task holds a whole range.
-RANGES = 4
+RANGES = 6
 #: Bytes of text a task cuts into words at a time (a longer text is taken alone).
-BYTES = 8 << 20
+BYTES = 4 << 20
 SPACE, BREAK = 0x20, 0x0A
 
 #: What each byte counts as: A-Z lower case, a tab a space, [.,;:!?\x0A-\x0D] the end of a piece.
