@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.predicates import valid_heading
-from scholia.functions.text import strip
+from scholia.functions.predicates import BOILERPLATE
+from scholia.functions.text import any_of, strip
 
 SEARCHED = 35_000
 TOC_LINE = r"\.{3,}\s*\d{1,4}\s*$|\s\d{1,4}\s*$"
@@ -24,7 +24,7 @@ def body_start(lines: DataFrame) -> DataFrame:
 
 
 def contents_end(lines: DataFrame, within: int = 400) -> DataFrame:
-    """(book_id, toc_end, entries): end of the printed contents and its number of entries.
+    """(book_id, toc_open, toc_end, entries): first line and end of the printed contents and its number of entries.
 
     The first `contents` line in the front (6000 characters or 35 %) opens it; it ends with the last line that looks like an
     entry among the next lines, before the first line of prose.
@@ -37,29 +37,54 @@ def contents_end(lines: DataFrame, within: int = 400) -> DataFrame:
     after = lines.join(first, "book_id").filter((F.col("line_no") > F.col("_open")) & (F.col("line_no") <= F.col("_open") + within))
     stop = after.groupBy("book_id").agg(F.min(F.when(F.length("line") > PROSE, F.col("line_no"))).alias("_stop"))
     own = after.join(stop, "book_id").filter(F.col("_stop").isNull() | (F.col("line_no") < F.col("_stop"))).filter(t.rlike(TOC_LINE))
-    return own.groupBy("book_id").agg(F.max(F.col("pos") + F.length("line")).alias("toc_end"), F.count(F.lit(1)).alias("entries"))
+    return own.groupBy("book_id").agg(F.first("_open").alias("toc_open"), F.max(F.col("pos") + F.length("line")).alias("toc_end"), F.count(F.lit(1)).alias("entries"))
 
 
-def following_title(lines: DataFrame) -> DataFrame:
-    """Lines with next_title: the next line of the following four that isn't empty, if it is short and no page number."""
-    t = strip(F.col("line"))
-    near = Window.partitionBy("book_id").orderBy("line_no").rowsBetween(1, 4)
-    full = lines.withColumn("_t", F.when(t != "", t))
-    title = F.first("_t", True).over(near)
-    return full.withColumn("next_title", F.when((F.length(title) <= 95) & ~title.rlike(r"^\d+$"), title)).drop("_t")
+#: Fixed value: a numbered section as a chapter's only trace.
+GROUPED = r"^[ \t]*#{0,4}[ \t]*([1-9]\d*)\.([0-9]+)[ \t]+([A-Z][^\n]{3,80})"
+#: Lines and characters before a chapter's first section in which its own title is looked for.
+LOOK_BACK, LOOK_BACK_CHARS = 6, 800
 
 
-def grouped_sections(lines: DataFrame) -> DataFrame:
-    """Chapters that only their sections `N.M` show: (book_id, number, pos, sections), for books where 40 % of them follow each other."""
-    pattern = r"^[ \t]*(\d{1,3})\.(\d{1,2})\b"
-    n = F.regexp_extract("line", pattern, 1)
-    hits = lines.filter(F.col("line").rlike(pattern + r"[ \t]+[A-Z]")).select("book_id", "pos", n.cast("int").alias("number"))
-    groups = hits.groupBy("book_id", "number").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("sections"))
+def grouped_headings(lines: DataFrame) -> DataFrame:
+    """Chapters that only their sections `N.M Title` show, as headings (book_id, kind, pos, line_no, number, title, line).
+
+    Counts for books with four sections or more in 3 to 120 chapters, of which 40 % follow each other. A chapter stands at its
+    first section behind the printed contents (at its first at all, if there is none behind). Its title is looked for in the
+    few lines before: a hash heading, a title under the chapter's bare number, the line before a chapter outline; the chapter
+    starts there. Else it has the title of its first section.
+    """
+    t = F.col("line")
+    hits = lines.filter(t.rlike(GROUPED)).select("book_id", "pos", "line_no", F.regexp_extract(t, GROUPED, 1).cast("int").alias("number"), strip(F.regexp_replace(F.regexp_extract(t, GROUPED, 3), r"\s+\d{1,4}$", "")).alias("_own"))
+    hits = hits.withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy("book_id"))).filter((F.col("_all") >= 4) & ~any_of(F.lower("_own"), BOILERPLATE))
+    ends = contents_end(lines).select("book_id", "toc_end")
+    hits = hits.join(ends, "book_id", "left").withColumn("_ahead", F.coalesce(F.col("pos") < F.col("toc_end"), F.lit(False)))
+    groups = hits.groupBy("book_id", "number").agg(F.min(F.struct("_ahead", "pos", "line_no", "_own")).alias("f")).select("book_id", "number", "f.*")
     by = Window.partitionBy("book_id")
-    groups = groups.withColumn("_next", (F.lag("number").over(by.orderBy("number")) + 1 == F.col("number")).cast("int"))
-    groups = groups.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_hits", F.sum("sections").over(by)).withColumn("_run", F.sum("_next").over(by))
-    ok = F.col("_n").between(3, 120) & (F.col("_hits") >= 4) & (F.coalesce("_run", F.lit(0)) >= 0.4 * (F.col("_n") - 1))
-    return groups.filter(ok).select("book_id", "number", "pos", "sections")
+    follows = (F.lag("number").over(by.orderBy("number")) + 1 == F.col("number")).cast("int")
+    groups = groups.withColumn("_follows", follows).withColumn("_n", F.count(F.lit(1)).over(by))
+    groups = groups.withColumn("_run", F.coalesce(F.sum("_follows").over(by), F.lit(0))).filter(F.col("_n").between(3, 120) & (F.col("_run") >= 0.4 * F.col("_n")))
+    places = groups.select("book_id", "number", F.col("pos").alias("_pos"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(LOOK_BACK)), lambda k: F.col("line_no") - k)).alias("line_no"))
+    before = places.join(lines.select("book_id", "line_no", "pos", strip(t).alias("_t")), ["book_id", "line_no"]).filter((F.col("_t") != "") & (F.col("_pos") - F.col("pos") <= LOOK_BACK_CHARS))
+    before = before.groupBy("book_id", "number").agg(F.sort_array(F.collect_list(F.struct("line_no", "pos", "_t")), asc=False).alias("b"))
+    found = groups.join(before, ["book_id", "number"], "left")
+    one, two = F.get("b", 0), F.get("b", 1)
+    hashed, titled = r"^#{1,2}[ \t]+([A-Z][^\n]{3,80})$", r"^[A-Z][^\n]{3,80}$"
+    outline = F.get(F.filter(F.transform("b", lambda x, i: F.struct(x["line_no"].alias("line_no"), x["pos"].alias("pos"), F.get(F.col("b"), i + 1)["_t"].alias("_t"), x["_t"].rlike(r"(?i)^chapter\s+outline$").alias("_is"))), lambda x: x["_is"]), 0)
+    at = lambda x, title: F.struct(x["pos"].alias("pos"), x["line_no"].alias("line_no"), title.alias("title"))
+    fit = lambda title: ~any_of(F.lower(title), BOILERPLATE)
+    parent = F.regexp_extract(one["_t"], hashed, 1)
+    above = F.when(outline["_t"].rlike(r"^[A-Z]") & (F.length(outline["_t"]) < 80) & fit(outline["_t"]), outline["_t"]).otherwise(F.col("_own"))
+    place = (
+        F.when(one["_t"].rlike(hashed) & fit(parent), at(one, strip(parent)))
+        .when(one["_t"].rlike(titled) & (two["_t"] == F.col("number").cast("string")) & fit(one["_t"]), at(two, one["_t"]))
+        .when(outline.isNotNull(), at(outline, above))
+        .otherwise(F.struct("pos", "line_no", F.col("_own").alias("title")))
+    )
+    bare = lambda c: strip(F.regexp_replace(strip(F.regexp_replace(c, r"\s+\d{1,4}\s*$", "")), r"(?i)^(?:chapter|unit|part)\s+\d+[:\s-]*", ""))
+    title = F.coalesce(F.nullif(bare(F.col("p.title")), F.lit("")), F.col("p.title"))
+    found = found.select("book_id", F.lit("grouped_numdot").alias("kind"), place.alias("p"), "number")
+    return found.select("book_id", "kind", "p.pos", "p.line_no", "number", title.alias("title"), F.concat(F.lit("Chapter "), "number", F.lit(": "), title).alias("line"))
 
 
 def leading_cluster(headings: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -71,25 +96,3 @@ def leading_cluster(headings: DataFrame, lengths: DataFrame) -> DataFrame:
     family = Window.partitionBy("book_id", "kind")
     k, n = F.sum(F.col("_front").cast("int")).over(family), F.count(F.lit(1)).over(family)
     return h.withColumn("in_cluster", F.col("_front") & (k >= 3) & (k < n) & (n >= 4)).select(*headings.columns, "in_cluster")
-
-
-def section_kind_scores(lines: DataFrame, chapters: DataFrame) -> DataFrame:
-    """(book_id, kind, score): how well `numdot`, `letdot` and `shortline` divide the chapters; `chunk` under 0.6.
-
-    The share of chapters with 2 to 15 hits counts 0.7, the mean number of hits 0.3.
-    """
-    from scholia.operators.structure import chapter_of_lines
-
-    kinds: dict[str, Column] = {
-        "numdot": F.col("line").rlike(r"^[ \t]*\d{1,3}\.\d{1,2}\b[ \t]*\S"),
-        "letdot": F.col("line").rlike(r"^[ \t]*[A-Z][.)][ \t]+\S"),
-        "shortline": F.col("line").rlike(r"^[ \t]*[A-Z][A-Za-z0-9 ,'&\-–—]{3,70}[ \t]*$") & valid_heading(F.col("line")),
-    }
-    own = chapter_of_lines(lines, chapters)
-    per = own.groupBy("book_id", "chapter_id").agg(*[F.sum(c.cast("int")).alias(k) for k, c in kinds.items()])
-    rows = per.select("book_id", F.explode(F.create_map(*[x for k in kinds for x in (F.lit(k), F.col(k))])).alias("kind", "n"))
-    share = F.avg(F.col("n").between(2, 15).cast("double"))
-    scores = rows.groupBy("book_id", "kind").agg((0.7 * share + 0.3 * F.least(F.avg("n"), F.lit(8.0)) / 8).alias("score"))
-    first = Window.partitionBy("book_id").orderBy(F.desc("score"), "kind")
-    best = scores.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
-    return best.withColumn("kind", F.when(F.col("score") >= 0.6, F.col("kind")).otherwise("chunk"))

@@ -30,8 +30,10 @@ FAMILIES = (
     ("numbered_bare", r"^[ \t]*(\d{1,3})[ \t]+([A-Z][A-Za-z0-9 ,'&\-–—:]{2,70}[A-Za-z0-9)\].])[ \t]*$", "digits", False),
     ("titled_caps", r"^[ \t]*([A-Z][A-Z0-9 ,'&\-–—:]{5,70})[ \t]*$", "order", False),
 )
-ORDER = {k: float(i) for i, (k, *_) in enumerate(FAMILIES)} | {"bare_num_title": 6.5}
+ORDER = {k: float(i) for i, (k, *_) in enumerate(FAMILIES)} | {"bare_num_title": 6.5, "grouped_numdot": 8.5}
 UNITS = [k for k, _, _, unit in FAMILIES if unit]
+#: Families that name what they number; where one of them divides a book well, its sections aren't grouped into chapters.
+EXPLICIT = ("chapter_digits", "chapter_roman", "chapter_word", "unit_digits", "unit_roman", "lesson_digits", "numbered_dot", "hash_headings")
 LEAST_CHAPTERS, MOST_CHAPTERS = 3, 120
 LONGEST_LINE = 110
 SECTION = r"^[ \t]*(\d{1,3})\.(\d{1,2})\b[ \t]*[:.\-–—]?[ \t]*([^\n]{2,90})$"
@@ -52,10 +54,26 @@ def heading_candidates(lines: DataFrame) -> DataFrame:
     found = short.select("book_id", "pos", "line_no", "line", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("h"))
     found = found.select("book_id", "h.kind", "pos", "line_no", "h.number", "h.title", "line").filter(~code_line(F.col("title")))
     found = found.unionByName(_bare_numbers(lines).filter(~code_line(F.col("title"))))
-    numbered = found.filter(~F.col("kind").isin("hash_headings", "titled_caps") & F.col("number").between(1, 200))
+    numbered = _titled(found.filter(~F.col("kind").isin("hash_headings", "titled_caps") & F.col("number").between(1, 200)), lines)
     return numbered.unionByName(_hash_headings(found.filter("kind = 'hash_headings'"))).unionByName(_caps(found.filter("kind = 'titled_caps'"), numbered))
 
 
+#: Lines after a bare heading (`CHAPTER 4`) in which its title is looked for, and the title's greatest length.
+TITLE_WITHIN, TITLE_CHARS = 4, 95
+
+
+def _titled(headings: DataFrame, lines: DataFrame) -> DataFrame:
+    """Headings without a title get the first line of the next four that isn't empty, if it is short and no page number."""
+    bare = headings.filter("title = ''").select("book_id", "kind", F.col("line_no").alias("_at"))
+    near = bare.select("book_id", "kind", "_at", F.explode(F.transform(F.sequence(F.lit(1), F.lit(TITLE_WITHIN)), lambda k: F.col("_at") + k)).alias("line_no"))
+    near = near.join(lines.select("book_id", "line_no", strip(F.col("line")).alias("_t")), ["book_id", "line_no"]).filter("_t != ''")
+    next_ = near.groupBy("book_id", "kind", F.col("_at").alias("line_no")).agg(F.min_by("_t", "line_no").alias("_next"))
+    next_ = next_.filter((F.length("_next") <= TITLE_CHARS) & ~F.col("_next").rlike(r"^\d+$"))
+    own = headings.join(next_, ["book_id", "kind", "line_no"], "left")
+    title = F.when(F.col("title") == "", F.coalesce(F.regexp_replace("_next", r"\s{2,}", " "), F.lit(""))).otherwise(F.col("title"))
+    return own.withColumn("title", title).select(*headings.columns)
+
+
 #: A number on a line of its own and the title on the next.
 BARE_NUMBER, BARE_TITLE = r"^[ \t]*(\d{1,3})[ \t]*$", r"^[ \t]*([A-Z][A-Za-z0-9 ,'&\-–—:]{2,70})[ \t]*$"
 
@@ -162,9 +180,10 @@ def chapters(lines: DataFrame) -> DataFrame:
     """Chapters of each book by its best family: chapter_id, number, title, start and end positions.
 
     Headings inside the printed contents are left out (if three of their family stand after it), and so is a tight run of them at the front whose numbers come again.
-    A number that repeats gets a suffix: ch_4, ch_4_2. Books without a family of three headings have no chapters here.
+    Where no explicit family divides a book (a run of 45 % of its numbers over 35 % of the text), its sections `N.M` are
+    grouped into chapters as one more family. A number that repeats gets a suffix: ch_4, ch_4_2. Books without a family of three headings have no chapters here.
     """
-    from scholia.operators.front_matter import contents_end, leading_cluster
+    from scholia.operators.front_matter import contents_end, grouped_headings, leading_cluster
 
     lengths = lines.groupBy("book_id").agg(F.max(F.col("pos") + F.length("line")).alias("chars"))
     # candidates are a small part of the lines and are asked many times
@@ -175,7 +194,11 @@ def chapters(lines: DataFrame) -> DataFrame:
     headings = without_listing(settled(headings))
     later = F.max("pos").over(Window.partitionBy("book_id", "kind", "number")) > F.col("pos")
     headings = settled(leading_cluster(headings, lengths).withColumn("_later", later).filter("not (in_cluster and _later)").drop("in_cluster", "_later"))
-    best = best_family(candidate_scores(headings, lengths))
+    scores = candidate_scores(headings, lengths)
+    explicit = scores.filter(F.col("kind").isin(*EXPLICIT) & ((F.col("seq") >= 0.45) | (F.col("kind") == "hash_headings")) & (F.col("spread") >= 0.35))
+    grouped = settled(grouped_headings(lines.join(explicit.select("book_id").distinct(), "book_id", "left_anti")))
+    headings = headings.unionByName(grouped)
+    best = best_family(scores.unionByName(candidate_scores(grouped, lengths)))
     h = headings.join(best.select("book_id", "kind"), ["book_id", "kind"]).join(lengths, "book_id")
     by = Window.partitionBy("book_id").orderBy("pos")
     again = F.row_number().over(Window.partitionBy("book_id", "number").orderBy("pos"))
@@ -192,10 +215,11 @@ def chapters(lines: DataFrame) -> DataFrame:
     return settled(found)
 
 
-def chapter_of_lines(lines: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Lines with the chapter whose heading governs them: a join on the book with a range condition."""
-    c = chapters.select("book_id", "chapter_id", "chapter_index", "number", "start", "end")
-    return lines.join(c, "book_id").filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))).drop("start", "end")
+def chapter_of_lines(lines: DataFrame, chapters: DataFrame, *more: str) -> DataFrame:
+    """Lines with the chapter whose heading governs them: a join on the book with a range condition; more: other columns to keep."""
+    c = chapters.select("book_id", "chapter_id", "chapter_index", "number", *{"start", "end", *more})
+    own = lines.join(c, "book_id").filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
+    return own.drop(*{"start", "end"}.difference(more))
 
 
 #: Headings that open the review at the end of a chapter.
@@ -220,7 +244,6 @@ def sections(lines: DataFrame, chapters: DataFrame, contents: DataFrame | None =
     reviews up to 200 are left out. Windows run per chapter, so a long book is not one window.
     """
     own = chapter_of_lines(lines, chapters)
-    here = Window.partitionBy("book_id", "chapter_id")
     t = F.col("line")
     hit = t.rlike(SECTION) & (F.regexp_extract(t, SECTION, 1) == F.col("number").cast("string")) & (F.length(t) <= LONGEST_LINE)
     hit = hit & F.regexp_extract(t, SECTION, 3).rlike("[A-Za-z]{3,}") & ~t.rlike("[•·ò]")
@@ -233,7 +256,14 @@ def sections(lines: DataFrame, chapters: DataFrame, contents: DataFrame | None =
         own = own.withColumn("_label", F.when(F.col("_listing").isNull() | F.col("_ok"), F.col("_label"))).drop("_listing", "_ok")
     first = F.row_number().over(Window.partitionBy("book_id", "chapter_id", "_label").orderBy("line_no")) == 1
     own = own.withColumn("_mark", F.when(F.col("_label").isNotNull() & first, F.col("_label")))
-    review = F.min(F.when(F.lower(strip(t)).isin(*REVIEW), F.col("line_no"))).over(here)
+    own = own.withColumn("_name", F.when(F.col("_mark").isNotNull(), strip(F.regexp_extract("line", SECTION, 3))))
+    return cut_sections(own.withColumn("_label", F.when(F.col("_mark").isNotNull(), F.concat_ws(".", "number", "_mark"))))
+
+
+def cut_sections(own: DataFrame) -> DataFrame:
+    """Lines of chapters, with _mark, _label and _name on the headings of sections (null elsewhere), to the parts of each chapter."""
+    here = Window.partitionBy("book_id", "chapter_id")
+    review = F.min(F.when(F.lower(strip(F.col("line"))).isin(*REVIEW), F.col("line_no"))).over(here)
     so_far = here.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("_section", F.coalesce(F.last("_mark", True).over(so_far), F.lit(0))).withColumn("_review", F.coalesce(F.col("line_no") >= review, F.lit(False)))
     part = F.when(F.col("_review"), REST).when(F.col("_section") > 0, BODY).otherwise(INTRO)
@@ -241,14 +271,12 @@ def sections(lines: DataFrame, chapters: DataFrame, contents: DataFrame | None =
     heading = (F.col("pos") == F.min("pos").over(here)) | (F.col("_mark").isNotNull() & ~F.col("_review"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("_heading"), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
     out = own.withColumn("_heading", heading).groupBy("book_id", "chapter_id", "number", "_part", "_section").agg(
-        F.max(F.when(F.col("_mark").isNotNull(), strip(F.regexp_extract("line", SECTION, 3)))).alias("_title"),
-        F.count(F.lit(1)).alias("lines"),
-        strip(text).alias("content"),
+        F.max("_name").alias("_title"), F.max("_label").alias("_label"), F.count(F.lit(1)).alias("lines"), strip(text).alias("content")
     )
     least = F.when(F.col("_part") == INTRO, LEAST_CHARS[INTRO]).when(F.col("_part") == BODY, LEAST_CHARS[BODY]).otherwise(LEAST_CHARS[REST])
-    last = F.when(F.col("_part") == REST, F.lit("r")).otherwise(F.col("_section").cast("string"))
+    label = F.when(F.col("_part") == BODY, F.col("_label")).otherwise(F.concat_ws(".", "number", F.when(F.col("_part") == REST, "r").otherwise("0")))
     title = F.when(F.col("_part") == INTRO, "Introduction").when(F.col("_part") == BODY, F.col("_title")).otherwise("Glossary, Summary & Exercises")
-    return out.filter(F.length("content") >= least).select("book_id", "chapter_id", F.concat_ws(".", "number", last).alias("label"), F.when(F.col("_part") == REST, -1).otherwise(F.col("_section")).alias("section"), title.alias("title"), "lines", "content")
+    return out.filter(F.length("content") >= least).select("book_id", "chapter_id", label.alias("label"), F.when(F.col("_part") == REST, -1).otherwise(F.col("_section")).alias("section"), title.alias("title"), "lines", "content")
 
 
 def with_units(chapters: DataFrame, units: DataFrame | None = None) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from scholia.functions.predicates import BOILERPLATE, CODE, NOISE, NON_THEORY, OFF_TOPIC, PUBLISHER_WORDS, TIERS
 from scholia.functions.text import NUMBER_WORDS, SUBJECT_WORDS, TITLE_WORDS
+from scholia.operators.contents import BARE_MARK, ENTRY, PAGE, TITLED_MARK
+from scholia.operators.front_matter import GROUPED, PROSE, TOC_LINE
 from scholia.operators.grading import DEEP_WORDS, HINT_WORDS, SOLUTION_WORDS, STOP_WORDS
-from scholia.operators.structure import BARE_NUMBER, BARE_TITLE, FAMILIES, NO_CHAPTER, REVIEW, SECTION
-from scholia.plans.views import ATTEMPTS, BANK, BOOK_LINES, CHUNKS, DIALOGUES, INQUIRIES, OUTLINES, REVIEWS, SUBMISSIONS
+from scholia.operators.structure import BARE_NUMBER, BARE_TITLE, EXPLICIT, FAMILIES, NO_CHAPTER, REVIEW, SECTION
+from scholia.operators.section_kinds import SECTION_KINDS
+from scholia.plans.views import ATTEMPTS, BANK, BOOK_LINES, CHUNKS, DIALOGUES, INQUIRIES, OUTLINES, REVIEWS, STYLED_LINES, SUBMISSIONS
 
 
 def r(x: str, d: int = 0) -> str:
@@ -154,7 +157,9 @@ SQL["str3_body_lines"] = f"""WITH {BOOK_LINES}, {HEADERS}, l AS (SELECT *, {STRI
 SELECT book_id, count(*) AS lines, CAST(sum(pos) AS BIGINT) AS pos_sum FROM l WHERE NOT (b = '' OR {' OR '.join(f'regexp_matches(b, {q(p)})' for p in NOISE)})
   AND NOT EXISTS (SELECT 1 FROM headers h WHERE h.book_id = l.book_id AND h.form = {FORM.replace('(line', '(l.line')}) GROUP BY book_id"""
 def _roman(n: int) -> str:
-    return "".join(sign * (n % over // value) for sign, value, over in (("C", 100, 1000), ("XC", 90, 100), ("L", 50, 90), ("XL", 40, 50), ("X", 10, 40), ("IX", 9, 10), ("V", 5, 9), ("IV", 4, 5), ("I", 1, 4)))
+    ones = ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")
+    tens = [x.replace("X", "C").replace("V", "L").replace("I", "X") for x in ones]
+    return "C" * (n // 100) + tens[n // 10 % 10] + ones[n % 10]
 
 
 def _worded(n: int) -> str:
@@ -180,7 +185,9 @@ found AS ({" UNION ALL ".join(_family(k, p, style) for k, p, style, _ in FAMILIE
   UNION ALL SELECT n.book_id, n.pos, n.line_no, n.line, 'bare_num_title', CAST(regexp_extract(n.line, {q(BARE_NUMBER)}, 1) AS INT), {STRIP.format(c=f"regexp_extract(t.line, {q(BARE_TITLE)}, 1)")}
   FROM book_lines n JOIN book_lines t ON n.book_id = t.book_id AND n.line_no + 1 = t.line_no WHERE regexp_matches(n.line, {q(BARE_NUMBER)}) AND regexp_matches(t.line, {q(BARE_TITLE)})),
 prose AS (SELECT * FROM found WHERE NOT ({" OR ".join(f"regexp_matches(title, {q(p)})" for p in CODE)})),
-counted AS (SELECT * FROM prose WHERE kind NOT IN ('hash_headings', 'titled_caps') AND number BETWEEN 1 AND 200),
+behind AS (SELECT p.book_id, p.kind, p.line_no, arg_min({STRIP.format(c="l.line")}, l.line_no) AS t FROM prose p JOIN book_lines l ON l.book_id = p.book_id AND l.line_no BETWEEN p.line_no + 1 AND p.line_no + 4 AND {STRIP.format(c="l.line")} <> '' WHERE p.title = '' GROUP BY ALL),
+counted AS (SELECT p.* REPLACE (CASE WHEN p.title = '' AND length(t) <= 95 AND NOT regexp_matches(t, '^\\d+$') THEN regexp_replace(t, '\\s{{2,}}', ' ', 'g') ELSE p.title END AS title)
+  FROM prose p LEFT JOIN behind b ON b.book_id = p.book_id AND b.kind = p.kind AND b.line_no = p.line_no WHERE p.kind NOT IN ('hash_headings', 'titled_caps') AND number BETWEEN 1 AND 200),
 marked AS (SELECT *, count(*) OVER (PARTITION BY book_id, number) AS n FROM prose WHERE kind = 'hash_headings' AND NOT (pos <= 200 AND number = 1 AND NOT regexp_matches(title, '(?i)\\d|chapter|unit|lesson'))),
 capital AS (SELECT p.*, {STRIP.format(c="regexp_replace(title, '^#+', '')")} AS b FROM prose p WHERE kind = 'titled_caps' AND lower(title) NOT IN ({", ".join(map(q, NO_CHAPTER))})
   AND NOT EXISTS (SELECT 1 FROM counted c WHERE c.book_id = p.book_id AND {FORM.replace("(line", "(c.line")} = {FORM.replace("(line", "(p.line")})),
@@ -188,7 +195,8 @@ heads AS (SELECT book_id, kind, pos, line_no, number, title FROM counted
   UNION ALL SELECT book_id, kind, pos, line_no, CAST(row_number() OVER (PARTITION BY book_id ORDER BY pos) AS INT), title FROM (SELECT *, min(number) FILTER (WHERE n >= 3) OVER (PARTITION BY book_id) AS top FROM marked) WHERE number = top
   UNION ALL SELECT book_id, kind, pos, line_no, CAST(row_number() OVER (PARTITION BY book_id ORDER BY pos) AS INT), title FROM capital WHERE {VALID})"""
 SQL["str7_heading_candidates"] = f"WITH {HEADS} SELECT book_id, kind, pos, number, title FROM heads"
-PLACES = ", ".join(f"('{k}', {i})" for i, k in enumerate([*[k for k, *_ in FAMILIES][:7], "bare_num_title", *[k for k, *_ in FAMILIES][7:]]))
+PLACES = ", ".join(f"('{k}', {i})" for i, k in enumerate([*[k for k, *_ in FAMILIES][:7], "bare_num_title", *[k for k, *_ in FAMILIES][7:]])) + ", ('grouped_numdot', 9.5)"
+EXPLICITS = ", ".join(map(q, EXPLICIT))
 #: The texts hold no printed contents and no numbers twice, so both have no part here.
 BEST = f"""{HEADS}, gaps AS (SELECT *, pos - lag(pos) OVER (PARTITION BY book_id, kind ORDER BY pos, line_no) AS gap FROM heads),
 steps AS (SELECT book_id, kind, gap, lag(gap) OVER (PARTITION BY book_id, kind ORDER BY gap) AS small, count(*) OVER (PARTITION BY book_id, kind) AS k FROM gaps WHERE gap > 0),
@@ -203,11 +211,110 @@ longest AS (SELECT book_id, kind, max(n) AS longest FROM (SELECT book_id, kind,
 fams AS (SELECT book_id, kind, count(*) AS n, (max(pos) - min(pos)) / greatest(max(chars), 1) AS spread,
   avg(CASE WHEN title = '' THEN CASE WHEN kind IN ('hash_headings', 'titled_caps') THEN 0.2::DOUBLE ELSE 0.85::DOUBLE END WHEN length(title) BETWEEN 3 AND 85 THEN 1 ELSE 0.4::DOUBLE END) AS quality
   FROM body JOIN chars USING (book_id) GROUP BY ALL HAVING count(*) BETWEEN 3 AND 120),
-scored AS (SELECT book_id, kind, n, {r("greatest(0, 0.4::DOUBLE * (longest / n) + 0.22::DOUBLE * spread + 0.23::DOUBLE * quality + 0.15::DOUBLE * least(n, 12) / 12 + CASE WHEN kind LIKE 'unit%' THEN -0.08::DOUBLE WHEN kind = 'hash_headings' AND spread < 0.35::DOUBLE THEN -0.35::DOUBLE WHEN kind = 'titled_caps' AND spread < 0.35::DOUBLE THEN -0.15::DOUBLE ELSE 0 END)", 6)} AS score FROM fams JOIN longest USING (book_id, kind)),
-best AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY book_id ORDER BY score DESC, p.place) AS rn FROM scored s JOIN (VALUES {PLACES}) p(kind, place) ON s.kind = p.kind) WHERE rn = 1),
+scored AS (SELECT book_id, kind, n, longest / n AS seq, spread, {r("greatest(0, 0.4::DOUBLE * (longest / n) + 0.22::DOUBLE * spread + 0.23::DOUBLE * quality + 0.15::DOUBLE * least(n, 12) / 12 + CASE WHEN kind LIKE 'unit%' THEN -0.08::DOUBLE WHEN kind = 'hash_headings' AND spread < 0.35::DOUBLE THEN -0.35::DOUBLE WHEN kind = 'titled_caps' AND spread < 0.35::DOUBLE THEN -0.15::DOUBLE ELSE 0 END)", 6)} AS score FROM fams JOIN longest USING (book_id, kind)),
+best AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY book_id ORDER BY score DESC, p.place) AS rn FROM scored s JOIN (VALUES {PLACES}) p(kind, place) ON s.kind = p.kind
+  WHERE s.kind <> 'grouped_numdot' OR s.book_id NOT IN (SELECT book_id FROM scored WHERE kind IN ({EXPLICITS}) AND (seq >= 0.45::DOUBLE OR kind = 'hash_headings') AND spread >= 0.35::DOUBLE)) WHERE rn = 1),
 chapters AS (SELECT h.book_id, 'ch_' || number || CASE WHEN row_number() OVER (PARTITION BY h.book_id, number ORDER BY pos) > 1 THEN '_' || row_number() OVER (PARTITION BY h.book_id, number ORDER BY pos) ELSE '' END AS chapter_id,
   CAST(row_number() OVER w AS INT) AS chapter_index, number, pos AS start, coalesce(lead(pos) OVER w, chars) AS "end" FROM body h JOIN best b ON h.book_id = b.book_id AND h.kind = b.kind JOIN chars c ON c.book_id = h.book_id WINDOW w AS (PARTITION BY h.book_id ORDER BY pos))"""
 SQL["str14_family_scores"] = f"WITH {BEST} SELECT book_id, kind, n, score FROM best"
+_T = STRIP.format(c="line")
+#: What follows the number can't be a full stop anyway; the SQL engine knows no look-ahead.
+_TITLED = TITLED_MARK.replace(r"(?!\.)", "")
+TOC = f"""fronts AS (SELECT book_id, max(pos) * 0.35::DOUBLE AS part_ FROM book_lines GROUP BY 1),
+opens AS (SELECT book_id, min(line_no) AS o FROM book_lines JOIN fronts USING (book_id) WHERE regexp_matches(line, '(?i)^\\s*(?:table of |brief )?contents\\s*$') AND pos <= greatest(6000, part_) GROUP BY 1),
+near_ AS (SELECT l.*, o FROM book_lines l JOIN opens USING (book_id) WHERE line_no > o AND line_no <= o + 400),
+walls AS (SELECT book_id, min(CASE WHEN length(line) > {PROSE} THEN line_no END) AS w FROM near_ GROUP BY 1),
+tends AS (SELECT book_id, max(pos + length(line)) AS e FROM near_ JOIN walls USING (book_id) WHERE (w IS NULL OR line_no < w) AND regexp_matches(line, {q(TOC_LINE)}) GROUP BY 1)"""
+def _unpaged(c: str) -> str:
+    return f"trim(regexp_replace({c}, {q(PAGE)}, ''))"
+
+
+CONTENTS = f"""{TOC}, clines AS (SELECT book_id, line_no, {_T} AS t FROM near_ JOIN tends USING (book_id) WHERE pos < e AND {_T} <> ''),
+kinds AS (SELECT *, CASE WHEN regexp_matches(t, {q(ENTRY)}) THEN 'entry' WHEN regexp_matches(t, {q(BARE_MARK)}) THEN 'bare' WHEN regexp_matches(t, {q(_TITLED)}) THEN 'titled' WHEN regexp_matches(t, '[A-Za-z]{{3,}}') THEN 'plain' END AS k,
+  CAST(nullif(regexp_extract(t, {q(PAGE)}, 1), '') AS INT) AS page FROM clines),
+marks AS (SELECT *, CASE k WHEN 'bare' THEN TRY_CAST(regexp_extract(t, {q(BARE_MARK)}, 1) AS INT) WHEN 'titled' THEN TRY_CAST(regexp_extract(t, {q(_TITLED)}, 1) AS INT) END AS mark FROM kinds),
+owned AS (SELECT *, last_value(CASE WHEN mark IS NOT NULL THEN line_no END IGNORE NULLS) OVER w AS at_, last_value(mark IGNORE NULLS) OVER w AS chapter FROM marks WINDOW w AS (PARTITION BY book_id ORDER BY line_no)),
+fits AS (SELECT * FROM owned WHERE at_ IS NOT NULL AND (k IS DISTINCT FROM 'entry' OR TRY_CAST(regexp_extract(t, {q(ENTRY)}, 1) AS INT) = chapter)),
+stops AS (SELECT *, least(min(CASE WHEN k = 'entry' THEN line_no - 1 END) OVER w, min(CASE WHEN k = 'plain' AND page IS NOT NULL THEN line_no END) OVER w) AS stop FROM fits WINDOW w AS (PARTITION BY book_id, at_)),
+chaps_ AS (SELECT book_id, at_, chapter, coalesce(max(CASE WHEN k = 'titled' THEN {_unpaged(f"regexp_extract(t, {q(_TITLED)}, 2)")} END),
+    nullif(trim(regexp_replace(string_agg({_unpaged("t")}, ' ' ORDER BY line_no) FILTER (WHERE k = 'plain' AND (stop IS NULL OR line_no <= stop)), '\\s{{2,}}', ' ', 'g')), '')) AS title,
+  CASE WHEN NOT bool_or(coalesce(k = 'titled', FALSE)) THEN arg_min(page, line_no) FILTER (WHERE k = 'plain' AND page IS NOT NULL AND (stop IS NULL OR line_no <= stop)) END AS page,
+  coalesce(string_agg(TRY_CAST(regexp_extract(t, {q(ENTRY)}, 2) AS INT) || ' ' || {_unpaged(f"regexp_extract(t, {q(ENTRY)}, 3)")}, '; ' ORDER BY line_no) FILTER (WHERE k = 'entry'), '') AS sections,
+  arg_min(TRY_CAST(regexp_extract(t, {q(ENTRY)}, 2) AS INT), line_no) FILTER (WHERE k = 'entry') AS first_section FROM stops GROUP BY ALL),
+once AS (SELECT * FROM chaps_ WHERE title IS NOT NULL AND (sections <> '' OR page IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY book_id, chapter ORDER BY at_) = 1),
+paged AS (SELECT *, coalesce(page < last_value(page IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS back FROM once),
+cplan AS (SELECT * FROM paged QUALIFY count(*) OVER (PARTITION BY book_id) >= 3 AND (count(page) OVER (PARTITION BY book_id) < 3 OR NOT bool_or(back) OVER (PARTITION BY book_id)))"""
+ANCHORS = f"""{CONTENTS}, hits_ AS (SELECT h.book_id, number AS chapter, min(pos) AS at_heading FROM heads h JOIN tends USING (book_id) WHERE pos >= e AND regexp_matches(kind, '^(chapter|unit|lesson)_') GROUP BY ALL),
+labels_ AS (SELECT l.book_id, CAST(regexp_extract(line, '^\\s*(\\d+)\\.(\\d+)', 1) AS INT) AS chapter, CAST(regexp_extract(line, '^\\s*(\\d+)\\.(\\d+)', 2) AS INT) AS first_section, min(pos) AS at_label FROM book_lines l JOIN tends USING (book_id)
+  WHERE pos >= e AND regexp_matches(line, '^\\s*\\d{{1,3}}\\.\\d{{1,3}}\\s+[A-Z]') GROUP BY ALL),
+placed_ AS (SELECT p.book_id, p.chapter, title, coalesce(at_heading, at_label) AS start, at_heading IS NULL AS by_label FROM cplan p LEFT JOIN hits_ h ON h.book_id = p.book_id AND h.chapter = p.chapter
+  LEFT JOIN labels_ l ON l.book_id = p.book_id AND l.chapter = p.chapter AND l.first_section = p.first_section WHERE coalesce(at_heading, at_label) IS NOT NULL),
+anchored AS (SELECT book_id, 'ch_' || chapter AS chapter_id, CAST(row_number() OVER w AS INT) AS chapter_index, title, start, coalesce(lead(start) OVER w, ends_) AS "end", by_label FROM placed_ JOIN (SELECT book_id, max(pos + length(line)) AS ends_ FROM book_lines GROUP BY 1) USING (book_id)
+  WINDOW w AS (PARTITION BY book_id ORDER BY start, chapter) QUALIFY count(*) OVER (PARTITION BY book_id) >= 3)"""
+#: The texts hold no hash heading and no chapter outline before a numbered section.
+_GROUP = f"""ghits AS (SELECT l.book_id, pos, line_no, CAST(regexp_extract(line, {q(GROUPED)}, 1) AS INT) AS number, {STRIP.format(c=f"regexp_replace(regexp_extract(line, {q(GROUPED)}, 3), '\\s+\\d{{1,4}}$', '')")} AS own, coalesce(pos < e, FALSE) AS ahead,
+  count(*) OVER (PARTITION BY l.book_id) AS every FROM book_lines l LEFT JOIN tends USING (book_id) WHERE regexp_matches(line, {q(GROUPED)})),
+ggroups AS (SELECT book_id, number, arg_min(pos, (ahead, pos)) AS pos, arg_min(line_no, (ahead, pos)) AS line_no, arg_min(own, (ahead, pos)) AS own FROM ghits WHERE every >= 4 AND NOT {holds('lower(own)', BOILERPLATE)} GROUP BY ALL),
+gruns AS (SELECT *, CASE WHEN lag(number) OVER (PARTITION BY book_id ORDER BY number) + 1 = number THEN 1 ELSE 0 END AS follows FROM ggroups),
+gkept AS (SELECT * FROM gruns QUALIFY count(*) OVER (PARTITION BY book_id) BETWEEN 3 AND 120 AND sum(follows) OVER (PARTITION BY book_id) >= 0.4::DOUBLE * count(*) OVER (PARTITION BY book_id)),
+gback AS (SELECT g.book_id, g.number, list(struct_pack(l := l.line_no, p := l.pos, t := {STRIP.format(c="l.line")}) ORDER BY l.line_no DESC) AS b FROM gkept g JOIN book_lines l ON l.book_id = g.book_id AND l.line_no BETWEEN g.line_no - 6 AND g.line_no - 1
+  AND {STRIP.format(c="l.line")} <> '' AND g.pos - l.pos <= 800 GROUP BY ALL),
+gheads AS (SELECT g.book_id, 'grouped_numdot' AS kind, CASE WHEN told THEN b[2].p ELSE pos END AS pos, CASE WHEN told THEN b[2].l ELSE line_no END AS line_no, number,
+  {STRIP.format(c="regexp_replace(CASE WHEN told THEN b[1].t ELSE own END, '\\s+\\d{1,4}\\s*$', '')")} AS title
+  FROM (SELECT g.*, b, coalesce(regexp_matches(b[1].t, '^[A-Z].{{3,80}}$') AND b[2].t = CAST(g.number AS VARCHAR) AND NOT {holds('lower(b[1].t)', BOILERPLATE)}, FALSE) AS told FROM gkept g LEFT JOIN gback k ON k.book_id = g.book_id AND k.number = g.number) g)"""
+_AFTER_HEADS = BEST[len(HEADS):].replace("FROM heads)", "FROM inbody)").replace("body AS (SELECT book_id, kind, pos", "body0 AS (SELECT book_id, kind, pos", 1)
+_CHARS = _AFTER_HEADS[_AFTER_HEADS.index("chars AS ("):_AFTER_HEADS.index("seqs AS (")]
+STYLED_BEST = f"""{HEADS}, {TOC}, inbody AS (SELECT book_id, kind, pos, line_no, number, title FROM (SELECT h.*, coalesce(pos >= e, TRUE) AS inside FROM heads h LEFT JOIN tends USING (book_id)) QUALIFY inside OR count(*) FILTER (WHERE inside) OVER (PARTITION BY book_id, kind) < 3)""" + _AFTER_HEADS.replace(_CHARS, _CHARS + f"""tight AS (SELECT b.*, CASE WHEN pos - lag(pos) OVER (PARTITION BY b.book_id, kind ORDER BY pos) > greatest(400, chars * 0.005::DOUBLE) THEN 1 ELSE 0 END AS far FROM body0 b JOIN chars USING (book_id)),
+leads_ AS (SELECT *, sum(far) OVER (PARTITION BY book_id, kind ORDER BY pos ROWS UNBOUNDED PRECEDING) = 0 AS front FROM tight),
+body1 AS (SELECT book_id, kind, pos, line_no, number, title FROM leads_ QUALIFY NOT (front AND count(*) FILTER (WHERE front) OVER (PARTITION BY book_id, kind) >= 3 AND count(*) FILTER (WHERE front) OVER (PARTITION BY book_id, kind) < count(*) OVER (PARTITION BY book_id, kind)
+  AND count(*) OVER (PARTITION BY book_id, kind) >= 4 AND max(pos) OVER (PARTITION BY book_id, kind, number) > pos)),
+{_GROUP}, body AS (SELECT * FROM body1 UNION ALL SELECT book_id, kind, pos, line_no, number, title FROM gheads),
+""")
+_HASHES = "length(regexp_extract(line, '^[ \\t]*(#*)', 1))"
+_COUNTS = ", ".join(
+    f"count(DISTINCT CASE WHEN regexp_matches(line, {q(p)}) AND TRY_CAST(regexp_extract(line, {q(p)}, 1) AS INT) = number THEN regexp_extract(line, {q(p)}, 2) END) AS {k}" if k.startswith("numdot") else f"count(*) FILTER (WHERE regexp_matches(line, {q(p)})) AS {k}"
+    for k, p, *_ in SECTION_KINDS
+)
+_RAW = ", ".join(f"0.7::DOUBLE * avg(CASE WHEN {k} BETWEEN 2 AND 15 THEN 1 ELSE 0 END) + 0.3::DOUBLE * least(avg({k}), 8) / 8 AS {k}" for k, *_ in SECTION_KINDS)
+_TOTALS = ", ".join(f"{{'total': {k} + {weight}::DOUBLE, 'place': -{i}, 'kind': '{k}', 'raw': {k}}}" for i, (k, _, _, weight) in enumerate(SECTION_KINDS))
+KINDS = f"""{STYLED_BEST}, clines_ AS (SELECT l.book_id, line_no, pos, line, c.chapter_id, c.number, c.start, b.kind AS ckind FROM book_lines l JOIN chapters c ON c.book_id = l.book_id AND pos >= c.start AND pos < c."end" JOIN best b ON b.book_id = l.book_id),
+tops_ AS (SELECT book_id, min({_HASHES}) FILTER (WHERE pos = start AND ckind = 'hash_headings') AS top FROM clines_ GROUP BY 1),
+counts_ AS (SELECT book_id, chapter_id, top, {_COUNTS}, count(*) FILTER (WHERE regexp_matches(line, '^[ \\t]*#+[ \\t]*[^# \\t]') AND {_HASHES} >= top + 1) AS hashes FROM clines_ JOIN tops_ USING (book_id) GROUP BY ALL),
+books_ AS (SELECT book_id, top, count(*) AS n, avg(CASE WHEN hashes BETWEEN 2 AND 15 THEN 1 ELSE 0 END) AS hashed, {_RAW} FROM counts_ GROUP BY book_id, top),
+bests_ AS (SELECT *, list_max([{_TOTALS}]) AS b, top IS NOT NULL AND n >= 2 AND hashed >= 0.6::DOUBLE AS by_hash FROM books_),
+skinds AS (SELECT book_id, CASE WHEN by_hash THEN 'hash_headings' WHEN n >= 2 AND b.raw >= 0.6::DOUBLE AND b.total > 0 THEN b.kind ELSE 'chunk' END AS kind, {r("CASE WHEN by_hash THEN hashed ELSE b.raw END", 6)} AS score, CASE WHEN by_hash THEN CAST(top + 1 AS INT) END AS level FROM bests_)"""
+_S = STRIP.format(c="line")
+_NAMES = " ".join(
+    f"WHEN k.kind = '{k}' AND regexp_matches({_S}, {q(p)})"
+    + (f" AND (ckind IN ('hash_headings', 'titled_caps') OR TRY_CAST(regexp_extract({_S}, {q(p)}, 1) AS INT) = number)" if k.startswith("numdot") else "")
+    + f" AND regexp_matches({_unpaged(f'regexp_extract({_S}, {q(p)}, {g})')}, '[A-Za-z]{{3,}}') THEN {_unpaged(f'regexp_extract({_S}, {q(p)}, {g})')}"
+    for k, p, g, _ in SECTION_KINDS
+)
+_NUMDOT = SECTION_KINDS[0][1]
+KIND_SECTIONS = f"""{KINDS}, named AS (SELECT c.*, k.kind AS skind, CASE WHEN pos = start OR length({_S}) NOT BETWEEN 1 AND 110 THEN NULL
+    WHEN k.kind = 'hash_headings' AND length(regexp_extract({_S}, '^(#*)', 1)) >= level AND length(trim(regexp_replace({_S}, '^#+[ \\t]*|[ \\t]*#*[ \\t]*$', '', 'g'))) >= 3 THEN trim(regexp_replace({_S}, '^#+[ \\t]*|[ \\t]*#*[ \\t]*$', '', 'g')) {_NAMES} END AS name
+  FROM clines_ c JOIN skinds k ON k.book_id = c.book_id AND k.kind <> 'chunk'),
+tagged AS (SELECT *, CASE WHEN name IS NOT NULL AND skind LIKE 'numdot%' THEN CAST(regexp_extract({_S}, {q(_NUMDOT)}, 1) AS INT) || '.' || regexp_extract({_S}, {q(_NUMDOT)}, 2) END AS tag FROM named),
+unique_ AS (SELECT * REPLACE (CASE WHEN tag IS NULL OR row_number() OVER (PARTITION BY book_id, chapter_id, tag ORDER BY line_no) = 1 THEN name END AS name) FROM tagged),
+run_ AS (SELECT *, count(name) OVER (PARTITION BY book_id, chapter_id ORDER BY line_no) AS sec, coalesce(line_no >= min(CASE WHEN lower({_S}) IN ({", ".join(map(q, REVIEW))}) THEN line_no END) OVER (PARTITION BY book_id, chapter_id), FALSE) AS rest FROM unique_),
+parts_ AS (SELECT * REPLACE (CASE WHEN rest THEN 0 ELSE sec END AS sec), sec AS every FROM run_),
+ktexts AS (SELECT book_id, chapter_id, CASE WHEN rest THEN number || '.r' WHEN sec = 0 THEN number || '.0' ELSE max(CASE WHEN name IS NOT NULL THEN coalesce(tag, number || '.' || every) END) END AS label,
+  CASE WHEN rest THEN 'Glossary, Summary & Exercises' WHEN sec = 0 THEN 'Introduction' ELSE max(name) END AS title, count(*) AS lines,
+  coalesce({STRIP.format(c="string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE pos <> start AND (name IS NULL OR rest))")}, '') AS content, CASE WHEN rest THEN 201 WHEN sec = 0 THEN 121 ELSE 80 END AS least FROM parts_ GROUP BY book_id, chapter_id, number, rest, sec)"""
+
+
+def styled(sql: str) -> str:
+    return sql.replace(BOOK_LINES, STYLED_LINES)
+
+
+SQL["str10_grouped_headings"] = f"WITH {STYLED_LINES}, {TOC}, {_GROUP} SELECT book_id, number, pos, title FROM gheads"
+SQL["str19_contents_plan"] = f"WITH {STYLED_LINES}, {CONTENTS} SELECT book_id, chapter, title, page, sections FROM cplan"
+SQL["str20_anchored_chapters"] = styled(f'WITH {HEADS}, {ANCHORS} SELECT book_id, chapter_id, chapter_index, title, start, "end", by_label FROM anchored')
+SQL["str20_styled_chapters"] = styled(f'WITH {STYLED_BEST} SELECT c.book_id, kind, chapter_id, chapter_index, start, "end", CAST((chapter_index - 1) // 7 + 1 AS INT) AS unit_index FROM chapters c JOIN best USING (book_id)')
+SQL["str21_section_kinds"] = styled(f"WITH {KINDS} SELECT * FROM skinds")
+SQL["str22_styled_sections"] = styled(f"WITH {KIND_SECTIONS} SELECT book_id, chapter_id, label, title, lines, md5(content) AS content FROM ktexts WHERE length(content) >= least")
+SQL["str7_styled_headings"] = SQL["str7_heading_candidates"].replace(BOOK_LINES, STYLED_LINES)
+SQL["str14_styled_scores"] = f"WITH {BEST} SELECT book_id, kind, n, score FROM scored".replace(BOOK_LINES, STYLED_LINES)
 SQL["str20_chapters"] = f'WITH {BEST} SELECT book_id, chapter_id, chapter_index, start, "end", CAST((chapter_index - 1) // 7 + 1 AS INT) AS unit_index FROM chapters'
 SQL["str23_sections"] = f"""WITH {BEST}, own AS (SELECT l.book_id, chapter_id, c.number, line_no, line, pos = start AS head, CASE WHEN length(line) <= 110 AND regexp_matches(line, {q(SECTION)}) AND regexp_extract(line, {q(SECTION)}, 1) = CAST(c.number AS VARCHAR)
     AND regexp_matches(regexp_extract(line, {q(SECTION)}, 3), '[A-Za-z]{{3,}}') AND NOT regexp_matches(line, '[•·ò]') THEN CAST(regexp_extract(line, {q(SECTION)}, 2) AS INT) END AS label

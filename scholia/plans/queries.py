@@ -9,12 +9,16 @@ from scholia.functions import text as X
 from scholia.functions.num import rounded
 from scholia.operators import catalogue as C
 from scholia.operators import chunking as K
+from scholia.operators import contents as N
 from scholia.operators import extraction as E
+from scholia.operators import front_matter as FM
 from scholia.operators import grading as G
 from scholia.operators import lines as L
 from scholia.operators import mastery as M
 from scholia.operators import outline as O
 from scholia.operators import retrieval as R
+from scholia.operators import section_kinds as SK
+from scholia.operators import simple_chapters as SC
 from scholia.operators import srs as S
 from scholia.operators import structure as U
 from scholia.operators import training as T
@@ -190,6 +194,74 @@ def str7_heading_candidates(s, d):
     return U.heading_candidates(V.book_lines(s, d)).select("book_id", "kind", "pos", "number", "title")
 
 
+@query
+def str7_styled_headings(s, d):
+    """Every family of headings occurs."""
+    return U.heading_candidates(V.styled_lines(s, d)).select("book_id", "kind", "pos", "number", "title")
+
+
+@query
+def str14_styled_scores(s, d):
+    """Scores of all families of the styled books."""
+    lines = V.styled_lines(s, d)
+    lengths = lines.groupBy("book_id").agg(F.max(F.col("pos") + F.length("line")).alias("chars"))
+    headings = settled(U.without_listing(settled(U.heading_candidates(lines))))
+    return U.candidate_scores(headings, lengths).select("book_id", "kind", "n", "score")
+
+
+@query
+def str10_grouped_headings(s, d):
+    return FM.grouped_headings(V.styled_lines(s, d)).select("book_id", "number", "pos", "title")
+
+
+@query
+def str19_contents_plan(s, d):
+    p = N.contents_plan(V.styled_lines(s, d))
+    return p.select("book_id", "chapter", "title", "page", F.array_join(F.transform("sections", lambda x: F.concat_ws(" ", x["section"], x["title"])), "; ").alias("sections"))
+
+
+@query
+def str20_anchored_chapters(s, d):
+    """Every third chapter of a contents book has a heading; the others are found by the label of their first section."""
+    lines = settled(V.styled_lines(s, d))
+    return N.anchored_chapters(lines, settled(N.contents_plan(lines))).select("book_id", "chapter_id", "chapter_index", "title", "start", "end", "by_label")
+
+
+@query
+def str16_styled_ladder(s, d):
+    """All four ways to divide a book."""
+    lines = settled(V.styled_lines(s, d))
+    own = V.outlines(s, d).filter("book_id like '%1-%'")
+    return O.ladder(lines.select("book_id").distinct(), O.outline_chapters(own), N.divided_by_contents(lines)[0], U.chapters(lines))
+
+
+@query
+def str20_styled_chapters(s, d):
+    """Chapters by headings of all families."""
+    return U.with_units(U.chapters(settled(V.styled_lines(s, d)))).select("book_id", "kind", "chapter_id", "chapter_index", "start", "end", "unit_index")
+
+
+@query
+def str21_section_kinds(s, d):
+    lines = settled(V.styled_lines(s, d))
+    return SK.section_kinds(lines, U.chapters(lines)).select("book_id", "kind", "score", "level")
+
+
+@query
+def str22_styled_sections(s, d):
+    """Numbered, lettered and hashed sections, introductions and a chapter's glossary."""
+    lines = settled(V.styled_lines(s, d))
+    chapters = U.chapters(lines)
+    return SK.sections_by_kind(lines, chapters, settled(SK.section_kinds(lines, chapters))).select("book_id", "chapter_id", "label", "title", "lines", F.md5("content").alias("content"))
+
+
+@query
+def str27_simple_chapters(s, d):
+    """Numbered sections, headings of any kind, folded parts."""
+    c = SC.simple_chapters(V.styled_lines(s, d))
+    return c.select("book_id", "chapter_index", "title", F.md5("content").alias("content"), F.array_join(F.transform("subsections", lambda x: F.concat_ws(" ", x["label"], x["title"])), "; ").alias("subsections"))
+
+
 @query
 def str14_family_scores(s, d):
     lines = V.book_lines(s, d)
@@ -200,19 +272,19 @@ def str14_family_scores(s, d):
 
 @query
 def str20_chapters(s, d):
-    return U.with_units(U.chapters(V.book_lines(s, d))).select("book_id", "chapter_id", "chapter_index", "start", "end", "unit_index")
+    return U.with_units(U.chapters(settled(V.book_lines(s, d)))).select("book_id", "chapter_id", "chapter_index", "start", "end", "unit_index")
 
 
 @query
 def str23_sections(s, d):
-    lines = V.book_lines(s, d)
+    lines = settled(V.book_lines(s, d))
     return U.sections(lines, U.chapters(lines), U.printed_contents(lines)).select("book_id", "chapter_id", "label", "title", "lines", F.md5("content").alias("content"))
 
 
 @query
 def str16_ladder(s, d):
     """Books of some sources have an embedded outline; all have headings."""
-    lines = V.book_lines(s, d)
+    lines = settled(V.book_lines(s, d))
     own = V.outlines(s, d).filter("book_id like '%1-%'")
     return O.ladder(lines.select("book_id").distinct(), O.outline_chapters(own), U.printed_contents(lines), U.chapters(lines))
 

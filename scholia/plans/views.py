@@ -237,3 +237,71 @@ outlines AS (SELECT book_id, page * 10 AS seq, 1 AS level, 'Preface' AS title, p
   UNION ALL SELECT book_id, page * 10 + 2, 2, 'Chapter ' || ((page - 1) // 5 + 1) || ': Topic ' || page, page FROM opages WHERE page % 5 = 1
   UNION ALL SELECT book_id, page * 10 + 3, 3, CASE WHEN page % 5 = 0 THEN 'Chapter Review' WHEN page % 5 = 2 THEN ((page - 1) // 5 + 1) || '.7 Named ' || page WHEN page % 25 = 3 THEN 'Summary' ELSE 'Piece ' || page END, page FROM opages
   UNION ALL SELECT book_id, 100000, 1, 'Index', max(page) FROM opages GROUP BY book_id)"""
+
+
+#: Number words of the styled books' chapters.
+WORDED = ("One", "Two", "Three", "Four", "Five", "Six", "Seven", "Eight", "Nine", "Ten", "Eleven", "Twelve")
+TENS, ONES = ("", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC", "C"), ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")
+
+
+def styled_lines(spark, sf_dir) -> DataFrame:
+    """The same books once more, each set in one of eleven styles by its source and number.
+
+    Chapters in Roman numbers (0) or words (1), units (2), lessons (3), hashes with sections (4), bare numbers (5), capitals
+    (6), numbered sections, every second time under a number and a title (7), numbered sections behind printed contents with
+    wrapped titles, every third time under a heading (8), chapters with lettered sections and a glossary (9), nothing (10).
+    Contents are parts before the first.
+    """
+    from scholia.operators.lines import line_table
+
+    d = numbered(read(spark, sf_dir, "documents")).withColumn("at", F.col("n") - 1)
+    number = F.coalesce(F.expr("try_cast(regexp_extract(source, '[0-9]+', 0) as int)"), F.lit(0))
+    d = d.select(
+        F.concat_ws("-", "source", F.floor(F.col("at") / BOOK_CHAPTERS)).alias("book_id"),
+        ((number + F.floor(F.col("at") / BOOK_CHAPTERS)) % 11).cast("int").alias("style"),
+        (F.col("at") % BOOK_CHAPTERS + 1).cast("int").alias("n"),
+        F.concat(F.lit("T"), F.regexp_replace(F.substring("text", 1, 24), r"[^A-Za-z ]", "")).alias("title"),
+        "text",
+        F.expr("substring(text, 1, length(text) div 2)").alias("first"),
+        F.expr("substring(text, length(text) div 2 + 1)").alias("second"),
+    )
+    n, title, style = F.col("n"), F.col("title"), F.col("style")
+    pick = lambda words, at: F.get(F.array(*map(F.lit, words)), at.cast("int"))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    roman = F.concat(pick(TENS, F.floor(n / 10)), pick(ONES, n % 10))
+    lost = F.when((style == 7) & (n % 2 == 0), text(n, "\n", title, " whole\n")).when((style == 8) & (n % 3 == 0), text("CHAPTER ", n, "\n")).otherwise("")
+    body = (
+        F.when(style == 0, text("CHAPTER ", roman, ": ", title, "\n", F.col("text")))
+        .when(style == 1, text("Chapter ", pick(WORDED, (n - 1) % len(WORDED)), ": ", title, "\n", F.col("text")))
+        .when(style == 2, text("UNIT ", n, ": ", title, "\n", F.col("text")))
+        .when(style == 3, text("Lesson ", n, " - ", title, "\n", F.col("text")))
+        .when(style == 4, text("## ", title, "\n### Ideas of part ", n, "\n", F.col("first"), "\n### Uses of part ", n, "\n", F.col("second")))
+        .when(style == 5, text(n, "\n", title, " alone\n", F.col("text")))
+        .when(style == 6, text(F.upper(title), " PART ", n, "\n", F.col("text")))
+        .when(style == 9, text("CHAPTER ", n, ": ", title, "\nA. Ground rules\n", F.col("first"), "\nB. Worked cases\n", F.col("second"), "\nKey Terms\n", F.substring("text", 1, 250)))
+        .when(style == 10, F.col("text"))
+        .otherwise(text(lost, n, ".1 Ground of ", title, "\n", F.col("first"), "\n", n, ".2 Work of ", title, "\n", F.col("second")))
+    )
+    front = text(F.when(n == 1, "Contents\n").otherwise(""), "CHAPTER ", n, "\nThe long way to\n", title, " ", n + 10, "\n", n, ".1 Ground of ", title, " ", n + 10, "\n", n, ".2 Work of ", title, " ", n + 12)
+    own = d.select("book_id", n.alias("part"), text(body, "\nStyled Book • page ", n).alias("text"))
+    contents = d.filter("style = 8").select("book_id", (n - 1000).alias("part"), front.alias("text"))
+    return line_table(own.unionByName(contents), ["book_id", "part"])
+
+
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+STYLED_LINES = f"""numbered AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS at_, text FROM documents),
+sparts AS (SELECT concat_ws('-', source, at_ // 100) AS book_id, (coalesce(TRY_CAST(regexp_extract(source, '[0-9]+') AS INT), 0) + at_ // 100) % 11 AS style, at_ % 100 + 1 AS n,
+  'T' || regexp_replace(substr(text, 1, 24), '[^A-Za-z ]', '', 'g') AS title, text, substr(text, 1, length(text) // 2) AS a, substr(text, length(text) // 2 + 1) AS b FROM numbered),
+ptexts AS (SELECT book_id, n AS part, CASE style WHEN 0 THEN 'CHAPTER ' || ({_LIST(TENS)})[n // 10 + 1] || ({_LIST(ONES)})[n % 10 + 1] || ': ' || title || chr(10) || text
+  WHEN 1 THEN 'Chapter ' || ({_LIST(WORDED)})[(n - 1) % {len(WORDED)} + 1] || ': ' || title || chr(10) || text WHEN 2 THEN 'UNIT ' || n || ': ' || title || chr(10) || text
+  WHEN 3 THEN 'Lesson ' || n || ' - ' || title || chr(10) || text WHEN 4 THEN '## ' || title || chr(10) || '### Ideas of part ' || n || chr(10) || a || chr(10) || '### Uses of part ' || n || chr(10) || b
+  WHEN 5 THEN n || chr(10) || title || ' alone' || chr(10) || text WHEN 6 THEN upper(title) || ' PART ' || n || chr(10) || text
+  WHEN 9 THEN 'CHAPTER ' || n || ': ' || title || chr(10) || 'A. Ground rules' || chr(10) || a || chr(10) || 'B. Worked cases' || chr(10) || b || chr(10) || 'Key Terms' || chr(10) || substr(text, 1, 250)
+  WHEN 10 THEN text
+  ELSE CASE WHEN style = 7 AND n % 2 = 0 THEN n || chr(10) || title || ' whole' || chr(10) WHEN style = 8 AND n % 3 = 0 THEN 'CHAPTER ' || n || chr(10) ELSE '' END || n || '.1 Ground of ' || title || chr(10) || a || chr(10) || n || '.2 Work of ' || title || chr(10) || b END || chr(10) || 'Styled Book • page ' || n AS text FROM sparts
+  UNION ALL SELECT book_id, n - 1000, CASE WHEN n = 1 THEN 'Contents' || chr(10) ELSE '' END || 'CHAPTER ' || n || chr(10) || 'The long way to' || chr(10) || title || ' ' || (n + 10) || chr(10) || n || '.1 Ground of ' || title || ' ' || (n + 10) || chr(10) || n || '.2 Work of ' || title || ' ' || (n + 12)
+  FROM sparts WHERE style = 8),
+plines AS (SELECT book_id, part, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ix, unnest(string_split(text, chr(10))) AS line FROM ptexts),
+book_lines AS (SELECT book_id, part, CAST(row_number() OVER w - 1 AS BIGINT) AS line_no,
+  CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY book_id ORDER BY part, ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos, line
+  FROM plines WINDOW w AS (PARTITION BY book_id ORDER BY part, ix))"""
