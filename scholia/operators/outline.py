@@ -5,6 +5,8 @@ Windows run over the entries of one book's outline, which are few; pages are joi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,13 +105,13 @@ def chapter_texts(outline: DataFrame, pages: DataFrame) -> DataFrame:
     return hit.groupBy("book_id", "chapter_id", "chapter_index", F.col("title").alias("title")).agg(text.alias("text"))
 
 
-def ladder(books: DataFrame, outlined: DataFrame, contents: DataFrame, headed: DataFrame) -> DataFrame:
+def ladder(books: DataFrame, outlined: DataFrame, contents: DataFrame, headed: DataFrame, simple: DataFrame | None = None) -> DataFrame:
     """(book_id, rung) for every book: the first way that divides it.
 
     outlined are the chapters of embedded outlines, contents the entries of printed tables (three chapters or more count),
-    headed the chapters found by headings; what is left goes into balanced chunks.
+    headed the chapters found by headings, simple those of the simple parser; what is left goes into balanced chunks.
     """
     printed = contents.groupBy("book_id").agg(F.countDistinct("chapter").alias("_n")).filter(F.col("_n") >= LEAST_CHAPTERS)
-    rungs = {"outline": outlined, "contents": printed, "headings": headed, "chunks": books}
+    rungs = {"outline": outlined, "contents": printed, "headings": headed, "chunks": books} | ({} if simple is None else {"simple": simple})
     plans = [df.select("book_id", F.lit(k).alias("rung")).distinct() for k, df in rungs.items()]
-    return best_rung(plans[0].unionByName(plans[1]).unionByName(plans[2]).unionByName(plans[3]))
+    return best_rung(reduce(DataFrame.unionByName, plans))

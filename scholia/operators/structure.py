@@ -328,8 +328,8 @@ def printed_contents(lines: DataFrame, within: int = 400) -> DataFrame:
 
 
 def best_rung(plans: DataFrame) -> DataFrame:
-    """plans (book_id, rung, ...): embedded outline, printed contents, headings, balanced chunks; the first that a book has."""
-    place = F.create_map(*[F.lit(x) for i, k in enumerate(("outline", "contents", "headings", "chunks")) for x in (k, i)])[F.col("rung")]
+    """plans (book_id, rung, ...): embedded outline, printed contents, headings, simple chapters, balanced chunks; the first that a book has."""
+    place = F.create_map(*[F.lit(x) for i, k in enumerate(("outline", "contents", "headings", "simple", "chunks")) for x in (k, i)])[F.col("rung")]
     return plans.withColumn("_rn", F.row_number().over(Window.partitionBy("book_id").orderBy(place))).filter("_rn = 1").drop("_rn")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions.text import chapter_title, clean_text, subject
-from scholia.operators import catalogue, chunking, extraction, lines, outline, structure
+from scholia.operators import catalogue, chunking, contents, extraction, lines, outline, section_kinds, simple_chapters, structure
 from scholia.sources.tables import settled
 
 LEAST_TEXT = 50
@@ -17,8 +17,9 @@ def ingest(books: DataFrame, outlines: DataFrame | None = None) -> dict[str, Dat
     """books (book_id, title, text) to chapters, theory, chunks, courses, and the way each book was divided.
 
     Text stays in rows of lines, sections and chapters; a book is never one row. A book with an embedded outline (outlines:
-    book_id, seq, level, title, page) and page marks is divided by it, others by their headings; a book without either goes
-    into balanced chunks. Printed contents bound where headings count and which sections do.
+    book_id, seq, level, title, page) and page marks is divided by it, one with printed contents by these, others by their
+    headings, else by the simple parser; what is left goes into balanced chunks. Sections are those that the contents list, else
+    those of the family of headings that divides the book best.
     """
     clean = books.withColumn("text", clean_text(F.col("text"))).filter(F.length("text") >= LEAST_TEXT)
     clean = clean.withColumn("subject", subject(F.col("title"), F.col("text")))
@@ -28,16 +29,25 @@ def ingest(books: DataFrame, outlines: DataFrame | None = None) -> dict[str, Dat
     by_outline = outline.chapter_texts(outlines, lines.split_pages(books.select("book_id", "text"))).withColumn("text", clean_text(F.col("text")))
     by_outline = settled(structure.with_units(by_outline))
     table = table.join(by_outline.select("book_id").distinct(), "book_id", "left_anti")
-    plain = settled(lines.without_headers(table, lines.running_headers(table)))
-    contents = settled(structure.printed_contents(plain))
+    # a bare mark repeats like a running header, but divides the book
+    headers = lines.running_headers(table).filter(~F.col("form").rlike("^(?:chapter|unit|part|lesson|module) #$"))
+    plain = settled(lines.without_headers(table, headers))
     # a bare page number may head a chapter, so noise goes after the headings are found
     kept = lines.without_noise_lines(plain)
-    found = structure.with_units(structure.chapters(plain))
-    divided = structure.sections(kept, found, contents)
+    plan, by_contents = contents.divided_by_contents(plain)
+    headed = structure.chapters(plain.join(by_contents.select("book_id").distinct(), "book_id", "left_anti"))
+    kinds = settled(section_kinds.section_kinds(kept, headed))
+    listed = structure.printed_contents(plain).join(headed.select("book_id").distinct(), "book_id", "left_semi").select("book_id", "chapter", "section", "title")
+    numbered = headed.join(kinds.filter("kind = 'numdot'"), "book_id", "left_semi").unionByName(by_contents.drop("by_label"))
+    divided = structure.sections(kept, numbered, contents.contents_sections(plan).unionByName(listed))
+    divided = divided.unionByName(section_kinds.sections_by_kind(kept, headed, kinds.filter("kind <> 'numdot'")))
+    found = structure.with_units(by_contents.drop("by_label").unionByName(headed))
     body = lines.body_text(structure.chapter_of_lines(kept, found), ["book_id", "chapter_id"])
     chapters = found.join(body, ["book_id", "chapter_id"]).select("book_id", "chapter_id", "chapter_index", chapter_title(F.col("title")).alias("title"), "unit_index", F.col("body").alias("text"))
     chapters = chapters.unionByName(by_outline.select(*chapters.columns))
-    rungs = outline.ladder(clean, by_outline, contents.join(found, "book_id", "left_semi"), found)
+    simple = settled(simple_chapters.simple_chapters(plain.join(found.select("book_id").distinct(), "book_id", "left_anti"), structure.MOST_CHAPTERS))
+    chapters = chapters.unionByName(simple.select("book_id", F.concat(F.lit("ch_"), "chapter_index").alias("chapter_id"), "chapter_index", chapter_title(F.col("title")).alias("title"), (F.floor((F.col("chapter_index") - 1) / 7) + 1).cast("int").alias("unit_index"), F.col("content").alias("text")))
+    rungs = outline.ladder(clean, by_outline, plan, headed, simple)
     rest = clean.join(rungs.filter("rung = 'chunks'"), "book_id", "left_semi")
     parts = rest.select("book_id", F.posexplode(chunking.packed(F.col("text"), "paragraphs", 24_000)).alias("_i", "text"))
     i = F.col("_i") + 1

@@ -12,8 +12,7 @@ def test_front_matter(spark):
     end = front_matter.contents_end(t).first()
     assert end["entries"] == 2 and text[: end["toc_end"]].endswith("1.2 Light 19")
     assert text[front_matter.body_start(t).first()["body_start"] :].startswith("Chapter 1")
-    assert front_matter.following_title(t).filter("line = 'Contents'").first()["next_title"] == "1.1 Waves ...... 12"
-    assert [r["number"] for r in front_matter.grouped_sections(t).orderBy("number").collect()] == [1, 2, 3]
+    assert [(r["number"], r["title"]) for r in front_matter.grouped_headings(t).orderBy("number").collect()] == [(1, "Waves"), (2, "Heat"), (3, "Sound")]
 
 
 def test_ingest(spark):
