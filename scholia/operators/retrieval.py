@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.num import rounded
+from scholia.functions.predicates import with_guardrails
 from scholia.functions.text import words
 
 K1, B = 1.5, 0.75
+#: Fixed value: what stands for missing excerpts.
+PLACEHOLDER = "No specific textbook excerpt retrieved."
 FUSION = 60.0
 #: Queries are broadcast; this bounds them (64 dimensions of 8 bytes each: 25 MB).
 MOST_QUERIES = 50_000
@@ -125,4 +128,30 @@ def grounded_prompts(ranked: DataFrame, query: str = "query_id") -> DataFrame:
     """ranked (query, rank, document) to one context per query, excerpts in rank order; a placeholder where there is none."""
     ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("document").isNotNull(), F.struct("rank", "document")))), lambda x: x["document"])
     text = F.array_join(ordered, "\n---\n")
-    return ranked.groupBy(query).agg(F.when(text == "", "No specific textbook excerpt retrieved.").otherwise(text).alias("context"), F.count("document").alias("excerpts"))
+    return ranked.groupBy(query).agg(F.when(text == "", PLACEHOLDER).otherwise(text).alias("context"), F.count("document").alias("excerpts"))
+
+
+#: What every grounded prompt asks for.
+GROUNDING = ("Explain and prove from the excerpts only", "Add no facts and no theories of another level", "Write formulas in plain text, such as F = m * a")
+
+
+def grounded_system_prompts(ranked: DataFrame, about: DataFrame, query: str = "query_id") -> DataFrame:
+    """(query, tier_key, excerpts, prompt): grounded_prompts set between a course's data and the guardrails of its tier.
+
+    about: (query, role, subject, course_title, chapter_title, tier, question); a null question adds nothing. Queries without
+    excerpts get the placeholder.
+    """
+    context = grounded_prompts(ranked, query)
+    rows = with_guardrails(about, "tier").join(context, query, "left")
+    bullets = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    parts = (
+        text("You are the ", F.col("role"), " for ", F.col("subject"), ".\nCourse: ", F.col("course_title"), "\nChapter: ", F.col("chapter_title"), "\nLearners: ", F.col("label"), " (", F.col("audience"), ")"),
+        text("# Excerpts of the course\n", F.coalesce("context", F.lit(PLACEHOLDER))),
+        text("# Style\n", F.col("tone"), "\nMathematics: ", F.col("math_ceiling")),
+        text("# Not allowed\n", bullets(F.col("prohibitions"))),
+        text("# Required\n", bullets(F.col("requirements"))),
+        text("# Grounding\n", "\n".join(f"- {x}" for x in GROUNDING)),
+        F.when(F.col("question").isNotNull(), text("# Question\n", F.col("question"))),
+    )
+    return rows.select(query, "tier_key", F.coalesce("excerpts", F.lit(0)).cast("long").alias("excerpts"), F.concat_ws("\n\n", *parts).alias("prompt"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from scholia.functions.predicates import BOILERPLATE, CODE, NOISE, NON_THEORY, OFF_TOPIC, PUBLISHER_WORDS, TIERS
+from scholia.functions.predicates import BOILERPLATE, CODE, NOISE, NON_THEORY, OFF_TOPIC, PROHIBITED, PUBLISHER_WORDS, REWRITES, TIER_RULES, TIERS
 from scholia.functions.text import NUMBER_WORDS, SUBJECT_WORDS, TITLE_WORDS
 from scholia.operators.contents import BARE_MARK, ENTRY, PAGE, TITLED_MARK
 from scholia.operators.front_matter import GROUPED, PROSE, TOC_LINE
-from scholia.operators.grading import DEEP_WORDS, HINT_WORDS, SOLUTION_WORDS, STOP_WORDS
+from scholia.operators.grading import DEEP_WORDS, HINTS, NO_FORMULA, NO_MISCONCEPTION, NODES, HINT_WORDS, SOLUTION_WORDS, STOP_WORDS
 from scholia.operators.structure import BARE_NUMBER, BARE_TITLE, EXPLICIT, FAMILIES, NO_CHAPTER, REVIEW, SECTION
 from scholia.operators.section_kinds import SECTION_KINDS
-from scholia.plans.views import ATTEMPTS, BANK, BOOK_LINES, CHUNKS, DIALOGUES, INQUIRIES, OUTLINES, REVIEWS, STYLED_LINES, SUBMISSIONS
+from scholia.plans.views import ANSWER_SHEETS, ATTEMPTS, BANK, BOOK_LINES, CHUNKS, DIALOGUES, INQUIRIES, OUTLINES, REVIEWS, STYLED_LINES, SUBMISSIONS, TOTALS
 
 
 def r(x: str, d: int = 0) -> str:
@@ -114,8 +114,12 @@ i3 AS (SELECT *, length(q1) >= 2 AND ({OFF}) AS off_, inquiry_type = 'solution'
 i4 AS (SELECT *, CAST(CASE WHEN sol THEN 20 WHEN hint THEN 55 WHEN consecutive_errors >= 2 THEN 30 WHEN deep THEN 90 ELSE 70 END AS DOUBLE) AS acc,
   CAST(CASE WHEN sol THEN 0.85 WHEN hint THEN 0.35 WHEN consecutive_errors >= 2 THEN 0.7 WHEN deep THEN 0.1 ELSE 0.35 END AS DOUBLE) AS sev FROM i3),
 {fuzzy('i4', 'acc', 'time_taken', 'consecutive_errors + 1', 'sev', 'CASE WHEN hint THEN 1 ELSE 0 END')}
-SELECT inquiry_id, CASE WHEN off_ THEN 'guardrail_deflection' WHEN hint AND NOT sol THEN 'hint' WHEN sol THEN 'solution' WHEN acc >= 85 OR performance_tier IN ('High Mastery', 'Moderate Mastery') THEN 'deep' ELSE 'surface' END AS depth_level,
-  CASE WHEN off_ THEN 50 ELSE fuzzy_score END AS fuzzy_score, CASE WHEN off_ THEN 'Developing' ELSE performance_tier END AS performance_tier, NOT off_ AND sol AS requires_remedial_routing FROM fz"""
+SELECT inquiry_id, CASE WHEN off_ THEN 'guardrail_deflection' WHEN hint AND NOT sol THEN 'hint' WHEN sol THEN 'solution' WHEN acc >= 85 OR performance_tier IN ('High Mastery', 'Moderate Mastery') THEN 'deep' ELSE 'surface' END AS depth_level, hint AS hint_requested,
+  CASE WHEN off_ THEN 'This question isn''t about Course ' || (inquiry_id % 3) || '. Let''s stay with Chapter ' || (inquiry_id % 5) || ' and what it teaches about Science: which step of it is unclear to you?' END AS deflection,
+  CAST(CASE WHEN off_ THEN 0 ELSE degree_of_failure END AS DOUBLE) AS degree_of_failure, CASE WHEN off_ THEN 50 ELSE fuzzy_score END AS fuzzy_score, CASE WHEN off_ THEN 'Developing' ELSE performance_tier END AS performance_tier, NOT off_ AND sol AS requires_remedial_routing FROM fz"""
+_INQ = SQL["cls1_routed_inquiries"]
+_AT = _INQ.index("SELECT inquiry_id, CASE WHEN off_")
+SQL["cls1_routed_inquiries"] = f"{_INQ[:_AT].rstrip()}, routed AS ({_INQ[_AT:]}) SELECT *, CASE depth_level {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in NODES.items())} END AS active_node FROM routed"
 SQL["src6_interactions"] = """SELECT event_id AS row_id, CASE WHEN event_id % 4 > 0 THEN CAST(user_id AS VARCHAR) ELSE 's' || user_id END AS "user",
   CASE WHEN event_type = 'view' THEN 'QA' ELSE event_type END AS action, event_id * 37 % 60000 AS elapsed_time FROM events"""
 SQL["src7_first_log_rows"] = "SELECT event_id AS row_id, event_id * 37 % 60000 AS elapsed_time FROM events ORDER BY event_id LIMIT 5000"
@@ -130,7 +134,9 @@ SELECT doc_id, md5({CLEAN}) AS cleaned,
   coalesce(nullif(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 90)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48), ''), 'book') AS slug, substr(sha256(bare), 1, 16) AS content_hash FROM u"""
 SQL["prj7_titles"] = "SELECT p_partkey, p_name AS title FROM part"
 SQL["prj12_tiers"] = "SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'introductory' WHEN 2 THEN 'advanced' WHEN 3 THEN 'introductory' WHEN 5 THEN 'advanced' WHEN 8 THEN 'introductory' ELSE 'standard' END AS tier FROM events"
-SQL["prj13_guardrails"] = "SELECT doc_id, k AS tier_key, l AS label, a AS audience FROM documents JOIN (VALUES " + ", ".join(f"({i}, {q(k)}, {q(x)}, {q(a)})" for i, (k, x, a) in enumerate(TIERS)) + ") t(i, k, l, a) ON doc_id % 3 = i"
+_TIER_ROWS = ", ".join(f"({i}, {q(k)}, {q(x)}, {q(a)}, " + ", ".join(q("; ".join(v) if isinstance(v, tuple) else v) for v in TIER_RULES[k]) + ")" for i, (k, x, a) in enumerate(TIERS))
+GUARDS = f"guards AS (SELECT * FROM (VALUES {_TIER_ROWS}) t(i, tier_key, label, audience, tone, math_ceiling, prohibitions, requirements))"
+SQL["prj13_guardrails"] = f"WITH {GUARDS} SELECT doc_id, guards.* EXCLUDE (i) FROM documents JOIN guards ON doc_id % 3 = i"
 
 
 def _count(name: str) -> str:
@@ -403,3 +409,48 @@ h2 AS (SELECT *, CASE WHEN answer <> '' THEN regexp_replace(h1, '(?i)=\s*' || sa
 h3 AS (SELECT *, CASE WHEN answer <> '' THEN regexp_replace(h2, '(?i)therefore[,]?\s+(?:the\s+answer\s+is\s+)?' || safe || edge, {EDGED} ELSE h2 END AS h3 FROM h2),
 h4 AS (SELECT item_id, regexp_replace(h3, {q(REST)}, 'take the steps that are left', 'g') AS hint FROM h3)
 SELECT item_id, {STRIP.format(c="hint")} AS hint FROM h4"""
+
+
+def no_answer(source: str, c: str, out: str) -> str:
+    """CTEs that take the expected answer out of column c of a source; the result is column safe_."""
+    edge = "CASE WHEN regexp_matches(expected_answer, '[\\p{L}\\p{M}\\p{N}_]$') THEN '($|[^\\p{L}\\p{M}\\p{N}_])' ELSE '([\\p{L}\\p{M}\\p{N}_])' END"
+    has = "expected_answer <> ''"
+    return rf"""{out}0 AS (SELECT *, regexp_escape(expected_answer) AS lit_, {edge} AS edge_, {c} AS safe0 FROM {source}),
+{out}1 AS (SELECT * EXCLUDE (safe0), CASE WHEN {has} THEN regexp_replace(safe0, {q(TOLD)} || '[''"]?' || lit_ || '[''"]?', {PUT} ELSE safe0 END AS safe1 FROM {out}0),
+{out}2 AS (SELECT * EXCLUDE (safe1), CASE WHEN {has} THEN regexp_replace(safe1, '(?i)=\s*' || lit_ || edge_, {EDGED} ELSE safe1 END AS safe2 FROM {out}1),
+{out}3 AS (SELECT * EXCLUDE (safe2), CASE WHEN {has} THEN regexp_replace(safe2, '(?i)therefore[,]?\s+(?:the\s+answer\s+is\s+)?' || lit_ || edge_, {EDGED} ELSE safe2 END AS safe3 FROM {out}2),
+{out} AS (SELECT * EXCLUDE (safe3, lit_, edge_), {STRIP.format(c=f"regexp_replace(safe3, {q(REST)}, 'take the steps that are left', 'g')")} AS safe_ FROM {out}3)"""
+
+
+_GAP = "regexp_replace(regexp_replace(replace(replace(replace(CASE WHEN expected_answer <> '' THEN regexp_replace(g, '(?i)expected answer\\s+is\\s+[''\"]?' || regexp_escape(expected_answer) || '[''\"]?', 'value asked for is another', 'g') ELSE g END, {0}), {1}), {2}), '(?i)the (?:correct|expected|right) answer (?:is|was)\\s+[^\\n.]+', 'your answer needs another look', 'g'), '(?i)but the expected answer[^\\n.]*', 'but the way or the result has to change', 'g')"
+for _i, _form in enumerate(("expected_answer", "lower(expected_answer)", "upper(expected_answer)")):
+    _GAP = _GAP.replace("{%d}" % _i, f"CASE WHEN expected_answer <> '' THEN '''' || {_form} || '''' ELSE chr(0) END, 'the value asked for'")
+_WITHIN = SQL["grd4_graded_submissions"].replace(SUBMISSIONS, ANSWER_SHEETS)
+_WITHIN = _WITHIN[: _WITHIN.rindex("SELECT submission_id, is_correct")]
+_FORMULA = ["coalesce(nullif(hint_formula, ''), " + q(x) + ")" for x in NO_FORMULA]
+_LEAK = " OR ".join(f"regexp_matches(h, {q(p)})" for p in PROHIBITED)
+_PLAIN = "h"
+for _p, _put in REWRITES:
+    _PLAIN = f"regexp_replace({_PLAIN}, {q(_p)}, {q(_put)}, 'g')"
+SQL["grd4_answer_records"] = f"""{_WITHIN}, told AS (SELECT *, CASE WHEN similarity >= 0.4::DOUBLE THEN 'The answer ''' || student_raw_input || ''' is on the way, but parts or steps are missing.'
+  ELSE 'The answer ''' || student_raw_input || ''' doesn''t follow from the rule behind the question.' END AS g FROM fz),
+gaps AS (SELECT *, CASE WHEN is_correct THEN 'The answer says what was asked for.' ELSE {STRIP.format(c=_GAP)} END AS gap_analysis FROM told),
+lined AS (SELECT *, CASE hint_level WHEN 1 THEN '- ' || {q(HINTS[0][0])} || chr(10) || '- ' || {q(HINTS[0][1])} || coalesce(nullif(hint_misconception, ''), {q(NO_MISCONCEPTION)}) || chr(10) || '- ' || {q(HINTS[0][2])}
+  WHEN 2 THEN '- ' || {q(HINTS[1][0])} || {_FORMULA[0]} || chr(10) || '- ' || {q(HINTS[1][2])}
+  ELSE '- ' || {q(HINTS[2][0])} || gap_analysis || chr(10) || '- ' || {q(HINTS[2][1])} || {_FORMULA[1]} || chr(10) || '- ' || {q(HINTS[2][2])} END AS raw_hint FROM gaps),
+{no_answer("lined", "raw_hint", "sf")},
+final AS (SELECT *, CASE WHEN is_correct THEN 'Right! Your score is ' || fuzzy_score || ' % (' || performance_tier || ').' ELSE safe_ END AS h FROM sf)
+SELECT submission_id, coalesce(nullif(student_id, ''), 'default_student') AS student_id, coalesce(course_id, '') AS course_id, coalesce(nullif(chapter_id, ''), 'ch_1') AS chapter_id, substr(question_text, 1, 40) AS question_id, 'short_answer' AS question_type,
+  is_correct, accuracy_pct, fuzzy_score, error_severity, hint_level, CAST(seconds_spent AS DOUBLE) AS latency_seconds, degree_of_failure, gap_analysis, CASE WHEN tier = 'Class 9' AND ({_LEAK}) THEN {_PLAIN} ELSE h END AS assigned_hint FROM final"""
+_ENTRY = "concat_ws('|', attempt_id, qId, topic, md5(question), formula, misconception, attempts_count, CAST(round_even(score * 10, 0) AS BIGINT))"
+SQL["grd6_exam_profiles"] = f"""{DETAILS}, {BANK}, {TOTALS}, e AS (SELECT submission_id, count(*) AS total_questions, CAST(sum(is_correct) AS BIGINT) AS correct_answers, {r('avg(fuzzy_score)', 6)} AS accuracy,
+  CAST(floor({r('avg(latency_seconds)', 6)}) AS INT) AS average_latency, CAST(round_even(avg(attempts_count), 0) AS INT) AS average_attempts, {r('avg(error_severity)', 6)} AS sev FROM details GROUP BY submission_id
+  UNION ALL SELECT submission_id, total_questions, correct_answers, correct_answers / total_questions * 100, CAST(total_elapsed_time // total_questions AS INT), 1, CASE WHEN correct_answers / total_questions * 100 >= 80 THEN 0 ELSE 0.6::DOUBLE END FROM totals),
+{fuzzy('e', 'accuracy', 'average_latency', 'average_attempts', 'sev', '0')},
+paths AS (SELECT *, submission_id > 0 AND submission_id % 3 > 0 AND submission_id % 5 > 0 AS guided, {r('fuzzy_score - greatest(30, 100 - (submission_id % 5) * 12.5::DOUBLE)', 1)} AS delta FROM fz),
+named AS (SELECT d.submission_id AS sid, d.* EXCLUDE (submission_id, fuzzy_score), d.fuzzy_score AS score, coalesce(nullif(moduleOrigin, ''), CASE WHEN attempt_id % 2 = 0 THEN 'Own topic' END, 'Core Topic') AS topic, coalesce(nullif(text, ''), 'Exam Problem') AS question, coalesce(formula, '') AS formula, 'mixes up ' || d.qId AS misconception
+  FROM details d LEFT JOIN bank b ON d.qId = b.qId),
+lists AS (SELECT sid, coalesce(string_agg({_ENTRY}, ';' ORDER BY attempt_id) FILTER (WHERE is_correct = 1), '') AS good, coalesce(string_agg({_ENTRY}, ';' ORDER BY attempt_id) FILTER (WHERE is_correct <> 1), '') AS bad FROM named GROUP BY sid)
+SELECT submission_id, total_questions, correct_answers, average_latency, average_attempts, fuzzy_score, performance_tier, CASE WHEN guided THEN 'A' ELSE 'B' END AS pathway, CAST(CASE WHEN guided THEN delta ELSE 0 END AS DOUBLE) AS score_delta_pct,
+  CASE WHEN NOT guided THEN 'skipped' WHEN delta > 15 THEN 'significant' WHEN delta > 0 THEN 'moderate' ELSE 'negligible' END AS insight, CAST(CASE performance_tier WHEN 'High Mastery' THEN 4 WHEN 'Moderate Mastery' THEN 3 WHEN 'Developing' THEN 2 ELSE 1 END AS INT) AS study_level,
+  coalesce(good, '') AS correct_details, coalesce(bad, '') AS incorrect_details FROM paths LEFT JOIN lists ON sid = submission_id"""

@@ -95,6 +95,38 @@ def grd4_graded_submissions(s, d):
     return G.graded_submissions(V.submissions(s, d)).select("submission_id", "is_correct", "accuracy_pct", "error_severity", "fuzzy_score", "performance_tier")
 
 
+@query
+def grd4_answer_records(s, d):
+    """Graded answers as the log of attempts holds them, with diagnosis and hint."""
+    return G.answer_records(V.answer_sheets(s, d)).drop("performance_tier")
+
+
+def _listed(c):
+    entry = lambda x: F.concat_ws("|", x["attempt_id"], x["qId"], x["topic"], F.md5(x["question"]), x["formula"], x["misconception"], x["attempts"], F.rint(x["fuzzy_score"] * 10).cast("long"))
+    return F.coalesce(F.array_join(F.transform(c, entry), ";"), F.lit(""))
+
+
+@query
+def grd6_exam_profiles(s, d):
+    """Exams with and without details, with and without mock exams before; lists of answers."""
+    details = V.exam_details(s, d).withColumn("topic", F.when(F.col("attempt_id") % 2 == 0, "Own topic")).withColumn("misconception", F.concat(F.lit("mixes up "), "qId"))
+    turns = details.select("submission_id").distinct().filter("submission_id % 3 > 0").withColumn("mock_turns", F.col("submission_id") % 5)
+    p = G.exam_profiles(details, V.exam_bank(s, d), V.exam_totals(s, d), turns)
+    return p.select("submission_id", "total_questions", "correct_answers", "average_latency", "average_attempts", "fuzzy_score", "performance_tier", "pathway", "score_delta_pct", "insight", "study_level",
+                    _listed(F.col("correct_details")).alias("correct_details"), _listed(F.col("incorrect_details")).alias("incorrect_details"))
+
+
+@query
+def ret6_system_prompts(s, d):
+    """Grounded prompts between course data and the guardrails of the tier; every fifth query has no excerpt."""
+    docs = V.read(s, d, "documents").select("doc_id", F.col("text").alias("document"))
+    ranked = R.dense_top(*_vectors(s, d), 3).filter("query_id % 250 > 0").join(docs, "doc_id", "left")
+    q, tiers = F.col("query_id"), F.array(*map(F.lit, ("Class 9", "Grade 12", "college")))
+    about = _vectors(s, d)[1].select("query_id", F.lit("tutor").alias("role"), F.lit("Physics").alias("subject"), F.concat(F.lit("Course "), q % 3).alias("course_title"), F.concat(F.lit("Chapter "), q % 7).alias("chapter_title"),
+                                     F.get(tiers, (F.floor(q / 50) % 3).cast("int")).alias("tier"), F.when(q % 100 == 0, F.concat(F.lit("What is "), q)).alias("question"))
+    return R.grounded_system_prompts(ranked, about).select("query_id", "tier_key", "excerpts", F.md5("prompt").alias("prompt"))
+
+
 @query
 def grd5_pathway(s, d):
     turns = V.read(s, d, "conversations").groupBy("conv_id").agg(F.sum((F.col("role") == "user").cast("int")).alias("mock_turns"))
@@ -154,7 +186,7 @@ def prj12_tiers(s, d):
 @query
 def prj13_guardrails(s, d):
     x = V.read(s, d, "documents").select("doc_id", F.get(F.array(*map(F.lit, ("Class 9", "Grade 12", "college"))), (F.col("doc_id") % 3).cast("int")).alias("grade"))
-    return P.with_guardrails(x, "grade").select("doc_id", "tier_key", "label", "audience")
+    return P.with_guardrails(x, "grade").select("doc_id", "tier_key", "label", "audience", "tone", "math_ceiling", F.array_join("prohibitions", "; ").alias("prohibitions"), F.array_join("requirements", "; ").alias("requirements"))
 
 
 @query

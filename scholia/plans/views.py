@@ -82,6 +82,47 @@ submissions AS (SELECT d.doc_id AS submission_id, 's' || (d.doc_id % 150) AS stu
   FROM heads d LEFT JOIN heads n ON n.doc_id = d.doc_id + 1)"""
 
 
+def answer_sheets(spark, sf_dir) -> DataFrame:
+    """Short answers to questions (the documents), with what their hints are made of: right, prefixed, partial, wrong, a number."""
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    two, one = F.substring_index(text, " ", 2), F.substring_index(text, " ", 1)
+    k = i % 5
+    return read(spark, sf_dir, "documents").select(
+        i.alias("submission_id"),
+        F.when(i % 9 > 0, F.concat(F.lit("s"), i % 150)).alias("student_id"),
+        F.col("source").alias("course_id"),
+        F.when(i % 7 > 0, F.concat(F.lit("ch_"), i % 12)).otherwise("").alias("chapter_id"),
+        F.get(F.array(*map(F.lit, ("Class 9", "Grade 12", "college"))), (i % 3).cast("int")).alias("tier"),
+        text.alias("question_text"),
+        F.when(k == 4, "8.314 unit").otherwise(two).alias("expected_answer"),
+        F.when(k == 0, two).when(k == 1, F.concat(F.lit("ans = "), two)).when(k == 2, F.concat(one, F.lit(" dv/dt"))).when(k == 3, F.lit("integral of something else")).otherwise("9.31 unit").alias("student_raw_input"),
+        (5 + i * 11 % 120).cast("int").alias("seconds_spent"),
+        (1 + i % 4).cast("int").alias("attempts_count"),
+        (i % 3).cast("int").alias("hints_requested"),
+        (1 + F.floor(i / 5) % 3).cast("int").alias("hint_level"),
+        F.when(i % 4 > 0, "v = dx/dt").otherwise("").alias("hint_formula"),
+        F.when(i % 6 > 0, F.concat(F.lit("the final answer is "), two, F.lit(" with the wrong sign"))).alias("hint_misconception"),
+    )
+
+
+ANSWER_SHEETS = """sheets0 AS (SELECT *, doc_id AS i, coalesce(text, '') AS t, array_to_string(string_split(coalesce(text, ''), ' ')[1:2], ' ') AS two, string_split(coalesce(text, ''), ' ')[1] AS one FROM documents),
+submissions AS (SELECT i AS submission_id, CASE WHEN i % 9 > 0 THEN 's' || (i % 150) END AS student_id, source AS course_id, CASE WHEN i % 7 > 0 THEN 'ch_' || (i % 12) ELSE '' END AS chapter_id,
+  (['Class 9', 'Grade 12', 'college'])[i % 3 + 1] AS tier, t AS question_text, CASE WHEN i % 5 = 4 THEN '8.314 unit' ELSE two END AS expected_answer,
+  CASE i % 5 WHEN 0 THEN two WHEN 1 THEN 'ans = ' || two WHEN 2 THEN one || ' dv/dt' WHEN 3 THEN 'integral of something else' ELSE '9.31 unit' END AS student_raw_input,
+  CAST(5 + i * 11 % 120 AS INT) AS seconds_spent, CAST(1 + i % 4 AS INT) AS attempts_count, CAST(i % 3 AS INT) AS hints_requested, CAST(1 + i // 5 % 3 AS INT) AS hint_level,
+  CASE WHEN i % 4 > 0 THEN 'v = dx/dt' ELSE '' END AS hint_formula, CASE WHEN i % 6 > 0 THEN 'the final answer is ' || two || ' with the wrong sign' END AS hint_misconception FROM sheets0)"""
+
+
+def exam_totals(spark, sf_dir) -> DataFrame:
+    """Exams of which only totals are known, one for each conversation."""
+    i = F.col("conv_id")
+    c = read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    return c.select((-1 - i).alias("submission_id"), (i % 12).alias("total_questions"), F.floor(i % 12 * (i % 7) / 6).alias("correct_answers"), (100 + i * 37 % 900).alias("total_elapsed_time"))
+
+
+TOTALS = """totals AS (SELECT DISTINCT -1 - conv_id AS submission_id, greatest(1, conv_id % 12) AS total_questions, conv_id % 12 * (conv_id % 7) // 6 AS correct_answers, 100 + conv_id * 37 % 900 AS total_elapsed_time FROM conversations)"""
+
+
 def exam_details(spark, sf_dir) -> DataFrame:
     """Answers of exam submissions: a student's attempts of a day."""
     from scholia.operators.grading import graded_attempts
@@ -115,6 +156,8 @@ def inquiries(spark, sf_dir) -> DataFrame:
         (5 + i % 90).cast("int").alias("time_taken"),
         (i % 4).cast("int").alias("consecutive_errors"),
         F.when(i % 10 == 0, "hint").otherwise("discussion").alias("inquiry_type"),
+        F.concat(F.lit("Course "), i % 3).alias("course_title"),
+        F.concat(F.lit("Chapter "), i % 5).alias("chapter_title"),
     )
 
 
