@@ -10,35 +10,59 @@ from pyspark.sql import functions as F
 from scholia.functions.num import rounded
 from scholia.functions.predicates import with_guardrails
 from scholia.functions.text import words
+from scholia.sources.tables import settled
 
 K1, B = 1.5, 0.75
 #: Fixed value: what stands for missing excerpts.
 PLACEHOLDER = "No specific textbook excerpt retrieved."
 FUSION = 60.0
-#: Queries are broadcast; this bounds them (64 dimensions of 8 bytes each: 25 MB).
-MOST_QUERIES = 50_000
+#: Vectors and queries of a block: what a task scores at once (64 dimensions of 8 bytes each: 2 MB a side).
+VECTORS, QUERIES = 4096, 4096
+#: Queries of a block scored in one matrix product.
+ROWS = 512
 
 
 def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(words(F.lower(F.col(text)))).alias("term"))
 
 
+def term_table(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, length, term, tf, first): the postings of all documents from one scan, written once; reuse it for many sets of queries.
+
+    One row of a document is its first; it says that the document exists and, with a null term, that it has no words.
+    """
+    tokens = words(F.lower(F.coalesce(F.col(text), F.lit(""))))
+    # the length is a column before rows are made of the words, else it would be counted for each of them
+    rows = docs.select(doc, tokens.alias("_words")).withColumn("length", F.size("_words")).select(doc, "length", F.posexplode_outer("_words").alias("_at", "term"))
+    first = F.coalesce(F.col("_at") == 0, F.lit(True))
+    return settled(rows.groupBy(doc, "length", "term").agg(F.count("term").alias("tf"), F.bool_or(first).alias("first")))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:
-    """(query, doc, score) of all pairs with a common term; other pairs score 0. Words that a query repeats count as often.
+    """(query, doc, score) of all pairs with a common term; other pairs score 0. Words that a query repeats count as often."""
+    return bm25_of(term_table(docs, doc, text), queries, doc, query, text)
+
 
-    Only postings of query terms are joined and shuffled. The table of query terms is broadcast (queries are bounded).
+def bm25_of(postings: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:
+    """bm25 of a term_table. Only postings of query terms are shuffled.
+
+    No side is broadcast by hint: Spark broadcasts what is below its limit and divides the partitions of frequent terms. Only the
+    one row of corpus statistics is sent to every task.
     """
     asked = _tokens(queries, query, text).groupBy(query, "term").agg(F.count(F.lit(1)).alias("times"))
-    size = docs.select(doc, F.size(words(F.lower(F.col(text)))).alias("length"))
-    whole = size.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    terms = F.broadcast(asked.select("term").distinct())
-    postings = _tokens(docs, doc, text).join(terms, "term", "left_semi").groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = df.crossJoin(F.broadcast(whole)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"), "mean")
-    rows = postings.join(F.broadcast(weights), "term").join(size, doc)  # as many rows as query terms
+    whole = postings.filter("first").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    own = postings.join(asked.select("term").distinct(), "term", "left_semi").select(doc, "length", "term", "tf")
+    weights = own.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(whole))
+    weights = weights.select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"), "mean")
     norm = 1.0 - B + B * (F.col("length") / F.greatest(F.col("mean"), F.lit(1e-4)))
     one = F.col("idf") * (F.col("tf") * (K1 + 1.0)) / (F.col("tf") + K1 * norm)
-    return rows.withColumn("one", one).join(F.broadcast(asked), "term").groupBy(query, doc).agg(F.sum(F.col("one") * F.col("times")).alias("score"))
+    rows = own.join(weights, "term").withColumn("one", one).select(doc, "term", "one")
+    return rows.join(asked, "term").groupBy(query, doc).agg(F.sum(F.col("one") * F.col("times")).alias("score"))
+
+
+def with_zeros(pairs: DataFrame, scores: DataFrame, doc: str = "doc_id", query: str = "query_id") -> DataFrame:
+    """Chosen pairs (query, doc) with their score, 0 where they have no common term."""
+    return pairs.join(scores, [query, doc], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def top(df: DataFrame, by: str, n: int, *order) -> DataFrame:
@@ -62,38 +86,46 @@ def candidate_bm25(candidates: DataFrame, query: str = "query_id", doc: str = "d
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, n: int, metric: str = "l2", same: str | None = None) -> DataFrame:
-    """(query_id, doc_id, distance, rank): the nearest vectors of each query, exactly.
+    """(query_id, doc_id, distance, rank): the nearest vectors of each query, exactly, for any number of queries.
 
-    vectors (doc_id, embedding, ...) stay where they are: each batch is scored against all queries as one matrix product and
-    keeps n per query, so that only n rows per query and batch are shuffled. `same` names a column that must be equal.
+    Both sides are dealt into blocks of about VECTORS and QUERIES rows by a hash; every pair of blocks meets in one group (an
+    equi-join on the pair's numbers), is scored by matrix products and keeps n per query, so that only n rows per query and
+    block are shuffled on. Nothing passes the driver but the two counts. `same` names a column that must be equal. Null
+    embeddings match nothing; ties go to the smaller doc_id; repeated vectors are each a result.
     """
-    q = queries.select("query_id", "embedding", *([same] if same else [])).limit(MOST_QUERIES + 1).toPandas()
-    if len(q) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: split them")
-    asked = vectors.sparkSession.sparkContext.broadcast(
-        (q["query_id"].to_numpy(), np.vstack(q["embedding"]).astype(float) if len(q) else np.zeros((0, 1)), q[same].to_numpy() if same else None)
-    )
-
-    def score(batches):
-        ids, m, own = asked.value
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x = np.vstack(pdf["embedding"]).astype(float)
-            if metric == "cosine":
-                d = 1.0 - (m @ x.T) / np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(x, axis=1)).clip(1e-12)
-            else:
-                d = ((m**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * m @ x.T).clip(0)
-            d = np.rint(d * 1e6) / 1e6 + 0.0  # no negative zero
-            if own is not None:
-                d = np.where(own[:, None] == pdf[same].to_numpy()[None, :], d, np.inf)
-            docs = pdf["doc_id"].to_numpy()
-            k = np.lexsort((np.broadcast_to(docs, d.shape), d), axis=1)[:, :n]
-            near = np.take_along_axis(d, k, 1)
-            ok = np.isfinite(near)
-            yield pd.DataFrame({"query_id": np.broadcast_to(ids[:, None], k.shape)[ok], "doc_id": docs[k][ok], "distance": near[ok]})
-
-    rows = vectors.select("doc_id", "embedding", *([same] if same else [])).mapInPandas(score, "query_id long, doc_id long, distance double")
+    vectors, queries = (df.filter("embedding is not null") for df in (vectors, queries))
+    parts, sets = (max(1, -(-df.count() // most)) for df, most in ((vectors, VECTORS), (queries, QUERIES)))
+
+    def dealt(df: DataFrame, key: str, own: str, blocks: int, other: str, times: int) -> DataFrame:
+        df = df.select(key, F.col("embedding").cast("array<double>").alias("embedding"), *([F.col(same).alias("_same")] if same else []))
+        df = df.withColumn(own, F.pmod(F.xxhash64(key, "embedding"), F.lit(blocks)).cast("int"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+
+    v = dealt(vectors, "doc_id", "_part", parts, "_set", sets)
+    q = dealt(queries, "query_id", "_set", sets, "_part", parts)
+
+    def score(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            x, docs = np.vstack(left["embedding"].to_numpy()), left["doc_id"].to_numpy()
+            own, norms = left["_same"].to_numpy() if same else None, (x**2).sum(1)
+            for at in range(0, len(right), ROWS):
+                part = right.iloc[at : at + ROWS]
+                m, ids = np.vstack(part["embedding"].to_numpy()), part["query_id"].to_numpy()
+                if metric == "cosine":
+                    d = 1.0 - (m @ x.T) / np.outer(np.linalg.norm(m, axis=1), np.sqrt(norms)).clip(1e-12)
+                else:
+                    d = ((m**2).sum(1)[:, None] + norms[None, :] - 2 * m @ x.T).clip(0)
+                d = np.rint(d * 1e6) / 1e6 + 0.0  # no negative zero
+                if same:
+                    d = np.where(part["_same"].to_numpy()[:, None] == own[None, :], d, np.inf)
+                k = np.lexsort((np.broadcast_to(docs, d.shape), d), axis=1)[:, :n]
+                near = np.take_along_axis(d, k, 1)
+                ok = np.isfinite(near)
+                found.append(pd.DataFrame({"query_id": np.broadcast_to(ids[:, None], k.shape)[ok], "doc_id": docs[k][ok], "distance": near[ok]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "doc_id": [], "distance": []})
+
+    rows = v.groupBy("_part", "_set").cogroup(q.groupBy("_part", "_set")).applyInPandas(score, "query_id long, doc_id long, distance double")
     return top(rows, "query_id", n, "distance", "doc_id")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +49,42 @@ def schedules(reviews: DataFrame) -> DataFrame:
     )
 
 
+HISTORY = "student_id string, card_id string, review_id long, review_ts timestamp, quality int, repetitions int, interval_days int, easiness_factor double, next_review date"
+
+
+def _rint(x: float, digits: int = 0) -> float:
+    return float(np.rint(x * 10**digits) / 10**digits)
+
+
+def review_history(reviews: DataFrame) -> DataFrame:
+    """One row per review: the card's state after it (repetitions, interval, ease) and the next day it is due.
+
+    Reviews of a card are sorted into one partition and walked as a stream with three numbers of state, so a card may have any
+    number of them. Quality counts from 0 to 5, null as 0. Repeated reviews each count; an empty table gives no rows.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        card, reps, days, ease = None, 0, 1, FIRST_EASE
+        for rows in batches:
+            out = []
+            for student, name, raw in zip(rows["student_id"], rows["card_id"], rows["quality"].fillna(0).astype(int), strict=True):
+                if (student, name) != card:
+                    card, reps, days, ease = (student, name), 0, 1, FIRST_EASE
+                q = min(5, max(0, raw))
+                days = 1 if q < 3 or reps == 0 else 6 if reps == 1 else max(1, int(_rint(days * ease)))
+                reps = reps + 1 if q >= 3 else 0
+                ease = max(LEAST_EASE, _rint(ease + (0.1 - (5.0 - q) * (0.08 + (5.0 - q) * 0.02)), 3))
+                out.append((q, reps, days, ease))
+            state = pd.DataFrame(out, columns=["quality", "repetitions", "interval_days", "easiness_factor"], index=rows.index)
+            found = pd.concat([rows[["student_id", "card_id", "review_id", "review_ts"]], state], axis=1)
+            found["next_review"] = (pd.to_datetime(rows["review_ts"]).dt.normalize() + pd.to_timedelta(state["interval_days"], unit="D")).dt.date
+            yield found
+
+    rows = reviews.select("student_id", "card_id", "review_id", "review_ts", "quality")
+    rows = rows.repartition("student_id", "card_id").sortWithinPartitions("student_id", "card_id", "review_ts", "review_id")
+    return rows.mapInPandas(walk, HISTORY)
+
+
 def due_cards(state: DataFrame, as_of: str, course: str | None = None) -> DataFrame:
     """Cards due on a day, the longest overdue first; cards without a course belong to every course."""
     due = state.filter(F.col("next_review") <= F.lit(as_of).cast("date"))
@@ -53,11 +93,16 @@ def due_cards(state: DataFrame, as_of: str, course: str | None = None) -> DataFr
     return due.orderBy("next_review", "student_id", "card_id")
 
 
-def card_statistics(state: DataFrame, as_of: str) -> DataFrame:
-    return state.groupBy("student_id").agg(
+def card_statistics(state: DataFrame, as_of: str, students: DataFrame | None = None) -> DataFrame:
+    """Counts of cards per student; students (student_id) without a card have zeros and the first ease."""
+    found = state.groupBy("student_id").agg(
         F.count(F.lit(1)).alias("total_cards"),
         F.sum((F.col("next_review") <= F.lit(as_of).cast("date")).cast("int")).alias("due_today"),
         F.sum((F.col("interval_days") >= MATURE_DAYS).cast("int")).alias("mature_cards"),
         F.sum((F.col("interval_days") < MATURE_DAYS).cast("int")).alias("learning_cards"),
         rounded(rounded(F.avg("easiness_factor"), 6), 2).alias("avg_easiness"),
     )
+    if students is None:
+        return found
+    found = students.select("student_id").distinct().join(found, "student_id", "left")
+    return found.na.fill(0, ["total_cards", "due_today", "mature_cards", "learning_cards"]).na.fill(FIRST_EASE, ["avg_easiness"])

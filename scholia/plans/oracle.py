@@ -7,6 +7,7 @@ from scholia.functions.text import NUMBER_WORDS, SUBJECT_WORDS, TITLE_WORDS
 from scholia.operators.contents import BARE_MARK, ENTRY, PAGE, TITLED_MARK
 from scholia.operators.front_matter import GROUPED, PROSE, TOC_LINE
 from scholia.operators.grading import DEEP_WORDS, HINTS, NO_FORMULA, NO_MISCONCEPTION, NODES, HINT_WORDS, SOLUTION_WORDS, STOP_WORDS
+from scholia.operators.retrieval import GROUNDING, PLACEHOLDER
 from scholia.operators.structure import BARE_NUMBER, BARE_TITLE, EXPLICIT, FAMILIES, NO_CHAPTER, REVIEW, SECTION
 from scholia.operators.section_kinds import SECTION_KINDS
 from scholia.plans.views import ANSWER_SHEETS, ATTEMPTS, BANK, BOOK_LINES, CHUNKS, DIALOGUES, INQUIRIES, OUTLINES, REVIEWS, STYLED_LINES, SUBMISSIONS, TOTALS
@@ -77,8 +78,15 @@ f AS (SELECT *, list_reduce(list_prepend(struct_pack(q := 0, r := 0, d := 1, e :
 cards AS (SELECT student_id, card_id, course_id, reviews, s.r AS repetitions, s.d AS interval_days, s.e AS easiness_factor, last_review, CAST(last_review + s.d AS DATE) AS next_review FROM f)"""
 SQL["srs1_schedules"] = f"{CARDS} SELECT * FROM cards"
 SQL["srs2_due_cards"] = f"{CARDS} SELECT student_id, card_id, next_review FROM cards WHERE next_review <= DATE '2024-01-31' AND course_id IN ('course_1', '')"
-SQL["srs3_card_statistics"] = f"""{CARDS} SELECT student_id, count(*) AS total_cards, count(*) FILTER (WHERE next_review <= DATE '2024-01-31') AS due_today,
-  count(*) FILTER (WHERE interval_days >= 21) AS mature_cards, count(*) FILTER (WHERE interval_days < 21) AS learning_cards, {r(r('avg(easiness_factor)', 6), 2)} AS avg_easiness FROM cards GROUP BY student_id"""
+SQL["srs3_card_statistics"] = f"""{CARDS}, stats AS (SELECT student_id, count(*) AS total_cards, count(*) FILTER (WHERE next_review <= DATE '2024-01-31') AS due_today,
+  count(*) FILTER (WHERE interval_days >= 21) AS mature_cards, count(*) FILTER (WHERE interval_days < 21) AS learning_cards, {r(r('avg(easiness_factor)', 6), 2)} AS avg_easiness FROM cards GROUP BY student_id)
+SELECT student_id, coalesce(total_cards, 0) AS total_cards, coalesce(due_today, 0) AS due_today, coalesce(mature_cards, 0) AS mature_cards, coalesce(learning_cards, 0) AS learning_cards, coalesce(avg_easiness, 2.5::DOUBLE) AS avg_easiness
+  FROM (SELECT DISTINCT 's' || user_id AS student_id FROM events UNION SELECT 'c' || c_custkey FROM customer) LEFT JOIN stats USING (student_id)"""
+SQL["srs1_history"] = f"""WITH RECURSIVE {REVIEWS}, o AS (SELECT student_id, card_id, review_id, CAST(review_ts AS DATE) AS day_, CAST(least(5, greatest(0, quality)) AS INT) AS q, row_number() OVER (PARTITION BY student_id, card_id ORDER BY review_ts, review_id) AS k FROM reviews),
+h AS (SELECT DISTINCT student_id, card_id, 0::BIGINT AS k, NULL::BIGINT AS review_id, NULL::DATE AS day_, 0 AS q, 0 AS r, 1 AS d, 2.5::DOUBLE AS e FROM o
+  UNION ALL SELECT o.student_id, o.card_id, o.k, o.review_id, o.day_, o.q, CASE WHEN o.q < 3 THEN 0 ELSE h.r + 1 END, CASE WHEN o.q < 3 OR h.r = 0 THEN 1 WHEN h.r = 1 THEN 6 ELSE CAST(greatest(1, round_even(h.d * h.e, 0)) AS INT) END,
+    greatest(1.3::DOUBLE, {r('h.e + (0.1::DOUBLE - (5 - o.q)::DOUBLE * (0.08::DOUBLE + (5 - o.q)::DOUBLE * 0.02::DOUBLE))', 3)}) FROM h JOIN o ON o.student_id = h.student_id AND o.card_id = h.card_id AND o.k = h.k + 1)
+SELECT student_id, card_id, review_id, q AS quality, r AS repetitions, d AS interval_days, e AS easiness_factor, CAST(day_ + d AS DATE) AS next_review FROM h WHERE k > 0"""
 
 NUMBERS = "list_transform(regexp_extract_all({c}, '[-+]?\\d+(?:\\.\\d+)?'), lambda x: CAST(x AS DOUBLE))"
 TOKENS = "list_filter(list_distinct(regexp_extract_all({c}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')), lambda x: NOT list_contains([" + ", ".join(map(q, STOP_WORDS)) + "], x))"
@@ -361,6 +369,7 @@ DIST = "list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS
 DENSE = f"""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {r(DIST, 6)} AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
 dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS INT) AS rank FROM d)"""
 SQL["ret3_dense_top"] = f"{DENSE} SELECT * FROM dense WHERE rank <= 8"
+SQL["ret3c_dense_all_pairs"] = f"{DENSE.replace(' WHERE a.vec_id % 50 = 0', '')} SELECT * FROM dense WHERE rank <= 3"
 DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST({a}.embedding[i] AS DOUBLE) * CAST({b}.embedding[i] AS DOUBLE)))"
 SQL["ret3b_dense_same_label"] = f"""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {r('1 - ' + DOT.format(a='a', b='b') + ' / sqrt(' + DOT.format(a='a', b='a') + ') / sqrt(' + DOT.format(a='b', b='b') + ')', 6)} + 0 AS distance
   FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0), e AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS INT) AS rank FROM d) SELECT * FROM e WHERE rank <= 8"""
@@ -374,6 +383,14 @@ m AS (SELECT c.query_id, c.doc_id, rank AS dense_rank, CAST(row_number() OVER (P
 f AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {r('1 / (60 + dense_rank)::DOUBLE + 1 / (60 + bm25_rank)::DOUBLE', 12)} DESC, dense_rank) AS INT) AS fused_rank FROM m) SELECT * FROM f WHERE fused_rank <= 4"""
 SQL["ret6_prompt_contexts"] = f"""{DENSE} SELECT query_id, count(text) AS excerpts, md5(coalesce(string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank), 'No specific textbook excerpt retrieved.')) AS context
   FROM dense LEFT JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY query_id"""
+_BULLETS = lambda items: "\n".join(f"- {x}" for x in items)
+_RULES = ", ".join(f"({i}, {q(k)}, {q(f'{label} ({audience})')}, {q(TIER_RULES[k][0])}, {q(TIER_RULES[k][1])}, {q(_BULLETS(TIER_RULES[k][2]))}, {q(_BULLETS(TIER_RULES[k][3]))})" for i, (k, label, audience) in enumerate(TIERS))
+SQL["ret6_system_prompts"] = f"""{DENSE}, near AS (SELECT query_id, count(text) AS excerpts, string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM dense LEFT JOIN documents USING (doc_id) WHERE rank <= 3 AND query_id % 250 > 0 GROUP BY query_id),
+asks AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 50 = 0)
+SELECT query_id, tier_key, coalesce(excerpts, 0) AS excerpts, md5(concat_ws(chr(10) || chr(10), 'You are the tutor for Physics.' || chr(10) || 'Course: Course ' || (query_id % 3) || chr(10) || 'Chapter: Chapter ' || (query_id % 7) || chr(10) || 'Learners: ' || who,
+  '# Excerpts of the course' || chr(10) || coalesce(context, {q(PLACEHOLDER)}), '# Style' || chr(10) || tone || chr(10) || 'Mathematics: ' || most, '# Not allowed' || chr(10) || bans, '# Required' || chr(10) || duties, '# Grounding' || chr(10) || {q(_BULLETS(GROUNDING))},
+  CASE WHEN query_id % 100 = 0 THEN '# Question' || chr(10) || 'What is ' || query_id END)) AS prompt
+FROM asks JOIN (VALUES {_RULES}) t(i, tier_key, who, tone, most, bans, duties) ON query_id // 50 % 3 = i LEFT JOIN near USING (query_id)"""
 TURNS = f"""{DIALOGUES}, k AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM dialogues),
 v AS (SELECT conv_id, topic, turn, {STRIP.format(c='text')} AS text, CASE WHEN role = 'Teacher' THEN 'assistant' ELSE 'user' END AS role FROM k WHERE n >= 4 AND i <= 6),
 turns AS (SELECT * FROM (SELECT *, lag(role, 1, 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM v WHERE text <> '') WHERE before <> role)"""

@@ -79,9 +79,18 @@ def srs2_due_cards(s, d):
     return S.due_cards(S.schedules(V.reviews(s, d)), AS_OF, "course_1").select("student_id", "card_id", "next_review")
 
 
+@query
+def srs1_history(s, d):
+    """The state of a card after each of its reviews."""
+    return S.review_history(V.reviews(s, d)).drop("review_ts")
+
+
 @query
 def srs3_card_statistics(s, d):
-    return S.card_statistics(S.schedules(V.reviews(s, d)), AS_OF)
+    """Of all students; customers have no cards."""
+    r = V.reviews(s, d)
+    students = r.select("student_id").union(V.read(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey")))
+    return S.card_statistics(S.schedules(r), AS_OF, students)
 
 
 @query
@@ -379,6 +388,13 @@ def ret3_dense_top(s, d):
     return R.dense_top(*_vectors(s, d), 8)
 
 
+@query
+def ret3c_dense_all_pairs(s, d):
+    """Every vector asks."""
+    v = _vectors(s, d)[0]
+    return R.dense_top(v, v.withColumnRenamed("doc_id", "query_id"), 3)
+
+
 @query
 def ret3b_dense_same_label(s, d):
     return R.dense_top(*_vectors(s, d), 8, "cosine", "label")

@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the checkpoint folder all executors share, with a plan that no longer holds its history."""
+    """df, computed and kept in the checkpoint folder all executors share, with a plan that no longer holds its history.
+
+    The folder is spark.checkpoint.dir; where it is unset, a local one, on a local master only. Spark removes a checkpoint with
+    its table when spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scholia-"))
     return df.checkpoint()

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from scholia.functions.num import rounded
 from scholia.operators.chunking import upserted
 from scholia.operators.mastery import KEY, mastery_level
+from scholia.sources.tables import settled
 
 _MASTERY = "student_id string, course_id string, chapter_id string, total_attempts long, correct_attempts long, avg_fuzzy_score double"
 _CARDS = "student_id string, card_id string, repetitions int, interval_days int, easiness_factor double, last_review date"
@@ -68,20 +69,33 @@ def attempts_per_hour(attempts: DataFrame, late: str = "2 hours") -> DataFrame:
     return attempts.withWatermark("ts", late).groupBy(w, "course_id").agg(F.count(F.lit(1)).alias("attempts")).select(F.col("window.start").alias("hour"), "course_id", "attempts")
 
 
-def new_chunks_stream(chunks: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Chunks (with ts and content_hash) without repeats within the watermark."""
-    return chunks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["course_id", "chapter_id", "content_hash"])
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def upsert_batch(path: str, key: str, latest: str | None = None):
-    """A foreachBatch function that upserts each batch into a Parquet table, written beside and swapped by version.
+def new_chunks_stream(chunks: DataFrame) -> DataFrame:
+    """Chunks (with content_hash) without repeats, however late they come: the hashes seen are keyed state without an end.
 
-    Of a key that repeats in a batch the row with the greatest `latest` stays.
+    Hashes lie in RocksDB on the executors' disks and in the checkpoint, so they outlast restarts and don't fill memory.
+    """
+    chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return chunks.dropDuplicates(["course_id", "chapter_id", "content_hash"])
+
+
+def upsert_partitions(path: str, key: str, by: str, latest: str | None = None):
+    """A foreachBatch function that upserts each batch into a Parquet table partitioned by column `by`.
+
+    Only partitions that the batch touches are read and written again; a key never moves to another partition. Of a key that
+    repeats in a batch the row with the greatest `latest` stays. A batch that is run again writes the same rows.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}") if number else batch.limit(0)
-        upserted(before, batch, key, latest).write.mode("overwrite").parquet(f"{path}/v{number}")
+        touched = batch.select(by).distinct()
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        known = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+        before = spark.read.schema(batch.schema).parquet(path).join(touched, by, "left_semi") if known else batch.limit(0)
+        # settled first: the rows are read from the folder that is written
+        merged = settled(upserted(before, batch, key, latest))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
     return write

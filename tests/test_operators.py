@@ -80,6 +80,54 @@ def test_dense_top_is_exact(spark):
         assert {r["doc_id"] for r in got if r["query_id"] == k} == {i for _, i in own}
 
 
+def test_many_queries_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "VECTORS", 30)
+    monkeypatch.setattr(retrieval, "QUERIES", 25)
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randint(0, 3)) for _ in range(4)]) for i in range(150)] + [(999, None)]
+    v = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
+    got = {}
+    for r in retrieval.dense_top(v, v.withColumnRenamed("doc_id", "query_id"), 4).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["distance"], r["doc_id"])
+    assert set(got) == set(range(150))
+    for k, found in got.items():
+        every = sorted((sum((a - b) ** 2 for a, b in zip(rows[k][1], x, strict=True)), i) for i, x in rows[:150])[:4]
+        assert [found[i + 1] for i in range(4)] == every
+    assert retrieval.dense_top(v.limit(0), v.withColumnRenamed("doc_id", "query_id"), 4).count() == 0
+
+
+def test_terms_of_empty_documents_count(spark):
+    docs = spark.createDataFrame([(0, "a b a"), (1, ""), (2, None), (3, "b")], "doc_id long, text string")
+    t = {(r["doc_id"], r["term"]): (r["length"], r["tf"], r["first"]) for r in retrieval.term_table(docs).collect()}
+    assert t == {(0, "a"): (3, 2, True), (0, "b"): (3, 1, False), (1, None): (0, 0, True), (2, None): (0, 0, True), (3, "b"): (1, 1, True)}
+    pairs = spark.createDataFrame([(7, 0), (7, 1)], "query_id long, doc_id long")
+    scores = retrieval.bm25(docs, spark.createDataFrame([(7, "a")], "query_id long, text string"))
+    assert {r["doc_id"]: r["score"] > 0 for r in retrieval.with_zeros(pairs, scores).collect()} == {0: True, 1: False}
+
+
+def test_answer_records_and_profiles(spark):
+    schema = "submission_id long, student_id string, course_id string, chapter_id string, tier string, question_text string, expected_answer string, student_raw_input string, seconds_spent int, attempts_count int, hints_requested int, hint_level int, hint_formula string, hint_misconception string"
+    base = (None, "c", "", "Class 9", "Q" * 50, "42", "seven", 10, 1, 0)
+    rows = [(1, *base, 1, "", None), (2, *base, 2, "dv/dt = a, the final answer is 42", ""), (3, *base, 3, None, "x"), (4, *base[:-4], "42", 10, 1, 0, 1, "", "")]
+    got = {r["submission_id"]: r for r in grading.answer_records(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1]["student_id"] == "default_student" and got[1]["chapter_id"] == "ch_1" and got[1]["question_id"] == "Q" * 40
+    assert got[1]["assigned_hint"].count("\n") == 2 and "rate of change of speed" in got[2]["assigned_hint"] and "42" not in got[2]["assigned_hint"]
+    assert got[3]["gap_analysis"] in got[3]["assigned_hint"] and got[4]["is_correct"] and got[4]["assigned_hint"].startswith("Right!")
+    exams = grading.exam_totals(spark.createDataFrame([(1, 0, 0, 50), (2, 10, 8, 99)], "submission_id long, total_questions long, correct_answers long, total_elapsed_time long"))
+    assert [tuple(r)[1:] for r in exams.orderBy("submission_id").collect()] == [(1, 0, 0.0, 50, 1, 0.6), (10, 8, 80.0, 9, 1, 0.0)]
+
+
+def test_history_ends_in_the_schedule(spark):
+    rng = random.Random(4)
+    rows = [(i, f"s{i % 3}", f"c{i % 2}", "k", rng.randint(-1, 7)) for i in range(200)]
+    r = spark.createDataFrame(rows, "review_id long, student_id string, card_id string, course_id string, quality int").withColumn("review_ts", F.timestamp_seconds(F.col("review_id") * 90_000))
+    last = {(x["student_id"], x["card_id"]): x for x in srs.review_history(r).orderBy("review_ts").collect()}
+    want = {(x["student_id"], x["card_id"]): x for x in srs.schedules(r).collect()}
+    columns = ("repetitions", "interval_days", "easiness_factor", "next_review")
+    assert {k: [x[c] for c in columns] for k, x in last.items()} == {k: [x[c] for c in columns] for k, x in want.items()}
+    assert srs.review_history(r).count() == 200
+
+
 def text_of(layout):
     prose = "\n".join("some plain text of a book that goes on for a while" for _ in range(12))
     out = []

@@ -26,21 +26,49 @@ def test_streams_end_as_batches(spark, tmp_path):
     batch, stream = events(spark, str(tmp_path / "in"))
     by = [*mastery.KEY]
     got = drained(learners.mastery_stream(stream), "mastery").groupBy(*by).agg(F.max_by(F.struct("correct_attempts", "avg_fuzzy_score"), "total_attempts").alias("x"), F.max("total_attempts").alias("n"))
-    want = {tuple(r[k] for k in by): (r["total_attempts"], r["correct_attempts"]) for r in mastery.chapter_mastery_exact(batch).collect()}
-    assert {tuple(r[k] for k in by): (r["n"], r["x"]["correct_attempts"]) for r in got.collect()} == want
-    cards = drained(learners.cards_stream(stream), "cards").groupBy("student_id", "card_id").agg(F.max("last_review").alias("last_review"))
-    assert cards.count() == srs.schedules(batch).count()
+    want = {tuple(r[k] for k in by): (r["total_attempts"], r["correct_attempts"], r["avg_fuzzy_score"]) for r in mastery.chapter_mastery_exact(batch).collect()}
+    assert {tuple(r[k] for k in by): (r["n"], r["x"]["correct_attempts"], r["x"]["avg_fuzzy_score"]) for r in got.collect()} == want
+    state = ("repetitions", "interval_days", "easiness_factor", "last_review")
+    cards = drained(learners.cards_stream(stream), "cards").groupBy("student_id", "card_id").agg(F.max_by(F.struct(*state), "last_review").alias("s"))
+    want = {(r["student_id"], r["card_id"]): tuple(r[c] for c in state) for r in srs.schedules(batch.withColumn("course_id", F.lit("c"))).collect()}
+    assert {(r["student_id"], r["card_id"]): tuple(r["s"]) for r in cards.collect()} == want
+    means = drained(learners.mastery_means_stream(stream), "means").groupBy(*by).agg(F.max_by("avg_fuzzy_score", "total_attempts").alias("m"))
+    want = {tuple(r[k] for k in by): r["avg_fuzzy_score"] for r in mastery.chapter_mastery(batch).collect()}
+    assert {tuple(r[k] for k in by): r["m"] for r in means.collect()} == want
     hours = drained(learners.attempts_per_hour(stream), "hours", "append")
     assert hours.agg(F.max("attempts")).first()[0] == 1
 
 
-def test_chunk_upserts(spark, tmp_path):
-    rows = [(f"k{i % 4}", i, i) for i in range(6)]
-    df = spark.createDataFrame(rows, "chunk_key string, v int, b int")
-    write = learners.upsert_batch(str(tmp_path / "t"), "chunk_key")
+def test_only_touched_partitions_are_written(spark, tmp_path):
+    path = tmp_path / "t"
+    rows = [(f"k{i % 4}", f"c{i % 4 // 2}", i, i) for i in range(6)]
+    df = spark.createDataFrame(rows, "chunk_key string, course_id string, v int, b int")
+    write = learners.upsert_partitions(str(path), "chunk_key", "course_id", "v")
     write(df.filter("b < 4"), 0)
-    write(df.filter("b >= 4"), 1)
-    assert {r["chunk_key"]: r["v"] for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()} == {"k0": 4, "k1": 5, "k2": 2, "k3": 3}
+    files_of = lambda c: sorted(p.name for p in (path / f"course_id={c}").glob("*.parquet"))
+    before = files_of("c1")
+    for number in (1, 7, 7):  # numbers may be skipped, a batch may come again
+        write(df.filter("b >= 4"), number)
+    assert {r["chunk_key"]: r["v"] for r in spark.read.parquet(str(path)).collect()} == {"k0": 4, "k1": 5, "k2": 2, "k3": 3}
+    assert files_of("c1") == before and files_of("c0")
+
+
+def test_late_repeats_stay_out_after_a_restart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    folder, table = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "course_id string, chapter_id string, content_hash string, ts timestamp, v int"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+    def run():
+        q = learners.new_chunks_stream(stream).writeStream.foreachBatch(learners.upsert_partitions(table, "content_hash", "course_id")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120) and q.exception() is None
+
+    put = lambda rows: spark.createDataFrame(rows, "course_id string, chapter_id string, content_hash string, day string, v int").select("course_id", "chapter_id", "content_hash", F.to_timestamp("day").alias("ts"), "v").coalesce(1).write.mode("append").parquet(folder)
+    put([("c", "1", "a", "2024-01-01", 1), ("c", "1", "a", "2024-01-01", 1), ("d", "1", "b", "2024-06-01", 2)])
+    run()
+    put([("c", "1", "a", "2020-01-01", 3), ("c", "1", "z", "2020-01-01", 4)])
+    run()
+    assert {(r["course_id"], r["content_hash"], r["v"]) for r in spark.read.parquet(table).collect()} == {("c", "a", 1), ("d", "b", 2), ("c", "z", 4)}
 
 
 def test_files(spark, tmp_path):
