@@ -42,15 +42,25 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def free_name(df: DataFrame, like: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while like.lower() in taken:
+        like += "_"
+    return like
+
+
 def keep_rows(rows: DataFrame, judged: DataFrame, key: list[str]) -> DataFrame:
     """rows without those that judged (key, kept; one row for each that was judged) doesn't keep; of kept rows of one key, one stays.
 
-    Keys may be null; rows that weren't judged stay.
+    Keys may be null; rows that weren't judged stay; rows keep all their columns, whatever their names. Of rows that are equal
+    in the key but not in other columns any may stay.
     """
+    tag = free_name(rows, "_few")
     few = cut(judged.groupBy(*key, "kept").agg(F.count(F.lit(1)).alias("_n")).filter("not kept or _n > 1"), "judged")
-    few = few.select(F.struct(*key).alias("_few"), "kept")
-    same = reduce(lambda a, b: a & b, (rows[k].eqNullSafe(F.col(f"_few.{k}")) for k in key))
-    twice = rows.join(few.filter("kept"), same, "left_semi").dropDuplicates(key)
+    few = few.select(F.struct(*key).alias(tag), F.col("kept").alias(f"{tag}_kept"))
+    same = reduce(lambda a, b: a & b, (rows[k].eqNullSafe(few[tag][k]) for k in key))
+    twice = rows.join(few.filter(few[f"{tag}_kept"]), same, "left_semi").dropDuplicates(key)
     return rows.join(few, same, "left_anti").unionByName(twice)
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import body, cut
+from scholia.llm.common import body, cut, free_name
 
 #: 1 looks, 0 ignores. Span 11, weight 6: wherever up to 3 of 13 aligned tokens differ, some mask sees none of them.
 MASKS = ("11010011001", "10001101011", "10111000101", "10010111100", "11010000111", "11011100001", "01101010110")
@@ -115,10 +115,15 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents without the rows that hold a benchmark passage."""
-    rows = documents.withColumn("__row", F.struct("doc_id", F.unhex(F.md5(body("text").cast("binary"))).alias("text")))
-    bad = overlaps(rows, benchmark, "__row").select(F.col("doc_id").alias("_bad")).distinct()
-    return rows.join(bad, rows["__row"] == F.col("_bad"), "left_anti").drop("__row")
+    """documents without the rows that hold a benchmark passage.
+
+    All columns stay, whatever their names. Null ids and texts, repeated rows and empty tables: see overlaps; of equal ids only
+    the rows with a passage go.
+    """
+    name = free_name(documents, "_own_row")
+    rows = documents.withColumn(name, F.struct("doc_id", F.unhex(F.md5(body("text").cast("binary"))).alias("text")))
+    bad = overlaps(rows, benchmark, name).select(F.col("doc_id").alias(f"{name}_bad")).distinct()
+    return rows.join(bad, rows[name] == bad[f"{name}_bad"], "left_anti").drop(name)
 
 
 def _sql_seeds() -> str:

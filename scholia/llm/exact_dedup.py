@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import SPACES, body, cut, forget, keep_rows
+from scholia.llm.common import SPACES, body, cut, forget, free_name, keep_rows
 
 FAN = 4
 #: SHA-256 names the text; byte length and a second, unrelated hash verify it.
@@ -68,10 +68,15 @@ def exact_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def keep_first_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """documents with one row of each group of exact_duplicates, of the smallest id; of several such rows, one."""
+    """documents with one row of each group of exact_duplicates, of the smallest id; of several such rows, one.
+
+    All columns stay, whatever their names. Null texts are empty texts and one group, null ids give way to others, an empty
+    table gives no rows.
+    """
+    name = free_name(documents, "_sha")
     sha = F.lower(F.sha2(F.regexp_replace(body(text_col), SPACES, " "), 256))
-    judged = exact_duplicates(documents, id_col, text_col).select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias("__sha"), "kept")
-    return keep_rows(documents.withColumn("__sha", sha), judged, [id_col, "__sha"]).drop("__sha")
+    judged = exact_duplicates(documents, id_col, text_col).select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias(name), "kept")
+    return keep_rows(documents.withColumn(name, sha), judged, [id_col, name]).drop(name)
 
 
 SQL = r"""

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import body, cut, forget, keep_rows
+from scholia.llm.common import body, cut, forget, free_name, keep_rows
 from scholia.llm.components import connected_components
 from scholia.llm.shingles import lists, shingle_sets
 
@@ -284,13 +284,18 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
-    """documents with one row of each component: one with the smallest id. Documents without words all stay."""
+    """documents with one row of each component: one with the smallest id. Documents without words all stay.
+
+    All columns stay, whatever their names. Null texts have no words, null ids give way to others, repeated rows are one
+    component, an empty table gives no rows.
+    """
+    name = free_name(documents, "_th")
     docs = _components(documents).filter("n_shingles > 0")
     row = F.struct(F.col("doc_id").isNull(), "doc_id", "_th")  # null ids last
     docs = docs.join(docs.groupBy("component").agg(F.min(row).alias("_least")), "component")
     kept = F.col("doc_id").eqNullSafe(F.col("_least.doc_id")) & (F.col("_th") == F.col("_least._th"))
-    rows = documents.withColumn("_th", F.xxhash64("doc_id", body("text")))
-    return keep_rows(rows, docs.select("doc_id", "_th", kept.alias("kept")), ["doc_id", "_th"]).drop("_th")
+    rows = documents.withColumn(name, F.xxhash64("doc_id", body("text")))
+    return keep_rows(rows, docs.select("doc_id", F.col("_th").alias(name), kept.alias("kept")), ["doc_id", name]).drop(name)
 
 
 SQL = r"""

@@ -69,3 +69,36 @@ def test_rows_without_own_ids(spark):
     bench = spark.createDataFrame([(1, near)], "item_id long, text string")
     rows = [(1, near), (1, clean), (None, near), (None, other)]
     assert left(decontam.drop_contaminated(table(rows), bench)) == sorted([(1, clean), (None, other)], key=str)
+
+
+CLASHING = ("_few", "_few_", "_few_kept", "_bad", "__sha", "_sha", "_SHA", "_th", "__row", "_own_row", "_own_row_bad", "kept", "_n", "node", "component", "n_shingles", "_row", "_h", "_key", "_features", "score", "predicted")
+
+
+def test_columns_of_any_name_stay(spark):
+    clean, near = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, clean), (2, clean), (3, near), (4, near.replace("b59", "x")), (None, None), (6, ""), (7, clean)]
+    table = spark.createDataFrame([(i, t, *(f"{c}:{i}" for c in CLASHING)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    spark.conf.set("spark.sql.caseSensitive", "true")  # names that differ in case only
+    try:
+        bench = spark.createDataFrame([(1, near)], "item_id long, text string")
+        labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+        stages = {
+            "exact": exact_dedup.keep_first_copies,
+            "near": ngram_join.keep_one_of_each,
+            "clean": lambda d: decontam.drop_contaminated(d, bench),
+            "good": lambda d: quality.keep_good(d, labels),
+        }
+        left = {}
+        for name, stage in stages.items():
+            for df in (table, table.limit(0)):
+                out = stage(df)
+                assert out.columns == table.columns
+                found = out.collect()
+                assert all(r[c] == f"{c}:{r['doc_id']}" for r in found for c in CLASHING)
+                if df is table:
+                    left[name] = sorted((r["doc_id"] for r in found), key=str)
+                else:
+                    assert not found
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", "false")
+    assert left["exact"] == [1, 3, 4, 6] and left["near"] == [1, 3, 6, None] and left["clean"] == [1, 2, 6, 7, None]
