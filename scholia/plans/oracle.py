@@ -5,12 +5,14 @@ from __future__ import annotations
 from scholia.functions.predicates import BOILERPLATE, CODE, NOISE, NON_THEORY, OFF_TOPIC, PROHIBITED, PUBLISHER_WORDS, REWRITES, TIER_RULES, TIERS
 from scholia.functions.text import NUMBER_WORDS, SUBJECT_WORDS, TITLE_WORDS
 from scholia.operators.contents import BARE_MARK, ENTRY, PAGE, TITLED_MARK
+from scholia.operators.extraction import EMPTY_FIELDS, VIGNETTE
+from scholia.operators.extraction import NO_FORMULA as NO_FORMULA_WORDS
 from scholia.operators.front_matter import GROUPED, PROSE, TOC_LINE
 from scholia.operators.grading import DEEP_WORDS, HINTS, NO_FORMULA, NO_MISCONCEPTION, NODES, HINT_WORDS, SOLUTION_WORDS, STOP_WORDS
 from scholia.operators.retrieval import GROUNDING, PLACEHOLDER
 from scholia.operators.structure import BARE_NUMBER, BARE_TITLE, EXPLICIT, FAMILIES, NO_CHAPTER, REVIEW, SECTION
 from scholia.operators.section_kinds import SECTION_KINDS
-from scholia.plans.views import ANSWER_SHEETS, ATTEMPTS, BANK, BOOK_LINES, CHUNKS, DIALOGUES, INQUIRIES, OUTLINES, REVIEWS, STYLED_LINES, SUBMISSIONS, TOTALS
+from scholia.plans.views import ANSWER_SHEETS, ATTEMPTS, BANK, BOOK_LINES, CHUNKS, DIALOGUES, INQUIRIES, OUTLINES, REVIEWS, STYLED_LINES, SUBMISSIONS, THEORY_ROWS, TOTALS
 
 
 def r(x: str, d: int = 0) -> str:
@@ -471,3 +473,33 @@ lists AS (SELECT sid, coalesce(string_agg({_ENTRY}, ';' ORDER BY attempt_id) FIL
 SELECT submission_id, total_questions, correct_answers, average_latency, average_attempts, fuzzy_score, performance_tier, CASE WHEN guided THEN 'A' ELSE 'B' END AS pathway, CAST(CASE WHEN guided THEN delta ELSE 0 END AS DOUBLE) AS score_delta_pct,
   CASE WHEN NOT guided THEN 'skipped' WHEN delta > 15 THEN 'significant' WHEN delta > 0 THEN 'moderate' ELSE 'negligible' END AS insight, CAST(CASE performance_tier WHEN 'High Mastery' THEN 4 WHEN 'Moderate Mastery' THEN 3 WHEN 'Developing' THEN 2 ELSE 1 END AS INT) AS study_level,
   coalesce(good, '') AS correct_details, coalesce(bad, '') AS incorrect_details FROM paths LEFT JOIN lists ON sid = submission_id"""
+
+
+_LEAKS = lambda c: " OR ".join(f"regexp_matches({c}, {q(p)})" for p in PROHIBITED)
+
+
+def graded(c: str) -> str:
+    """SQL: a text as its tier may hold it."""
+    out = c
+    for p, put in REWRITES:
+        out = f"regexp_replace({out}, {q(p)}, {q(put)}, 'g')"
+    return f"CASE WHEN tier = 'Class 9' AND ({_LEAKS(c)}) THEN {out} ELSE {c} END"
+
+
+_SET = lambda c: f"nullif({STRIP.format(c=c)}, '')"
+_DEF = lambda c, name: f"coalesce({_SET(c)}, {q(EMPTY_FIELDS[name])})"
+_ROW = lambda items, *fields: "coalesce(array_to_string(list_transform(" + items + ", lambda x: concat_ws('|', " + ", ".join(f"x.{f}" for f in fields) + ")), ';'), '')"
+SQL["ext8_grounded_merge"] = f"""WITH {THEORY_ROWS}, j AS (SELECT theory.*, model.* EXCLUDE (i) FROM theory LEFT JOIN model USING (i)),
+own AS (SELECT *, list_transform(list_filter(coalesce(m_principles, []), lambda p: {_SET('p.title')} IS NOT NULL AND {_SET('p.content')} IS NOT NULL), lambda p: {{'title': {_SET('p.title')}, 'content': {graded(_SET('p.content'))}, 'tag': {_DEF('p.tag', 'tag')}}}) AS ps,
+  list_transform(list_filter(defs, lambda p: NOT {holds('lower(p.text)', VIGNETTE)})[1:3], lambda p: {{'title': p.concept, 'content': {graded("CASE WHEN starts_with(lower(p.text), lower(p.concept)) THEN p.text ELSE p.concept || ' is defined as ' || p.text || '.' END")}, 'tag': 'Definition'}}) AS own_ps,
+  list_transform(list_filter(coalesce(m_formulations, []), lambda p: {_SET('p.formula')} IS NOT NULL OR {_SET('p.title')} IS NOT NULL), lambda p: {{'title': {graded(_DEF('p.title', 'formula_title'))}, 'formula': {graded(f"coalesce({_SET('p.formula')}, {_SET('p.content')}, '')")}, 'derivation': {graded(_DEF('p.derivation', 'derivation'))}, 'variables': {graded(_DEF('p.variables', 'variables'))}}}) AS fs,
+  list_transform(list_filter(eqs, lambda p: length(p.lhs || ' = ' || p.rhs) < 65 AND NOT {holds("lower(p.lhs || ' = ' || p.rhs)", NO_FORMULA_WORDS)})[1:3], lambda p: {{'title': 'Equation for ' || p.lhs, 'formula': p.lhs || ' = ' || p.rhs, 'derivation': 'Stands in the chapter''s text.', 'variables': p.lhs || ' is ' || p.rhs}}) AS own_fs,
+  list_concat(list_transform(exs, lambda p: {{'title': p.title, 'content': {graded('p.content')}}}), list_transform(list_filter(coalesce(m_examples, []), lambda p: {_SET('p.title')} IS NOT NULL OR {_SET('p.content')} IS NOT NULL), lambda p: {{'title': {_DEF('p.title', 'example')}, 'content': {graded(f"coalesce({_SET('p.content')}, {_SET('p.solution')}, {_SET('p.explanation')}, '')")}}})) AS es,
+  list_transform(list_filter(coalesce(m_models, []), lambda p: {_SET('p.concept')} IS NOT NULL OR {_SET('p.analogy')} IS NOT NULL), lambda p: {{'concept': {_DEF('p.concept', 'concept')}, 'analogy': {graded(f"coalesce({_SET('p.analogy')}, '')")}, 'takeaway': {graded(_DEF('p.takeaway', 'takeaway'))}}}) AS ms,
+  list_transform(list_filter(coalesce(m_traps, []), lambda p: {_SET('p.trap')} IS NOT NULL OR {_SET('p.correction')} IS NOT NULL), lambda p: {{'trap': {graded(_DEF('p.trap', 'trap'))}, 'correction': {graded(_DEF('p.correction', 'correction'))}}}) AS ts,
+  list_filter(list_transform(coalesce(m_objectives, []), lambda x: {_SET('x')}), lambda x: x IS NOT NULL) AS os FROM j)
+SELECT chapter_id, md5({graded(f"coalesce({_SET('m_summary')}, summary)")}) AS summary,
+  array_to_string(list_transform(CASE WHEN len(os) > 0 THEN os ELSE ['Say what ' || title || ' means.', 'Use the rules of ' || title || ' in a problem.', 'Recognise ' || title || ' in a case from life.'] END, lambda x: {graded('x')}), ';') AS objectives,
+  md5({_ROW("CASE WHEN len(ps) > 0 THEN ps[1:4] ELSE own_ps END", 'title', 'content', 'tag')}) AS principles, {_ROW("CASE WHEN len(fs) > 0 THEN fs[1:3] ELSE own_fs END", 'title', 'formula', 'derivation', 'variables')} AS formulations,
+  md5({_ROW("es[1:3]", 'title', 'content')}) AS worked_examples, {_ROW("ms", 'concept', 'analogy', 'takeaway')} AS mental_models, {_ROW("ts", 'trap', 'correction')} AS misconceptions,
+  CASE WHEN len(ps) > 0 OR len(fs) > 0 THEN 'blueprint' ELSE 'extracted' END AS theory_source FROM own"""

@@ -435,6 +435,22 @@ def ext1_chapter_theory(s, d):
     return t.select("chapter_id", F.size("facts").alias("facts"), F.size("terms").alias("terms"), F.size("examples").alias("examples"), "summary", F.size("cards").alias("cards"), "quiz.type", "quiz.expected_answer", F.array_join("quiz.options", " | ").alias("options"))
 
 
+def _rows(c, *fields):
+    return F.array_join(F.transform(c, lambda x: F.concat_ws("|", *(x[f] for f in fields))), ";")
+
+
+@query
+def ext8_grounded_merge(s, d):
+    """Chapters' facts merged with a model's rows: whole, in part, empty, or none."""
+    m = E.grounded_merge(V.theory_rows(s, d), V.blueprints(s, d))
+    return m.select(
+        "chapter_id", F.md5("summary").alias("summary"), F.array_join("objectives", ";").alias("objectives"),
+        F.md5(_rows("principles", "title", "content", "tag")).alias("principles"), _rows("formulations", "title", "formula", "derivation", "variables").alias("formulations"),
+        F.md5(_rows("worked_examples", "title", "content")).alias("worked_examples"), _rows("mental_models", "concept", "analogy", "takeaway").alias("mental_models"),
+        _rows("misconceptions", "trap", "correction").alias("misconceptions"), "theory_source",
+    )
+
+
 @query
 def win2_collapsed_turns(s, d):
     return T.collapsed_turns(V.dialogues(s, d)).select("conv_id", "turn", "role")

@@ -348,3 +348,62 @@ plines AS (SELECT book_id, part, generate_subscripts(string_split(text, chr(10))
 book_lines AS (SELECT book_id, part, CAST(row_number() OVER w - 1 AS BIGINT) AS line_no,
   CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY book_id ORDER BY part, ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos, line
   FROM plines WINDOW w AS (PARTITION BY book_id ORDER BY part, ix))"""
+
+
+def theory_rows(spark, sf_dir) -> DataFrame:
+    """Chapters with facts, as extraction gives them: a definition out of the text, one of an everyday story, two equations."""
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    null = F.lit(None).cast("string")
+
+    def fact(kind, concept=null, said=null, lhs=null, rhs=null):
+        full = F.concat(lhs, F.lit(" = "), rhs)
+        return F.struct(F.lit(kind).alias("type"), concept.alias("concept"), said.alias("text"), lhs.alias("lhs"), rhs.alias("rhs"), full.alias("full"), null.alias("value"))
+
+    name = F.concat(F.lit("Law "), i)
+    facts = F.array(
+        F.when(i % 3 > 0, fact("definition", name, F.concat(F.lit("the dv/dt of "), text))),
+        fact("definition", F.lit("Story"), F.concat(F.lit("what a car does in "), text)),
+        F.when(i % 4 > 0, fact("definition", F.lit("Momentum"), F.lit("momentum, which is kept"))),
+        F.when(i % 5 > 0, fact("equation", lhs=F.lit("F"), rhs=F.concat(F.lit("m * "), i))),
+        fact("equation", lhs=F.lit("graph"), rhs=F.lit("none")),
+    )
+    example = F.struct(F.concat(F.lit("Example "), i).alias("source"), text.alias("content"))
+    return read(spark, sf_dir, "documents").select(
+        F.concat(F.lit("c"), i).alias("chapter_id"),
+        F.concat(F.lit("Chapter "), i).alias("title"),
+        F.get(F.array(*map(F.lit, ("Class 9", "Grade 12", "college"))), (F.floor(i / 2) % 3).cast("int")).alias("tier"),
+        F.concat(F.lit("On dx/dt: "), text).alias("summary"),
+        F.filter(facts, lambda f: f.isNotNull()).alias("facts"),
+        F.when(i % 6 > 0, F.array(example)).alias("examples"),
+    )
+
+
+def blueprints(spark, sf_dir) -> DataFrame:
+    """A model's rows for two chapters of three, whole, in part or empty."""
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    put = lambda when, c: F.when(when, F.lit(c) if isinstance(c, str) else c).otherwise("")
+    struct = lambda **c: F.struct(*(v.alias(k) for k, v in c.items()))
+    return read(spark, sf_dir, "documents").filter("doc_id % 3 < 2").select(
+        F.concat(F.lit("c"), i).alias("chapter_id"),
+        put(i % 2 > 0, F.concat(F.lit("An integral view of "), text)).alias("summary"),
+        F.when(i % 5 > 0, F.array(put(i % 2 > 0, "Find the derivative"), F.lit("  "))).alias("objectives"),
+        F.array(*(struct(title=put(i % k > 0, f"P{k}"), content=put(i % (k + 1) > 0, text), tag=put(i % 2 > 0, "T")) for k in range(2, 8))).alias("principles"),
+        F.when(i % 4 > 0, F.array(*(struct(title=put(i % k > 0, f"E{k}"), formula=put(i % 7 > 2, "a = dv/dt"), content=put(i % 2 > 0, "words"), derivation=F.lit(None).cast("string"), variables=put(i % 3 > 0, "a, v")) for k in (2, 3)))).alias("formulations"),
+        F.array(struct(concept=put(i % 2 > 0, "Water"), analogy=put(i % 3 > 0, "dx/dt of a river"), takeaway=F.lit(" "))).alias("mental_models"),
+        F.array(struct(trap=put(i % 4 > 0, "Wrong sign"), correction=put(i % 2 > 0, "Use dv/dt"))).alias("misconceptions"),
+        F.array(struct(title=put(i % 2 > 0, "Slope"), content=F.lit(""), solution=put(i % 3 > 0, text), explanation=F.lit("by hand")), struct(title=F.lit("Two"), content=text, solution=F.lit(None).cast("string"), explanation=F.lit(None).cast("string"))).alias("worked_examples"),
+    )
+
+
+_P = lambda when, c: f"CASE WHEN {when} THEN {c} ELSE '' END"
+_PRINCIPLES = ", ".join(f"{{'title': {_P(f'i % {k} > 0', repr(f'P{k}'))}, 'content': {_P(f'i % {k + 1} > 0', 't')}, 'tag': {_P('i % 2 > 0', repr('T'))}}}" for k in range(2, 8))
+_FORMULATIONS = ", ".join(f"{{'title': {_P(f'i % {k} > 0', repr(f'E{k}'))}, 'formula': {_P('i % 7 > 2', repr('a = dv/dt'))}, 'content': {_P('i % 2 > 0', repr('words'))}, 'derivation': NULL::VARCHAR, 'variables': {_P('i % 3 > 0', repr('a, v'))}}}" for k in (2, 3))
+THEORY_ROWS = f"""theory0 AS (SELECT doc_id AS i, coalesce(text, '') AS t FROM documents),
+theory AS (SELECT i, t, 'c' || i AS chapter_id, 'Chapter ' || i AS title, (['Class 9', 'Grade 12', 'college'])[i // 2 % 3 + 1] AS tier, 'On dx/dt: ' || t AS summary,
+  list_filter([CASE WHEN i % 3 > 0 THEN {{'concept': 'Law ' || i, 'text': 'the dv/dt of ' || t}} END, {{'concept': 'Story', 'text': 'what a car does in ' || t}}, CASE WHEN i % 4 > 0 THEN {{'concept': 'Momentum', 'text': 'momentum, which is kept'}} END], lambda x: x IS NOT NULL) AS defs,
+  list_filter([CASE WHEN i % 5 > 0 THEN {{'lhs': 'F', 'rhs': 'm * ' || i}} END, {{'lhs': 'graph', 'rhs': 'none'}}], lambda x: x IS NOT NULL) AS eqs,
+  CASE WHEN i % 6 > 0 THEN [{{'title': 'Example ' || i, 'content': t}}] ELSE [] END AS exs FROM theory0),
+model AS (SELECT i, {_P('i % 2 > 0', "'An integral view of ' || t")} AS m_summary, CASE WHEN i % 5 > 0 THEN [{_P('i % 2 > 0', "'Find the derivative'")}, '  '] ELSE [] END AS m_objectives,
+  [{_PRINCIPLES}] AS m_principles, CASE WHEN i % 4 > 0 THEN [{_FORMULATIONS}] ELSE [] END AS m_formulations,
+  [{{'concept': {_P('i % 2 > 0', "'Water'")}, 'analogy': {_P('i % 3 > 0', "'dx/dt of a river'")}, 'takeaway': ' '}}] AS m_models, [{{'trap': {_P('i % 4 > 0', "'Wrong sign'")}, 'correction': {_P('i % 2 > 0', "'Use dv/dt'")}}}] AS m_traps,
+  [{{'title': {_P('i % 2 > 0', "'Slope'")}, 'content': '', 'solution': {_P('i % 3 > 0', 't')}, 'explanation': 'by hand'}}, {{'title': 'Two', 'content': t, 'solution': NULL, 'explanation': NULL}}] AS m_examples FROM theory0 WHERE i % 3 < 2)"""
