@@ -104,3 +104,39 @@ def chapters_by_unit(chapters: DataFrame, units: DataFrame) -> DataFrame:
     out = chapters.join(u, ["course_id", "unit_index"], "left").withColumn("unit", name)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("chapter_index", "chapter_id"))), lambda x: x["chapter_id"])
     return out.groupBy("course_id", "unit_index", "unit").agg(F.array_join(ordered, ",").alias("chapters"))
+
+
+def selected_chapters(chapters: DataFrame, specs: DataFrame) -> DataFrame:
+    """Chapters (course_id, chapter_index, ...) that their course's spec (course_id, spec) names.
+
+    `all`, nothing or no spec: all; `5`: the first five; `2-4`, `1,3,5-8`: these. Parts that are no numbers, ranges that run back and
+    numbers beyond the course name nothing; a spec that names no chapter at all means all. Case and blanks don't count.
+    """
+    flat = F.lower(F.regexp_replace(F.coalesce("spec", F.lit("")), r"\s+", ""))
+    bounds = lambda p, i: F.regexp_extract(p, r"^(\d{1,9})(?:-(\d{1,9}))?$", i)
+    ranges = F.transform(
+        F.filter(F.split(flat, ","), lambda p: p.rlike(r"^\d{1,9}(?:-\d{1,9})?$")),
+        lambda p: F.struct(F.when(flat.rlike(r"^\d{1,9}$"), 1).otherwise(bounds(p, 1).cast("int")).alias("a"), F.coalesce(F.nullif(bounds(p, 2), F.lit("")), bounds(p, 1)).cast("int").alias("b")),
+    )
+    wanted = specs.groupBy("course_id").agg(F.min("spec").alias("spec")).select("course_id", ranges.alias("_ranges"))
+    rows = chapters.join(wanted, "course_id", "left")
+    named = F.coalesce(F.exists("_ranges", lambda r: F.col("chapter_index").between(r["a"], r["b"])), F.lit(False))
+    rows = rows.withColumn("_named", named)
+    some = rows.filter("_named").select("course_id").distinct().withColumn("_some", F.lit(True))
+    return rows.join(some, "course_id", "left").filter(F.col("_named") | F.col("_some").isNull()).select(*chapters.columns)
+
+
+def selection_labels(selected: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(course_id, label) such as `1-5, 9 (6 of 41)`: runs of selected numbers by gaps and islands."""
+    run = F.col("chapter_index") - F.row_number().over(Window.partitionBy("course_id").orderBy("chapter_index"))
+    runs = selected.withColumn("_run", run).groupBy("course_id", "_run").agg(F.min("chapter_index").alias("a"), F.max("chapter_index").alias("b"), F.count(F.lit(1)).alias("n"))
+    text = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "b"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("a", text.alias("t")))), lambda x: x["t"])
+    labels = runs.groupBy("course_id").agg(F.array_join(ordered, ", ").alias("_t"), F.sum("n").alias("_n"))
+    total = chapters.groupBy("course_id").agg(F.count(F.lit(1)).alias("_all"))
+    return labels.join(total, "course_id").select("course_id", F.concat("_t", F.lit(" ("), "_n", F.lit(" of "), "_all", F.lit(")")).alias("label"))
+
+
+def newest_courses(courses: DataFrame) -> DataFrame:
+    """Courses, the newest first; equal times by id."""
+    return courses.orderBy(F.desc("mtime"), "course_id")

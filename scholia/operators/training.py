@@ -98,9 +98,36 @@ def assessment_examples(courses: DataFrame) -> DataFrame:
     return some.select("course_id", F.array(message("system", ASSESSMENT), message("user", ask), message("assistant", answer)).alias("messages"))
 
 
-def prompt_text(title: Column, content: Column, output: Column) -> Column:
-    """Instruction, input and response as one text."""
-    return F.concat(F.lit("### Instruction:\nProduce the study material of this section.\n\n### Input:\nTitle: "), title, F.lit("\nContent: "), F.substring(content, 1, 3500), F.lit("\n\n### Response:\n"), output)
+#: Classes of sections, and the titles that show each; all others are theory.
+SECTION_CLASSES = (
+    ("APPENDIX", r"(?i)^\s*appendi(?:x|ces)\b"),
+    ("FRONT_MATTER", r"(?i)^\s*(?:table\s+of\s+contents|contents|toc|preface|foreword|dedication|acknowledge?ments|copyright|publisher|about\s+the\s+authors?)\b"),
+    ("BIBLIOGRAPHY", r"(?i)^\s*(?:bibliography|references|works\s+cited)\b"),
+    ("EXERCISE_SOLUTIONS", r"(?i)^\s*(?:solutions\s+(?:to|for)|answers\s+to|answer\s+key)\b"),
+)
+THEORY, PROMPT_CHARS = "CORE_THEORY", 3500
+SECTION_TASK = "Say which class the section belongs to: {}. For all but the last say that it is no theory, and why. For theory write two sentences of overview, three objectives and three cards."
+
+
+def section_class(title: Column) -> Column:
+    out = F.lit(THEORY)
+    for name, pattern in reversed(SECTION_CLASSES):
+        out = F.when(title.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def section_prompts(sections: DataFrame) -> DataFrame:
+    """sections (section_id, title, content, output) to (section_id, section_class, text): task, section and answer as one text.
+
+    Theory is answered by output, everything else by a JSON object that says why it is none. Contents show 3,500 characters,
+    as the prompts that the reader was made for do.
+    """
+    kind = section_class(F.col("title"))
+    task = SECTION_TASK.format(", ".join(name for name, _ in (*SECTION_CLASSES, (THEORY, ""))))
+    reason = F.to_json(F.struct(F.lit(False).alias("is_theory"), F.concat(F.lit("Section class "), kind).alias("reason")))
+    answer = F.when(kind == THEORY, F.col("output")).otherwise(reason)
+    ask = F.concat(F.lit("Title: "), "title", F.lit("\nContent:\n"), F.substring("content", 1, PROMPT_CHARS))
+    return sections.select("section_id", kind.alias("section_class"), chat_text(F.array(message("system", task), message("user", ask), message("assistant", answer))).alias("text"))
 
 
 def chat_text(messages: Column) -> Column:

@@ -12,6 +12,7 @@ from scholia.operators.grading import DEEP_WORDS, HINTS, NO_FORMULA, NO_MISCONCE
 from scholia.operators.retrieval import GROUNDING, PLACEHOLDER
 from scholia.operators.structure import BARE_NUMBER, BARE_TITLE, EXPLICIT, FAMILIES, NO_CHAPTER, REVIEW, SECTION
 from scholia.operators.section_kinds import SECTION_KINDS
+from scholia.operators.training import ASSESSMENT, SECTION_CLASSES, SECTION_TASK, THEORY
 from scholia.plans.views import ANSWER_SHEETS, ATTEMPTS, BANK, BOOK_LINES, CHUNKS, DIALOGUES, INQUIRIES, OUTLINES, REVIEWS, STYLED_LINES, SUBMISSIONS, THEORY_ROWS, TOTALS
 
 
@@ -503,3 +504,37 @@ SELECT chapter_id, md5({graded(f"coalesce({_SET('m_summary')}, summary)")}) AS s
   md5({_ROW("CASE WHEN len(ps) > 0 THEN ps[1:4] ELSE own_ps END", 'title', 'content', 'tag')}) AS principles, {_ROW("CASE WHEN len(fs) > 0 THEN fs[1:3] ELSE own_fs END", 'title', 'formula', 'derivation', 'variables')} AS formulations,
   md5({_ROW("es[1:3]", 'title', 'content')}) AS worked_examples, {_ROW("ms", 'concept', 'analogy', 'takeaway')} AS mental_models, {_ROW("ts", 'trap', 'correction')} AS misconceptions,
   CASE WHEN len(ps) > 0 OR len(fs) > 0 THEN 'blueprint' ELSE 'extracted' END AS theory_source FROM own"""
+
+_CC = """cc AS (SELECT source AS course_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS chapter_index, 'c' || doc_id AS chapter_id FROM documents)"""
+SQL["flt10_selected_chapters"] = f"""WITH {_CC}, sp AS (SELECT course_id, (['all', '3', '2-4', '1,3,5-8,x', '90000-99999', '4-2,?', NULL])[coalesce(TRY_CAST(regexp_extract(course_id, '[0-9]+') AS INT), 0) % 7 + 1] AS spec FROM (SELECT DISTINCT course_id FROM cc)),
+pt AS (SELECT course_id, spec, unnest(string_split(spec, ',')) AS p FROM sp),
+rg AS (SELECT course_id, CASE WHEN regexp_full_match(spec, '\\d+') THEN 1 ELSE TRY_CAST(split_part(p, '-', 1) AS INT) END AS a, TRY_CAST(CASE WHEN contains(p, '-') THEN split_part(p, '-', 2) ELSE p END AS INT) AS b FROM pt WHERE regexp_full_match(p, '\\d+(-\\d+)?')),
+nm AS (SELECT cc.*, EXISTS (SELECT 1 FROM rg WHERE rg.course_id = cc.course_id AND chapter_index BETWEEN a AND b) AS named FROM cc),
+se AS (SELECT course_id, chapter_index FROM nm QUALIFY named OR NOT bool_or(named) OVER (PARTITION BY course_id)),
+ru AS (SELECT *, chapter_index - row_number() OVER (PARTITION BY course_id ORDER BY chapter_index) AS run FROM se), mm AS (SELECT course_id, min(chapter_index) AS a, max(chapter_index) AS b, count(*) AS n FROM ru GROUP BY course_id, run)
+SELECT course_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) || ' (' || CAST(sum(n) AS BIGINT) || ' of ' || any_value(t) || ')' AS label FROM mm JOIN (SELECT course_id, count(*) AS t FROM cc GROUP BY 1) USING (course_id) GROUP BY course_id"""
+SQL["flt8_length_gates"] = f"WITH {CHUNKS} SELECT course_id, " + ", ".join(f"count(*) FILTER (WHERE length(document) >= {n}) AS {k}" for k, n in (("chunk", 41), ("body", 500), ("section", 80), ("intro", 121), ("review", 201), ("training", 120), ("training_book", 250), ("training_append", 200))) + " FROM chunks GROUP BY course_id"
+_TITLED_NAME = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+SQL["prj9_prj10_ids"] = f"""SELECT p_partkey, {_TITLED_NAME} AS subject, p_name || '_standard_' || lpad(CAST(p_partkey % 20000 AS VARCHAR), CAST(greatest(4, length(CAST(p_partkey % 20000 AS VARCHAR))) AS INT), '0') AS builtin,
+  'sec_' || (p_partkey % 9) || '_' || (p_partkey % 9) || '.' || (p_partkey % 5) AS section, 'ch_' || lower(substr(p_name, 1, 3)) || '_standard_' || substr(md5(p_type), 1, 10) AS card FROM part"""
+SQL["jon3_quizzes_with_cards"] = f"""WITH {_CC}, cards AS (SELECT course_id, chapter_index - 1 AS at_, 'topic ' || (chapter_index % 9) AS topic, chapter_id AS card_id FROM cc),
+q AS (SELECT course_id, at_, card_id AS placed, CASE WHEN at_ % 4 = 0 THEN 'unknown' ELSE 'topic ' || (at_ % 11) END AS concept FROM cards), f AS (SELECT course_id, topic, arg_min(card_id, at_) AS named FROM cards GROUP BY ALL)
+SELECT q.course_id, at_ AS "at", concept, coalesce(named, placed) AS card_id FROM q LEFT JOIN f ON f.course_id = q.course_id AND f.topic = q.concept"""
+SQL["jon10_chapter_lookup"] = f"""WITH {_CC}, a AS (SELECT DISTINCT course_id, CASE chapter_index % 3 WHEN 0 THEN chapter_id WHEN 1 THEN CAST(chapter_index AS VARCHAR) ELSE 'none' END AS ref FROM cc)
+SELECT a.course_id, ref, 'T ' || coalesce(x.chapter_id, y.chapter_id) AS title FROM a LEFT JOIN cc x ON x.course_id = a.course_id AND x.chapter_id = ref LEFT JOIN cc y ON y.course_id = a.course_id AND CAST(y.chapter_index AS VARCHAR) = ref"""
+SQL["jon2_enriched"] = f"""WITH {_CC} SELECT course_id, chapter_index, CASE WHEN chapter_index % 4 = 2 THEN 'Canonical ' || chapter_index ELSE 'T ' || chapter_id END AS title,
+  CASE WHEN chapter_index % 2 = 0 AND chapter_index % 6 > 0 THEN 'canonical' ELSE 'own' END AS full_text FROM cc"""
+SQL["cat1_bank_courses"] = """SELECT 'subject_' || item_id || '_class_' || (item_id % 3 + 9) AS course_id, 'Subject ' || item_id AS subject, 'Class ' || (item_id % 3 + 9) AS academic_tier, CAST(n AS INT) AS chapter_index,
+  CASE n WHEN 1 THEN 'Topic ' || item_id ELSE 'More' END AS title, md5(CASE n WHEN 1 THEN text ELSE 'q' END) AS question, CASE n WHEN 1 THEN 'a' ELSE 'b' END AS answer FROM benchmark, (VALUES (1), (2)) t(n)"""
+_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(title, {q(p)}) THEN '{k}'" for k, p in SECTION_CLASSES) + f" ELSE '{THEORY}' END"
+_TASK = SECTION_TASK.format(", ".join(k for k, _ in (*SECTION_CLASSES, (THEORY, ""))))
+_CHAT = lambda *parts: " || ".join(MARK.format(r=q(role), c=f"({c})") for role, c in zip(("system", "user", "assistant"), parts, strict=True))
+_NO_THEORY = "CASE WHEN section_class = '" + THEORY + "' THEN output ELSE '{\"is_theory\":false,\"reason\":\"Section class ' || section_class || '\"}' END"
+SQL["trn6_section_prompts"] = f"""WITH x AS (SELECT doc_id AS section_id, (['Waves', 'Appendix B', 'Preface', 'References', 'Answers to odd problems', 'Contents of the sea'])[doc_id % 6 + 1] AS title, text, 'About ' || doc_id AS output FROM documents),
+k AS (SELECT *, {_CLASS} AS section_class FROM x)
+SELECT section_id, section_class, md5({_CHAT(q(_TASK), "'Title: ' || title || chr(10) || 'Content:' || chr(10) || substr(text, 1, 3500)", _NO_THEORY)}) AS text FROM k"""
+_SOME = lambda name, n: f"list_filter(['{name} 1', '{name} 2', '{name} 3'], lambda x: CAST(right(x, 1) AS INT) <= {n})[1:2]"
+_JSON = lambda c: f"'[' || array_to_string(list_transform({c}, lambda x: '\"' || x || '\"'), ',') || ']'"
+SQL["trn2_assessments"] = f"""SELECT CAST(item_id AS VARCHAR) AS course_id, {_CHAT(q(ASSESSMENT), "'Generate summative assessment questions for course module: ''Course ' || item_id || '''.'", "'{\"quizzes\":' || " + _JSON(_SOME('quiz', 'item_id % 4')) + " || ',\"finalExam\":' || " + _JSON(_SOME('exam', 'item_id % 3')) + " || '}'")} AS text
+  FROM benchmark WHERE item_id % 4 > 0 OR item_id % 3 > 0"""
+SQL["top5_newest_courses"] = "SELECT 'c' || doc_id AS course_id, doc_id * 7919 % 1000 AS mtime FROM documents"

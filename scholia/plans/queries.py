@@ -503,6 +503,97 @@ def _course_chapters(s, d):
     return x.select(F.col("source").alias("course_id"), n.alias("chapter_index"), F.concat(F.lit("c"), i).alias("chapter_id"), (F.floor((n - 1) / 7) + 1).cast("int").alias("unit_index"), (1 + i % 6).cast("int").alias("sections"), (i % 4).cast("int").alias("cards"), F.when(i % 3 == 0, "model").alias("theory_source"), F.when(i % 11 == 0, "Own unit").alias("unit_title"))
 
 
+def _specs(s, d):
+    """What is asked of each course: all, the first three, a range, a list, numbers beyond it, nonsense."""
+    x = V.read(s, d, "documents").select(F.col("source").alias("course_id")).distinct()
+    k = F.pmod(F.coalesce(F.expr("try_cast(regexp_extract(course_id, '[0-9]+', 0) as int)"), F.lit(0)), F.lit(7))
+    return x.select("course_id", F.get(F.array(*map(F.lit, ("ALL", " 3 ", "2-4", "1, 3,5 - 8,x", "90000-99999", "4-2,?", "7"))), k).alias("spec")).filter("spec <> '7'")
+
+
+@query
+def flt10_selected_chapters(s, d):
+    c = _course_chapters(s, d)
+    return C.selection_labels(C.selected_chapters(c, _specs(s, d)), c)
+
+
+@query
+def flt8_length_gates(s, d):
+    """Lines long enough for each use, per source."""
+    kinds = ("chunk", "body", "section", "intro", "review", "training", "training_book", "training_append")
+    return V.chunks(s, d).groupBy("course_id").agg(*(F.count_if(P.long_enough(F.col("document"), k)).alias(k) for k in kinds))
+
+
+@query
+def prj9_prj10_ids(s, d):
+    """Subjects out of file names, and ids of chunks, sections and cards."""
+    n, name = F.col("p_partkey"), F.col("p_name")
+    path = F.concat(F.lit("/books/"), F.replace(name, F.lit(" "), F.lit("-")), F.lit("_textbook.txt"))
+    return V.read(s, d, "part").select(
+        "p_partkey", X.subject_from_file(path).alias("subject"), X.builtin_chunk_id(name, F.lit("standard"), n % 20_000).alias("builtin"),
+        X.section_id(n % 9, F.concat(n % 9, F.lit("."), n % 5)).alias("section"), X.card_id(name, F.lit("standard"), F.col("p_type")).alias("card"),
+    )
+
+
+@query
+def jon3_quizzes_with_cards(s, d):
+    """Quizzes find the first card of their concept, else the one at their place."""
+    c = _course_chapters(s, d).select("course_id", (F.col("chapter_index") - 1).alias("at"), F.concat(F.lit("topic "), F.col("chapter_index") % 9).alias("topic"), F.col("chapter_id").alias("card_id"))
+    q = c.select("course_id", "at", F.when(F.col("at") % 4 == 0, "unknown").otherwise(F.concat(F.lit("topic "), F.col("at") % 11)).alias("concept"))
+    return C.quizzes_with_cards(q, c).select("course_id", "at", "concept", "card_id")
+
+
+@query
+def jon10_chapter_lookup(s, d):
+    """Chapters asked for by id, by index, or in vain."""
+    c = _course_chapters(s, d).withColumn("title", F.concat(F.lit("T "), "chapter_id"))
+    i = F.col("chapter_index")
+    asked = c.select("course_id", F.when(i % 3 == 0, F.col("chapter_id")).when(i % 3 == 1, i.cast("string")).otherwise("none").alias("ref"))
+    return C.chapter_lookup(asked.distinct(), c)
+
+
+@query
+def jon2_enriched(s, d):
+    """Chapters with title and text of the canonical chapter of their index, where it has them."""
+    c = _course_chapters(s, d).select("course_id", "chapter_index", F.concat(F.lit("T "), "chapter_id").alias("title"), F.lit("own").alias("full_text"))
+    i = F.col("chapter_index")
+    k = c.filter("chapter_index % 2 = 0").select("course_id", i, F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("Canonical "), i)).alias("title"), F.when(i % 6 > 0, "canonical").alias("full_text"))
+    return C.enriched(c, k)
+
+
+@query
+def cat1_bank_courses(s, d):
+    """Card banks nested by subject and tier as courses of cards."""
+    b = V.read(s, d, "benchmark")
+    card = F.struct(F.concat(F.lit("Topic "), "item_id").alias("topic"), F.col("text").alias("question"), F.lit("a").alias("answer"))
+    cards = F.array(card, F.struct(F.lit("More").alias("topic"), F.lit("q").alias("question"), F.lit("b").alias("answer")))
+    tiers = F.create_map(F.concat(F.lit("Class "), F.col("item_id") % 3 + 9), F.struct(cards.alias("cards")))
+    repo = F.create_map(F.concat(F.lit("Subject "), "item_id"), tiers)
+    return C.bank_courses(b.select(repo.alias("repo"))).withColumn("question", F.md5("question"))
+
+
+@query
+def trn6_section_prompts(s, d):
+    """Sections of all classes as training texts."""
+    i = F.col("doc_id")
+    titles = F.array(*map(F.lit, ("Waves", "Appendix B", "Preface", "References", "Answers to odd problems", "Contents of the sea")))
+    x = V.read(s, d, "documents").select(i.alias("section_id"), F.get(titles, (i % 6).cast("int")).alias("title"), F.col("text").alias("content"), F.concat(F.lit("About "), i).alias("output"))
+    return T.section_prompts(x).select("section_id", "section_class", F.md5("text").alias("text"))
+
+
+@query
+def trn2_assessments(s, d):
+    """Courses with quizzes or an exam, two of each."""
+    i = F.col("item_id")
+    many = lambda name, n: F.filter(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.when(k <= n, F.concat(F.lit(name), k.cast("string")))), lambda x: x.isNotNull())
+    x = V.read(s, d, "benchmark").select(i.cast("string").alias("course_id"), F.concat(F.lit("Course "), i).alias("title"), many("quiz ", i % 4).alias("quizzes"), many("exam ", i % 3).alias("finalExam"))
+    return T.assessment_examples(x).select("course_id", T.chat_text(F.col("messages")).alias("text"))
+
+
+@query
+def top5_newest_courses(s, d):
+    return C.newest_courses(_courses(s, d)).select("course_id", "mtime")
+
+
 @query
 def agg5_course_rollups(s, d):
     return C.rollups(_course_chapters(s, d))

@@ -128,6 +128,43 @@ def test_history_ends_in_the_schedule(spark):
     assert srs.review_history(r).count() == 200
 
 
+@pytest.mark.parametrize(
+    ("spec", "numbers", "label"),
+    [
+        ("1,3,5-8", [1, 3, 5, 6, 7, 8], "1, 3, 5-8 (6 of 9)"),
+        ("8-50", [8, 9], "8-9 (2 of 9)"),
+        ("99", range(1, 10), "1-9 (9 of 9)"),
+        ("garbage", range(1, 10), "1-9 (9 of 9)"),
+        (None, range(1, 10), "1-9 (9 of 9)"),
+        (" ALL ", range(1, 10), "1-9 (9 of 9)"),
+        ("5", range(1, 6), "1-5 (5 of 9)"),
+        ("0", range(1, 10), "1-9 (9 of 9)"),
+        ("5-2, 7", [7], "7 (1 of 9)"),
+    ],
+)
+def test_selection(spark, spec, numbers, label):
+    c = spark.createDataFrame([("a", i) for i in range(1, 10)], "course_id string, chapter_index int")
+    got = catalogue.selected_chapters(c, spark.createDataFrame([("a", spec)], "course_id string, spec string"))
+    assert sorted(r["chapter_index"] for r in got.collect()) == list(numbers)
+    assert catalogue.selection_labels(got, c).first()["label"] == label
+
+
+def test_grounded_merge_of_odd_rows(spark):
+    theory = spark.createDataFrame(
+        [(k, "Waves", "Class 9", "own", [{"type": "definition", "concept": "Wave", "text": "wave that moves"}, {"type": "definition", "concept": "Trip", "text": "a trip by car"}], None) for k in ("none", "empty", "full")],
+        "chapter_id string, title string, tier string, summary string, facts array<struct<type:string,concept:string,text:string,lhs:string,rhs:string,full:string,value:string>>, examples array<struct<source:string,content:string>>",
+    )
+    rows = [("empty", None, [None, " "], None, None, None, [(None, "")], None), ("full", "A dv/dt", ["Go"], [("P", "the integral", None)] * 6, [(None, "x", None, None, None)] * 5, [("C", None, None)], [("T", None)], [(None, "c", None, None)] * 5)]
+    got = {r["chapter_id"]: r for r in extraction.grounded_merge(theory, spark.createDataFrame(rows, extraction.BLUEPRINT)).collect()}
+    assert [got[k]["theory_source"] for k in ("none", "empty", "full")] == ["extracted", "extracted", "blueprint"]
+    for k in ("none", "empty"):
+        assert [tuple(p) for p in got[k]["principles"]] == [("Wave", "wave that moves", "Definition")] and got[k]["summary"] == "own" and len(got[k]["objectives"]) == 3
+        assert got[k]["misconceptions"] == [] and got[k]["worked_examples"] == []
+    full = got["full"]
+    assert len(full["principles"]) == 4 and len(full["formulations"]) == 3 and len(full["worked_examples"]) == 3
+    assert "rate of change" in full["summary"] and full["mental_models"][0]["takeaway"] == extraction.EMPTY_FIELDS["takeaway"] and full["misconceptions"][0]["correction"]
+
+
 def text_of(layout):
     prose = "\n".join("some plain text of a book that goes on for a while" for _ in range(12))
     out = []
