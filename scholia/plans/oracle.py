@@ -538,3 +538,20 @@ _JSON = lambda c: f"'[' || array_to_string(list_transform({c}, lambda x: '\"' ||
 SQL["trn2_assessments"] = f"""SELECT CAST(item_id AS VARCHAR) AS course_id, {_CHAT(q(ASSESSMENT), "'Generate summative assessment questions for course module: ''Course ' || item_id || '''.'", "'{\"quizzes\":' || " + _JSON(_SOME('quiz', 'item_id % 4')) + " || ',\"finalExam\":' || " + _JSON(_SOME('exam', 'item_id % 3')) + " || '}'")} AS text
   FROM benchmark WHERE item_id % 4 > 0 OR item_id % 3 > 0"""
 SQL["top5_newest_courses"] = "SELECT 'c' || doc_id AS course_id, doc_id * 7919 % 1000 AS mtime FROM documents"
+
+
+_PARTS = f"list_transform(string_split(regexp_replace({STRIP.format(c='document')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x)"
+_DEFINED, _HEADED = r"(?i)^(.{8,72}?)\s+(?:is|are|refers to|means|describes|defines)\s", r"^([A-Z][A-Za-z0-9\s\-,:()]{4,70})"
+_LONG = f"list_filter(list_transform(parts, lambda x: {STRIP.format(c='x')}), lambda x: length(x) > 24)[1:4]"
+SQL["ret7_cards"] = f"""WITH {CHUNKS}, c AS (SELECT course_id || '/' || chapter_id AS query_id, chunk_id AS rank, document FROM chunks
+  WHERE length(document) BETWEEN 90 AND 1400 AND NOT {holds('lower(document)', PUBLISHER_WORDS)} AND length(regexp_replace(document, '[^\\p{{L}}]', '', 'g')) / length(document) > 0.55::DOUBLE),
+p AS (SELECT *, {_PARTS} AS parts FROM c), s AS (SELECT *, parts[1] AS first, {_LONG} AS lines FROM p),
+t AS (SELECT query_id, rank, CASE WHEN regexp_matches(first, {q(_DEFINED)}) THEN regexp_replace({STRIP.format(c=f"regexp_extract(first, {q(_DEFINED)}, 1)")}, '^"+|"+$', '', 'g') WHEN regexp_matches(first, {q(_HEADED)}) THEN {STRIP.format(c=f"regexp_extract(first, {q(_HEADED)}, 1)")}
+    ELSE {STRIP.format(c='substr(first, 1, 72)')} || CASE WHEN length(first) > 72 THEN '...' ELSE '' END END AS topic,
+  CASE WHEN len(lines) = 0 THEN '• ' || substr({STRIP.format(c='document')}, 1, 500) ELSE array_to_string(list_transform(lines, lambda x: '• ' || x || CASE WHEN regexp_matches(x, '[.!?]$') THEN '' ELSE '.' END), chr(10)) END AS answer FROM s),
+u AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY query_id, lower(topic) ORDER BY rank, answer) = 1)
+SELECT query_id, topic, md5(answer) AS answer FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, topic) <= 3"""
+_TEXT8 = "'Momentum is defined as the product of the mass and the velocity. Here F' || (doc_id % 5) || ' = m * a, and the Speed equals ' || (doc_id % 90) || ' m/s. Example ' || (doc_id % 9) || ' A cart rolls down a slope and stops after a while on level ground.' || chr(10) || text"
+SQL["trn8_combined"] = f"""WITH tutors AS ({SQL["trn4_tutor_examples"]}), lessons AS ({SQL["trn5_topic_lessons"]}), ch AS (SELECT length({_TEXT8}) AS n FROM documents)
+SELECT CAST(source AS INT) AS source, examples, CAST(messages AS BIGINT) AS messages FROM (SELECT 0 AS source, count(*) AS examples, 3 * count(*) AS messages FROM ch WHERE n >= 120 UNION ALL SELECT 1, count(*), 3 * count(*) FROM ch WHERE n >= 250
+  UNION ALL SELECT 2, count(*), sum(messages) FROM tutors UNION ALL SELECT 3, count(*), sum(messages) FROM lessons) WHERE examples > 0"""
