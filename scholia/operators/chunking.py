@@ -91,6 +91,21 @@ def packed(text: Column, how: str = "sentences", size: int = 400, overlap: int =
     return pack(text)
 
 
+def section_title(content: Column, number: Column) -> Column:
+    """`Section n: ` and the first line of more than 15 characters that isn't made of marks and digits, up to 80 of it; a word where none is left."""
+    lines = F.filter(F.transform(F.split(content, "\n"), strip), lambda x: (F.length(x) > 15) & ~x.rlike(r"^[#\*\d\.\-:=\s]+$"))
+    first = strip(F.regexp_replace(F.substring(F.coalesce(F.get(lines, 0), F.lit("")), 1, 80), r"^[#\*\d\.\-:]+\s*", ""))
+    return F.concat(F.lit("Section "), number, F.lit(": "), F.when(F.length(first) > 10, first).otherwise("Theory"))
+
+
+def titled_sections(df: DataFrame, text: str = "text", target: int = 5000) -> DataFrame:
+    """One row per cognitive section of a text: section_index (from 1), title, content. Null texts have none; short tails join or go."""
+    others = [c for c in df.columns if c != text]
+    rows = df.select(*others, F.posexplode(packed(F.col(text), "cognitive", target)).alias("_at", "content"))
+    index = (F.col("_at") + 1).alias("section_index")
+    return rows.select(*others, index, section_title(F.col("content"), F.col("_at") + 1).alias("title"), "content")
+
+
 def deduplicated_chunks(chunks: DataFrame, text: str = "document") -> DataFrame:
     """Chunks over 40 characters, one of each text per course and chapter, with hash and id. The shuffle is on the hash."""
     c = chunks.withColumn("content_hash", content_hash(F.col(text))).filter(F.length(strip(F.col(text))) > 40)

@@ -555,3 +555,20 @@ _TEXT8 = "'Momentum is defined as the product of the mass and the velocity. Here
 SQL["trn8_combined"] = f"""WITH tutors AS ({SQL["trn4_tutor_examples"]}), lessons AS ({SQL["trn5_topic_lessons"]}), ch AS (SELECT length({_TEXT8}) AS n FROM documents)
 SELECT CAST(source AS INT) AS source, examples, CAST(messages AS BIGINT) AS messages FROM (SELECT 0 AS source, count(*) AS examples, 3 * count(*) AS messages FROM ch WHERE n >= 120 UNION ALL SELECT 1, count(*), 3 * count(*) FROM ch WHERE n >= 250
   UNION ALL SELECT 2, count(*), sum(messages) FROM tutors UNION ALL SELECT 3, count(*), sum(messages) FROM lessons) WHERE examples > 0"""
+
+
+_PARAS = f"list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {STRIP.format(c='x')})"
+_GATHER = "list_reduce(list_prepend({{'out': []::VARCHAR[], 'now': '', 'size': 0::BIGINT}}, list_transform({0}, lambda x: {{'out': []::VARCHAR[], 'now': x, 'size': length(x)}})), lambda a, x: CASE WHEN {1} THEN {{'out': list_append(a.out, CASE WHEN a.now = '' THEN x.now ELSE a.now || chr(10) || chr(10) || x.now END), 'now': '', 'size': 0::BIGINT}} ELSE {{'out': a.out, 'now': CASE WHEN a.now = '' THEN x.now ELSE a.now || chr(10) || chr(10) || x.now END, 'size': a.size + x.size}} END)"
+SQL["chk3_balanced_chunks"] = f"""WITH p AS (SELECT doc_id, text, list_filter({_PARAS}, lambda x: x <> '') AS ps FROM documents),
+q AS (SELECT doc_id, CASE WHEN len(ps) > 1 THEN ps ELSE list_filter(list_transform(string_split(regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {STRIP.format(c='x')}), lambda x: x <> '') END AS ps FROM p),
+g AS (SELECT doc_id, {_GATHER.format("ps", "a.size + x.size >= 600 AND len(a.out) < 9")} AS g FROM q),
+c AS (SELECT doc_id, CASE WHEN g.now <> '' THEN list_append(g.out, g.now) ELSE g.out END AS cs FROM g)
+SELECT doc_id, CAST(i - 1 AS INT) AS chunk_index, md5(cs[i]) AS chunk FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM c)"""
+_FIRST = "list_filter(list_transform(string_split(content, chr(10)), lambda x: " + STRIP.format(c="x") + "), lambda x: length(x) > 15 AND NOT regexp_matches(x, '^[#\\*\\d\\.\\-:=\\s]+$'))[1]"
+SQL["chk4_titled_sections"] = f"""WITH p AS (SELECT doc_id, coalesce(text, '') AS text, {_PARAS.replace('text', "coalesce(text, '')")} AS ps FROM documents),
+q AS (SELECT doc_id, CASE WHEN len(list_filter(ps, lambda x: length(x) > 80)) > 0 THEN list_filter(ps, lambda x: length(x) > 80) WHEN len(list_filter(ps, lambda x: length(x) > 30)) > 0 THEN list_filter(ps, lambda x: length(x) > 30) ELSE [replace(text, chr(10), chr(10) || chr(10))] END AS ps FROM p),
+g AS (SELECT doc_id, {_GATHER.format("ps", "a.size + x.size >= 5000")} AS g FROM q),
+c AS (SELECT doc_id, CASE WHEN length(g.now) < 200 THEN g.out WHEN len(g.out) > 0 AND length(g.now) < 1000 THEN list_append(g.out[1:len(g.out) - 1], g.out[len(g.out)] || chr(10) || chr(10) || g.now) ELSE list_append(g.out, g.now) END AS cs FROM g),
+s AS (SELECT doc_id, i, cs[i] AS content FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM c)),
+t AS (SELECT *, {STRIP.format(c=f"regexp_replace(substr(coalesce({_FIRST}, ''), 1, 80), '^[#\\*\\d\\.\\-:]+\\s*', '')")} AS first FROM s)
+SELECT doc_id, CAST(i AS INT) AS section_index, 'Section ' || i || ': ' || CASE WHEN length(first) > 10 THEN first ELSE 'Theory' END AS title, md5(content) AS content FROM t"""

@@ -361,6 +361,23 @@ def chk2_packed_chunks(s, d):
     return x.select("doc_id", F.posexplode("c").alias("chunk_index", "chunk"))
 
 
+def _paragraphs(s, d):
+    return V.read(s, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+
+
+@query
+def chk3_balanced_chunks(s, d):
+    """Paragraphs gathered to 600 characters, ten chunks at most; the last takes the rest."""
+    x = _paragraphs(s, d).select("doc_id", F.posexplode(K.packed(F.col("text"), "paragraphs", 600, most=10)).alias("chunk_index", "chunk"))
+    return x.select("doc_id", "chunk_index", F.md5("chunk").alias("chunk"))
+
+
+@query
+def chk4_titled_sections(s, d):
+    """Sections of about 5,000 characters with titles."""
+    return K.titled_sections(_paragraphs(s, d)).withColumn("content", F.md5("content"))
+
+
 @query
 def chk5_deduplicated_chunks(s, d):
     return K.deduplicated_chunks(V.chunks(s, d)).select("course_id", "chapter_id", "content_hash", "copies", "chunk_key")
