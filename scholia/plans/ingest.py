@@ -1,4 +1,4 @@
-"""Textbooks to courses: clean, find the subject, divide, extract theory, chunk, deduplicate, roll up."""
+"""Textbooks to courses: clean, find the subject, divide, extract theory, chunk, deduplicate, assess, roll up, publish."""
 
 from __future__ import annotations
 
@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from scholia.functions.text import chapter_title, clean_text, subject
 from scholia.operators import catalogue, chunking, contents, extraction, lines, outline, section_kinds, simple_chapters, structure
 from scholia.sources.tables import settled
+from scholia.streaming.learners import upsert_partitions
 
 LEAST_TEXT = 50
 CHUNKED, MOST_CHUNKS = 8000, 15
 
 
 def ingest(books: DataFrame, outlines: DataFrame | None = None) -> dict[str, DataFrame]:
-    """books (book_id, title, text) to chapters, theory, chunks, courses, and the way each book was divided.
+    """books (book_id, title, text) to chapters, theory, chunks, courses, assessments, and the way each book was divided.
 
     Text stays in rows of lines, sections and chapters; a book is never one row. A book with an embedded outline (outlines:
     book_id, seq, level, title, page) and page marks is divided by it, one with printed contents by these, others by their
@@ -61,4 +62,25 @@ def ingest(books: DataFrame, outlines: DataFrame | None = None) -> dict[str, Dat
     counted = counted.join(parts_of, ["book_id", "chapter_id"], "left").withColumn("sections", F.coalesce("_sections", F.lit(1)))
     courses = catalogue.rollups(counted.select(F.col("book_id").alias("course_id"), "unit_index", "sections", "cards"))
     courses = courses.join(clean.select(F.col("book_id").alias("course_id"), "title", "subject"), "course_id")
-    return {"chapters": chapters, "theory": theory, "chunks": chunking.deduplicated_chunks(pieces), "courses": courses, "rungs": rungs}
+    items = theory.join(keyed.select(F.col("chapter_key").alias("chapter_id"), F.col("book_id").alias("course_id"), "chapter_index"), "chapter_id")
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("chapter_index", c)))), lambda x: x[c])
+    assessments = items.groupBy("course_id").agg(listed("quiz").alias("quizzes"), listed("exam").alias("finalExam"))
+    return {"chapters": chapters, "theory": theory, "chunks": chunking.deduplicated_chunks(pieces), "courses": courses, "assessments": assessments, "rungs": rungs}
+
+
+def publish(tables: dict[str, DataFrame], folder: str) -> None:
+    """Write the tables of ingest() below a folder, each partitioned by its course and upserted by its key.
+
+    Courses that aren't among the tables stay as they are, those that are get their rows replaced or added, so publishing a
+    course again changes nothing. Chunks are theirs by content; chapters and theory by id.
+    """
+    keys = {"chapters": "chapter_key", "chunks": "chunk_key", "courses": "course_id", "assessments": "course_id"}
+    for name, key in keys.items():
+        df = tables[name]
+        if name == "chapters":
+            df = df.select(F.col("book_id").alias("course_id"), F.concat_ws("/", "book_id", "chapter_id").alias("chapter_key"), *[c for c in df.columns if c != "book_id"])
+            df = df.join(tables["theory"].select(F.col("chapter_id").alias("chapter_key"), "summary", "objectives", "cards", "theory_source"), "chapter_key", "left")
+        by = "course_id"
+        if key == by:  # a partition's column isn't in its files, so the key has one of its own
+            df, key = df.withColumn("course_key", F.col(by)), "course_key"
+        upsert_partitions(f"{folder.rstrip('/')}/{name}", key, by)(df, 0)

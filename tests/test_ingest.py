@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from scholia.operators import front_matter, lines, outline, structure
-from scholia.plans.ingest import ingest
+from scholia.plans.ingest import ingest, publish
 
 PROSE = "\n".join("Momentum is defined as the product of the mass and the velocity. Plain text goes on here." for _ in range(12))
 
@@ -67,3 +67,17 @@ def test_bare_numbers_review_and_contents(spark):
     contents = spark.createDataFrame([("b", n, 1) for n in range(1, 4)], "book_id string, chapter int, section int")
     s = {r["label"]: r for r in structure.sections(t, c, contents).collect()}
     assert set(s) == {f"{n}.{k}" for n in range(1, 4) for k in ("0", "1", "r")} and "Equations in prose" in s["2.1"]["content"]
+
+
+def test_published_courses_stay(spark, tmp_path):
+    book = lambda word: "\n".join(x for n in range(1, 4) for x in (f"CHAPTER {n}: {word} {n}", PROSE))
+    schema, folder = "book_id string, title string, text string", str(tmp_path / "store")
+    both = ingest(spark.createDataFrame([("a", "Thermo", book("Heat")), ("b", "Waves", book("Light"))], schema))
+    assert {r["course_id"]: (len(r["quizzes"]), len(r["finalExam"])) for r in both["assessments"].collect()}["a"][0] == 3
+    publish(both, folder)
+    read = lambda name: {tuple(map(str, r)) for r in spark.read.parquet(f"{folder}/{name}").collect()}
+    first = {name: read(name) for name in ("chapters", "chunks", "courses", "assessments")}
+    assert len(first["chapters"]) == 6 and len(first["courses"]) == 2
+    files = {p.name for p in (tmp_path / "store/chapters/course_id=b").iterdir()}
+    publish(ingest(spark.createDataFrame([("a", "Thermo", book("Heat"))], schema)), folder)
+    assert {name: read(name) for name in first} == first and {p.name for p in (tmp_path / "store/chapters/course_id=b").iterdir()} == files
