@@ -572,3 +572,12 @@ c AS (SELECT doc_id, CASE WHEN length(g.now) < 200 THEN g.out WHEN len(g.out) >
 s AS (SELECT doc_id, i, cs[i] AS content FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM c)),
 t AS (SELECT *, {STRIP.format(c=f"regexp_replace(substr(coalesce({_FIRST}, ''), 1, 80), '^[#\\*\\d\\.\\-:]+\\s*', '')")} AS first FROM s)
 SELECT doc_id, CAST(i AS INT) AS section_index, 'Section ' || i || ': ' || CASE WHEN length(first) > 10 THEN first ELSE 'Theory' END AS title, md5(content) AS content FROM t"""
+
+
+SQL["str2_headers_by_page"] = f"WITH {BOOK_LINES}, {HEADERS.replace('count(*)', 'count(DISTINCT part)')} SELECT * FROM headers"
+SQL["str26_weak_chapters"] = f"SELECT book_id, chapter_id, count(*) AS n FROM ({SQL['str22_styled_sections']}) GROUP BY ALL HAVING count(*) <= 1"
+SQL["ret4_chapter_else_course"] = f"""WITH {CHUNKS}, c AS (SELECT chunk_id, course_id, CASE WHEN chunk_id % 3 > 0 THEN chapter_id ELSE 'ch_1' END AS chapter FROM chunks WHERE status = 'verified'),
+q AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS course_id, 'ch_' || (item_id % 9) AS chapter FROM benchmark), h AS (SELECT *, chapter IN (SELECT c.chapter FROM c WHERE c.course_id = q.course_id) AS has FROM q)
+SELECT query_id, count(*) AS chunks, CAST(sum(chunk_id) AS BIGINT) AS ids FROM h JOIN c ON c.course_id = h.course_id AND (NOT has OR c.chapter = h.chapter) GROUP BY query_id"""
+SQL["agg1_new_students"] = f"""WITH known AS ({SQL["agg1_student_summary"]}) SELECT * EXCLUDE (avg_latency) FROM known UNION ALL SELECT 'c' || c_custkey, 0, 0, 0, 'New Student (No History)' FROM customer"""
+SQL["snk5_without_course"] = f"WITH {CHUNKS} SELECT course_id, count(*) AS chunks FROM chunks WHERE course_id IS DISTINCT FROM 'src3' GROUP BY course_id"

@@ -49,6 +49,14 @@ def agg1_student_summary(s, d):
     return M.student_summary(_graded(s, d))
 
 
+@query
+def agg1_new_students(s, d):
+    """Students with attempts, and customers, who have none yet."""
+    new = V.read(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("student_id"))
+    g = _graded(s, d)
+    return M.student_summary(g, new.unionByName(g.select("student_id"))).drop("avg_latency")
+
+
 @query
 def agg2_chapter_mastery_exact(s, d):
     return M.chapter_mastery_exact(_graded(s, d)).drop("last_updated")
@@ -224,6 +232,20 @@ def str2_running_headers(s, d):
     return L.running_headers(V.book_lines(s, d))
 
 
+@query
+def str2_headers_by_page(s, d):
+    """Headers count once per page (a chapter's document)."""
+    return L.running_headers(V.book_lines(s, d), "part")
+
+
+@query
+def str26_weak_chapters(s, d):
+    """Chapters of the styled books with one section at most."""
+    lines = settled(V.styled_lines(s, d))
+    chapters = U.chapters(lines)
+    return U.weak_chapters(SK.sections_by_kind(lines, chapters, settled(SK.section_kinds(lines, chapters))))
+
+
 @query
 def str3_body_lines(s, d):
     lines = V.book_lines(s, d)
@@ -417,6 +439,14 @@ def ret3b_dense_same_label(s, d):
     return R.dense_top(*_vectors(s, d), 8, "cosine", "label")
 
 
+@query
+def ret4_chapter_else_course(s, d):
+    """Queries see their chapter's verified chunks, those of the course where the chapter has none."""
+    c = V.chunks(s, d).withColumn("chapter_id", F.when(F.col("chunk_id") % 3 > 0, F.col("chapter_id")).otherwise("ch_1"))
+    q = V.read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("course_id"), F.concat(F.lit("ch_"), F.col("item_id") % 9).alias("chapter_id"))
+    return R.chapter_else_course(q, c).groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("chunk_id").alias("ids"))
+
+
 @query
 def ret5_hybrid(s, d):
     docs = V.read(s, d, "documents").select("doc_id", "text")
@@ -641,6 +671,11 @@ def snk4_upsert(s, d):
     return K.upserted(c, new, "chunk_key")
 
 
+@query
+def snk5_without_course(s, d):
+    return K.without_course(V.chunks(s, d), "src3").groupBy("course_id").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 @query
 def agg10_document_sizes(s, d):
     return V.read(s, d, "documents").groupBy("source").agg(F.sum(F.size(X.words(F.col("text")))).alias("words"), F.sum(F.length("text")).alias("chars"))
