@@ -50,6 +50,8 @@ ENDS = {
 }
 
 TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p dt li figcaption caption a span".split())
+#: Parts of a sentence; a class of theirs says how they look or where they lead, so it drops nothing.
+PHRASES = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 
 #: Never main text.
 DROP_TAGS = frozenset(
@@ -59,15 +61,15 @@ DROP_TAGS = frozenset(
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner nav navbar "
-    "navigation menu breadcrumb breadcrumbs sidebar side footer cookie cookies consent gdpr notice notices alert popup modal "
-    "overlay newsletter subscribe subscription signup login share sharing social comment comments disqus replies respond "
+    "navigation menu breadcrumb breadcrumbs sidebar side footer cookie cookies cc consent gdpr notice notices alert popup modal "
+    "overlay newsletter subscribe subscription signup login share sharing social comment comments feedback disqus replies respond "
     "related recommended recommendations widget pagination pager toolbar skip".split()
 )
 #: With a word of the above, these make the name of a box (`related-posts`); others don't (`related-work`, `side-effects`).
 BOX_WORDS = frozenset(
     "area article articles bar block body bottom box btn button buttons col column container content count div element feed field footer "
     "form group head header heading icon icons inner item items left link links list main menu module nav outer page pages panel "
-    "post posts primary region right row section secondary site slot space stories story sub text thread title top unit user view wrap "
+    "post posts primary region right row section secondary site slot space stories story sub text thread title top unit user users view window wrap "
     "wrapper zone by on this and us our your".split()
 )
 #: Dropped only outside of the article, where they may hold its title.
@@ -109,7 +111,7 @@ def _judge(tag: str, raw: str, inside: bool) -> tuple[bool, int, bool]:
     role = attrs.get("role", "").lower()
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or role in DROP_ROLES or "display:none" in attrs.get("style", "").replace(" ", ""):
         return True, 0, False
-    if tag not in ("html", "body"):
+    if tag not in PHRASES and tag not in ("html", "body"):
         # ids of headings and paragraphs are made from their words
         names = attrs.get("class", "") + ("" if tag in TEXT_TAGS else f" {attrs.get('id', '')}")
         if _names_box(names, DROP_WORDS if inside else DROP_WORDS | DROP_OUTSIDE):

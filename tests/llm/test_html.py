@@ -79,3 +79,8 @@ def test_whole_table_against_plain_python(spark):
         plain += want[r["page_id"]] != H.main_text(r["html"])
     assert {r["page_id"]: r["text"] for r in H.extract(pages).collect()} == want
     print(f"template removal changed {plain} of {len(rows)} pages")
+
+
+def test_words_with_classes_and_boxes_of_readers():
+    page = "<article><p>See <a class='share'>link</a> and <span class='ad'>this</span> here</p><section class='user-feedback'><p>First!</p></section><div class='cc-window'>We use cookies</div><div class='share-buttons'><a>Tweet</a></div><p>end</p></article>"
+    assert H.main_text(page) == "See link and this here\nend"
