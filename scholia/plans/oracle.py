@@ -142,7 +142,7 @@ SELECT doc_id, md5({CLEAN}) AS cleaned,
     || substr(bare, CAST(greatest(3375, (length(bare) - 2625) // 2) AS BIGINT) + 1, 2625) || chr(10) || chr(10) || '[... Key Applications & Review ...]' || chr(10) || chr(10) || right(bare, 1500) END) AS "window",
   CAST(least(20000, length(text)) AS INT) AS capped, length(text) > 20000 AS truncated, CAST(length(text) AS INT) AS full_length,
   CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END AS preview,
-  coalesce(nullif(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 90)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48), ''), 'book') AS slug, substr(sha256(bare), 1, 16) AS content_hash FROM u"""
+  coalesce(nullif(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48), ''), 'book') AS slug, substr(sha256(bare), 1, 16) AS content_hash FROM u"""
 SQL["prj7_titles"] = "SELECT p_partkey, p_name AS title FROM part"
 SQL["prj12_tiers"] = "SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'introductory' WHEN 2 THEN 'advanced' WHEN 3 THEN 'introductory' WHEN 5 THEN 'advanced' WHEN 8 THEN 'introductory' ELSE 'standard' END AS tier FROM events"
 _TIER_ROWS = ", ".join(f"({i}, {q(k)}, {q(x)}, {q(a)}, " + ", ".join(q("; ".join(v) if isinstance(v, tuple) else v) for v in TIER_RULES[k]) + ")" for i, (k, x, a) in enumerate(TIERS))

@@ -182,7 +182,7 @@ def prj_text_forms(s, d):
     head, cut, full = X.capped(t)
     return V.read(s, d, "documents").select(
         "doc_id", F.md5(X.clean_text(t)).alias("cleaned"), F.md5(X.context_sample(t)).alias("sample"), F.md5(X.context_window(t)).alias("window"),
-        F.length(head).alias("capped"), cut.alias("truncated"), full.alias("full_length"), X.preview(t).alias("preview"), X.slug(F.substring(t, 1, 90)).alias("slug"),
+        F.length(head).alias("capped"), cut.alias("truncated"), full.alias("full_length"), X.preview(t).alias("preview"), X.slug(t).alias("slug"),
         X.content_hash(t).alias("content_hash"),
     )
 

@@ -170,7 +170,7 @@ def chunks(spark, sf_dir) -> DataFrame:
     """Lines of documents as retrieval chunks."""
     d = read(spark, sf_dir, "documents")
     return d.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("at", "document")).select(
-        (F.col("doc_id") * 10_000 + F.col("at")).alias("chunk_id"),
+        (F.col("doc_id") * 10_000_000 + F.col("at")).alias("chunk_id"),
         F.col("source").alias("course_id"),
         F.concat(F.lit("ch_"), 1 + F.col("doc_id") % 5).alias("chapter_id"),
         "document",
@@ -178,7 +178,7 @@ def chunks(spark, sf_dir) -> DataFrame:
     )
 
 
-CHUNKS = """chunks AS (SELECT doc_id * 10000 + ix - 1 AS chunk_id, source AS course_id, 'ch_' || (1 + doc_id % 5) AS chapter_id, line AS document,
+CHUNKS = """chunks AS (SELECT doc_id * 10000000 + ix - 1 AS chunk_id, source AS course_id, 'ch_' || (1 + doc_id % 5) AS chapter_id, line AS document,
   CASE WHEN doc_id % 50 = 0 THEN 'pending' ELSE 'verified' END AS status
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ix FROM documents))"""
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.functions.text import subject_from_file
+from scholia.sources.tables import settled
 
 _CARD = "struct<id:string,topic:string,question:string,answer:string>"
 COURSE = (
@@ -32,8 +33,9 @@ def read_books(spark: SparkSession, path: str, kinds: str = "*.{txt,md}") -> Dat
 
 def read_courses(spark: SparkSession, path: str) -> DataFrame:
     """Course records, one JSON document per file; broken files are left out, missing keys are null."""
-    raw = spark.read.schema(COURSE).option("multiLine", True).option("mode", "PERMISSIVE").json(path).cache()
-    return raw.filter("_corrupt_record is null").drop("_corrupt_record")
+    raw = spark.read.schema(COURSE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    # written, since Spark refuses to read the column of broken records alone
+    return settled(raw).filter("_corrupt_record is null").drop("_corrupt_record")
 
 
 def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
