@@ -94,6 +94,7 @@ def combined_suffixes(batches):
                 for k, texts in waiting.items():
                     yield from combine(k, texts)
                 waiting, held = {}, 0
+                pa.default_memory_pool().release_unused()
     for k, texts in waiting.items():
         yield from combine(k, texts)
 
@@ -200,6 +201,8 @@ def range_counts(batches, least: int = LEAST):
     sums = np.bincount(keys[0], weight).astype(np.int64)
     for lang in np.flatnonzero(sums):
         yield rows(np.flatnonzero(keys[0] == lang)[:1], sums[lang : lang + 1], 0)
+    del keys, names, weight
+    pa.default_memory_pool().release_unused()  # workers live on
 
 
 def phrase_counts(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> DataFrame:
