@@ -581,3 +581,6 @@ q AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS course_id, 'ch_' ||
 SELECT query_id, count(*) AS chunks, CAST(sum(chunk_id) AS BIGINT) AS ids FROM h JOIN c ON c.course_id = h.course_id AND (NOT has OR c.chapter = h.chapter) GROUP BY query_id"""
 SQL["agg1_new_students"] = f"""WITH known AS ({SQL["agg1_student_summary"]}) SELECT * EXCLUDE (avg_latency) FROM known UNION ALL SELECT 'c' || c_custkey, 0, 0, 0, 'New Student (No History)' FROM customer"""
 SQL["snk5_without_course"] = f"WITH {CHUNKS} SELECT course_id, count(*) AS chunks FROM chunks WHERE course_id IS DISTINCT FROM 'src3' GROUP BY course_id"
+SQL["str16_styled_ladder"] = f"""SELECT book_id, CASE WHEN book_id LIKE '%1-%' AND book_id IN (SELECT book_id FROM (WITH {PLAN} SELECT book_id FROM chaps)) THEN 'outline'
+  WHEN book_id IN (SELECT book_id FROM ({SQL["str20_anchored_chapters"]})) THEN 'contents' WHEN book_id IN (SELECT book_id FROM ({SQL["str20_styled_chapters"]})) THEN 'headings' ELSE 'chunks' END AS rung
+FROM (SELECT DISTINCT book_id FROM (WITH {STYLED_LINES} SELECT book_id FROM book_lines))"""
