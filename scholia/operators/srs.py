@@ -13,12 +13,14 @@ from scholia.functions.num import rounded
 
 FIRST_EASE, LEAST_EASE = 2.5, 1.3
 MATURE_DAYS = 21
+#: Intervals grow without end; beyond this many days neither a day count nor a date has room for more.
+MOST_DAYS = 2_147_000_000
 
 
 def step(acc: Column, quality: Column) -> Column:
     """State (reps, days, ease) after a review; the interval grows by the ease before its change."""
     q = F.least(F.lit(5), F.greatest(F.lit(0), quality))
-    grown = F.greatest(F.lit(1), rounded(acc["days"] * acc["ease"]).cast("int"))
+    grown = F.greatest(F.lit(1), F.least(F.lit(float(MOST_DAYS)), rounded(acc["days"] * acc["ease"])).cast("int"))
     days = F.when(q < 3, 1).when(acc["reps"] == 0, 1).when(acc["reps"] == 1, 6).otherwise(grown)
     miss = (5 - q).cast("double")
     return F.struct(
@@ -49,7 +51,7 @@ def schedules(reviews: DataFrame) -> DataFrame:
     )
 
 
-HISTORY = "student_id string, card_id string, review_id long, review_ts timestamp, quality int, repetitions int, interval_days int, easiness_factor double, next_review date"
+HISTORY = "student_id string, card_id string, review_id long, review_ts timestamp, quality int, repetitions int, interval_days int, easiness_factor double"
 
 
 def _rint(x: float, digits: int = 0) -> float:
@@ -60,7 +62,8 @@ def review_history(reviews: DataFrame) -> DataFrame:
     """One row per review: the card's state after it (repetitions, interval, ease) and the next day it is due.
 
     Reviews of a card are sorted into one partition and walked as a stream with three numbers of state, so a card may have any
-    number of them. Quality counts from 0 to 5, null as 0. Repeated reviews each count; an empty table gives no rows.
+    number of them. Quality counts from 0 to 5, null as 0. Repeated reviews each count; an empty table gives no rows. A long run
+    of good reviews reaches days beyond the dates of Python and pandas, so Spark adds the days.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,18 +74,16 @@ def review_history(reviews: DataFrame) -> DataFrame:
                 if (student, name) != card:
                     card, reps, days, ease = (student, name), 0, 1, FIRST_EASE
                 q = min(5, max(0, raw))
-                days = 1 if q < 3 or reps == 0 else 6 if reps == 1 else max(1, int(_rint(days * ease)))
+                days = 1 if q < 3 or reps == 0 else 6 if reps == 1 else max(1, int(min(MOST_DAYS, _rint(days * ease))))
                 reps = reps + 1 if q >= 3 else 0
                 ease = max(LEAST_EASE, _rint(ease + (0.1 - (5.0 - q) * (0.08 + (5.0 - q) * 0.02)), 3))
                 out.append((q, reps, days, ease))
             state = pd.DataFrame(out, columns=["quality", "repetitions", "interval_days", "easiness_factor"], index=rows.index)
-            found = pd.concat([rows[["student_id", "card_id", "review_id", "review_ts"]], state], axis=1)
-            found["next_review"] = (pd.to_datetime(rows["review_ts"]).dt.normalize() + pd.to_timedelta(state["interval_days"], unit="D")).dt.date
-            yield found
+            yield pd.concat([rows[["student_id", "card_id", "review_id", "review_ts"]], state], axis=1)
 
     rows = reviews.select("student_id", "card_id", "review_id", "review_ts", "quality")
     rows = rows.repartition("student_id", "card_id").sortWithinPartitions("student_id", "card_id", "review_ts", "review_id")
-    return rows.mapInPandas(walk, HISTORY)
+    return rows.mapInPandas(walk, HISTORY).withColumn("next_review", F.date_add(F.to_date("review_ts"), F.col("interval_days")))
 
 
 def due_cards(state: DataFrame, as_of: str, course: str | None = None) -> DataFrame:

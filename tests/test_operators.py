@@ -128,6 +128,14 @@ def test_history_ends_in_the_schedule(spark):
     assert srs.review_history(r).count() == 200
 
 
+def test_long_runs_of_good_reviews_keep_their_days(spark):
+    r = spark.range(40).selectExpr("id as review_id", "'s' as student_id", "'c' as card_id", "'k' as course_id", "4 as quality", "timestamp_seconds(id * 90000) as review_ts")
+    got = srs.review_history(r).selectExpr("review_id", "interval_days", "datediff(next_review, to_date(review_ts)) as days").orderBy("review_id").collect()
+    assert [x["interval_days"] for x in got[:5]] == [1, 6, 15, 38, 95] and got[15]["interval_days"] > 2_000_000
+    assert all(x["days"] == x["interval_days"] for x in got) and got[-1]["interval_days"] == srs.MOST_DAYS
+    assert srs.schedules(r).first()["interval_days"] == srs.MOST_DAYS
+
+
 @pytest.mark.parametrize(
     ("spec", "numbers", "label"),
     [
