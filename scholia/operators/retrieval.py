@@ -16,10 +16,34 @@ K1, B = 1.5, 0.75
 #: Fixed value: what stands for missing excerpts.
 PLACEHOLDER = "No specific textbook excerpt retrieved."
 FUSION = 60.0
-#: Vectors and queries of a block: what a task scores at once (64 dimensions of 8 bytes each: 2 MB a side).
+#: Rows of a block, of vectors and of queries, while there are fewer than FEW blocks of a side, and the most there may be: what a
+#: task holds (64 dimensions of 8 bytes each: 8 MB a side). Larger blocks are copied to fewer others.
 VECTORS, QUERIES = 4096, 4096
+FEW, LARGEST = 8, 16384
 #: Queries of a block scored in one matrix product.
-ROWS = 512
+ROWS = 256
+
+
+def blocks(rows: int, least: int) -> int:
+    """How many blocks a side of so many rows is dealt into."""
+    return max(1, min(-(-rows // least), FEW), -(-rows // max(least, LARGEST)) if rows > least * FEW else 1)
+
+
+def nearest(d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance) of the n least finite distances of each row, rounded to six digits; ties go to the first column.
+
+    A partial sort finds the n-th distance; only what isn't farther (up to rounding) is rounded and sorted.
+    """
+    if d.shape[1] > n:
+        last = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+        rows, columns = np.nonzero((d <= last + 2e-6 + np.abs(last) * 1e-12) & np.isfinite(d))
+    else:
+        rows, columns = np.nonzero(np.isfinite(d))
+    near = np.rint(d[rows, columns] * 1e6) / 1e6 + 0.0  # no negative zero
+    order = np.lexsort((columns, near, rows))
+    rows, columns, near = rows[order], columns[order], near[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < n
+    return rows[kept], columns[kept], near[kept]
 
 
 def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -88,13 +112,13 @@ def candidate_bm25(candidates: DataFrame, query: str = "query_id", doc: str = "d
 def dense_top(vectors: DataFrame, queries: DataFrame, n: int, metric: str = "l2", same: str | None = None) -> DataFrame:
     """(query_id, doc_id, distance, rank): the nearest vectors of each query, exactly, for any number of queries.
 
-    Both sides are dealt into blocks of about VECTORS and QUERIES rows by a hash; every pair of blocks meets in one group (an
+    Both sides are dealt into `blocks` of bounded size by a hash; every pair of blocks meets in one group (an
     equi-join on the pair's numbers), is scored by matrix products and keeps n per query, so that only n rows per query and
     block are shuffled on. Nothing passes the driver but the two counts. `same` names a column that must be equal. Null
     embeddings match nothing; ties go to the smaller doc_id; repeated vectors are each a result.
     """
     vectors, queries = (df.filter("embedding is not null") for df in (vectors, queries))
-    parts, sets = (max(1, -(-df.count() // most)) for df, most in ((vectors, VECTORS), (queries, QUERIES)))
+    parts, sets = (blocks(df.count(), least) for df, least in ((vectors, VECTORS), (queries, QUERIES)))
 
     def dealt(df: DataFrame, key: str, own: str, blocks: int, other: str, times: int) -> DataFrame:
         df = df.select(key, F.col("embedding").cast("array<double>").alias("embedding"), *([F.col(same).alias("_same")] if same else []))
@@ -107,6 +131,7 @@ def dense_top(vectors: DataFrame, queries: DataFrame, n: int, metric: str = "l2"
     def score(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
+            left = left.sort_values("doc_id", kind="stable")
             x, docs = np.vstack(left["embedding"].to_numpy()), left["doc_id"].to_numpy()
             own, norms = left["_same"].to_numpy() if same else None, (x**2).sum(1)
             for at in range(0, len(right), ROWS):
@@ -115,14 +140,13 @@ def dense_top(vectors: DataFrame, queries: DataFrame, n: int, metric: str = "l2"
                 if metric == "cosine":
                     d = 1.0 - (m @ x.T) / np.outer(np.linalg.norm(m, axis=1), np.sqrt(norms)).clip(1e-12)
                 else:
-                    d = ((m**2).sum(1)[:, None] + norms[None, :] - 2 * m @ x.T).clip(0)
-                d = np.rint(d * 1e6) / 1e6 + 0.0  # no negative zero
+                    d = np.add.outer((m**2).sum(1), norms)
+                    d -= 2 * m @ x.T
+                    np.maximum(d, 0, out=d)
                 if same:
                     d = np.where(part["_same"].to_numpy()[:, None] == own[None, :], d, np.inf)
-                k = np.lexsort((np.broadcast_to(docs, d.shape), d), axis=1)[:, :n]
-                near = np.take_along_axis(d, k, 1)
-                ok = np.isfinite(near)
-                found.append(pd.DataFrame({"query_id": np.broadcast_to(ids[:, None], k.shape)[ok], "doc_id": docs[k][ok], "distance": near[ok]}))
+                row, k, near = nearest(d, n)
+                found.append(pd.DataFrame({"query_id": ids[row], "doc_id": docs[k], "distance": near}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "doc_id": [], "distance": []})
 
     rows = v.groupBy("_part", "_set").cogroup(q.groupBy("_part", "_set")).applyInPandas(score, "query_id long, doc_id long, distance double")

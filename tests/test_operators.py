@@ -1,8 +1,11 @@
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scholia.functions import predicates, text
 from scholia.operators import catalogue, chunking, extraction, grading, lines, mastery, retrieval, srs, structure, training
 
 #: Accuracy, latency, attempts, severity, hints; centroid, score, tier.
@@ -133,7 +136,7 @@ def test_long_runs_of_good_reviews_keep_their_days(spark):
     got = srs.review_history(r).selectExpr("review_id", "interval_days", "datediff(next_review, to_date(review_ts)) as days").orderBy("review_id").collect()
     assert [x["interval_days"] for x in got[:5]] == [1, 6, 15, 38, 95] and got[15]["interval_days"] > 2_000_000
     assert all(x["days"] == x["interval_days"] for x in got) and got[-1]["interval_days"] == srs.MOST_DAYS
-    assert srs.schedules(r).first()["interval_days"] == srs.MOST_DAYS
+    assert srs.schedules(r).select("interval_days").first()["interval_days"] == srs.MOST_DAYS
 
 
 @pytest.mark.parametrize(
@@ -283,3 +286,34 @@ def test_quizzes_take_the_first_card(spark):
     quizzes = spark.createDataFrame([("m", 2, "T"), ("m", 3, "none"), ("m", 9, "none")], "course_id string, at int, concept string")
     got = {r["at"]: r["card_id"] for r in catalogue.quizzes_with_cards(quizzes, cards).collect()}
     assert got == {2: "c1", 3: "c3", 9: None}
+
+
+def test_dense_blocks_are_few_and_nearest_keeps_ties():
+    assert [retrieval.blocks(n, 4096) for n in (0, 1, 4097, 32_768, 51_282, 600_000)] == [1, 1, 2, 8, 8, 37]
+    rng = np.random.default_rng(3)
+    d = np.rint(rng.random((40, 300)) * 20) / 20
+    d[:, ::7] = np.inf
+    d[3], d[4, 2:] = np.inf, np.inf
+    rows, columns, near = retrieval.nearest(d, 5)
+    for i in range(40):
+        want = [k for k in np.lexsort((np.arange(300), d[i]))[:5] if np.isfinite(d[i, k])]
+        assert list(columns[rows == i]) == want and list(near[rows == i]) == [d[i, k] for k in want]
+
+
+def test_texts_are_packed_in_small_batches(spark):
+    df = spark.createDataFrame([("word " * 2000,), (None,)], "text string")
+    out = chunking.titled_sections(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [len(x["content"]) for x in out.collect()] == [9999]
+
+
+def test_merge_names_a_text_once(spark):
+    for pattern, _ in predicates.REWRITES:
+        for hit in ("dv/dt", "dV/dT", "dx/dt", "ds/dt", "dy/dx", "\\int", "\\oint", "\\partial", "\\nabla"):
+            assert not re.search(pattern, hit) or any(x in hit for x in predicates.REWRITTEN)
+    rows = [(1, "10", "a dv/dt of \\partial x"), (2, "college", "a dv/dt"), (3, "10", "integral of wood"), (4, "10", None), (5, "10", "ds/dt alone")]
+    df = spark.createDataFrame(rows, "id int, tier string, text string")
+    out = df.select("id", predicates.for_grade_level(text.strip(F.col("text")), F.col("tier")).alias("t"))
+    assert out._jdf.queryExecution().analyzed().toString().count("trim(") <= 2
+    assert {r["id"]: r["t"] for r in out.collect()} == {1: "a rate of change of speed (change in speed / time) of change x", 2: "a dv/dt", 3: "integral of wood", 4: None, 5: "ds/dt alone"}
