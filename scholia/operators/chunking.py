@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,10 +83,8 @@ def packed(text: Column, how: str = "sentences", size: int = 400, overlap: int =
         "cognitive": lambda t: cognitive_sections(t, size),
     }[how]
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pack(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: run(t or ""))
-
+    # row by row: a batch is a hundred texts, where one of Arrow holds ten thousand of them, however long, and their chunks
+    pack = F.udf(lambda t: run(t or ""), T.ArrayType(T.StringType()), useArrow=False)
     return pack(text)
 
 
