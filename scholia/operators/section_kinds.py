@@ -29,13 +29,15 @@ def chapter_hits(own: DataFrame) -> DataFrame:
     for kind, pattern, _, _ in SECTION_KINDS:
         if kind in NUMBERED:
             mine = t.rlike(pattern) & (F.regexp_extract(t, pattern, 1).cast("int") == F.col("number"))
-            counts.append(F.count_distinct(F.when(mine, F.regexp_extract(t, pattern, 2))).alias(kind))
+            # a set of two digits each: several distinct counts would repeat every line
+            counts.append(F.size(F.collect_set(F.when(mine, F.regexp_extract(t, pattern, 2)))).cast("long").alias(kind))
         else:
             counts.append(F.count_if(t.rlike(pattern)).alias(kind))
     head = F.min(F.when(F.col("pos") == F.col("start"), F.length(F.regexp_extract(t, r"^[ \t]*(#*)", 1))))
-    levels = own.groupBy("book_id").agg(F.min(F.when(F.col("kind") == "hash_headings", F.when(F.col("pos") == F.col("start"), F.length(F.regexp_extract(t, r"^[ \t]*(#*)", 1))))).alias("_level"))
+    first = own.filter((F.col("kind") == "hash_headings") & (F.col("pos") == F.col("start")))
+    levels = first.groupBy("book_id").agg(F.min(F.length(F.regexp_extract(t, r"^[ \t]*(#*)", 1))).alias("_level"))
     deeper = t.rlike(r"^[ \t]*#+[ \t]*[^# \t]") & (F.length(F.regexp_extract(t, r"^[ \t]*(#+)", 1)) >= F.col("_level") + 1)
-    return own.join(levels, "book_id").groupBy("book_id", "chapter_id").agg(head.alias("hash_level"), *counts, F.count_if(deeper).alias("hashes"), F.first("_level").alias("level"))
+    return own.join(levels, "book_id", "left").groupBy("book_id", "chapter_id").agg(head.alias("hash_level"), *counts, F.count_if(deeper).alias("hashes"), F.first("_level").alias("level"))
 
 
 def section_kinds(lines: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def sections_by_kind(lines: DataFrame, chapters: DataFrame, kinds: DataFrame) ->
     """
     chosen = kinds.filter("kind <> 'chunk'").select("book_id", F.col("kind").alias("_kind"), "level")
     own = chapter_of_lines(lines, chapters.select("book_id", "chapter_id", "chapter_index", "number", "start", "end", F.col("kind").alias("_chapter_kind")), "_chapter_kind", "start")
-    own = own.join(chosen, "book_id")
+    own = own.join(chosen, "book_id").repartition("book_id", "chapter_id")
     t, kind = strip(F.col("line")), F.col("_kind")
     unpaged = lambda c: strip(F.regexp_replace(c, r"\s+\d{1,4}\s*$", ""))
     name = label = F.lit(None).cast("string")

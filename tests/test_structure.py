@@ -201,3 +201,21 @@ def test_titles_after_bare_headings(spark):
     text = "\n".join(f"CHAPTER {n}\n\n  {'Named' if n < 3 else '17'}\n{PROSE}" for n in range(1, 4))
     found = structure.heading_candidates(table(spark, text)).filter(F.col("kind") == "chapter_digits").orderBy("number").collect()
     assert [r["title"] for r in found] == ["Named", "Named", ""]
+
+
+def test_headings_ask_no_long_line_again(spark):
+    number, late = "12" + " " * 200 + "no title", " " * 150 + "CHAPTER 9: Late"
+    texts = ["CHAPTER 1", "", "word " * 40, "Title", "12" + " " * 200, "Of trees", number, "Of stones", late, "CHAPTER 2: Two", "CHAPTER 3"]
+    rows, pos = [], 0
+    for i, t in enumerate(texts):
+        rows.append(("b", i, pos, t))
+        pos += len(t) + 1
+    lines = spark.createDataFrame(rows, "book_id string, line_no long, pos long, line string")
+    short = structure.briefs(lines)
+    assert short.agg(F.max(F.length("line"))).first()[0] == 202 and short.filter("line_no in (2, 6)").select("line").distinct().first()[0] == "x" * 121
+    assert structure.book_lengths(short).first()["chars"] == pos - 1
+    found = structure.heading_candidates(lines)
+    assert {(r["kind"], r["line_no"], r["number"], r["title"]) for r in found.collect()} == {
+        ("chapter_digits", 0, 1, ""), ("bare_num_title", 4, 12, "Of trees"), ("chapter_digits", 9, 2, "Two"), ("chapter_digits", 10, 3, "")
+    }
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") <= 40
