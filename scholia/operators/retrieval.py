@@ -50,34 +50,40 @@ def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(words(F.lower(F.col(text)))).alias("term"))
 
 
-def term_table(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def term_table(docs: DataFrame, doc: str = "doc_id", text: str = "text", asked: DataFrame | None = None) -> DataFrame:
     """(doc, length, term, tf, first): the postings of all documents from one scan, written once; reuse it for many sets of queries.
 
-    One row of a document is its first; it says that the document exists and, with a null term, that it has no words.
+    One row of a document is its first; it says that the document exists and, with a null term, that it has no words. With asked
+    (term), only postings of these terms are kept, and a first row of another term has a null one. Texts are dealt by document,
+    so that all postings of one lie together.
     """
     tokens = words(F.lower(F.coalesce(F.col(text), F.lit(""))))
     # the length is a column before rows are made of the words, else it would be counted for each of them
-    rows = docs.select(doc, tokens.alias("_words")).withColumn("length", F.size("_words")).select(doc, "length", F.posexplode_outer("_words").alias("_at", "term"))
+    rows = docs.select(doc, text).repartition(doc).select(doc, tokens.alias("_words")).withColumn("length", F.size("_words")).select(doc, "length", F.posexplode_outer("_words").alias("_at", "term"))
     first = F.coalesce(F.col("_at") == 0, F.lit(True))
+    if asked is not None:
+        rows = rows.join(asked.select("term", F.lit(True).alias("_asked")), "term", "left").filter(F.col("_asked") | first)
+        rows = rows.withColumn("term", F.when(F.col("_asked"), F.col("term")))
     return settled(rows.groupBy(doc, "length", "term").agg(F.count("term").alias("tf"), F.bool_or(first).alias("first")))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:
     """(query, doc, score) of all pairs with a common term; other pairs score 0. Words that a query repeats count as often."""
-    return bm25_of(term_table(docs, doc, text), queries, doc, query, text)
+    asked = settled(_tokens(queries, query, text).select("term").distinct())
+    return bm25_of(term_table(docs, doc, text, asked), queries, doc, query, text)
 
 
 def bm25_of(postings: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:
-    """bm25 of a term_table. Only postings of query terms are shuffled.
+    """bm25 of a term_table. Postings stay where they lie while the queries' terms are few: a document's are summed up before a shuffle.
 
-    No side is broadcast by hint: Spark broadcasts what is below its limit and divides the partitions of frequent terms. Only the
-    one row of corpus statistics is sent to every task.
+    No side is broadcast by hint: the queries' terms and their weights are written, so that Spark knows their size, broadcasts what is
+    below its limit and divides the partitions of frequent terms. Only the one row of corpus statistics is sent to every task.
     """
-    asked = _tokens(queries, query, text).groupBy(query, "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = settled(_tokens(queries, query, text).groupBy(query, "term").agg(F.count(F.lit(1)).alias("times")))
     whole = postings.filter("first").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     own = postings.join(asked.select("term").distinct(), "term", "left_semi").select(doc, "length", "term", "tf")
     weights = own.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(whole))
-    weights = weights.select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"), "mean")
+    weights = settled(weights.select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"), "mean"))
     norm = 1.0 - B + B * (F.col("length") / F.greatest(F.col("mean"), F.lit(1e-4)))
     one = F.col("idf") * (F.col("tf") * (K1 + 1.0)) / (F.col("tf") + K1 * norm)
     rows = own.join(weights, "term").withColumn("one", one).select(doc, "term", "one")
