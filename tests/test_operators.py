@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -317,3 +318,24 @@ def test_merge_names_a_text_once(spark):
     out = df.select("id", predicates.for_grade_level(text.strip(F.col("text")), F.col("tier")).alias("t"))
     assert out._jdf.queryExecution().analyzed().toString().count("trim(") <= 2
     assert {r["id"]: r["t"] for r in out.collect()} == {1: "a rate of change of speed (change in speed / time) of change x", 2: "a dv/dt", 3: "integral of wood", 4: None, 5: "ds/dt alone"}
+
+
+def test_postings_of_asked_terms_only(spark):
+    docs = spark.createDataFrame([(0, "a b a c"), (1, ""), (2, "c d"), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([("a",), ("d",)], "term string")
+    t = retrieval.term_table(docs, asked=asked)
+    assert {(r["doc_id"], r["term"]): (r["length"], r["tf"], r["first"]) for r in t.collect()} == {
+        (0, "a"): (4, 2, True), (1, None): (0, 0, True), (2, None): (2, 0, True), (2, "d"): (2, 1, False), (3, None): (0, 0, True)
+    }
+    q = spark.createDataFrame([(5, "a d a"), (6, "zzz")], "query_id long, text string")
+    rows = lambda df: sorted((r["query_id"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
+    found = rows(retrieval.bm25(docs, q))
+    assert found == rows(retrieval.bm25_of(retrieval.term_table(docs), q)) and [x[:2] for x in found] == [(5, 0), (5, 2)]
+
+
+def test_many_numbers_split_a_text_once(spark):
+    text = " ".join(f"Speed is {i} m/s, v{i} = k{i};" for i in range(1, 12_001))
+    df = spark.createDataFrame([("a", text)], "id string, text string")
+    began = time.time()
+    got = df.select(F.size(extraction.equations(F.col("text"))).alias("e"), F.size(extraction.values(F.col("text"))).alias("v")).first()
+    assert got["e"] == 12_000 and got["v"] >= 12_000 and time.time() - began < 30
