@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions.text import strip
 from scholia.operators.front_matter import contents_end
-from scholia.operators.structure import LEAST_CHAPTERS, SECTION, heading_candidates
+from scholia.operators.structure import LEAST_CHAPTERS, book_lengths, briefs, heading_candidates
 from scholia.sources.tables import settled
 
 #: A chapter's mark on a line of its own, one with its title, a section's entry, a page number at a line's end.
@@ -95,6 +95,7 @@ def anchored_chapters(lines: DataFrame, plan: DataFrame) -> DataFrame:
     """
     behind = contents_end(lines).select("book_id", "toc_end").join(plan.select("book_id").distinct(), "book_id", "left_semi")
     text = lines.join(behind, "book_id").filter(F.col("pos") >= F.col("toc_end")).drop("toc_end")
+    text = settled(text) if "chars" in text.columns else briefs(text)  # one book of many has contents; its lines are asked several times
     heads = heading_candidates(text).filter(F.col("kind").rlike("^(?:chapter|unit|lesson)_"))
     heads = heads.groupBy("book_id", F.col("number").alias("chapter")).agg(F.min("pos").alias("_heading"))
     hit = r"^\s*\d{1,3}\.\d{1,3}\s+[A-Z]"
@@ -105,7 +106,7 @@ def anchored_chapters(lines: DataFrame, plan: DataFrame) -> DataFrame:
     placed = placed.select("book_id", F.col("chapter").alias("number"), "title", F.coalesce("_heading", "_label").alias("start"), F.col("_heading").isNull().alias("by_label")).filter("start is not null")
     placed = placed.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("book_id"))).filter(F.col("_n") >= LEAST_CHAPTERS)
     by = Window.partitionBy("book_id").orderBy("start", "number")
-    sizes = text.groupBy("book_id").agg(F.max(F.col("pos") + F.length("line")).alias("chars"))
+    sizes = book_lengths(text)
     return placed.join(sizes, "book_id").select(
         "book_id",
         F.lit("contents").alias("kind"),
@@ -125,7 +126,7 @@ def contents_sections(plan: DataFrame) -> DataFrame:
 
 
 def divided_by_contents(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(plan, chapters) of the books whose printed contents give three chapters or more that stand in the text."""
+    """(plan, chapters) of the books whose printed contents give three chapters or more that stand in the text; lines may be briefs."""
     plan = settled(contents_plan(lines))
     found = settled(anchored_chapters(lines, plan))
     return plan.join(found.select("book_id").distinct(), "book_id", "left_semi"), found

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.text import strip
-from scholia.operators.structure import LONGEST_LINE, chapter_of_lines, cut_sections
+from scholia.operators.structure import LABELLED, LONG, LONGEST_LINE, chapter_of_lines, cut_sections
 
 #: Families of section headings: pattern, group of the title, what speaks for or against the family.
 SECTION_KINDS = (
@@ -46,8 +46,10 @@ def section_kinds(lines: DataFrame, chapters: DataFrame) -> DataFrame:
     Raw score: 0.7 of the share of chapters with 2 to 15 hits (of numbered families: different labels with the chapter's own
     number), 0.3 of the mean hits, eight at most. The family's own weight is added for the choice; the chosen one needs a raw
     score of 0.6. In books of hash headings the level below the chapters' comes first, if 60 % of the chapters have 2 to 15 of
-    it. Books with one chapter go into chunks. level: of the hash headings that are sections, else null.
+    it. Books with one chapter go into chunks. level: of the hash headings that are sections, else null. lines may be briefs.
     """
+    if "chars" in lines.columns:  # lines that are only long count for no family
+        lines = lines.filter((F.length("line") <= LONG) | strip(F.col("line")).rlike(LABELLED) | (F.length(strip(F.col("line"))) <= LONG))
     per = chapter_hits(chapter_of_lines(lines, chapters.select("book_id", "chapter_id", "chapter_index", "number", "start", "end", "kind"), "kind", "start"))
     share = lambda c: F.avg(F.col(c).between(FEWEST, MOST).cast("double"))
     raw = lambda c: 0.7 * share(c) + 0.3 * F.least(F.avg(c), F.lit(8.0)) / 8

@@ -10,6 +10,7 @@ from scholia.functions.predicates import BOILERPLATE, NON_THEORY
 from scholia.operators import contents, front_matter, lines, section_kinds, simple_chapters, structure
 from scholia.plans import views
 from scholia.plans.ingest import ingest
+from scholia.sources.tables import settled
 
 SF = "/root/testdata/sf0.001"
 PROSE = "\n".join("Momentum is the product of the mass and the velocity of a body, and plain text goes on here for a while yet." for _ in range(9))
@@ -219,3 +220,26 @@ def test_headings_ask_no_long_line_again(spark):
         ("chapter_digits", 0, 1, ""), ("bare_num_title", 4, 12, "Of trees"), ("chapter_digits", 9, 2, "Two"), ("chapter_digits", 10, 3, "")
     }
     assert found._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") <= 40
+
+
+def test_briefs_serve_every_division_of_a_book(spark):
+    """Long lines with a label stay, so that chapters and plans out of briefs are those of the whole lines."""
+    label = "Of the long way that a body takes when it falls, of what holds it back, and of what it does to the ground below it once it is there"
+    bare = "\n".join(f"{n}.{k} {label} {n}\n{PROSE}" for n in range(1, 5) for k in (1, 2))
+    front = "Contents\n" + "\n".join(f"CHAPTER {n}\nThe way {n + 10}\n{n}.1 Of the way {n + 10}" for n in range(1, 5))
+    books = table(spark, bare, "bare").unionByName(table(spark, f"{front}\n{PROSE}\n{bare}", "printed"))
+    short = structure.briefs(books)
+    rows = lambda df: sorted(map(str, df.collect()))
+    found = structure.chapters(short)
+    assert {r["kind"] for r in found.filter("book_id = 'bare'").collect()} == {"grouped_numdot"}
+    assert rows(found) == rows(structure.chapters(books))
+    plan, anchored = contents.divided_by_contents(short)
+    assert anchored.filter("by_label").count() == 4 and plan.count() == 4
+    assert rows(section_kinds.section_kinds(short, found)) == rows(section_kinds.section_kinds(books, found))
+
+
+def test_settled_tables_are_read_by_column(spark):
+    t = settled(spark.range(100).selectExpr("id", "repeat('x', 1000) as text"))
+    assert "ReadSchema: struct<id:bigint>" in t.select("id")._jdf.queryExecution().executedPlan().toString()
+    joined = spark.range(10).join(t.select("id"), "id")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
