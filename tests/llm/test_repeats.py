@@ -82,3 +82,29 @@ def test_refine():
             same += 1
         assert lcp[i] == same
     assert B.refine(rows[:0])[0].size == 0
+
+
+def test_frequent_keys_are_not_gathered(spark, monkeypatch):
+    """Copies, seeds, cores, windows and contexts that many texts share: exact, and no join shuffles the rows of one."""
+    monkeypatch.setattr(B, "HOT_ROWS", 20, raising=False)
+    monkeypatch.setattr(B, "BROADCAST_ROWS", 0)
+    shuffled, sent, frame = [], set(), type(spark.range(1))
+    join = frame.join
+
+    def watched(left, right, on=None, how=None):
+        keys = [on] if isinstance(on, str) else on
+        if "strategy=broadcast" in right._jdf.queryExecution().analyzed().toString().split("\n")[0]:
+            sent.add(tuple(keys))
+        elif "_q" not in left.columns or keys != ["_tid"]:  # rows within one text meet in any case
+            shuffled.append((left, keys))
+        return join(left, right, on, how)
+
+    monkeypatch.setattr(frame, "join", watched)
+    rng = random.Random(5)
+    hot, exact, copied = prose(rng, 900), prose(rng, 400), prose(rng, 700)
+    near = lambda: prose(rng, rng.randint(90, 200))
+    texts = [near() + hot + near() for _ in range(60)] + [near() + exact + near() for _ in range(60)]
+    check(spark, texts + [copied] * 60 + [prose(rng, 500), hot[100:600], "ab" * 400, copied[:500] + near()])
+    for left, keys in shuffled:
+        assert (left.groupBy(*keys).count().agg({"count": "max"}).first()[0] or 0) <= 20, keys
+    assert sent == {("_tid",), ("_seed",), ("_core",), ("_window",), ("_core", "_kind")}
