@@ -5,13 +5,16 @@ positions hash alike. The masks cover all places that a stretch may differ in. E
 windows; a hit is verified on the tokens around it, where substitutions are allowed: some stretch of `STRETCH` aligned tokens
 must agree in at least `AGREE` of its places.
 
-Only DataFrame functions. Windows are made by one generator that keeps a document's token hashes beside it, so hashing and
-the join's probe stay in one generated loop and nothing but hits is shuffled. The seed table is broadcast up to
-`BROADCAST_ROWS` rows (counted first, 64 bytes each) and joined by shuffle beyond.
+Only DataFrame functions. Benchmark items of equal tokens are one text until the end. Windows, seeds, the join's probe, the
+verification and the first sums per document and text are one generated loop, so a document's token hashes lie beside its
+windows and no row is made of a hit, however many a document has: what a task holds doesn't grow with them. The seed table is broadcast up to `BROADCAST_ROWS` rows
+(counted first). Beyond, seeds are first asked of a bit table of fixed size, and what passes is joined by shuffle, with the tokens around it only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,10 @@ STRETCH = 13
 LEAST = 5
 AGREE = 0.75
 BROADCAST_ROWS = 500_000
+#: Tokens that are compared around a hit: STRETCH before the window to STRETCH after it.
+AROUND = SPAN + 2 * STRETCH
+#: The bit table has TABLES parts of 2 ** BITS bits, each for other bits of a seed.
+BITS, TABLES = 24, 3
 
 
 def token_hashes(text: Column) -> Column:
@@ -40,22 +47,101 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens, lambda w: F.xxhash64(w))
 
 
-def windows(df: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """One row per window and mask, masks of one length: keep, _h (token hashes), _i (start), _seed."""
-    span = len(masks[0])
+def windows(df: DataFrame, h: str, masks: list[str], where: list[Column] | None = None) -> DataFrame:
+    """One row per window and mask: df's columns, _i (start), _m (number of the mask), _seed (null: past the end, or not where)."""
+    least = min(map(len, masks))
     # explode_outer: an inner generator would make the optimiser derive a filter that computes the hashes once more
-    at = df.select(*keep, "_h", F.explode_outer(F.when(F.size("_h") >= span, F.sequence(F.lit(0), F.size("_h") - span))).alias("_i"))
-    seeds = [
-        F.xxhash64(F.lit(int("1" + mask, 2)), *[F.get("_h", F.col("_i") + k) for k, c in enumerate(mask) if c == "1"]) for mask in masks
+    at = df.select("*", F.explode_outer(F.when(F.size(h) >= least, F.sequence(F.lit(0), F.size(h) - least))).alias("_i"))
+    seeds = []
+    for m, mask in enumerate(masks):
+        seed = F.xxhash64(F.lit(int("1" + mask, 2)), *[F.get(h, F.col("_i") + k) for k, c in enumerate(mask) if c == "1"])
+        only = [F.col("_i") <= F.size(h) - len(mask)] if len(mask) > least else []
+        only += [where[m]] if where else []
+        seeds.append(F.when(reduce(lambda a, b: a & b, only), seed) if only else seed)
+    return at.filter(F.col("_i").isNotNull()).select("*", F.posexplode_outer(F.array(*seeds)).alias("_m", "_seed"))
+
+
+def agreeing(hits: DataFrame, name: str, places: range) -> DataFrame:
+    """hits with a bit for each of the places around the window at which document and item agree.
+
+    Generated, so that filters don't compute it again, and few places at once, as the JVM leaves long methods uncompiled. Items
+    are padded, so that not both are null.
+    """
+    same = [
+        F.shiftleft(F.equal_null(F.get("_h", F.col("_k") + k), F.get("_ih", F.col("_j") + (k + STRETCH))).cast("long"), k - places.start)
+        for k in places
     ]
-    return at.filter(F.col("_i").isNotNull()).select(*keep, "_h", "_i", F.explode_outer(F.array(*seeds)).alias("_seed"))
+    return hits.select("*", F.explode_outer(F.array(reduce(Column.bitwiseOR, same))).alias(name))
 
 
-def around(h: Column, start: Column) -> Column:
-    """The tokens from STRETCH before a window to STRETCH after it; null where there are none."""
-    return F.transform(
-        F.sequence(F.lit(-STRETCH), F.lit(SPAN + STRETCH - 1)), lambda k: F.when(start + k >= 0, F.get(h, start + k))
-    )
+def bit_places(seed: Column) -> list[tuple[Column, Column]]:
+    """Word and bit of a seed in each part of the bit table."""
+    parts = [F.shiftrightunsigned(seed, t * (64 - BITS) // (TABLES - 1)).bitwiseAND(F.lit((1 << BITS) - 1)) for t in range(TABLES)]
+    return [((F.shiftright(p, 6) + t * (1 << BITS - 6)).cast("int"), p.bitwiseAND(F.lit(63)).cast("int")) for t, p in enumerate(parts)]
+
+
+def bit_table(seeds: DataFrame) -> DataFrame:
+    """One row: _bits, longs whose bits are set at the places of all seeds."""
+    places = F.array(*[F.struct(w.alias("w"), b.alias("b")) for w, b in bit_places(F.col("_seed"))])
+    words = seeds.select(F.explode(places).alias("_p")).groupBy(F.col("_p.w").cast("long").alias("id"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, _p.b)")).alias("_w"))
+    dense = seeds.sparkSession.range(TABLES << BITS - 6).join(words, "id", "left")
+    dense = dense.select("id", F.coalesce("_w", F.lit(0).cast("long")).alias("_w"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "_w"))), lambda x: x["_w"]).alias("_bits"))
+
+
+def item_texts(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items that can be found (item_id, _ih: token hashes), and their distinct texts (_ih, _len, _text: number)."""
+    items = benchmark.select("item_id", token_hashes(body("text")).alias("_ih"))
+    items = cut(items.filter(F.size("_ih") >= LEAST), "items")
+    texts = items.select("_ih").distinct().select("_ih", F.size("_ih").alias("_len"), F.monotonically_increasing_id().alias("_text"))
+    return items, cut(texts, "items")
+
+
+def passages(documents: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per contaminated document and text of item_texts: doc_id, _text, n_hits, overlap, first_token, last_token."""
+    docs = documents.select(F.col(id_col).alias("doc_id"), token_hashes(body(text_col)).alias("_h")).withColumn("_row", F.monotonically_increasing_id())
+    size = F.col("_len")
+    few, short, lengths, stretch = texts.select(
+        F.sum("_len"), F.count_if(size.between(SPAN, STRETCH - 1)), F.collect_set(F.when(size < SPAN, size)), F.least(F.min("_len"), F.lit(STRETCH))
+    ).first()
+    spaced = [*MASKS, *SHORT_MASKS] if short else [*MASKS]
+    where = [size >= SPAN] * len(MASKS) + [size.between(SPAN, STRETCH - 1)] * (len(spaced) - len(MASKS))
+    masks = spaced + ["1" * n for n in sorted(lengths)]  # ten lengths at most
+    where += [size == n for n in sorted(lengths)]
+    pad = F.array_repeat(F.lit(0).cast("long"), SPAN + STRETCH)
+    texts = texts.withColumn("_padded", F.concat(F.slice(pad, 1, STRETCH), "_ih", pad))
+    keys = windows(texts, "_ih", masks, where).filter(F.col("_seed").isNotNull()).withColumnRenamed("_i", "_j")
+    found = windows(docs, "_h", masks).drop("_m")
+    if (few or 0) * len(spaced) <= BROADCAST_ROWS:
+        hits = found.withColumn("_k", F.col("_i")).join(F.broadcast(keys.select("_seed", "_text", "_j", "_m")), "_seed")
+        hits = hits.join(F.broadcast(texts.select("_text", "_len", F.col("_padded").alias("_ih"))), "_text")
+    else:
+        around = F.slice("_padded", F.col("_j") + 1, F.lit(AROUND))
+        keys = cut(keys.select("_seed", "_text", "_len", "_m", around.alias("_ih"), F.lit(0).alias("_j")), "seeds")
+        here = [F.getbit(F.get("_bits", w), b) == 1 for w, b in bit_places(F.col("_seed"))]
+        found = found.join(F.broadcast(bit_table(keys)), reduce(lambda a, b: a & b, here))
+        start = F.greatest(F.col("_i") - STRETCH, F.lit(0))
+        found = found.select("doc_id", "_row", "_i", "_seed", F.slice("_h", start + 1, F.lit(AROUND)).alias("_h"), (F.col("_i") - start).alias("_k"))
+        hits = found.join(keys, "_seed")
+    hits = agreeing(hits, "_window", range(SPAN))
+    # a window may hit by several masks; it counts by the first of them
+    looks = [sum(1 << k for k, c in enumerate(mask) if c == "1") for mask in spaced]
+    first = F.coalesce(*[F.when(F.col("_window").bitwiseAND(F.lit(look)) == look, F.lit(m)) for m, look in enumerate(looks)])
+    hits = hits.filter((size < SPAN) | (first == F.col("_m")))
+    hits = agreeing(agreeing(hits, "_before", range(-STRETCH, 0)), "_after", range(SPAN, SPAN + STRETCH))
+    same = F.col("_before").bitwiseOR(F.shiftleft("_window", STRETCH)).bitwiseOR(F.shiftleft("_after", SPAN + STRETCH))
+    hits = hits.select("doc_id", "_row", "_text", "_i", "_len", F.explode_outer(F.array(same)).alias("_same"))
+    own = F.least(size, F.lit(STRETCH))
+    ones = F.expr(f"shiftleft(1L, least(_len, {STRETCH})) - 1")
+    best = F.greatest(*[F.bit_count(F.shiftright("_same", s).bitwiseAND(ones)) for s in range(AROUND - (stretch or STRETCH) + 1)])
+    hits = hits.withColumn("_best", best / own).filter(F.col("_best") >= AGREE)
+    return hits.groupBy("_row", "_text", "doc_id").agg(
+        F.count(F.lit(1)).alias("n_hits"),
+        F.max("_best").alias("overlap"),
+        F.min("_i").cast("long").alias("first_token"),
+        (F.max(F.col("_i") + F.least(F.lit(SPAN), size)) - 1).cast("long").alias("last_token"),
+    ).drop("_row")
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,52 +152,12 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     to occur whole and unchanged; shorter items, null and empty texts match nothing. Rows are told apart by themselves, not
     by their ids: repeated documents and repeated items each get their rows, null ids as well. Other columns are ignored.
     """
-    docs = documents.select(F.col(id_col).alias("doc_id"), token_hashes(body(text_col)).alias("_h")).withColumn("_row", F.monotonically_increasing_id())
-    items = benchmark.select("item_id", token_hashes(body("text")).alias("_h")).withColumn("_item_row", F.monotonically_increasing_id())
-    items = cut(items, "items")
-    size = F.greatest(F.size("_h"), F.lit(0))
-    few, short, lengths = items.select(
-        F.sum(size).alias("n"), F.count_if(size.between(SPAN, STRETCH - 1)).alias("s"), F.collect_set(F.when(size.between(LEAST, SPAN - 1), size)).alias("l")
-    ).first()
-    few, masks = few or 0, MASKS
-    own = ["item_id", "_item_row"]
-    seeds = windows(items, own, MASKS)
-    if short:
-        masks += SHORT_MASKS
-        seeds = seeds.unionByName(windows(items.filter(F.size("_h") < STRETCH), own, SHORT_MASKS))
-    found = windows(docs, ["doc_id", "_row"], masks)
-    for n in sorted(lengths):  # ten lengths at most
-        whole = ("1" * n,)
-        seeds = seeds.unionByName(windows(items.filter(F.size("_h") == n), own, whole))
-        found = found.unionByName(windows(docs, ["doc_id", "_row"], whole))
-    seeds = seeds.select(
-        *own, F.col("_i").alias("_j"), "_seed", F.size("_h").alias("_len"), around(F.col("_h"), F.col("_i")).alias("_item")
-    )
-    keys = seeds.select("item_id", "_item_row", "_j", "_seed")
-    keys = F.broadcast(keys) if few * len(masks) <= BROADCAST_ROWS else keys
-    hits = found.join(keys, "_seed").select(
-        "doc_id", "_row", "item_id", "_item_row", "_i", "_j", around(F.col("_h"), F.col("_i")).alias("_doc")
-    )
-    # a window may hit by several masks; verified once
-    hits = hits.dropDuplicates(["_row", "_item_row", "_i", "_j"])
-    places = seeds.select("_item_row", "_j", "_len", "_item").dropDuplicates(["_item_row", "_j"])
-    places = F.broadcast(places) if few * len(masks) <= BROADCAST_ROWS else places
-    same = F.zip_with("_doc", "_item", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
-    stretch = F.least(F.lit(STRETCH), F.col("_len"))
-    best = F.array_max(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(SPAN + 2 * STRETCH) - stretch + 1),
-            lambda s: F.aggregate(F.slice("_same", s, stretch), F.lit(0), lambda x, y: x + y),
-        )
+    items, texts = item_texts(benchmark)
+    return (
+        passages(documents, texts, id_col, text_col)
+        .join(items.join(texts, "_ih").select("item_id", "_text"), "_text")
+        .select("doc_id", "item_id", "n_hits", "overlap", "first_token", "last_token")
     )
-    checked = hits.join(places, ["_item_row", "_j"]).withColumn("_same", same)
-    checked = checked.withColumn("_best", best / stretch).filter(F.col("_best") >= AGREE)
-    return checked.groupBy("_row", "_item_row", "doc_id", "item_id").agg(
-        F.count(F.lit(1)).alias("n_hits"),
-        F.max("_best").alias("overlap"),
-        F.min("_i").cast("long").alias("first_token"),
-        (F.max(F.col("_i") + F.least(F.lit(SPAN), F.col("_len"))) - 1).cast("long").alias("last_token"),
-    ).drop("_row", "_item_row")
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -122,7 +168,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     name = free_name(documents, "_own_row")
     rows = documents.withColumn(name, F.struct("doc_id", F.unhex(F.md5(body("text").cast("binary"))).alias("text")))
-    bad = overlaps(rows, benchmark, name).select(F.col("doc_id").alias(f"{name}_bad")).distinct()
+    bad = passages(rows, item_texts(benchmark)[1], name, "text").select(F.col("doc_id").alias(f"{name}_bad")).distinct()
     return rows.join(bad, rows[name] == bad[f"{name}_bad"], "left_anti").drop(name)
 
 

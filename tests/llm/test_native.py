@@ -2,6 +2,8 @@ import hashlib
 import zlib
 from itertools import combinations, product
 
+import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import functions as F
 
 from scholia.llm import decontam, exact_dedup, hilbert
@@ -91,6 +93,25 @@ def test_shuffle_join_agrees(spark, monkeypatch):
     assert decontam.overlaps(d, bench).collect() == want and len(want) == 1
 
 
+def test_documents_full_of_hits(spark, monkeypatch):
+    """Memory may grow neither with the hits of a document nor with copies of an item."""
+    item, times = [f"w{i}" for i in range(40)], 600
+    texts = [" ".join(item * times), "q " * 3_000, "none of it"]
+    bench = [(k, " ".join(item)) for k in range(20)] + [(20, "q " * 15)]
+    doc, one = np.pad(np.tile(np.arange(40), times), (13, 24), constant_values=-1), np.pad(np.arange(40), (13, 24), constant_values=-2)
+    seen = np.array([[c == "1" for c in mask] for mask in decontam.MASKS])
+    hits, at = 0, []
+    for j in range(30):
+        same = sliding_window_view(doc, 37)[: 40 * times - 10] == one[j : j + 37]
+        near = (same[:, None, 13:24] | ~seen).all(2).any(1) & (sliding_window_view(same, 13, 1).sum(2).max(1) >= 0.75 * 13)
+        hits, at = hits + near.sum(), [*at, *near.nonzero()[0]]
+    want = {(0, k, hits, 1.0, min(at), max(at) + 10) for k in range(20)} | {(1, 20, 2_990 * 5, 1.0, 0, 2_999)}
+    for limit in (decontam.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+        got = decontam.overlaps(docs(spark, texts), spark.createDataFrame(bench, "item_id long, text string")).collect()
+        assert {tuple(r) for r in got} == want and len(got) == 21
+
+
 def test_held_out(spark):
     from scholia.llm.common import held_out
 
